@@ -28,7 +28,7 @@ class Settings:
     states: int = 6
     frequent: int = 4096
     classes: int = 2048
-    rounds: int = 6
+    rounds: int = 4
     unigram: float = 0.05
 
     @property
@@ -52,60 +52,72 @@ def word_class(word: bytes, s: Settings) -> int:
     return s.frequent + zlib.crc32(word[:2] + b"\0" + word[-3:]) % s.classes
 
 
-def _batches(lengths: np.ndarray, cells: int = 1 << 17) -> Iterator[np.ndarray]:
+def _batches(lengths: np.ndarray, cells: int = 1 << 19, most: int = 4096) -> Iterator[np.ndarray]:
     """Rows of like length together, longest first, at most ``cells`` padded places unless one row is longer."""
     order = np.argsort(-lengths, kind="stable")
     at = 0
     while at < len(order):
-        n = max(1, min(512, cells // max(1, int(lengths[order[at]]))))
+        n = max(1, min(most, cells // max(1, int(lengths[order[at]]))))
         yield order[at : at + n]
         at += n
 
 
-def forward(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
-    """Scaled forward recursion over texts sorted by falling length; ln-likelihood of each, and what the backward pass needs."""
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols by place and row, and how many rows are longer than each place; rows come by falling length."""
     lengths = np.array([len(r) for r in rows])
-    steps, n, k = int(lengths[0]), len(rows), len(start)
-    padded = np.zeros((steps, n), dtype=np.int32)
+    padded = np.zeros((int(lengths[0]), len(rows)), dtype=np.int32)
     for j, r in enumerate(rows):
         padded[: len(r), j] = r
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # rows longer than t
-    logs = np.zeros(n)
-    alphas = np.zeros((steps, n, k)) if keep else None
-    scales = np.ones((steps, n)) if keep else None
-    alpha = None
-    for t in range(steps):
-        m = live[t]
-        alpha = (np.broadcast_to(start, (m, k)) if t == 0 else alpha[:m] @ move) * emit[padded[t, :m]]
-        total = alpha.sum(axis=1)
-        alpha = alpha / total[:, None]
+    return padded, np.searchsorted(-lengths, -np.arange(len(padded)), side="left")
+
+
+def likelihoods(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """ln-likelihood of each text by the scaled forward recursion."""
+    padded, live = _padded(rows)
+    logs, ones, alpha = np.zeros(len(rows)), np.ones(len(start)), None
+    for t, m in enumerate(live):
+        alpha = (start[None, :] if t == 0 else alpha[:m] @ move) * emit[padded[t, :m]]
+        total = alpha @ ones
+        alpha /= total[:, None]
         logs[:m] += np.log(total)
-        if keep:
-            alphas[t, :m], scales[t, :m] = alpha, total
-    return logs, padded, live, alphas, scales
+    return logs
 
 
 def expected_counts(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> float:
-    """Add the expected counts of the texts; returns their ln-likelihood."""
-    logs, padded, live, alphas, scales = forward(rows, start, move, emit, True)
+    """Add the expected counts of the texts by scaled forward and backward recursions; returns their ln-likelihood."""
+    padded, live = _padded(rows)
     steps, n = padded.shape
     k = len(start)
-    gamma = np.zeros((steps, n, k))
-    beta = np.ones((n, k))
+    used = np.arange(n)[None, :] < live[:, None]
+    start, move, ones = start.astype(np.float32), move.astype(np.float32), np.ones(k, dtype=np.float32)
+    ahead = emit.astype(np.float32)[padded]
+    ahead *= used[:, :, None]
+    alphas, scales = np.zeros((steps, n, k), dtype=np.float32), np.ones((steps, n), dtype=np.float32)
+    for t, m in enumerate(live):
+        now = alphas[t, :m]
+        if t:
+            np.matmul(alphas[t - 1, :m], move, out=now)
+            now *= ahead[t, :m]
+        else:
+            np.multiply(start[None, :], ahead[0], out=now)
+        np.matmul(now, ones, out=scales[t, :m])
+        now /= scales[t, :m, None]
+    gamma, beta, back = np.zeros((steps, n, k), dtype=np.float32), np.ones((n, k), dtype=np.float32), np.ascontiguousarray(move.T)
     for t in range(steps - 1, -1, -1):
         m = live[t]
-        gamma[t, :m] = alphas[t, :m] * beta[:m]
-        if t:
-            ahead = emit[padded[t, :m]] * beta[:m] / scales[t, :m, None]
-            moves += alphas[t - 1, :m].T @ ahead
-            beta[:m] = ahead @ move.T
+        np.multiply(alphas[t, :m], beta[:m], out=gamma[t, :m])
+        now = ahead[t, :m]
+        now *= beta[:m]
+        now /= scales[t, :m, None]
+        np.matmul(now, back, out=beta[:m])
+    for lo in range(0, steps - 1, 1024):  # sums of some places at a time, in double precision over these
+        hi = min(steps - 1, lo + 1024)
+        moves += move * (alphas[lo:hi].reshape(-1, k).T @ ahead[lo + 1 : hi + 1].reshape(-1, k))
     starts += gamma[0].sum(axis=0)
-    used = np.arange(n)[None, :] < live[:, None]
-    symbols = padded[used]
-    weights = gamma[used]
+    symbols, weights = padded[used], gamma[used]
     for s in range(k):
         counts[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(counts))
-    return float(logs.sum())
+    return float(np.log(scales, dtype=np.float64).sum())
 
 
 @dataclass
@@ -116,11 +128,11 @@ class Model:
 
 
 def _first(s: Settings, unigram: np.ndarray) -> Model:
-    """States start alike but for fixed pseudo-random weights on symbols; they tend to stay."""
+    """States start alike but for fixed pseudo-random weights on symbols; they all but stay, so that whole texts choose."""
     draw = np.random.default_rng(7).random((s.symbols, s.states)) + 0.25
     emit = _mixed(unigram[:, None] * draw, s, unigram)
-    move = np.full((s.states, s.states), 0.05 / max(1, s.states - 1))
-    np.fill_diagonal(move, 0.95 if s.states > 1 else 1.0)
+    move = np.full((s.states, s.states), 0.001 / max(1, s.states - 1))
+    np.fill_diagonal(move, 0.999 if s.states > 1 else 1.0)
     return Model(np.full(s.states, 1 / s.states), move, emit)
 
 
@@ -251,7 +263,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         rows = _rows(column, s)
         out = np.zeros(len(rows))
         for part in _batches(np.array([len(r) for r in rows], dtype=np.int64)) if rows else ():
-            out[part] = forward([rows[i] for i in part], model.start, model.move, model.emit, False)[0] / LOG10
+            out[part] = likelihoods([rows[i] for i in part], model.start, model.move, model.emit) / LOG10
         return pa.array(out)
 
     return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", (likelihood("symbols") + F.col("inner")).alias("score"))

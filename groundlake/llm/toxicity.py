@@ -67,11 +67,8 @@ class Model:
     settings: Settings
 
     def sentence_scores(self, text: str, reader: Sentences) -> list[float]:
-        return [1 / (1 + np.exp(-(self.bias + self.weights[found].sum()))) if (found := reader.of(text[a:b])) else self.empty for a, b in sentences(text)]
-
-    @property
-    def empty(self) -> float:
-        return float(1 / (1 + np.exp(-self.bias)))
+        """A sentence without any feature scores 0, so that length alone never makes a text toxic."""
+        return [1 / (1 + np.exp(-(self.bias + self.weights[found].sum()))) if (found := reader.of(text[a:b])) else 0.0 for a, b in sentences(text)]
 
 
 def noisy_or(scores: list[float]) -> float:
@@ -79,7 +76,7 @@ def noisy_or(scores: list[float]) -> float:
 
 
 def _features(rows: DataFrame, s: Settings) -> dict[str, int]:
-    """Features that toxic documents have more often than others, by the strongest z-score."""
+    """Features of which most documents are toxic, by the strongest z-score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +93,7 @@ def _features(rows: DataFrame, s: Settings) -> dict[str, int]:
     counts = rows.select("text", "toxic").mapInArrow(run, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n = F.col("bad") + F.col("good")
     z = (F.col("bad") - base * n) / F.sqrt(n * base * (1 - base) + 1)
-    best = counts.filter(n >= s.min_docs).withColumn("z", z).filter("z > 2.5").orderBy(F.desc("z"), "feature").limit(s.features)
+    best = counts.filter(n >= s.min_docs).withColumn("z", z).filter((F.col("z") > 3.5) & (2 * F.col("bad") >= n)).orderBy(F.desc("z"), "feature").limit(s.features)
     return {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}  # at most s.features
 
 
@@ -117,38 +114,36 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Sentences(places, s)
         for batch in batches:
-            plain, found = [], []
-            for text in batch.column("text").to_pylist():
-                hits = [reader.of((text or "")[a:b]) for a, b in sentences(text or "")]
-                found.append([h for h in hits if h])
-                plain.append(sum(not h for h in hits))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "found"])
+            found = [[h for a, b in sentences(text or "") if (h := reader.of((text or "")[a:b]))] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "found"])
 
-    bags = rows.select("toxic", "text").limit(s.sample).mapInArrow(run, "toxic int, plain bigint, found array<array<int>>").toArrow()
-    return Model(places, *_solve(bags.column("toxic").to_numpy(), bags.column("plain").to_numpy(), bags.column("found").to_pylist(), len(places), s), s)
+    bags = rows.select("toxic", "text").limit(s.sample).mapInArrow(run, "toxic int, found array<array<int>>").toArrow()
+    return Model(places, *_solve(bags.column("toxic").to_numpy(), bags.column("found").to_pylist(), len(places), s), s)
 
 
-def _solve(toxic: np.ndarray, plain: np.ndarray, found: list, n: int, s: Settings) -> tuple[np.ndarray, float]:
+def _solve(toxic: np.ndarray, found: list, n: int, s: Settings) -> tuple[np.ndarray, float]:
     """Adam on the noisy-or log loss; a sentence is a row of the sparse matrix, a document a run of rows."""
+    kept = np.array([bool(f) for f in found], dtype=bool)  # a text without any feature scores 0, whatever the weights
+    toxic, found = toxic[kept], [f for f in found if f]
     if not len(toxic):
         return np.zeros(n), -6.0
     lists = [f for doc in found for f in doc]
     owner = np.repeat(np.arange(len(found)), [len(doc) for doc in found])
     rows = np.repeat(np.arange(len(lists)), [len(f) for f in lists]).astype(np.int64)
     cols = np.fromiter((x for f in lists for x in f), dtype=np.int64, count=len(rows))
-    w, bias = np.zeros(n), -5.0
+    w, bias = np.zeros(n), -3.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     y = toxic.astype(float)
     for step in range(1, s.steps + 1):
         logit = bias + np.bincount(rows, weights=w[cols], minlength=len(lists))
-        hit, none = 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1 / (1 + np.exp(-bias))
-        clear = np.bincount(owner, weights=np.log1p(-np.minimum(hit, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-none)  # ln prod(1-p)
+        hit = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        clear = np.bincount(owner, weights=np.log1p(-np.minimum(hit, 1 - 1e-12)), minlength=len(y))  # ln prod(1-p)
         p = np.clip(-np.expm1(clear), 1e-9, 1 - 1e-9)
         # d loss / d clear: p = 1 - exp(clear); d clear / d logit = -p of the sentence
         slope = np.where(y > 0, np.exp(clear) / p, -1.0)
         by_sentence = -slope[owner] * hit
         grad = np.bincount(cols, weights=by_sentence[rows], minlength=n)[:n] / len(y) + s.l2 * w
-        grad_bias = (by_sentence.sum() - (slope * plain * none).sum()) / len(y)
+        grad_bias = by_sentence.sum() / len(y)
         g = np.append(grad, grad_bias)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -178,9 +173,8 @@ def scores(model: Model):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted, and the worst sentence, for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts are one empty sentence, so they have the model's score for it. Documents whose
-    label is missing, or whose id is null, are scored but not learned from; with no labels at all every
-    score is low. Repeated rows are scored each; a document labelled twice counts as toxic if one label
+    Null and empty texts are one empty sentence and score 0. Documents whose label is missing, or whose
+    id is null, are scored but not learned from; with no labels at all every score is 0. Repeated rows are scored each; a document labelled twice counts as toxic if one label
     says so. Other columns are ignored; an empty table gives no rows.
 
     Scale: fitting reads a bounded sample of labelled rows (Settings.sample); scoring is one pass
