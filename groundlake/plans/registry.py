@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import telemetry
+from . import ingest, telemetry
 
-PARTS = (telemetry,)
+PARTS = (telemetry, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
