@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, telemetry
+from . import corpus, ingest, retrieval, telemetry
 
-PARTS = (telemetry, ingest)
+PARTS = (telemetry, ingest, corpus, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
