@@ -106,14 +106,21 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 12, min_score:
     return top_k(reduce(DataFrame.unionByName, found), k, "dense_score").filter(F.col("dense_score") >= min_score)
 
 
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of all tables, dealt anew by candidate: inputs that are dealt by query may differ in their
+    partitions after adaptive coalescing, and a grouping right on their union would then miss matches."""
+    return reduce(DataFrame.unionByName, others, first).repartition("query_id", "chunk_id")
+
+
 def merge_candidates(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     """JN5, ST1: one row a candidate with its best scores and the methods that found it."""
-    both = dense.select("query_id", "chunk_id", "dense_score", F.lit(None).cast("double").alias("lexical_score"), F.lit("dense").alias("m")).unionByName(lexical.select("query_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"), "lexical_score", F.lit("lexical").alias("m")))
+    none = F.lit(None).cast("double")
+    both = stacked(dense.select("query_id", "chunk_id", "dense_score", none.alias("lexical_score"), F.lit("dense").alias("m")), lexical.select("query_id", "chunk_id", none.alias("dense_score"), "lexical_score", F.lit("lexical").alias("m")))
     return both.groupBy("query_id", "chunk_id").agg(F.max("dense_score").alias("dense_score"), F.max("lexical_score").alias("lexical_score"), F.array_join(F.array_sort(F.collect_set("m")), ",").alias("methods"))
 
 
 def _ranked(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    return dense.select("query_id", "chunk_id", "rank", F.lit("dense").alias("method")).unionByName(lexical.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("method")))
+    return stacked(dense.select("query_id", "chunk_id", "rank", F.lit("dense").alias("method")), lexical.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("method")))
 
 
 def rrf(dense: DataFrame, lexical: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def variants(s, d):
     half = F.floor(F.length("text") / 2).cast("int")
     parts = {"whole": F.col("text"), "head": F.col("text").substr(F.lit(1), half), "tail": F.col("text").substr(half + 1, F.length("text"))}
     found = [r.bm25_search(q.select("query_id", x.alias("text")), chunks(s, d), 12).withColumn("variant", F.lit(n)) for n, x in parts.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("query_id", "chunk_id", "rank", "variant")
+    return r.stacked(*[t.select("query_id", "chunk_id", "rank", "variant") for t in found])
 
 
 def gold(s, d):
