@@ -1,17 +1,45 @@
-"""Byte-pair encoding with files of the tokenizers library: pieces of text that encode alone, a cache, decoding."""
+"""Byte-pair encoding with files of the tokenizers library: words that encode alone, a cache of them, pieces."""
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Iterator
 
-#: A run of spaces with the word after it. A cut lies between a non-space and a blank or newline only, where no
+#: A run of white space with the word after it. A cut lies between a non-space and a blank or newline only, where no
 #: token of a byte-level vocabulary can reach across; other white space stays inside its chunk.
-BYTE_LEVEL = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*$)?|\s+")
-#: Vocabularies that drop white space encode each word by itself.
-DROPS_SPACE = re.compile(r"[^ \n\t\r]+")
+_CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*$)?|\s+")
+#: In a text without these, white space is single blanks and newlines.
+_ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+AS_IS = "\0"
+
+
+def byte_level_words(text: str) -> list[str]:
+    """Words of a text for a byte-level vocabulary. A word stands for itself with a blank before it; one that starts with
+    a newline, or with the mark AS_IS, for itself (without the mark)."""
+    if any(x in text for x in _ODD):
+        return [AS_IS + c for c in _CHUNK.findall(text)]
+    if not text:
+        return []
+    words = text.replace("\n", " \n").split(" ")
+    if words[0][:1] != "\n":
+        words[0] = AS_IS + words[0] if words[0] else ""
+        if not words[0]:
+            del words[0]
+    return words
+
+
+def spelled(word: str) -> str:
+    return word[1:] if word[:1] == AS_IS else word if word[:1] == "\n" else " " + word
+
+
+def lone_words(text: str) -> list[str]:
+    """Words for vocabularies that drop white space."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -24,23 +52,31 @@ def encode_all(tokenizer, words: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-class CachedEncoder:
-    """Ids of whole texts from ids of their words; each word goes to the library once while it is cached.
+class WordCache:
+    """What ``make(words)`` says of each word, kept in two generations of at most ``limit`` words each.
 
-    ``pack`` turns the ids of a word into what is stored. The cache is emptied at ``limit`` words.
+    ``fixed`` holds words whose value is known from the start; they are never dropped.
     """
 
-    def __init__(self, path: str, words: re.Pattern, pack, limit: int = 1_000_000):
-        self.tokenizer, self.words, self.pack, self.limit, self.known = load(path), words, pack, limit, {}
-
-    def __call__(self, texts: list[str]):
-        """The packed ids of each text's words, as an iterator over the texts."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        split = [self.words.findall(t) for t in texts]
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
-        self.known.update(zip(new, map(self.pack, encode_all(self.tokenizer, new))))
-        return (map(self.known.__getitem__, ws) for ws in split)
+    def __init__(self, make: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 200_000):
+        self.make, self.fixed, self.limit = make, fixed or {}, limit
+        self.known, self.old = dict(self.fixed), {}
+
+    def __call__(self, texts: list[list[str]]) -> Iterator[Iterator]:
+        """For each text, the values of its words in order."""
+        if len(self.known) > self.limit + len(self.fixed):
+            self.known, self.old = dict(self.fixed), self.known
+        known, old, new = self.known, self.old, {}
+        for words in texts:
+            for w in words:
+                if w not in known:
+                    if w in old:
+                        known[w] = old[w]
+                    else:
+                        new[w] = None
+        if new:
+            known.update(zip(new, self.make(list(new))))
+        return (map(known.__getitem__, words) for words in texts)
 
 
 def byte_pieces(path: str) -> list[tuple[int, bytes]]:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-
 from tokenizers import Tokenizer
 
 from groundlake.llm import bpe, hmm, licenses, quality, sst, tokens, toxicity
@@ -22,13 +22,16 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.DROPS_SPACE)])
-def test_words_encode_as_the_whole_text(odd, spark, name, words):
+@pytest.mark.parametrize("name,words,spell", [("byte_bpe_50k.json", tokens.byte_level_words, tokens.spelled), ("word_bpe_49k.json", tokens.lone_words, str)])
+def test_words_encode_as_the_whole_text(odd, spark, name, words, spell):
     path = public_tokenizers.path(name)
-    whole, by_word = Tokenizer.from_file(path), tokens.CachedEncoder(path, words, list, limit=50)
+    whole, tokenizer = Tokenizer.from_file(path), tokens.load(path)
+    by_word = tokens.WordCache(lambda ws: tokens.encode_all(tokenizer, [spell(w) for w in ws]), limit=50)
+    draw = random.Random(1)
     texts = [r.text or "" for r in odd.union(odd).collect()] + [r.text for r in documents(spark, SF).collect()]
+    texts += ["".join(draw.choice(["a", "b.", " ", " ", "\n", "\t", "  ", "\x1c", "\u00a0", "é", "1", "'s", "\0", "\u3000"]) for _ in range(draw.randrange(12))) for _ in range(3000)]
     for t in texts:
-        assert [i for ids in next(by_word([t])) for i in ids] == whole.encode(t, add_special_tokens=False).ids
+        assert [i for ids in next(by_word([words(t)])) for i in ids] == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_byte_bpe_is_the_library(odd, none, spark):
@@ -40,8 +43,9 @@ def test_byte_bpe_is_the_library(odd, none, spark):
             ids = whole.encode(r.text or "", add_special_tokens=False).ids
             text = whole.decode(ids, skip_special_tokens=False)
             wanted[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
-        got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(docs, path).collect())
-        assert got == wanted
+        for table in (100_000, 20):
+            got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(docs, path, table).collect())
+            assert got == wanted
     assert bpe.encode_documents(none, path).count() == 0
 
 
