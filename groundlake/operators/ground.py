@@ -69,7 +69,7 @@ def neighbours(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def keyword_gate(queries: DataFrame, contexts_: DataFrame) -> DataFrame:
     """JB19: queries in Latin script must share two content words with their context, or one if they have under three."""
-    latin = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-zA-Z]{3,}\b"), 0))
+    latin = lambda c: F.array_distinct(F.filter(tx.tokenize(c), lambda t: t.rlike("^[a-z]{3,}$")))
     content = F.filter(latin(F.col("query")), lambda t: ~t.isin(*GATE_STOP))
     shared = F.size(F.array_intersect(content, latin(F.coalesce("context", F.lit("")))))
     needed = F.when(F.size(content) >= 3, 2).otherwise(1)

@@ -191,7 +191,7 @@ QUERIES = {
     "jb19_keyword_gate": (
         lambda s, d: g.keyword_gate(asked(s, d).withColumnRenamed("text", "query"), g.contexts(packed(s, d))),
         with_(
-            f"SELECT query_id, CAST(len(c) AS INT) AS content_words, CAST(len(list_intersect(c, x)) AS INT) AS shared_words, (len(c) = 0 OR regexp_matches(text, '[\\x{{0900}}-\\x{{0D7F}}]')) OR len(list_intersect(c, x)) >= CASE WHEN len(c) >= 3 THEN 2 ELSE 1 END AS passes FROM (SELECT item_id AS query_id, text, list_filter(list_distinct(regexp_extract_all(lower(text), '\\b[a-zA-Z]{{3,}}\\b')), lambda t: t NOT IN ({_list(g.GATE_STOP)})) AS c, list_distinct(regexp_extract_all(lower(COALESCE(context, '')), '\\b[a-zA-Z]{{3,}}\\b')) AS x FROM benchmark LEFT JOIN ctx ON item_id = query_id)",
+            f"SELECT query_id, CAST(len(c) AS INT) AS content_words, CAST(len(list_intersect(c, x)) AS INT) AS shared_words, (len(c) = 0 OR regexp_matches(text, '[\\x{{0900}}-\\x{{0D7F}}]')) OR len(list_intersect(c, x)) >= CASE WHEN len(c) >= 3 THEN 2 ELSE 1 END AS passes FROM (SELECT item_id AS query_id, text, list_filter(list_distinct({TOKENS_SQL}), lambda t: regexp_matches(t, '^[a-z]{{3,}}$') AND t NOT IN ({_list(g.GATE_STOP)})) AS c, list_filter(list_distinct({TOKENS_SQL.replace("(text", "(COALESCE(context, '')")}), lambda t: regexp_matches(t, '^[a-z]{{3,}}$')) AS x FROM benchmark LEFT JOIN ctx ON item_id = query_id)",
             BM25, PACKED, CONTEXTS,
         ),
     ),
