@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -178,11 +179,12 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFr
     A shard is one range of ids. Rows with equal ids stand in the order of their texts.
     """
     width = 2 if tokens.load(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    kind = "<u2" if width == 2 else "<u4"
-    end = np.array([end_id], dtype=kind).tobytes()
+    code = "H" if width == 2 else "I"
+    end = array(code, [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.CachedEncoder(path, tokens.DROPS_SPACE, lambda ids: np.array(ids, dtype=kind).tobytes())
+        tokenizer = tokens.load(path)
+        encode = tokens.WordCache(lambda words: [array(code, ids).tobytes() for ids in tokens.encode_all(tokenizer, words)])
         shard = TaskContext.get().partitionId()
         uri, writer = f"{folder}/shard-{shard:06d}.sst", None
         for batch in batches:
@@ -192,7 +194,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFr
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, words in zip(part.column("doc_id").to_pylist(), encode(texts)):
+                for doc_id, words in zip(part.column("doc_id").to_pylist(), encode(list(map(tokens.lone_words, texts)))):
                     writer.add(key_of(doc_id), b"".join(words) + end)
         if writer is not None:
             writer.finish()
