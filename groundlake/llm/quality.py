@@ -69,7 +69,7 @@ def references(docs: DataFrame, top: int = 100, limit: int = 200_000) -> dict:
         held: dict = {}
 
         def out():
-            rows = [(lang, None, i, int(n)) for lang, (classes, _) in held.items() for i, n in enumerate(classes)]
+            rows = [(lang, None, i, int(n)) for lang, (classes, words) in held.items() for i, n in enumerate([*classes, words.total()])]
             rows += [(lang, w.decode(), None, n) for lang, (_, words) in held.items() for w, n in words.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "word", "class", "n"])
 
@@ -90,17 +90,16 @@ def references(docs: DataFrame, top: int = 100, limit: int = 200_000) -> dict:
     ranked = sums.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
     found: dict = {}
     for r in ranked.collect():
-        classes, words = found.setdefault(r["lang"], (np.zeros(CLASSES), {}))
+        classes, words = found.setdefault(r["lang"], (np.zeros(CLASSES + 1), {}))  # the last: all words
         if r["word"] is None:
             classes[r["class"]] = r["n"]
         else:
             words[r["word"].encode()] = r["n"]
-    totals = {r["lang"]: r["n"] for r in sums.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     out = {}
     for lang, (classes, words) in found.items():
         order = sorted(words, key=lambda w: (-words[w], w))
         counts = [words[w] for w in order]
-        out[lang] = (classes, {w: i for i, w in enumerate(order)}, np.array([*counts, max(0, totals.get(lang, 0) - sum(counts))], dtype=float))
+        out[lang] = (classes[:CLASSES], {w: i for i, w in enumerate(order)}, np.array([*counts, max(0, classes[CLASSES] - sum(counts))], dtype=float))
     return out
 
 
@@ -133,7 +132,7 @@ def verdicts(known: dict, max_class: float, max_words: float, min_chars: int, mi
     return run.asNondeterministic()
 
 
-def rate(docs: DataFrame, max_class: float = 0.22, max_words: float = 0.65, min_chars: int = 200, min_words: int = 50, min_reference: int = 1000) -> DataFrame:
+def rate(docs: DataFrame, max_class: float = 0.30, max_words: float = 0.52, min_chars: int = 200, min_words: int = 50, min_reference: int = 1000) -> DataFrame:
     """``docs`` (lang, text and any others) with a struct column ``quality``: base counts, distances, base_failed, kept.
 
     A document fails if it fails the base rules, or if one of its histograms - classes of characters, the
