@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             found = [[h for a, b in sentences(text or "") if (h := reader.of((text or "")[a:b]))] for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "found"])
 
-    bags = rows.select("toxic", "text").limit(s.sample).mapInArrow(run, "toxic int, found array<array<int>>").toArrow()
+    bags = rows.select("toxic", "text").mapInArrow(run, "toxic int, found array<array<int>>").limit(2 * s.sample).toArrow()  # a repeated id has more rows than one
     return Model(places, *_solve(bags.column("toxic").to_numpy(), bags.column("found").to_pylist(), len(places), s), s)
 
 
