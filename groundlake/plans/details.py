@@ -65,14 +65,13 @@ CORPUS = (
     "UNION ALL SELECT document_id, 'wrong checksum' FROM man JOIN files ON doc_id = document_id WHERE sha256(text) <> checksum_sha256 UNION ALL SELECT document_id, 'duplicate content' FROM man WHERE checksum_sha256 IN (SELECT checksum_sha256 FROM man GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT document_id, 'personal data' FROM man JOIN files ON doc_id = document_id WHERE " + _MAIL
 )
 _ISLAND = "chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, section_title ORDER BY chunk_index) AS i"
-STATE = g.response_state(F.col("language") != "und", F.col("grounded"))
 
 QUERIES = {
     "prj02_environment": (lambda s, d: e.first_occurrence(checked(s, d)).select("event_id", e.derived_environment(e.text("event_type"), e.text("query_id"), e.text("session_id")).alias("environment")), line_sql(f"SELECT event_id, CASE WHEN {_got('event_type')} = 'query_completed' THEN 'fixture' WHEN starts_with(COALESCE({_got('session_id')}, ''), 'SES-LIVE') THEN 'live' ELSE 'test' END AS environment FROM firsts", FIRST)),
     "prj03_date_hour": (lambda s, d: e.normalize(e.first_occurrence(checked(s, d)), SECRET).select("event_id", "date", "hour"), line_sql(f"SELECT event_id, substring({_got('timestamp')}, 1, 10) AS date, CAST(substring({_got('timestamp')}, 12, 2) AS INT) AS hour FROM firsts", FIRST)),
     "dt01_timestamp": (lambda s, d: e.first_occurrence(checked(s, d)).select("event_id", F.unix_seconds(F.try_to_timestamp(e.text("timestamp"))).alias("seconds")), line_sql(f"SELECT event_id, CAST(epoch(CAST({_got('timestamp')} AS TIMESTAMPTZ)) AS BIGINT) AS seconds FROM firsts", FIRST)),
     "prj09_script_subsets": (lake_query(lambda t: m.queries(t).agg(F.count_if(~F.col("is_code_mixed") & ~F.col("is_romanized")).alias("native"), F.count_if("is_code_mixed").alias("code_mixed"), F.count_if("is_romanized").alias("romanized"))), f"{LAKE} SELECT count(*) FILTER (WHERE NOT is_code_mixed AND NOT is_romanized) AS native, count(*) FILTER (WHERE is_code_mixed) AS code_mixed, count(*) FILTER (WHERE is_romanized) AS romanized FROM q"),
-    "prj11_response_state": (lake_query(lambda t: m.queries(t).select("event_id", STATE.alias("state"))), f"{LAKE} SELECT event_id, CASE WHEN language = 'und' THEN 'LANGUAGE_UNAVAILABLE' WHEN grounded THEN 'GROUNDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS state FROM q"),
+    "prj11_response_state": (lake_query(lambda t: m.queries(t).select("event_id", g.response_state(F.col("language") != "und", F.col("grounded")).alias("state"))), f"{LAKE} SELECT event_id, CASE WHEN language = 'und' THEN 'LANGUAGE_UNAVAILABLE' WHEN grounded THEN 'GROUNDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS state FROM q"),
     "prj12_status_band": (lake_query(lambda t: t.select("event_id", m.status_band(F.col("total_latency_ms") / 20).alias("status"))), f"{LAKE} SELECT event_id, CASE WHEN total_latency_ms / 20 >= 80 THEN 'Excellent' WHEN total_latency_ms / 20 >= 60 THEN 'Good' ELSE 'Needs Attention' END AS status FROM lake"),
     "prj15_invalid_candidates": (
         lambda s, d: r.invalid_candidates(rp.dense(s, d).withColumn("lexical_score", F.col("dense_score") * 2).withColumn("text", F.when(F.col("chunk_id") % 3 == 0, " ").otherwise("t"))).select("query_id", "chunk_id", "faults"),
