@@ -173,7 +173,7 @@ class Reader:
         return None
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, cache_words: int = 800_000) -> DataFrame:
     """Encode and write; returns the manifest (shard, path, n_docs, n_tokens), shards in ascending doc_id order.
 
     A shard is one range of ids. Rows with equal ids stand in the order of their texts.
@@ -183,8 +183,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFr
     end = array(code, [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.load(path)
-        encode = tokens.WordCache(lambda words: [array(code, ids).tobytes() for ids in tokens.encode_all(tokenizer, words)])
+        def fresh() -> tokens.WordCache:
+            tokenizer = tokens.load(path)
+            return tokens.WordCache(lambda words: [array(code, ids).tobytes() for ids in tokens.encode_all(tokenizer, words)], limit=cache_words)
+
+        encode = tokens.kept_cache((path, code, cache_words), fresh)
         shard = TaskContext.get().partitionId()
         uri, writer = f"{folder}/shard-{shard:06d}.sst", None
         for batch in batches:

@@ -79,6 +79,17 @@ class WordCache:
         return (map(known.__getitem__, words) for words in texts)
 
 
+_KEPT: dict[tuple, WordCache] = {}
+
+
+def kept_cache(key: tuple, build: Callable[[], WordCache]) -> WordCache:
+    """One cache for all tasks that a Python worker runs: the next task meets most of the words of the last."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def byte_pieces(path: str) -> list[tuple[int, bytes]]:
     """(id, bytes) of a byte-level vocabulary; added tokens stand for their own text."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
