@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordtable
-from .common import held_out, written
+from .common import held_out, small_batches, written
 
 LOG10 = math.log(10)
 
@@ -28,7 +28,7 @@ class Settings:
     states: int = 6
     frequent: int = 4096
     classes: int = 2048
-    rounds: int = 4
+    rounds: int = 3
     unigram: float = 0.05
 
     @property
@@ -52,7 +52,7 @@ def word_class(word: bytes, s: Settings) -> int:
     return s.frequent + zlib.crc32(word[:2] + b"\0" + word[-3:]) % s.classes
 
 
-def _batches(lengths: np.ndarray, cells: int = 1 << 19, most: int = 4096) -> Iterator[np.ndarray]:
+def _batches(lengths: np.ndarray, cells: int = 1 << 18, most: int = 4096) -> Iterator[np.ndarray]:
     """Rows of like length together, longest first, at most ``cells`` padded places unless one row is longer."""
     order = np.argsort(-lengths, kind="stable")
     at = 0
@@ -155,7 +155,6 @@ def _encoded(docs: DataFrame, s: Settings):
     learn = docs.select("doc_id", "text", (~held_out("doc_id", 7, 2)).alias("learn"))
     blocked = wordtable.blocks(learn, "doc_id", "learn")
     named = written(wordtable.named_words(blocked, words_of, "learn"), "named-words")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = written(named.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = learn.filter("learn").count()
@@ -174,30 +173,31 @@ def _encoded(docs: DataFrame, s: Settings):
     shares[s.end] = ends + (ends > 0)
     shares[s.unknown] = 1
     unigram = shares / (total + types + 1)
-    said = named.select("block", "word").join(coded, "word", "left")
-    whole = math.log10(total + types + 1)
-
-    def work(rows: pa.Table, known: dict) -> pa.Table:
-        # per word: symbol, log10(c + 1), log10 of its share within its symbol
-        facts = {}
-        for w, (c, sym) in known.items():
-            facts[w.encode()] = (s.unknown, 0.0, 0.0) if c is None else (sym, math.log10(c + 1), math.log10((c + 1) / shares[sym]))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        n, kn, base, inner, data = [], [], [], [], []
+    share = docs.sparkSession.createDataFrame([(k, float(shares[k])) for k in sizes] or [(-1, 1.0)], "symbol int, share double")
+    count = F.col("c") + 1
+    facts = coded.join(F.broadcast(share), "symbol").select("word", "symbol", F.log10(count).alias("top"), F.log10(count / F.col("share")).alias("inner"))
+    nothing = F.lit(0.0)
+    said = named.select("block", "word").join(facts, "word", "left").select("block", "word", F.coalesce("symbol", F.lit(s.unknown)).alias("symbol"), F.coalesce("top", nothing).alias("top"), F.coalesce("inner", nothing).alias("inner"))
+    whole, end_top = math.log10(total + types + 1), math.log10(ends + 1)
+
+    def work(rows: pa.Table, words: pa.Table) -> pa.Table:
+        place = dict(zip(words.column("word").cast(pa.binary()).to_pylist(), range(words.num_rows)))
+        symbol, top, inner = (words.column(c).to_numpy() for c in ("symbol", "top", "inner"))
+        pack, kind = zstandard.ZstdCompressor(level=1).compress, "<u2" if s.symbols <= 1 << 16 else "<u4"
+        out: list[tuple] = []
         for text in wordtable.unpacked(rows.column("data").combine_chunks()):
-            got = [facts[w] for w in words_of(text)]
-            syms, tops, ins = zip(*got) if got else ((), (), ())
-            symbols = np.fromiter((*syms, s.end), dtype="<u2" if s.symbols <= 1 << 16 else "<u4", count=len(syms) + 1)
-            n.append(len(symbols))
-            kn.append(len(syms) - syms.count(s.unknown) + (ends > 0))
-            base.append(math.fsum(tops) + math.log10(ends + 1) - whole * len(symbols))
-            inner.append(math.fsum(ins))
-            data.append(pack(symbols.tobytes()))
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": pa.array([not x for x in rows.column("learn").to_pylist()], pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(kn, pa.int64()), "base_score": pa.array(base, pa.float64()), "inner": pa.array(inner, pa.float64()), "symbols": pa.array(data, pa.binary())})
+            ws = words_of(text)
+            at = np.fromiter(map(place.__getitem__, ws), dtype=np.int64, count=len(ws))
+            symbols = np.append(symbol[at], s.end).astype(kind)
+            known = len(ws) - int((symbols == s.unknown).sum()) + (ends > 0)
+            out.append((len(symbols), known, float(top[at].sum()) + end_top - whole * len(symbols), float(inner[at].sum()), pack(symbols.tobytes())))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        names = ("n_tokens", "n_known", "base_score", "inner", "symbols")
+        columns = {n: pa.array(c, k) for n, c, k in zip(names, list(zip(*out)) or [()] * 5, kinds)}
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": pa.array([not x for x in rows.column("learn").to_pylist()], pa.bool_()), **columns})
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, inner double, symbols binary"
-    coded_docs = written(wordtable.with_words(blocked, said, work, ["c", "symbol"], schema), "symbols")
-    return coded_docs.repartition(parts), unigram, total
+    return written(wordtable.with_words(blocked, said, work, schema), "symbols"), unigram, total
 
 
 def _rows(column: pa.Array, s: Settings) -> list[np.ndarray]:
@@ -255,7 +255,8 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     words and its join back; passes of training read texts as symbols and send a table of symbols x states.
     """
     s = settings
-    texts, unigram, total = _encoded(docs, s)
+    with small_batches(docs.sparkSession, 1000):
+        texts, unigram, total = _encoded(docs, s)
     model, _ = train(texts.filter("not held_out"), unigram, s)
 
     @F.arrow_udf("double")

@@ -9,6 +9,7 @@ more than a block of text and that block's words.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _packed():
@@ -45,50 +46,35 @@ def blocks(docs: DataFrame, *keep: str, block_bytes: int = BLOCK_BYTES) -> DataF
     return docs.select(block, *keep, _packed()(F.col("text")).alias("data")).repartition(parts, "block")
 
 
-def named_words(blocked: DataFrame, split: Callable[[bytes], list], counted: str | None = None, limit: int = 1_000_000) -> DataFrame:
+def named_words(blocked: DataFrame, split: Callable[[bytes], list[bytes]], counted: str, limit: int = 150_000) -> DataFrame:
     """(block, word, n): the words of each block, about once each; n counts them in rows where column ``counted`` is true.
 
     A task writes out what it holds at ``limit`` words, so a word may come more than once; n then adds up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = {}
-        size = 0
+        held: dict[int, Counter] = {}
 
         def out():
             for block, words in held.items():
                 if words:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string()) if counted else pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["block", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64())], ["block", "word", "n"])
 
         for batch in batches:
-            flags = batch.column(counted).to_pylist() if counted else [True] * batch.num_rows
-            for block, flag, text in zip(batch.column("block").to_pylist(), flags, unpacked(batch.column("data"))):
-                words = held.setdefault(block, {})
-                before = len(words)
-                if not counted:
-                    words.update(dict.fromkeys(split(text), 0))
-                elif flag:
-                    get = words.get
-                    for w in split(text):
-                        words[w] = get(w, 0) + 1
+            for block, flag, text in zip(batch.column("block").to_pylist(), batch.column(counted).to_pylist(), unpacked(batch.column("data"))):
+                words = held.setdefault(block, Counter())
+                if flag:
+                    words.update(split(text))
                 else:
-                    for w in split(text):
-                        words.setdefault(w, 0)
-                size += len(words) - before
-            if size > limit:
+                    words.update(dict.fromkeys(split(text), 0))
+            if sum(map(len, held.values())) > limit:
                 yield from out()
-                held, size = {}, 0
+                held = {}
         yield from out()
 
     return blocked.mapInArrow(run, "block int, word string, n bigint")
 
 
-def with_words(blocked: DataFrame, said: DataFrame, work: Callable[[pa.Table, dict], pa.Table], value: list[str], schema: str) -> DataFrame:
-    """Run ``work(rows, dictionary)`` on each block; ``said`` has (block, word, *value), the dictionary word -> value(s)."""
-
-    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-        columns = [words.column(v).to_pylist() for v in value]
-        known = dict(zip(words.column("word").to_pylist(), columns[0] if len(columns) == 1 else zip(*columns)))
-        return work(rows, known)
-
-    return blocked.groupBy("block").cogroup(said.select("block", "word", *value).groupBy("block")).applyInArrow(run, schema)
+def with_words(blocked: DataFrame, said: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Run ``work(rows, words)`` on each block and what ``said`` (block, word, ...) says of its words."""
+    return blocked.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(work, schema)
