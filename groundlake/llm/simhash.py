@@ -119,10 +119,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the row of its smallest doc_id."""
-    kept = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def first_rows(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
+    """The row of ``docs`` that names each component of ``found``; ``prints`` gives its fp from the text."""
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_no_id")]
     kept = kept.select(*key(F.col("doc_id")), F.col("fp").alias("_fp"))
-    rows = docs.select(F.struct("*").alias("_row"), *key(F.col("doc_id")), fingerprints(width)(F.col("text")).alias("_fp"))
+    rows = docs.select(F.struct("*").alias("_row"), *key(F.col("doc_id")), prints(F.col("text")).alias("_fp"))
     return rows.join(kept, ["_id", "_no_id", "_fp"], "left_semi").dropDuplicates(["_id", "_no_id", "_fp"]).select("_row.*")
+
+
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` with one document of each near-duplicate component: the row of its smallest doc_id."""
+    return first_rows(docs, near_duplicates(docs, width), fingerprints(width))
