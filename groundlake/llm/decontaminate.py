@@ -49,22 +49,33 @@ def banded(pattern: bytes, text: bytes, first: int, last: int, budget: int) -> t
 
 
 class Patterns:
-    """Segments of the benchmark's items and the index of their q-grams."""
+    """Segments of the benchmark's items and the index of the items' q-grams.
+
+    Segments are cuts of ``segment`` bytes side by side, and windows of four fifths of that which start every
+    tenth of it; either kind has one more that ends with the item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], segment: int, edits: float):
-        self.segments: list[tuple[int, int, bytes, int, int]] = []  # item, offset, bytes, budget, threshold
+        self.segments: list[tuple[int, int, bytes, int, int, bool]] = []  # item, offset, bytes, budget, threshold, a cut
         self.short: list[tuple[int, bytes]] = []
+        window, step = max(Q, segment * 4 // 5), max(1, segment // 10)
+        bodies, self.ranges = [], []  # for each item of the index: its bytes; its first and last segment
         for item, text in items:
             body = normal(text)
             if 0 < len(body) < Q:
                 self.short.append((item, b" " + body + b" "))
             elif body:
-                starts = sorted({*range(0, max(1, len(body) - segment + 1), segment), max(0, len(body) - segment)})
-                for at in starts:
-                    part = body[at : at + segment]
-                    budget = min(int(edits * len(part)), (len(part) - Q) // Q, STRIDE)
-                    self.segments.append((item, at, part, budget, len(part) - Q + 1 - Q * budget))
-        grams = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, dtype=np.uint8), Q) for _, _, p, _, _ in self.segments]
+                n = len(self.segments)
+                for size, by in ((segment, segment), (window, step)):
+                    if size == window and len(body) <= size < segment:
+                        continue  # the cut is the whole item
+                    for at in sorted({*range(0, max(1, len(body) - size + 1), by), max(0, len(body) - size)}):
+                        part = body[at : at + size]
+                        budget = min(int(edits * len(part)), (len(part) - Q) // Q, STRIDE)
+                        self.segments.append((item, at, part, budget, len(part) - Q + 1 - Q * budget, size == segment))
+                bodies.append(body)
+                self.ranges.append((n, len(self.segments)))
+        grams = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, dtype=np.uint8), Q) for p in bodies]
         codes = np.concatenate([np.ascontiguousarray(g).view("<u8")[:, 0] for g in grams]) if grams else np.zeros(0, dtype="<u8")
         order = np.argsort(codes, kind="stable")
         self.owner = np.concatenate([np.full(len(g), i) for i, g in enumerate(grams)])[order] if grams else np.zeros(0, dtype=np.int64)
@@ -73,15 +84,18 @@ class Patterns:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[self._slot(self.codes)] = True
         self.longest = max((len(s[2]) + s[3] for s in self.segments), default=0)
-        self.least = min((s[4] for s in self.segments), default=1)
+        self.reach = max(map(len, bodies), default=0)
         self.needed = np.array([s[4] for s in self.segments])
+        self.from_, self.to = (np.array([s[1] + k * (len(s[2]) - Q + 1) for s in self.segments]) for k in (0, 1))  # places of q-grams
+        self.few = np.array([self.needed[a:b].min() for a, b in self.ranges])
+        self.least = int(self.few.min()) if len(self.few) else 1
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
         return ((codes * MULTIPLY) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def find(self, body: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of segments found in ``body``, places in bytes."""
+    def find(self, body: bytes) -> list[tuple[int, int, int, int, bool]]:
+        """(item, start, end, edits, a cut) of segments found in ``body``, places in bytes."""
         n = len(body) - Q + 1
         if n <= 0 or not len(self.codes):
             return []
@@ -108,37 +122,61 @@ class Patterns:
         many = self.count[known]
         at = np.repeat(hits, many)
         index = np.repeat(self.first[known] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(at))
-        segment, diagonal = self.owner[index], at - self.place[index] + self.longest + STRIDE  # never negative
-        band = diagonal // STRIDE
-        bands = (len(body) + 2 * self.longest) // STRIDE + 4
-        keys, counts = np.unique(np.concatenate([segment * bands + band, segment * bands + band - 1]), return_counts=True)
-        kept = keys[counts >= self.needed[keys // bands]]
-        out = []
-        for s, b in zip((kept // bands).tolist(), (kept % bands).tolist()):
-            item, _, part, budget, _ = self.segments[s]
-            low = b * STRIDE - self.longest - STRIDE - budget
+        owner, place = self.owner[index], self.place[index]
+        band = (at - place + self.reach + STRIDE) // STRIDE  # never negative
+        bands = (len(body) + 2 * self.reach) // STRIDE + 4
+        keys, place = np.concatenate([owner * bands + band, owner * bands + band - 1]), np.concatenate([place, place])
+        order = np.argsort(keys, kind="stable")
+        keys, firsts, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        place = place[order]
+        kept = np.flatnonzero(counts >= self.few[keys // bands])
+        cuts, windows = [], []
+        for g in kept.tolist():
+            a, z = self.ranges[keys[g] // bands]
+            places = np.sort(place[firsts[g] : firsts[g] + counts[g]])
+            shared = np.searchsorted(places, self.to[a:z]) - np.searchsorted(places, self.from_[a:z])
+            for s in (a + np.flatnonzero(shared >= self.needed[a:z])).tolist():
+                (cuts if self.segments[s][5] else windows).append((s, int(keys[g] % bands)))
+        out: list[tuple[int, int, int, int, bool]] = []
+        spans: dict[int, tuple[int, int]] = {}
+        later = []
+
+        def add(item: int, start: int, end: int, edits: int, cut: bool) -> None:
+            out.append((item, start, end, edits, cut))
+            a, b = spans.get(item, (start, end))
+            spans[item] = min(a, start), max(b, end)
+
+        for s, b in cuts + windows:
+            item, offset, part, budget, _, cut = self.segments[s]
+            low = b * STRIDE - self.reach - STRIDE + offset - budget
             high = low + 2 * STRIDE - 1 + 2 * budget
             lo, hi = max(0, low), min(len(body), high + len(part) + budget + 1)
             exact = body.find(part, lo, hi)
             if exact >= 0:
-                out.append((item, exact, exact + len(part), 0))
+                add(item, exact, exact + len(part), 0, cut)
+            elif budget and not cut:
+                later.append((item, part, low, high, lo, hi, budget))
             elif budget and (got := banded(part, body[lo:hi], low - lo, high - lo, budget)):
-                out.append((item, max(0, lo + got[1] - len(part)), lo + got[1], got[0]))
+                add(item, max(0, lo + got[1] - len(part)), lo + got[1], got[0], cut)
+        for item, part, low, high, lo, hi, budget in later:  # windows with edits, unless they lie inside the item's span
+            a, b = spans.get(item, (hi, lo))
+            if (lo < a or hi > b) and (got := banded(part, body[lo:hi], low - lo, high - lo, budget)):
+                add(item, max(0, lo + got[1] - len(part)), lo + got[1], got[0], False)
         return out
 
     def of(self, body: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item, start, end, edits, segments): one row per item found; the span covers its segments, edits are the fewest of one."""
+        """(item, start, end, edits, segments): one row per item found; the span covers its segments, edits are the fewest of one, segments the cuts found."""
         best: dict[int, list] = {}
         overlap = 2 * self.longest + 2 * STRIDE + Q
         for lo in range(0, max(1, len(body)), PIECE):
             part = body[lo : lo + PIECE + overlap]
-            for item, a, b, edits in self.find(part):
-                best.setdefault(item, []).append((lo + a, lo + b, edits))
+            for item, a, b, edits, cut in self.find(part):
+                best.setdefault(item, []).append((lo + a, lo + b, edits, cut))
         padded = b" " + body + b" " if self.short else b""
         for item, word in self.short:
             if (at := padded.find(word)) >= 0:
-                best.setdefault(item, []).append((at, at + len(word) - 2, 0))
-        return [(item, min(x[0] for x in f), max(x[1] for x in f), min(x[2] for x in f), len({x[0] for x in f})) for item, f in sorted(best.items())]
+                best.setdefault(item, []).append((at, at + len(word) - 2, 0, True))
+        return [(item, min(x[0] for x in f), max(x[1] for x in f), min(x[2] for x in f), len({x[0] for x in f if x[3]})) for item, f in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -171,13 +209,17 @@ def _finder(items: list, segment: int, edits: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 100, edits: float = 0.08, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, start, end, edits, segments: a row for each benchmark item of which a document holds a passage.
 
-    Items are cut into segments of ``segment`` bytes of normal text (lower case, letters and digits; the
-    last one ends with the item; shorter items are one segment). A segment is found where it aligns
-    with at most ``edits`` of its length in edits. Regions are kept if a diagonal band shares at least
-    m - q + 1 - q*k q-grams with a segment of m bytes and k edits, then aligned within the band, so
-    none is lost. Places are bytes of the document's normal text. Items of under 8 bytes must occur
-    as whole words; empty and null items match nothing, nor do empty and null texts. Repeated rows are
-    reported each; other columns are ignored.
+    Items (normal text: lower case, letters and digits) are cut into segments of ``segment`` bytes; windows of
+    four fifths of that start every tenth of it; each kind has a last one that ends with the item; shorter
+    items are one segment. So any verbatim passage of nine tenths of ``segment`` (90 bytes, some 15 words)
+    holds a whole window, wherever it begins; shorter ones are found where they hold a whole segment only.
+    A segment is found where it aligns with at most ``edits`` of its length in edits (8 at most). Regions are
+    kept if a diagonal band shares at least m - q + 1 - q*k q-grams with a segment of m bytes and k edits,
+    then aligned within the band, so no segment is lost; windows with edits that lie inside the item's span
+    aren't aligned, as they can't widen it. ``segments`` counts cuts, 0 for a passage that only windows have
+    found; ``edits`` are the fewest of an aligned segment. Places are bytes of the document's normal text.
+    Items of under 8 bytes must occur as whole words; empty and null items match nothing, nor do empty and
+    null texts. Repeated rows are reported each; other columns are ignored.
 
     Scale: the text is read once for each block of ``block_bytes`` of the benchmark and isn't shuffled.
     """
