@@ -28,7 +28,7 @@ class Settings:
     states: int = 6
     frequent: int = 4096
     classes: int = 2048
-    rounds: int = 3
+    rounds: int = 4
     unigram: float = 0.05
 
     @property
