@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordtable
-from .common import held_out, small_batches, written
+from .common import held_out, scratch, small_batches, written
 
 LOG10 = math.log(10)
 
@@ -43,6 +42,10 @@ class Settings:
     def symbols(self) -> int:
         return self.end + 2
 
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.symbols <= 1 << 16 else "<u4"
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # A-Z; space, \t-\r
@@ -52,7 +55,7 @@ def word_class(word: bytes, s: Settings) -> int:
     return s.frequent + zlib.crc32(word[:2] + b"\0" + word[-3:]) % s.classes
 
 
-def _batches(lengths: np.ndarray, cells: int = 1 << 18, most: int = 4096) -> Iterator[np.ndarray]:
+def _batches(lengths: np.ndarray, cells: int = 1 << 19, most: int = 4096) -> Iterator[np.ndarray]:
     """Rows of like length together, longest first, at most ``cells`` padded places unless one row is longer."""
     order = np.argsort(-lengths, kind="stable")
     at = 0
@@ -83,41 +86,63 @@ def likelihoods(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emi
     return logs
 
 
-def expected_counts(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> float:
-    """Add the expected counts of the texts by scaled forward and backward recursions; returns their ln-likelihood."""
-    padded, live = _padded(rows)
-    steps, n = padded.shape
-    k = len(start)
-    used = np.arange(n)[None, :] < live[:, None]
-    start, move, ones = start.astype(np.float32), move.astype(np.float32), np.ones(k, dtype=np.float32)
-    ahead = emit.astype(np.float32)[padded]
-    ahead *= used[:, :, None]
-    alphas, scales = np.zeros((steps, n, k), dtype=np.float32), np.ones((steps, n), dtype=np.float32)
-    for t, m in enumerate(live):
+def _forward(padded: np.ndarray, live: np.ndarray, lo: int, hi: int, before: np.ndarray | None, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, scaled forward vectors and scales of places ``lo`` to ``hi``; ``before`` is the vector of the place before them."""
+    n, k = padded.shape[1], len(start)
+    ahead = emit[padded[lo:hi]]
+    ahead *= (np.arange(n)[None, :] < live[lo:hi, None])[:, :, None]
+    alphas, scales, ones = np.zeros((hi - lo, n, k), dtype=np.float32), np.ones((hi - lo, n), dtype=np.float32), np.ones(k, dtype=np.float32)
+    for t, m in enumerate(live[lo:hi]):
         now = alphas[t, :m]
-        if t:
-            np.matmul(alphas[t - 1, :m], move, out=now)
-            now *= ahead[t, :m]
-        else:
+        if before is None:
             np.multiply(start[None, :], ahead[0], out=now)
+        else:
+            np.matmul(before[:m], move, out=now)
+            now *= ahead[t, :m]
         np.matmul(now, ones, out=scales[t, :m])
         now /= scales[t, :m, None]
-    gamma, beta, back = np.zeros((steps, n, k), dtype=np.float32), np.ones((n, k), dtype=np.float32), np.ascontiguousarray(move.T)
-    for t in range(steps - 1, -1, -1):
-        m = live[t]
-        np.multiply(alphas[t, :m], beta[:m], out=gamma[t, :m])
-        now = ahead[t, :m]
-        now *= beta[:m]
-        now /= scales[t, :m, None]
-        np.matmul(now, back, out=beta[:m])
-    for lo in range(0, steps - 1, 1024):  # sums of some places at a time, in double precision over these
-        hi = min(steps - 1, lo + 1024)
-        moves += move * (alphas[lo:hi].reshape(-1, k).T @ ahead[lo + 1 : hi + 1].reshape(-1, k))
-    starts += gamma[0].sum(axis=0)
-    symbols, weights = padded[used], gamma[used]
-    for s in range(k):
-        counts[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(counts))
-    return float(np.log(scales, dtype=np.float64).sum())
+        before = alphas[t]
+    return ahead, alphas, scales
+
+
+def expected_counts(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, span: int = 1 << 17) -> float:
+    """Add the expected counts of the texts by scaled forward and backward recursions; returns their ln-likelihood.
+
+    Vectors of ``span`` places are held at once: of longer texts only those at the spans' ends are kept, and the
+    others made anew on the way back.
+    """
+    padded, live = _padded(rows)
+    steps, n = padded.shape
+    k = len(start)
+    start, move, emit = start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)
+    spans = [(lo, min(steps, lo + span)) for lo in range(0, steps, span)]
+    ends: list[np.ndarray | None] = [None]
+    for lo, hi in spans[:-1]:
+        ends.append(_forward(padded, live, lo, hi, ends[-1], start, move, emit)[1][-1].copy())
+    total, beta, back = 0.0, np.ones((n, k), dtype=np.float32), np.ascontiguousarray(move.T)
+    for (lo, hi), before in zip(reversed(spans), reversed(ends)):
+        ahead, alphas, scales = _forward(padded, live, lo, hi, before, start, move, emit)
+        total += float(np.log(scales, dtype=np.float64).sum())
+        gamma = np.zeros((hi - lo, n, k), dtype=np.float32)
+        for t in range(hi - lo - 1, -1, -1):
+            m = live[lo + t]
+            np.multiply(alphas[t, :m], beta[:m], out=gamma[t, :m])
+            now = ahead[t, :m]
+            now *= beta[:m]
+            now /= scales[t, :m, None]
+            np.matmul(now, back, out=beta[:m])
+        for a in range(0, hi - lo - 1, 1024):  # sums of some places at a time, in double precision over these
+            b = min(hi - lo - 1, a + 1024)
+            moves += move * (alphas[a:b].reshape(-1, k).T @ ahead[a + 1 : b + 1].reshape(-1, k))
+        if before is None:
+            starts += gamma[0].sum(axis=0)
+        else:
+            moves += move * (before.T @ ahead[0])
+        used = np.arange(n)[None, :] < live[lo:hi, None]
+        symbols, weights = padded[lo:hi][used], gamma[used]
+        for s in range(k):
+            counts[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(counts))
+    return total
 
 
 @dataclass
@@ -150,62 +175,56 @@ def _mixed(counts: np.ndarray, s: Settings, unigram: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encoded(docs: DataFrame, s: Settings):
-    """Texts as symbols, one row a document, and the corpus numbers; everything counted over all training texts."""
-    learn = docs.select("doc_id", "text", (~held_out("doc_id", 7, 2)).alias("learn"))
-    blocked = wordtable.blocks(learn, "doc_id", "learn")
-    named = written(wordtable.named_words(blocked, words_of, "learn"), "named-words")
-    counts = written(named.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = learn.filter("learn").count()
-    total, types = n_words + ends, types + (ends > 0)
-    top = {r["word"].encode(): i for i, r in enumerate(counts.orderBy(F.desc("c"), "word").limit(s.frequent).collect())}  # at most s.frequent words
-
-    @F.arrow_udf("int")
-    def symbol(words: pa.Array) -> pa.Array:
-        return pa.array([top[w] if w in top else word_class(w, s) for w in words.cast(pa.binary()).to_pylist()], pa.int32())
+def _encoded(docs: DataFrame, s: Settings, keep: Callable[[DataFrame, str], DataFrame]):
+    """Packs of texts as symbols, and the corpus numbers; everything counted over all training texts.
 
-    coded = counts.select("word", "c", symbol("word").alias("symbol"))
-    sizes = {r["symbol"]: (r["c"], r["v"]) for r in coded.groupBy("symbol").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}  # at most s.symbols rows
+    A pack: held_out, doc_ids, lengths (with the end), known, base, inner (one each a text), symbols. ``keep`` writes a table.
+    """
+    rows = keep(wordtable.coded(docs.select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")), words_of, lambda w: word_class(w, s)), "coded")
+    words = keep(wordtable.counted(rows), "counted")
+    each = words.filter("first and c > 0")  # one row a word of the training texts
+    n_words, types = each.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = rows.filter("not held_out").agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
+    total, types = n_words + ends, types + (ends > 0)
+    top = [r["word"] for r in each.orderBy(F.desc("c"), "word").limit(s.frequent).select("word").collect()]  # at most s.frequent words
+    own = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(top)), "own int, word string"))
+    named = words.join(own, "word", "left").select("block", "at", "c", "first", F.when(F.col("c") == 0, s.unknown).otherwise(F.coalesce("own", "kind")).alias("symbol"))
+    sizes = named.filter("first and c > 0").groupBy("symbol").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most s.symbols rows
     shares = np.zeros(s.symbols)
-    for k, (c, v) in sizes.items():
+    for k, c, v in sizes:
         shares[k] = c + v
     shares[s.end] = ends + (ends > 0)
     shares[s.unknown] = 1
-    unigram = shares / (total + types + 1)
-    share = docs.sparkSession.createDataFrame([(k, float(shares[k])) for k in sizes] or [(-1, 1.0)], "symbol int, share double")
-    count = F.col("c") + 1
-    facts = coded.join(F.broadcast(share), "symbol").select("word", "symbol", F.log10(count).alias("top"), F.log10(count / F.col("share")).alias("inner"))
-    nothing = F.lit(0.0)
-    said = named.select("block", "word").join(facts, "word", "left").select("block", "word", F.coalesce("symbol", F.lit(s.unknown)).alias("symbol"), F.coalesce("top", nothing).alias("top"), F.coalesce("inner", nothing).alias("inner"))
     whole, end_top = math.log10(total + types + 1), math.log10(ends + 1)
 
-    def work(rows: pa.Table, words: pa.Table) -> pa.Table:
-        place = dict(zip(words.column("word").cast(pa.binary()).to_pylist(), range(words.num_rows)))
-        symbol, top, inner = (words.column(c).to_numpy() for c in ("symbol", "top", "inner"))
-        pack, kind = zstandard.ZstdCompressor(level=1).compress, "<u2" if s.symbols <= 1 << 16 else "<u4"
-        out: list[tuple] = []
-        for text in wordtable.unpacked(rows.column("data").combine_chunks()):
-            ws = words_of(text)
-            at = np.fromiter(map(place.__getitem__, ws), dtype=np.int64, count=len(ws))
-            symbols = np.append(symbol[at], s.end).astype(kind)
-            known = len(ws) - int((symbols == s.unknown).sum()) + (ends > 0)
-            out.append((len(symbols), known, float(top[at].sum()) + end_top - whole * len(symbols), float(inner[at].sum()), pack(symbols.tobytes())))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-        names = ("n_tokens", "n_known", "base_score", "inner", "symbols")
-        columns = {n: pa.array(c, k) for n, c, k in zip(names, list(zip(*out)) or [()] * 5, kinds)}
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": pa.array([not x for x in rows.column("learn").to_pylist()], pa.bool_()), **columns})
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, inner double, symbols binary"
-    return written(wordtable.with_words(blocked, said, work, schema), "symbols"), unigram, total
-
-
-def _rows(column: pa.Array, s: Settings) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype="<u2" if s.symbols <= 1 << 16 else "<u4") for b in wordtable.unpacked(column)]
-
-
-def train(texts: DataFrame, unigram: np.ndarray, s: Settings) -> tuple[Model, list[float]]:
-    """Baum-Welch over all rows of ``texts``; each pass sums expected counts, a table of symbols x states, in Spark."""
+    def work(packs: pa.Table, words: pa.Table) -> pa.Table:
+        at, c, symbol = (words.column(x).to_numpy() for x in ("at", "c", "symbol"))
+        symbols, base, inner, known = np.empty(len(at), dtype=s.kind), np.empty(len(at)), np.empty(len(at)), np.empty(len(at), dtype=np.int64)
+        symbols[at], known[at] = symbol, c > 0
+        base[at] = np.log10(c + 1.0)
+        inner[at] = np.where(c > 0, np.log10((c + 1.0) / np.maximum(shares[symbol], 1)), 0)
+        out = []
+        for side, ids, lengths, places in zip(*(packs.column(x).to_pylist() for x in ("held_out", "doc_ids", "lengths", "places"))):
+            places, edges = wordtable.unpacked(places, "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+            sums = [[float(v[places[a:b]].sum()) for a, b in zip(edges, edges[1:])] for v in (base, inner, known)]
+            n = np.array(lengths, dtype=np.int64) + 1
+            coded = np.insert(symbols[places], edges[1:], s.end)
+            out.append((side, ids, n, np.array(sums[2], dtype=np.int64) + (ends > 0), np.array(sums[0]) + end_top - whole * n, np.array(sums[1]), wordtable.packed(coded)))
+        kinds = (pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
+        names = ("held_out", "doc_ids", "lengths", "known", "base", "inner", "symbols")
+        return pa.table({name: pa.array(column, k) for name, column, k in zip(names, list(zip(*out)) or [()] * 7, kinds)})
+
+    schema = "held_out boolean, doc_ids array<bigint>, lengths array<bigint>, known array<bigint>, base array<double>, inner array<double>, symbols binary"
+    packs = keep(wordtable.with_words(rows, named.select("block", "at", "c", "symbol"), work, schema), "symbols")
+    return packs, shares / (total + types + 1), total
+
+
+def _texts(lengths: list[int], symbols: bytes, s: Settings) -> list[np.ndarray]:
+    return np.split(wordtable.unpacked(symbols, s.kind), np.cumsum(lengths)[:-1]) if lengths else []
+
+
+def train(packs: DataFrame, unigram: np.ndarray, s: Settings) -> tuple[Model, list[float]]:
+    """Baum-Welch over all texts of ``packs``; each pass sums expected counts, a table of symbols x states, in Spark."""
     model, seen = _first(s, unigram), []
     names = [f"k{i}" for i in range(s.states)]
     for _ in range(s.rounds):
@@ -214,15 +233,16 @@ def train(texts: DataFrame, unigram: np.ndarray, s: Settings) -> tuple[Model, li
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, moves, starts, total = np.zeros((s.symbols, s.states)), np.zeros((s.states, s.states)), np.zeros(s.states), 0.0
             for batch in batches:
-                rows = _rows(batch.column("symbols"), s)
-                for part in _batches(np.array([len(r) for r in rows], dtype=np.int64)) if rows else ():
-                    total += expected_counts([rows[i] for i in part], start, move, emit, counts, moves, starts)
+                for lengths, symbols in zip(batch.column("lengths").to_pylist(), batch.column("symbols").to_pylist()):
+                    rows = _texts(lengths, symbols, s)
+                    for part in _batches(np.array(lengths)):
+                        total += expected_counts([rows[i] for i in part], start, move, emit, counts, moves, starts)
             some = np.flatnonzero(counts.any(axis=1))
             table = np.vstack([counts[some], moves, starts[None, :], np.full((1, s.states), total)])
             keys = np.concatenate([some, -1 - np.arange(s.states), [-1 - s.states, -2 - s.states]])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(table[:, i]) for i in range(s.states))], ["symbol", *names])
 
-        sums = texts.select("symbols").mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names])
+        sums = packs.select("lengths", "symbols").mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names])
         counts, moves, starts, total = np.zeros((s.symbols, s.states)), np.zeros((s.states, s.states)), np.zeros(s.states), 0.0
         for row in sums.collect():  # at most symbols + states + 2 rows
             k, values = row[0], np.array(row[1:])
@@ -246,25 +266,34 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     by Baum-Welch on the texts that are not held out. A state emits a symbol, a symbol a word: frequent
     words are symbols of their own; others share a symbol by their first and last letters and are drawn
     from it by add-one counts; the unknown word has the add-one probability of the base in every state.
-    So with one state the model equals the base, and what it gains comes from its states.
+    So with one state the model equals the base, and what it gains comes from its states. Ties for the last
+    place among the frequent words go to the smaller word.
 
     Null and empty texts are the end token alone. A null doc_id counts as held out. Repeated rows count
-    and are scored each. Other columns are ignored. With no rows to learn from, N and V are 0.
+    and are scored each. Other columns are ignored. With no rows to learn from, N and V are 0. A very long text
+    is one block; its recursions hold the vectors of ``span`` places at a time (``expected_counts``).
 
-    Scale: word counts cover all training texts. Two shuffles of compressed text, one of the blocks' distinct
-    words and its join back; passes of training read texts as symbols and send a table of symbols x states.
+    Scale: word counts cover all training texts. The text is read once and never moves: what is shuffled are
+    each block's distinct words, once by word and once back, and its texts as compressed numbers. Passes of
+    training read texts as symbols and send a table of symbols x states. What is written on the way is deleted.
     """
-    s = settings
-    with small_batches(docs.sparkSession, 1000):
-        texts, unigram, total = _encoded(docs, s)
-    model, _ = train(texts.filter("not held_out"), unigram, s)
-
-    @F.arrow_udf("double")
-    def likelihood(column: pa.Array) -> pa.Array:
-        rows = _rows(column, s)
-        out = np.zeros(len(rows))
-        for part in _batches(np.array([len(r) for r in rows], dtype=np.int64)) if rows else ():
-            out[part] = likelihoods([rows[i] for i in part], model.start, model.move, model.emit) / LOG10
-        return pa.array(out)
-
-    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", (likelihood("symbols") + F.col("inner")).alias("score"))
+    s, spark = settings, docs.sparkSession
+    with scratch(spark, "hidden-markov") as keep:
+        with small_batches(spark, 1000):
+            packs, unigram, total = _encoded(docs, s, keep)
+        with small_batches(spark, 4):
+            model, _ = train(packs.filter("not held_out"), unigram, s)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for p in batch.to_pylist():
+                        rows, lengths = _texts(p["lengths"], p["symbols"], s), np.array(p["lengths"])
+                        logs = np.zeros(len(rows))
+                        for part in _batches(lengths):
+                            logs[part] = likelihoods([rows[i] for i in part], model.start, model.move, model.emit)
+                        n = len(rows)
+                        columns = {"doc_id": pa.array(p["doc_ids"], pa.int64()), "held_out": [p["held_out"]] * n, "n_tokens": lengths, "n_known": pa.array(p["known"], pa.int64()), "train_tokens": [total] * n}
+                        yield pa.RecordBatch.from_pydict(columns | {"base_score": pa.array(p["base"], pa.float64()), "score": logs / LOG10 + np.array(p["inner"])})
+
+            schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+            return written(packs.mapInArrow(run, schema), "scores")

@@ -10,8 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from groundlake.llm import bpe, hmm, licenses, quality, sst, tokens, toxicity
-from groundlake.llm.common import documents, open_input
+from groundlake.llm import bpe, hmm, licenses, quality, sst, tokens, toxicity, wordtable
+from groundlake.llm.common import documents, open_input, written
 
 ASCII_SPACE = re.compile("[^\x20\x09-\x0d]+")
 
@@ -114,14 +114,15 @@ def test_one_state_is_the_base(spark):
     assert all(abs(r.score - r.base_score) < 1e-6 * abs(r.base_score) for r in rows)
 
 
-def test_forward_and_counts_are_sums_over_all_paths():
+@pytest.mark.parametrize("span", [1, 2, 3, 100])
+def test_forward_and_counts_are_sums_over_all_paths(span):
     from itertools import product
 
     draw = np.random.default_rng(1)
     start, move, emit = draw.dirichlet([1, 1]), draw.dirichlet([1, 1], 2), draw.dirichlet(np.ones(4), 2).T
     rows = [np.array([0, 3, 1, 2]), np.array([2, 2, 0]), np.array([1])]
     counts, moves, starts = np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2)
-    total = hmm.expected_counts(rows, start, move, emit, counts, moves, starts)
+    total = hmm.expected_counts(rows, start, move, emit, counts, moves, starts, span)
     want_counts, want_moves, logs = np.zeros((4, 2)), np.zeros((2, 2)), []
     for r in rows:
         weights = {p: start[p[0]] * emit[r[0], p[0]] * np.prod([move[a, b] * emit[x, b] for a, b, x in zip(p, p[1:], r[1:])]) for p in product(range(2), repeat=len(r))}
@@ -138,11 +139,78 @@ def test_forward_and_counts_are_sums_over_all_paths():
 
 def test_training_raises_the_likelihood(spark):
     s = hmm.Settings(states=3, frequent=200, classes=64, rounds=4, unigram=0.0)
-    texts, unigram, _ = hmm._encoded(documents(spark, SF), s)
-    _, seen = hmm.train(texts.filter("not held_out"), unigram, s)
+    packs, unigram, _ = hmm._encoded(documents(spark, SF), s, written)
+    _, seen = hmm.train(packs.filter("not held_out"), unigram, s)
     assert seen[1] > seen[0] and all(b > a - 1e-4 * abs(a) for a, b in zip(seen, seen[1:]))
 
 
+def brute_hmm(rows, s):
+    """Scores by a plain Baum-Welch over Python lists, in double precision, one text and one place at a time."""
+    learn = [lower(t or "") for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
+    split = lambda t: re.findall("[^ \t-\r]+", t)
+    counts = Counter(w for t in learn for w in split(t))
+    top = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: s.frequent])}
+    symbol = lambda w: s.unknown if w not in counts else top[w] if w in top else hmm.word_class(w.encode(), s)
+    shares = np.zeros(s.symbols)
+    for w, c in counts.items():
+        shares[symbol(w)] += c + 1
+    shares[s.end], shares[s.unknown] = len(learn) + 1, 1
+    unigram = shares / shares.sum()
+    coded = lambda t: [*map(symbol, split(t)), s.end]
+    model = hmm._first(s, unigram)
+    for _ in range(s.rounds):
+        at, moves, starts = np.zeros((s.symbols, s.states)), np.zeros((s.states, s.states)), np.zeros(s.states)
+        for xs in map(coded, learn):
+            alphas, betas = [], [np.ones(s.states)]
+            for i, x in enumerate(xs):
+                a = (alphas[-1] @ model.move if i else model.start) * model.emit[x]
+                alphas.append(a / a.sum())
+            for x in xs[:0:-1]:
+                b = model.move @ (model.emit[x] * betas[0])
+                betas.insert(0, b / b.sum())
+            for i, x in enumerate(xs):
+                g = alphas[i] * betas[i]
+                at[x] += g / g.sum()
+                starts += g / g.sum() if i == 0 else 0
+                if i:
+                    m = np.outer(alphas[i - 1], model.emit[x] * betas[i]) * model.move
+                    moves += m / m.sum()
+        model = hmm.Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), hmm._mixed(at, s, unigram))
+    found = []
+    for d, t in rows:
+        logs, alpha = 0.0, None
+        words = split(lower(t or ""))
+        for x in (*map(symbol, words), s.end):
+            a = (model.start if alpha is None else alpha @ model.move) * model.emit[x]
+            logs, alpha = logs + math.log10(a.sum()), a / a.sum()
+        found.append((d, logs + sum(math.log10((counts[w] + 1) / shares[symbol(w)]) for w in words if w in counts)))
+    return found
+
+
+def test_scores_are_those_of_a_plain_baum_welch(spark, odd):
+    s = hmm.Settings(states=3, frequent=60, classes=16, rounds=2)
+    for docs in (odd.filter("length(text) < 5000 or text is null"), documents(spark, SF).filter("length(text) < 3000")):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        got, want = (sorted(x, key=key) for x in ([(r.doc_id, r.score) for r in hmm.score_documents(docs, s).collect()], brute_hmm(rows, s)))
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4)
+
+
+def test_blocks_and_packs_of_any_size_count_alike(spark, odd):
+    docs = odd.select("doc_id", "text", (odd.doc_id % 3 == 0).alias("held_out")).fillna({"held_out": True})
+    for sizes in ((1 << 20, 1000, 1 << 20), (200, 5, 7), (1, 1, 1)):
+        rows = written(wordtable.coded(docs, hmm.words_of, len, *sizes), "coded")
+        words = {(r.block, r["at"]): (r.word, r.c) for r in wordtable.counted(rows).collect()}
+        want = Counter(w.decode() for r in docs.collect() if not r.held_out for w in hmm.words_of((r.text or "").encode()))
+        texts = []
+        for r in rows.filter("places is not null").collect():
+            places = wordtable.unpacked(bytes(r.places), "<u4")
+            for d, p in zip(r.doc_ids, np.split(places, np.cumsum(r.lengths)[:-1])):
+                texts.append((d, " ".join(words[r.block, k][0] for k in p)))
+        assert Counter(texts) == Counter((r.doc_id, b" ".join(hmm.words_of((r.text or "").encode())).decode()) for r in docs.collect())
+        assert all(c == want[w] for w, c in words.values())
+
+
 def brute_scan(text):
     words = [lower(w) for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))]
     places, labels = [], set()
