@@ -135,11 +135,13 @@ def verdicts(known: dict, max_class: float, max_words: float, min_chars: int, mi
 def rate(docs: DataFrame, max_class: float = 0.30, max_words: float = 0.52, min_chars: int = 200, min_words: int = 50, min_reference: int = 1000) -> DataFrame:
     """``docs`` (lang, text and any others) with a struct column ``quality``: base counts, distances, base_failed, kept.
 
+    A column of that name is replaced; all others stay as they were.
     A document fails if it fails the base rules, or if one of its histograms - classes of characters, the
     language's 100 commonest words and all others - lies further from its language's than the limit.
     Histograms of texts under ``min_chars`` bytes or ``min_words`` words say too little and aren't judged
     (distance null); nor are languages of under ``min_reference`` words. A null language is one of its own.
-    Null texts count as empty, which fail the base rules. Repeated rows are judged each.
+    Null texts count as empty, which fail the base rules. Repeated rows are judged each; very long texts are judged
+    whole. Of words equally common the smaller takes the last place among the common ones. No rows give none.
 
     Scale: one pass that sums histograms per language in the task and in Spark, one that judges; the text isn't shuffled.
     """
@@ -149,6 +151,6 @@ def rate(docs: DataFrame, max_class: float = 0.30, max_words: float = 0.52, min_
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` whose verdict is kept, columns as they were."""
+    """The rows of ``docs`` whose verdict is kept, columns as they were, whatever their names; null and empty texts go."""
     rows = rate(docs.select(F.struct("*").alias("_row"), "lang", "text"), **limits)
     return rows.filter("quality.kept").select("_row.*")

@@ -100,11 +100,12 @@ def _features(rows: DataFrame, s: Settings) -> dict[str, int]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on labelled documents that aren't held out; at most ``settings.sample`` of them.
 
-    A document's probability is 1 - prod(1 - p) over its sentences. Full-batch Adam on the log loss.
+    A document's probability is 1 - prod(1 - p) over its sentences. Full-batch Adam on the log loss. Where ids repeat,
+    rows are taken by the hash of their id, then of their text, up to the same bound.
     """
     s = settings
     chosen = (
-        labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id", 3, 1))
+        labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out("doc_id", 3, 1))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     )
@@ -115,36 +116,51 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         reader = Sentences(places, s)
         for batch in batches:
             found = [[h for a, b in sentences(text or "") if (h := reader.of((text or "")[a:b]))] for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "found"])
+            columns = [*map(batch.column, ("h", "doc_id", "t", "toxic")), pa.array(found, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "t", "toxic", "found"])
 
-    bags = rows.select("toxic", "text").mapInArrow(run, "toxic int, found array<array<int>>").limit(2 * s.sample).toArrow()  # a repeated id has more rows than one
+    keyed = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "toxic", "text")
+    bags = keyed.mapInArrow(run, "h bigint, doc_id bigint, t bigint, toxic int, found array<array<int>>")
+    bags = bags.orderBy("h", "doc_id", "t", "found").limit(s.sample).select("toxic", "found").toArrow()  # at most s.sample rows
     return Model(places, *_solve(bags.column("toxic").to_numpy(), bags.column("found").to_pylist(), len(places), s), s)
 
 
+class Loss:
+    """Mean log loss of the noisy-or, and its slope; a sentence is a row of a sparse matrix, a document a run of rows."""
+
+    def __init__(self, toxic: np.ndarray, found: list, n: int, l2: float):
+        self.n, self.l2, self.y = n, l2, np.asarray(toxic, dtype=float)
+        lists = [f for doc in found for f in doc]
+        self.owner = np.repeat(np.arange(len(found)), [len(doc) for doc in found])
+        self.rows = np.repeat(np.arange(len(lists)), [len(f) for f in lists]).astype(np.int64)
+        self.cols = np.fromiter((x for f in lists for x in f), dtype=np.int64, count=len(self.rows))
+        self.sentences = len(lists)
+
+    def __call__(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+        """Loss, and its slope by each weight and, last, by the bias."""
+        logit = bias + np.bincount(self.rows, weights=w[self.cols], minlength=self.sentences)
+        hit = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        clear = np.bincount(self.owner, weights=np.log1p(-np.minimum(hit, 1 - 1e-12)), minlength=len(self.y))  # ln prod(1-p)
+        p = np.clip(-np.expm1(clear), 1e-9, 1 - 1e-9)
+        # d loss / d clear: p = 1 - exp(clear); d clear / d logit = -p of the sentence
+        slope = np.where(self.y > 0, np.exp(clear) / p, -1.0)
+        by_sentence = -slope[self.owner] * hit
+        grad = np.bincount(self.cols, weights=by_sentence[self.rows], minlength=self.n)[: self.n] / len(self.y) + self.l2 * w
+        loss = -np.mean(np.where(self.y > 0, np.log(p), clear)) + self.l2 * float(w @ w) / 2
+        return float(loss), np.append(grad, by_sentence.sum() / len(self.y))
+
+
 def _solve(toxic: np.ndarray, found: list, n: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or log loss; a sentence is a row of the sparse matrix, a document a run of rows."""
+    """Adam on the noisy-or log loss."""
     kept = np.array([bool(f) for f in found], dtype=bool)  # a text without any feature scores 0, whatever the weights
     toxic, found = toxic[kept], [f for f in found if f]
     if not len(toxic):
         return np.zeros(n), -6.0
-    lists = [f for doc in found for f in doc]
-    owner = np.repeat(np.arange(len(found)), [len(doc) for doc in found])
-    rows = np.repeat(np.arange(len(lists)), [len(f) for f in lists]).astype(np.int64)
-    cols = np.fromiter((x for f in lists for x in f), dtype=np.int64, count=len(rows))
+    loss = Loss(toxic, found, n, s.l2)
     w, bias = np.zeros(n), -3.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    y = toxic.astype(float)
     for step in range(1, s.steps + 1):
-        logit = bias + np.bincount(rows, weights=w[cols], minlength=len(lists))
-        hit = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        clear = np.bincount(owner, weights=np.log1p(-np.minimum(hit, 1 - 1e-12)), minlength=len(y))  # ln prod(1-p)
-        p = np.clip(-np.expm1(clear), 1e-9, 1 - 1e-9)
-        # d loss / d clear: p = 1 - exp(clear); d clear / d logit = -p of the sentence
-        slope = np.where(y > 0, np.exp(clear) / p, -1.0)
-        by_sentence = -slope[owner] * hit
-        grad = np.bincount(cols, weights=by_sentence[rows], minlength=n)[:n] / len(y) + s.l2 * w
-        grad_bias = by_sentence.sum() / len(y)
-        g = np.append(grad, grad_bias)
+        _, g = loss(w, bias)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -173,9 +189,11 @@ def scores(model: Model):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted, and the worst sentence, for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts are one empty sentence and score 0. Documents whose label is missing, or whose
-    id is null, are scored but not learned from; with no labels at all every score is 0. Repeated rows are scored each; a document labelled twice counts as toxic if one label
-    says so. Other columns are ignored; an empty table gives no rows.
+    Null and empty texts are one empty sentence and score 0. Documents whose label is missing or neither 0 nor 1,
+    or whose id is null, are scored but not learned from; with no labels at all every score is 0. Repeated rows are
+    scored each; a document labelled twice counts as toxic if one label says so. Of sentences with the same score
+    the first is the worst. Very long texts are read whole, a sentence at a time. Other columns are ignored; an
+    empty table gives no rows.
 
     Scale: fitting reads a bounded sample of labelled rows (Settings.sample); scoring is one pass
     without a shuffle, and the broadcast model has at most Settings.features weights.
@@ -186,7 +204,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, columns as they were."""
+    """The rows of ``docs`` that score under ``threshold``, columns as they were, whatever their names.
+
+    Null and empty texts score 0 and stay; repeated rows stay or go together; no rows give none.
+    """
     model = fit(docs, labels, settings)
     rows = docs.select(F.struct("*").alias("_row"), scores(model)(F.col("text")).alias("_s"))
     return rows.filter(F.col("_s.score") < threshold).select("_row.*")
