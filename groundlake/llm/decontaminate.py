@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import open_input, open_output, shared_dir
+
 Q = 8  # bytes of a q-gram: one 64-bit word
 STRIDE = 8  # diagonals between bands; a band is twice as wide
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +51,14 @@ def banded(pattern: bytes, text: bytes, first: int, last: int, budget: int) -> t
     return int(row[k]), first + k + len(pattern)
 
 
+def _budget(size: int, edits: float) -> int:
+    """Edits allowed in a segment; under 16 bytes none, as the lemma needs a q-gram that is left whole."""
+    budget = int(edits * size) if size >= 2 * Q else 0
+    if budget > min(STRIDE, (size - Q) // Q):
+        raise ValueError(f"{budget} edits in {size} bytes: the lemma holds for {(size - Q) // Q}, a band for {STRIDE}")
+    return budget
+
+
 class Patterns:
     """Segments of the benchmark's items and the index of the items' q-grams.
 
@@ -56,11 +67,12 @@ class Patterns:
     """
 
     def __init__(self, items: list[tuple[int, str]], segment: int, edits: float):
-        self.segments: list[tuple[int, int, bytes, int, int, bool]] = []  # item, offset, bytes, budget, threshold, a cut
+        self.segments: list[tuple[int, int, bytes, int, int, bool]] = []  # item by its place in ``items``, offset, bytes, budget, threshold, a cut
         self.short: list[tuple[int, bytes]] = []
         window, step = max(Q, segment * 4 // 5), max(1, segment // 10)
         bodies, self.ranges = [], []  # for each item of the index: its bytes; its first and last segment
-        for item, text in items:
+        self.names = [item for item, _ in items]
+        for item, text in enumerate(text for _, text in items):
             body = normal(text)
             if 0 < len(body) < Q:
                 self.short.append((item, b" " + body + b" "))
@@ -71,7 +83,7 @@ class Patterns:
                         continue  # the cut is the whole item
                     for at in sorted({*range(0, max(1, len(body) - size + 1), by), max(0, len(body) - size)}):
                         part = body[at : at + size]
-                        budget = min(int(edits * len(part)), (len(part) - Q) // Q, STRIDE)
+                        budget = _budget(len(part), edits)
                         self.segments.append((item, at, part, budget, len(part) - Q + 1 - Q * budget, size == segment))
                 bodies.append(body)
                 self.ranges.append((n, len(self.segments)))
@@ -176,32 +188,66 @@ class Patterns:
         for item, word in self.short:
             if (at := padded.find(word)) >= 0:
                 best.setdefault(item, []).append((at, at + len(word) - 2, 0, True))
-        return [(item, min(x[0] for x in f), max(x[1] for x in f), min(x[2] for x in f), len({x[0] for x in f if x[3]})) for item, f in sorted(best.items())]
+        return [(self.names[item], min(x[0] for x in f), max(x[1] for x in f), min(x[2] for x in f), len({x[0] for x in f if x[3]})) for item, f in sorted(best.items())]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Write the benchmark as files of bounded size in the shared folder; their paths are all that comes to the driver."""
+    folder = shared_dir(benchmark.sparkSession, "benchmark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, paths, held, size = TaskContext.get().partitionId(), [], [], 0
+
+        def close() -> None:
+            paths.append(f"{folder}/block-{part:06d}-{len(paths):06d}.arrow")
+            stream, commit = open_output(paths[-1])
+            with pa.ipc.new_stream(stream, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            commit()
 
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                held.append(batch.slice(lo, 64))
+                size += held[-1].nbytes
+                if size >= block_bytes:
+                    close()
+                    held, size = [], 0
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    rows = benchmark.select("item_id", "text").filter("text is not null")
+    return [r[0] for r in rows.coalesce(8).mapInArrow(run, "path string").orderBy("path").collect()]  # a path for each block
 
 
-def _finder(items: list, segment: int, edits: float):
+_KEPT: dict[tuple, Patterns] = {}
+
+
+def _patterns(path: str, segment: int, edits: float) -> Patterns:
+    """The patterns of a block; a worker keeps those of the last block it has used."""
+    if (path, segment, edits) not in _KEPT:
+        _KEPT.clear()
+        with open_input(path) as file:
+            table = pa.ipc.open_stream(file).read_all()
+        _KEPT[path, segment, edits] = Patterns(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist())), segment, edits)
+    return _KEPT[path, segment, edits]
+
+
+def _finder(paths: list[str], segment: int, edits: float):
     kind = "array<struct<item_id:bigint, start:bigint, end:bigint, edits:int, segments:int>>"
     out = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("segments", pa.int32())]))
     names = ("item_id", "start", "end", "edits", "segments")
 
     @F.arrow_udf(kind)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        patterns = Patterns(items, segment, edits)
-        for texts in batches:
-            yield pa.array([[dict(zip(names, x)) for x in patterns.of(normal(t))] for t in texts.to_pylist()], out)
+    def run(texts: pa.Array) -> pa.Array:
+        bodies = list(map(normal, texts.to_pylist()))
+        found: list[list] = [[] for _ in bodies]
+        for path in paths:
+            patterns = _patterns(path, segment, edits)
+            for rows, body in zip(found, bodies):
+                rows += patterns.of(body)
+        return pa.array([[dict(zip(names, x)) for x in rows] for rows in found], out)
 
     return run.asNondeterministic()
 
@@ -213,28 +259,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 100, edits: floa
     four fifths of that start every tenth of it; each kind has a last one that ends with the item; shorter
     items are one segment. So any verbatim passage of nine tenths of ``segment`` (90 bytes, some 15 words)
     holds a whole window, wherever it begins; shorter ones are found where they hold a whole segment only.
-    A segment is found where it aligns with at most ``edits`` of its length in edits (8 at most). Regions are
-    kept if a diagonal band shares at least m - q + 1 - q*k q-grams with a segment of m bytes and k edits,
-    then aligned within the band, so no segment is lost; windows with edits that lie inside the item's span
+    A segment is found where it aligns with at most ``edits`` of its length in edits, rounded down; items of under
+    16 bytes must occur verbatim, those of under 8 as whole words. A ``segment`` or ``edits`` for which the lemma
+    doesn't hold is an error. Regions are kept if a diagonal band shares at least m - q + 1 - q*k q-grams with a segment of m
+    bytes and k edits, then aligned within the band, so no segment is lost; windows with edits that lie inside the item's span
     aren't aligned, as they can't widen it. ``segments`` counts cuts, 0 for a passage that only windows have
     found; ``edits`` are the fewest of an aligned segment. Places are bytes of the document's normal text.
-    Items of under 8 bytes must occur as whole words; empty and null items match nothing, nor do empty and
-    null texts. Repeated rows are reported each; other columns are ignored.
+    Empty and null items match nothing, nor do empty and null texts. Very long texts are read in pieces that
+    overlap. Items that repeat are reported each, as are repeated rows; other columns are ignored; no rows give none.
 
-    Scale: the text is read once for each block of ``block_bytes`` of the benchmark and isn't shuffled.
+    Scale: the text is read once and isn't shuffled. The benchmark lies in the shared folder in blocks of
+    ``block_bytes``; a task goes through them for each batch of texts and holds one at a time.
     """
-    found = None
-    for block in _blocks(benchmark, block_bytes):
-        rows = docs.select("doc_id", F.explode(_finder(block, segment, edits)(F.col("text"))).alias("x")).select("doc_id", "x.*")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, end bigint, edits int, segments int")
-    return found
+    found = _finder(_blocks(benchmark, block_bytes), segment, edits)
+    return docs.select("doc_id", F.explode(found(F.col("text"))).alias("x")).select("doc_id", "x.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 100, edits: float = 0.08, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage is found, columns as they were."""
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    for block in _blocks(benchmark, block_bytes):
-        rows = rows.withColumn("_found", _finder(block, segment, edits)(F.col("text"))).filter(F.size("_found") == 0).drop("_found")
-    return rows.select("_row.*")
+    """The rows of ``docs`` in which no benchmark passage is found by ``leaks``, columns as they were, whatever their names.
+
+    Null and empty texts stay, as does every row where the benchmark is empty; repeated rows stay or go together.
+    """
+    found = _finder(_blocks(benchmark, block_bytes), segment, edits)
+    return docs.select(F.struct("*").alias("row"), found(F.col("text")).alias("found")).filter(F.size("found") == 0).select("row.*")
