@@ -36,15 +36,42 @@ def _arcs(nodes: DataFrame) -> DataFrame:
     return arcs.withColumn("cell", F.explode(F.sequence(first, last)))
 
 
-def _pieces(nodes: DataFrame, arrivals: DataFrame, total: int, shards: int, vnodes: int) -> DataFrame:
+def _takes(loads: DataFrame) -> DataFrame:
+    """(nth, shard, slot0, take): how many of the keys that wait each point takes, in the order in which the walk passes them.
+
+    The walk starts with the first point of the ring and goes round twice; the second time nothing joins the queue. It
+    is a fold over one row of points, as large as the parameters make it.
+    """
+    free = F.greatest(F.lit(0).cast("long"), F.col("cap") - F.col("demand")).alias("free")
+    ring = loads.agg(
+        F.array_sort(F.collect_list(F.struct("node", "shard", "over"))).alias("ring"),
+        F.array_sort(F.collect_set(F.struct("shard", "cap", free))).alias("rooms"),
+    )
+    again = F.transform("ring", lambda x: F.struct(x["node"].alias("node"), x["shard"].alias("shard"), F.lit(0).cast("long").alias("over")))
+    nothing = F.array().cast("array<struct<shard:int,slot0:bigint,take:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("queue"), F.transform("rooms", lambda r: r["free"]).alias("free"), nothing.alias("takes"))
+
+    def step(state, x):
+        place = F.element_at(state["free"], x["shard"] + 1)
+        take = F.least(state["queue"] + x["over"], place)
+        slot0 = F.element_at(F.col("rooms"), x["shard"] + 1)["cap"] - place
+        return F.struct(
+            (state["queue"] + x["over"] - take).alias("queue"),
+            F.transform(state["free"], lambda v, i: F.when(i == x["shard"], v - take).otherwise(v)).alias("free"),
+            F.when(take > 0, F.concat(state["takes"], F.array(F.struct(x["shard"].alias("shard"), slot0.alias("slot0"), take.alias("take"))))).otherwise(state["takes"]).alias("takes"),
+        )
+
+    walked = ring.select(F.aggregate(F.concat("ring", again), start, step)["takes"].alias("takes"))
+    return walked.select(F.posexplode("takes").alias("nth", "t")).select("nth", "t.*")
+
+
+def _pieces(nodes: DataFrame, arrivals: DataFrame, total: int, shards: int) -> DataFrame:
     """(node, lo, hi, shard, slot0): where the keys of rank lo <= rank < hi in the arc of a point go.
 
-    Works on one row per point only. A shard takes its own keys in ring order until it is full; the
-    keys beyond that continue clockwise over full shards into the spare slots of the next points.
-    As capacities add up to the number of keys, the walk is a queue on a circle: it starts after the
-    point where the running sum (overflow - spare) is least, since no key passes there.
+    Works on one row per point only. A shard takes its own keys in ring order until it is full; keys beyond that
+    wait in the order of the ring, and each point that the walk passes takes of them what its shard has room for.
     """
-    own, ring, everyone = Window.partitionBy("shard").orderBy("node"), Window.orderBy("turned"), Window.partitionBy()
+    own, everyone = Window.partitionBy("shard").orderBy("node"), Window.partitionBy()
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     cap = F.lit(total // shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     nothing = F.lit(0).cast("long")
@@ -53,23 +80,16 @@ def _pieces(nodes: DataFrame, arrivals: DataFrame, total: int, shards: int, vnod
         .select("node", "shard", F.coalesce("n", nothing).alias("n"), cap.cast("long").alias("cap"))
         .withColumn("earlier", F.coalesce(F.sum("n").over(before), nothing))
         .withColumn("demand", F.sum("n").over(Window.partitionBy("shard")))
-        .withColumn("nth", F.row_number().over(own) - 1)
         .withColumn("home", F.least("n", F.greatest(nothing, F.col("cap") - F.col("earlier"))))
         .withColumn("over", F.col("n") - F.col("home"))
-        .withColumn("free", F.greatest(nothing, F.col("cap") - F.col("demand")))
-        .withColumn("spare", F.floor(F.col("free") / vnodes) + F.when(F.col("nth") < F.col("free") % vnodes, 1).otherwise(0))
-        .withColumn("spare0", F.col("demand") + F.coalesce(F.sum("spare").over(before), nothing))
-        .withColumn("run", F.sum(F.col("over") - F.col("spare")).over(Window.orderBy("node")))
-        .withColumn("start", F.min(F.struct("run", "node")).over(everyone)["node"])
-        .withColumn("turned", F.pmod(F.col("node") - F.col("start") - 1, F.lit(shards * vnodes)))
-        .withColumn("over0", F.sum("over").over(ring) - F.col("over"))
-        .withColumn("queue0", F.sum("spare").over(ring) - F.col("spare"))
+        .withColumn("over0", F.sum("over").over(Window.orderBy("node")) - F.col("over"))
     )
+    takes = _takes(loads).withColumn("queue0", F.sum("take").over(Window.orderBy("nth")) - F.col("take"))
     home = loads.select("node", nothing.alias("lo"), F.col("home").alias("hi"), "shard", F.least("cap", "earlier").alias("slot0"))
     source = F.struct("node", "home", "over0")
-    target = F.struct("shard", "spare0", "queue0")
-    marks = loads.filter("over > 0").select(F.col("over0").alias("x"), source.alias("source"), F.lit(None).cast("struct<shard:int,spare0:bigint,queue0:bigint>").alias("target"), (F.col("over0") + F.col("over")).alias("end")).unionByName(
-        loads.filter("spare > 0").select(F.col("queue0").alias("x"), F.lit(None).cast("struct<node:int,home:bigint,over0:bigint>").alias("source"), target.alias("target"), (F.col("queue0") + F.col("spare")).alias("end"))
+    target = F.struct("shard", "slot0", "queue0")
+    marks = loads.filter("over > 0").select(F.col("over0").alias("x"), source.alias("source"), F.lit(None).cast("struct<shard:int,slot0:bigint,queue0:bigint>").alias("target"), (F.col("over0") + F.col("over")).alias("end")).unionByName(
+        takes.select(F.col("queue0").alias("x"), F.lit(None).cast("struct<node:int,home:bigint,over0:bigint>").alias("source"), target.alias("target"), (F.col("queue0") + F.col("take")).alias("end"))
     )
     by_x = Window.orderBy("x")
     steps = (
@@ -87,7 +107,7 @@ def _pieces(nodes: DataFrame, arrivals: DataFrame, total: int, shards: int, vnod
         (F.col("s.home") + F.col("x") - F.col("s.over0")).alias("lo"),
         (F.col("s.home") + F.col("to") - F.col("s.over0")).alias("hi"),
         F.col("t.shard").alias("shard"),
-        (F.col("t.spare0") + F.col("x") - F.col("t.queue0")).alias("slot0"),
+        (F.col("t.slot0") + F.col("x") - F.col("t.queue0")).alias("slot0"),
     )
     return home.unionByName(moved).filter("lo < hi")
 
@@ -97,12 +117,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = 64, rows_pe
 
     Every document has a place on a ring (a hash of its id and of its text's checksum) and belongs to
     the next virtual node clockwise. A shard holds N/shards rows, rounded up for the first N mod shards
-    shards: the bounded load. Keys of a full shard continue clockwise to the next shard with room.
+    shards: the bounded load. A shard keeps its own keys in the order of the ring until it is full. Keys beyond that
+    continue clockwise: a walk from the ring's first point goes round twice, and at each point the keys that wait, first
+    come first, take the places that the point's shard has left, so no key passes a shard with room.
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot (0.. without gaps in a shard),
     grown_shard (always null: growing moves rows between old shards too) and moved (not at its first shard).
 
     Null texts count as empty; a null doc_id is hashed as no value; repeated rows get slots of their
-    own; an empty table gives no rows; other columns are ignored.
+    own, keys at one place of the ring stand in the order of id and size; very long texts count by their size
+    alone; an empty table gives no rows; other columns are ignored.
 
     Scale: the rows move once, as (id, size, checksum). Ranks in an arc come from counts of buckets of
     about ``rows_per_bucket`` rows plus a row number inside each bucket, so no window holds more than a
@@ -127,7 +150,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = 64, rows_pe
     )
     counts = placed.groupBy("node", "bucket").agg(F.count("*").alias("n"))
     ranks = counts.select("node", "bucket", (F.sum("n").over(Window.partitionBy("node").orderBy("bucket")) - F.col("n")).alias("base"))
-    pieces = _pieces(nodes, counts.groupBy("node").agg(F.sum("n").alias("n")), total, shards, vnodes)
+    pieces = _pieces(nodes, counts.groupBy("node").agg(F.sum("n").alias("n")), total, shards)
     order = Window.partitionBy("node", "bucket").orderBy("x", "h", "doc_id", "size")
     ranked = placed.withColumn("nth", F.row_number().over(order) - 1).join(ranks, ["node", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
     p = F.broadcast(pieces.select(F.col("node").alias("at"), "lo", "hi", "shard", "slot0"))
