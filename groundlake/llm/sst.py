@@ -73,7 +73,7 @@ class Writer:
         self.stream, self.width, self.block_bytes = stream, width, block_bytes
         self.block, self.first, self.last, self.at = bytearray(), None, b"", 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
         self.n = self.n_tokens = 0
         self.pack = zstandard.ZstdCompressor(level=1).compress
 
@@ -109,7 +109,7 @@ class Writer:
         self._write(b"".join(_leb(len(k)) + k + _leb(at) + _leb(n) for k, at, n in self.index))
         filter_at = self.at
         bits = max(64, -(-self.n * BITS_PER_KEY // 64) * 64)
-        h = np.array(self.hashes, dtype=np.uint64)
+        h = np.frombuffer(self.hashes, dtype=np.uint64) if self.hashes else np.zeros(0, dtype=np.uint64)
         a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
         held = np.zeros(bits, dtype=np.uint8)
         for i in range(PROBES):
@@ -176,7 +176,9 @@ class Reader:
 def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, cache_words: int = 800_000) -> DataFrame:
     """Encode and write; returns the manifest (shard, path, n_docs, n_tokens), shards in ascending doc_id order.
 
-    A shard is one range of ids. Rows with equal ids stand in the order of their texts.
+    A shard is one range of ids. Rows with equal ids stand in the order of their texts' hashes; equal rows may lie
+    in many shards. There are as many shards as partitions read, the session's number at least, so that a shard
+    doesn't grow with the input.
     """
     width = 2 if tokens.load(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     code = "H" if width == 2 else "I"
@@ -204,7 +206,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, cache_wor
             commit()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": writer.n, "n_tokens": writer.n_tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    parts = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, "doc_id", "h", F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "shard int, path string, n_docs bigint, n_tokens bigint")
 
 
@@ -238,7 +242,8 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     Returns doc_id, start (ids of all documents before it in doc_id order), n_tokens (with the end id),
     ids_crc32. Null and empty texts hold the end id only. A null doc_id sorts first. Repeated ids keep
-    an entry each, in the order of their texts. Other columns are ignored; no rows give no shards.
+    an entry each, in the order of their texts' hashes. A very long text is one entry. Other columns are ignored; no
+    rows give no shards.
 
     Scale: one range shuffle of the text. A task streams one shard, holding a block of 64 KiB, the
     index and a bounded cache of word ids; a shard that is written again replaces its file as a whole.
