@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
+def kept(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again."""
-    return _kept(df, shared_dir(df.sparkSession, name))
+    return kept(df, shared_dir(df.sparkSession, name))
 
 
 def deleted(spark: SparkSession, folder: str) -> None:
@@ -49,7 +49,7 @@ def scratch(spark: SparkSession, name: str):
     """``keep(df, part)`` writes and rereads a table as ``written`` does; all of them are deleted in the end."""
     folder = shared_dir(spark, name)
     try:
-        yield lambda df, part: _kept(df, f"{folder}/{part}")
+        yield lambda df, part: kept(df, f"{folder}/{part}")
     finally:
         deleted(spark, folder)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import deleted, kept, shared_dir, text_bytes, written
 
 BITS = 64
 CHUNK = 1 << 15
@@ -84,8 +84,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node with an edge to a smaller one; root is the smallest node it reaches.
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.
+    The folder of the step before last is deleted.
     """
-    now, mark = written(edges.select("u", "v"), "edges"), None
+    spark = edges.sparkSession
+    folders = [shared_dir(spark, "edges")]
+    now, mark = kept(edges.select("u", "v"), folders[0]), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == mark or not state[0]:
@@ -96,7 +99,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "edges")
+        folders.append(shared_dir(spark, "edges"))
+        now = kept(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), folders[-1])
+        deleted(spark, folders.pop(0))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -119,15 +124,17 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_rows(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
-    """The row of ``docs`` that names each component of ``found``; ``prints`` gives its fp from the text."""
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_no_id")]
-    kept = kept.select(*key(F.col("doc_id")), F.col("fp").alias("_fp"))
-    rows = docs.select(F.struct("*").alias("_row"), *key(F.col("doc_id")), prints(F.col("text")).alias("_fp"))
-    return rows.join(kept, ["_id", "_no_id", "_fp"], "left_semi").dropDuplicates(["_id", "_no_id", "_fp"]).select("_row.*")
-
-
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the row of its smallest doc_id."""
-    return first_rows(docs, near_duplicates(docs, width), fingerprints(width))
+    """``docs`` with one row of each component of ``near_duplicates``: that of its smallest doc_id.
+
+    Among rows of one id it is that of the smallest hash of its text, of equal rows any. A component without any id
+    keeps one row. Columns stay as they were, whatever their names; null and empty texts are one component.
+    """
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"), fingerprints(width)(F.col("text")).alias("fp")), "rows")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("h"), "at")).alias("first")
+    roots = components(links(rows.select("fp").distinct())).withColumnRenamed("u", "fp")
+    rooted = rows.groupBy("fp").agg(first).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    classes = rooted.select("fp", "root").join(named, "root").select("fp", F.col("first.at").alias("one"))
+    dropped = written(rows.select("at", "fp").join(classes, "fp").filter("at <> one").select("at"), "dropped")
+    return rows.join(dropped, "at", "left_anti").select("row.*")

@@ -50,6 +50,14 @@ def test_patterns_find_what_brute_force_finds(segment, rate):
         assert got == want, trial
 
 
+def test_parameters_that_break_the_lemma_are_errors():
+    item = [(1, "word " * 80)]
+    for segment, rate in ((200, 0.08), (100, 0.2), (20, 0.2)):
+        with pytest.raises(ValueError):
+            decontaminate.Patterns(item, segment, rate)
+    assert [s[3] for s in decontaminate.Patterns([(1, "fourteen bytes")], 100, 0.08).segments] == [0]
+
+
 def test_banded_is_the_edit_distance():
     draw = random.Random(3)
     for _ in range(40):
@@ -82,6 +90,9 @@ def test_leaks_on_documents(spark, odd, none):
     odd_items = spark.createDataFrame([(1, None), (2, ""), (3, "  .. "), (4, "omega"), (5, "日本語")], "item_id bigint, text string")
     found = {r.item_id for r in decontaminate.leaks(odd, odd_items).collect()}
     assert found == {4, 5}
+    twice = benchmark.limit(3).union(benchmark.limit(3)).union(spark.createDataFrame([(None, "alpha Beta gamma delta epsilon"), (None, "omega")], "item_id bigint, text string"))
+    assert all(n % 2 == 0 for n in Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, twice).filter("item_id is not null").collect()).values())
+    assert {r.item_id for r in decontaminate.leaks(odd, twice).collect()} == {None}
     assert decontaminate.leaks(none, benchmark).count() == 0 and decontaminate.leaks(odd, odd_items.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, odd_items.limit(0)).count() == odd.count()
 

@@ -7,6 +7,8 @@ import xxhash
 SF = "/root/testdata/sf0.001"
 
 
+import pytest
+
 from groundlake.llm import sharding, simhash
 from groundlake.llm.common import documents
 
@@ -124,3 +126,41 @@ def test_growing_the_ring_moves_few_documents(spark):
 def test_keys_that_fit_stay_at_their_first_shard(spark):
     moved = sharding.shard_documents(spark.range(5000).selectExpr("id AS doc_id", "'' AS text"), shards=4, vnodes=128)
     assert moved.filter("moved").count() < 500
+
+
+def brute_walk(spark, docs, shards, vnodes):
+    """(doc_id, shard, slot) of each row: keys wait in a list, which is carried round the ring point by point."""
+    text = "coalesce(text, '')"
+    rows = docs.selectExpr("doc_id", f"xxhash64('key', doc_id, crc32(cast({text} as binary))) AS h").collect()
+    points = sorted((r.x, r.id, r.id % shards) for r in spark.range(shards * vnodes).selectExpr("id", f"shiftrightunsigned(xxhash64('node', id % {shards}, id div {shards}), 32) AS x").collect())
+    room = {s: len(rows) // shards + (s < len(rows) % shards) for s in range(shards)}
+    held, waiting, used = defaultdict(list), [], Counter()
+    for r in rows:
+        x = r.h % (1 << 64) >> 32
+        k = next((k for k, p in enumerate(points) if x <= p[0]), 0)
+        held[k].append(((x if x <= points[-1][0] else x - (1 << 32)), r.h, r.doc_id))
+    demand, found, turned = Counter({s: 0 for s in range(shards)}), [], defaultdict(list)
+    for k, keys in held.items():
+        demand[points[k][2]] += len(keys)
+    for k, (_, _, shard) in enumerate(points):
+        for key in sorted(held[k]):
+            if used[shard] < room[shard]:
+                found.append((key[2], shard, used[shard]))
+                used[shard] += 1
+            else:
+                turned[k].append(key)
+    for turn in range(2):
+        for k, (_, _, shard) in enumerate(points):
+            waiting += turned[k] if turn == 0 else []
+            while waiting and used[shard] < room[shard]:
+                found.append((waiting.pop(0)[2], shard, used[shard]))
+                used[shard] += 1
+    assert not waiting
+    return Counter(found)
+
+
+@pytest.mark.parametrize("n,shards,vnodes", [(1000, 4, 8), (777, 5, 3), (64, 16, 1), (3, 4, 2)])
+def test_ring_is_a_walk_from_point_to_point(spark, n, shards, vnodes):
+    docs = spark.range(n).selectExpr("id * 13 AS doc_id", "CAST(id AS string) AS text")
+    rows = sharding.shard_documents(docs, shards, vnodes, rows_per_bucket=16).collect()
+    assert Counter((r.doc_id, r.shard, r.slot) for r in rows) == brute_walk(spark, docs, shards, vnodes)

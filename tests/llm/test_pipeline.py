@@ -1,7 +1,7 @@
 import hashlib
 
 import public_tokenizers
-from test_pairs_and_shards import brute_roots
+from test_neardup import brute_components
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -18,8 +18,8 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     clean = docs.filter(~docs.doc_id.isin(list(toxic) or [-1]))
     good = {r.doc_id for r in quality.rate(clean).filter("quality.kept").select("doc_id").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
-    first = {root: d for _, _, root, d in brute_roots(rows)}
-    rows = [r for r in rows if r[0] in first.values()]
+    first = {d for _, d in brute_components(rows)}
+    rows = [r for r in rows if r[0] in first]
     patterns = decontaminate.Patterns([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 100, 0.08)
     rows = [(d, t) for d, t in rows if not patterns.of(decontaminate.normal(t))]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

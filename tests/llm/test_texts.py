@@ -316,3 +316,94 @@ def test_toxicity_finds_the_sentence_and_takes_odd_rows(spark, odd, none):
     assert toxicity.score(odd, labels.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.score(none, labels).count() == 0
     assert toxicity.keep_clean(odd, labels).columns == odd.columns
+
+
+def test_toxicity_slope_is_the_loss_by_differences():
+    draw = random.Random(4)
+    found = [[[draw.randrange(9) for _ in range(draw.randrange(1, 4))] for _ in range(draw.randrange(1, 5))] for _ in range(30)]
+    found = [[sorted(set(f)) for f in doc] for doc in found]
+    toxic = np.array([draw.randrange(2) for _ in found])
+    w, bias = np.array([draw.uniform(-1, 1) for _ in range(9)]), -0.7
+    loss = toxicity.Loss(toxic, found, 9, 0.01)
+
+    def brute(w, bias):
+        total = 0.0
+        for y, doc in zip(toxic, found):
+            none = math.prod(1 - 1 / (1 + math.exp(-(bias + sum(w[i] for i in f)))) for f in doc)
+            total -= math.log(1 - none if y else none)
+        return total / len(toxic) + 0.01 * sum(x * x for x in w) / 2
+
+    value, slope = loss(w, bias)
+    assert abs(value - brute(w, bias)) < 1e-9
+    for i in range(10):
+        up, down = w.copy(), w.copy()
+        ub = db = bias
+        if i < 9:
+            up[i], down[i] = w[i] + 1e-5, w[i] - 1e-5
+        else:
+            ub, db = bias + 1e-5, bias - 1e-5
+        assert abs((brute(up, ub) - brute(down, db)) / 2e-5 - slope[i]) < 1e-6
+    assert abs(toxicity.noisy_or([0.2, 0.5, 0.1]) - (1 - 0.8 * 0.5 * 0.9)) < 1e-12 and toxicity.noisy_or([0.0]) == 0
+
+
+def test_toxicity_features_and_scores_are_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    s = toxicity.Settings(sample=400, features=60)
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").selectExpr("doc_id", "toxic", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").limit(400)
+    rows = [(r.text or "", r.toxic) for r in docs.join(learn, "doc_id").collect()]
+    bad, good = Counter(), Counter()
+    for text, toxic in rows:
+        (bad if toxic else good).update({f for w in re.findall(r"\w+", text.lower()) for f in [w + "$", *(w[:n] for n in range(3, 8) if len(w) >= n)]})
+    base = sum(t for _, t in rows) / len(rows)
+    z = {f: (bad[f] - base * (n := bad[f] + good[f])) / math.sqrt(n * base * (1 - base) + 1) for f in bad if bad[f] + good[f] >= 4 and 2 * bad[f] >= bad[f] + good[f]}
+    want = sorted((f for f in z if z[f] > 3.5), key=lambda f: (-z[f], f))[:60]
+    model = toxicity.fit(docs, labels, s)
+    assert list(model.places) == want
+    weights = dict(zip(model.places, model.weights))
+    for r in toxicity.score(docs, labels, settings=s).join(docs, "doc_id").limit(300).collect():
+        clear = 1.0
+        for sentence in re.split(r"[.!?\n]+", r.text or ""):
+            found = {f for w in re.findall(r"\w+", sentence.lower()) for f in toxicity.word_features(w, s)} & weights.keys()
+            clear *= 1 - (1 / (1 + math.exp(-(model.bias + sum(weights[f] for f in found)))) if found else 0)
+        assert abs(r.score - (1 - clear)) < 1e-6
+
+
+def test_toxicity_ignores_other_labels_and_bounds_rows_of_repeated_ids(spark):
+    texts = ["you moron", "a fine day", "moron again", "nice weather"] * 30
+    docs = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN -1 ELSE CAST(text LIKE '%moron%' AS int) END AS toxic").distinct()
+    s = toxicity.Settings(sample=20)
+    a, b = (toxicity.fit(docs.repartition(n), labels, s) for n in (1, 5))
+    assert a.places == b.places and np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_quality_distances_and_verdict_are_brute_force(spark):
+    docs = documents(spark, SF).selectExpr("doc_id", "lang", "text", "'own' AS quality")
+    rows = docs.collect()
+    kinds = lambda t: Counter("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c in "0123456789" else "blank" if c in " \t" else "line" if c in "\n\v\f\r" else "mark" if c in ".,;:!?'\"()-" else "ascii" if ord(c) < 128 else "other" for c in t)
+    weigh = lambda t: Counter({k: n for k, n in kinds(t).items() if k != "other"}) + Counter({"other": sum(len(c.encode()) for c in t if ord(c) > 127)})
+    spell = lambda t: [w.strip(".,;:!?'\"()-") for w in re.findall("[^ \t-\r]+", lower(t))]
+
+    def js(a, b):
+        p, q = ({k: n / max(1, sum(x.values())) for k, n in x.items()} for x in (a, b))
+        half = lambda x, y: sum(v * math.log2(v / ((v + y.get(k, 0)) / 2)) for k, v in x.items() if v)
+        return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+    classes, words = {}, {}
+    for r in rows:
+        classes.setdefault(r.lang, Counter()).update(weigh(r.text))
+        words.setdefault(r.lang, Counter()).update(spell(r.text))
+    got = {r.doc_id: r.quality for r in quality.rate(docs).collect()}
+    seen = Counter()
+    for r in rows:
+        q, own = got[r.doc_id], spell(r.text)
+        top = sorted(words[r.lang], key=lambda w: (-words[r.lang][w], w.encode()))[:100]
+        fold = lambda c: Counter({w: c[w] for w in top}) + Counter({None: sum(c.values()) - sum(c[w] for w in top)})
+        by_class = js(weigh(r.text), classes[r.lang]) if len(r.text.encode()) >= 200 else None
+        by_word = js(fold(Counter(own)), fold(words[r.lang])) if len(own) >= 50 else None
+        for a, b in ((q.class_distance, by_class), (q.word_distance, by_word)):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+        assert q.kept == (not q.base_failed and (by_class or 0) <= 0.30 and (by_word or 0) <= 0.52)
+        seen[q.kept, q.base_failed] += 1
+    assert min(seen[True, False], seen[False, False], seen[False, True]) > 0
