@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_input, open_output, shared_dir, text_bytes, written
+from .common import deleted, kept, open_input, open_output, shared_dir, text_bytes
 
 CRLF = b"\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -169,7 +169,9 @@ def normalise(decided: DataFrame, level: int = 6) -> DataFrame:
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["file", "at", "length", "page_id", "record_type", "payload_digest"])
 
-    return decided.groupBy("file").applyInArrow(run, INDEX)
+    files = decided.select("file").distinct().count()
+    parts = max(2 * files, int(decided.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return decided.repartition(parts, "file").groupBy("file").applyInArrow(run, INDEX)
 
 
 def read_members(index: DataFrame) -> DataFrame:
@@ -213,11 +215,13 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Scale: html is never shuffled: it goes to disk as it is read, and the decision which records are
     revisits is made on digests, by a partial maximum and one join that splits where a digest is hot.
-    A task of the normaliser holds one record of a file of about 16 MB at a time.
+    A task of the normaliser holds one record of a file of about 16 MB at a time; a very large page is one record.
+    Files are dealt to twice as many tasks. The monolithic archives are deleted once their members are written.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
-    held = written(write_monolithic(pages, folder), "warc-held")
-    index = normalise(revisits(held))
-    index.write.parquet(f"{folder}/index")
-    return read_members(spark.read.schema(index.schema).parquet(f"{folder}/index"))
+    held = kept(write_monolithic(pages, folder), f"{folder}/held")
+    index = kept(normalise(revisits(held)), f"{folder}/index")
+    deleted(spark, f"{folder}/raw")
+    deleted(spark, f"{folder}/held")
+    return read_members(index)
