@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of words, numbers, addresses and scripts.
 #: Letters, digits and underscore, and the marks of the Indic blocks, which no letter class holds.
 WORD = r"[\p{L}\p{N}_\x{0900}-\x{0D7F}]+"
 NUMBER = r"\b\d+(?:\.\d+)?%?\b"
@@ -40,6 +42,7 @@ INTENT_PHRASES = {
     "LIST": ["list of", "all schemes", "what are the", "name the", "types of", "list all"],
     "DEFINITION": ["what is", "define", "definition", "meaning of", "stands for", "full form", "kya hai", "enu", "emiti", "अर्थ", "ಅರ್ಥ", "అర్థం"],
 }
+# Patterns of questions that lie outside, and of texts that begin inside a sentence.
 OUT_OF_DOMAIN = r"\bcafeteria\s+menu\b|\bmarine\s+biology\b|\bcricket\s+coach\b|\bcookie\s+recipe\b|\bpizza\b|\bmars\s+mission\b|\balien\s+life\b|\bquantum\s+gravity\b|\bmacbook\s+subsidy\b|\bbaking\b"
 ORPHAN_START = r"(?i)^(?:is\b|are\b|was\b|were\b|and\b|or\b|but\b|to\b|of\b|for\b|less to\b|fee\.|whichever\b|[\.,;:!\?]\s*)"
 
@@ -88,6 +91,11 @@ def tokenize(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0), lambda t: F.lower(t))
 
 
+def bound(values: dict[str, Column], make: Callable[[dict[str, Column]], Column]) -> Column:
+    """``make`` of ``values``, each evaluated once: the optimiser would copy them to every place that names them."""
+    return F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), lambda x: make({k: x[k] for k in values}))[0]
+
+
 def script_counts(text: Column) -> dict[str, Column]:
     """TX4: letters of each script."""
     return {name: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)) for name, p in BLOCKS.items()}
@@ -110,41 +118,57 @@ def _second(values: list[Column]) -> Column:
 
 def detect_script_language(text: Column) -> dict[str, Column]:
     """TX5: language, script and confidence; mixed where a second script has a fifth and the first under four fifths."""
-    counts = script_counts(text)
-    total = sum(counts.values(), F.lit(0))
-    ratio = {k: F.when(total > 0, v / total).otherwise(0.0) for k, v in counts.items()}
-    top = F.greatest(*ratio.values())
-    first = _pick(list(BLOCKS), ratio, top)
-    empty = total == 0
-    bare = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"""^[.,;:!?()\[\]"']+|[.,;:!?()\[\]"']+$""", ""))
-    markers = F.size(F.array_intersect(bare, words(ENGLISH_MARKERS)))
-    language = F.when(empty, "unknown").otherwise(F.create_map(*[F.lit(x) for x in ("devanagari", "hi", "kannada", "kn", "telugu", "te", "latin", "en")])[first])
     cent = lambda c: F.floor(c * 100 + 0.5) / 100
-    latin = F.when(markers >= 2, F.least(F.lit(1.0), cent(0.7 + markers * 0.03))).otherwise(cent(top * 0.75))
-    return {
-        "language": language,
-        "script": F.when(empty, "unknown").when((_second(list(ratio.values())) >= 0.2) & (top < 0.8), "mixed").otherwise(first),
-        "confidence": F.when(empty, 0.0).when(first == "latin", latin).otherwise(cent(top)),
-    }
+    bare = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"""^[.,;:!?()\[\]"']+|[.,;:!?()\[\]"']+$""", ""))
+
+    def ratios(x: dict[str, Column]) -> Column:
+        total = sum((x[k] for k in BLOCKS), F.lit(0))
+        return F.struct(*[F.when(total > 0, x[k] / total).otherwise(0.0).alias(k) for k in BLOCKS], (total == 0).alias("empty"), x["markers"].alias("markers"))
+
+    def ordered(x: dict[str, Column]) -> Column:
+        ratio = {k: x["r"][k] for k in BLOCKS}
+        top = F.greatest(*ratio.values())
+        return F.struct(x["r"].alias("r"), top.alias("top"), _pick(list(BLOCKS), ratio, top).alias("first"), _second(list(ratio.values())).alias("second"))
+
+    def said(x: dict[str, Column]) -> Column:
+        r, top, first = x["o"]["r"], x["o"]["top"], x["o"]["first"]
+        language = F.create_map(*[F.lit(v) for v in ("devanagari", "hi", "kannada", "kn", "telugu", "te", "latin", "en")])[first]
+        latin = F.when(r["markers"] >= 2, F.least(F.lit(1.0), cent(0.7 + r["markers"] * 0.03))).otherwise(cent(top * 0.75))
+        return F.struct(
+            F.when(r["empty"], "unknown").otherwise(language).alias("language"),
+            F.when(r["empty"], "unknown").when((x["o"]["second"] >= 0.2) & (top < 0.8), "mixed").otherwise(first).alias("script"),
+            F.when(r["empty"], 0.0).when(first == "latin", latin).otherwise(cent(top)).alias("confidence"),
+        )
+
+    counted = bound(script_counts(text) | {"markers": F.size(F.array_intersect(bare, words(ENGLISH_MARKERS)))}, ratios)
+    found = bound({"o": bound({"r": counted}, ordered)}, said)
+    return {k: found[k] for k in ("language", "script", "confidence")}
 
 
 def script_shares(text: Column) -> dict[str, Column]:
     """TX6: shares of the scripts among letters and Indic signs; all other letters are ``other``."""
     counts = script_counts(text)
     other = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}&&[^A-Za-z\x{00C0}-\x{017F}\x{0900}-\x{097F}\x{0C00}-\x{0CFF}]]"))
-    counts = {**counts, "other": other}
-    total = sum(counts.values(), F.lit(0))
-    return {k: F.when(total > 0, F.floor(v / total * 10000 + 0.5) / 10000).otherwise(0.0) for k, v in counts.items()}
+
+    def shares(x: dict[str, Column]) -> Column:
+        total = sum(x.values(), F.lit(0))
+        return F.struct(*[F.when(total > 0, F.floor(v / total * 10000 + 0.5) / 10000).otherwise(0.0).alias(k) for k, v in x.items()])
+
+    found = bound({**counts, "other": other}, shares)
+    return {k: found[k] for k in (*counts, "other")}
 
 
 def primary_script(text: Column) -> Column:
     """TX7: mixed where two scripts have over .15 each; a script with over half; else unknown."""
-    shares = script_shares(text)
-    over = sum(((shares[k] > 0.15).cast("int") for k in BLOCKS), F.lit(0))
-    out = F.lit("unknown")
-    for k in reversed(list(BLOCKS)):
-        out = F.when(shares[k] > 0.5, k).otherwise(out)
-    return F.when(over >= 2, "mixed").otherwise(out)
+
+    def main(shares: dict[str, Column]) -> Column:
+        over = sum(((shares[k] > 0.15).cast("int") for k in BLOCKS), F.lit(0))
+        out = F.lit("unknown")
+        for k in reversed(list(BLOCKS)):
+            out = F.when(shares[k] > 0.5, k).otherwise(out)
+        return F.when(over >= 2, "mixed").otherwise(out)
+
+    return bound(script_shares(text), main)
 
 
 def request_script(text: Column) -> Column:
@@ -157,25 +181,34 @@ def is_code_mixed(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[A-Za-z]{2,}") & text.rlike(r"[\x{0900}-\x{0D7F}]"), F.lit(False))
 
 
+def _roman_counts(text: Column) -> Column:
+    """Romanised markers by language, and the number of words."""
+    roman = {"kn": KANNADA_ROMAN, "hi": HINDI_ROMAN, "te": TELUGU_ROMAN}
+    return bound({"t": tokenize(text)}, lambda x: F.struct(*[F.size(F.filter(x["t"], _among(m))).alias(k) for k, m in roman.items()], F.size(x["t"]).alias("n")))
+
+
 def romanized(text: Column) -> dict[str, Column]:
     """TX9: language of the most romanised markers, ties in the order kn, hi, te; confidence m / max(1, 0.4 n), at most 1."""
-    tokens = tokenize(text)
-    counts = {"kn": KANNADA_ROMAN, "hi": HINDI_ROMAN, "te": TELUGU_ROMAN}
-    found = {k: F.size(F.filter(tokens, _among(m))) for k, m in counts.items()}
-    top = F.greatest(*found.values())
-    confidence = F.least(F.lit(1.0), top / F.greatest(F.lit(1.0), F.size(tokens) * 0.4))
-    return {"language": F.when(top > 0, _pick(["kn", "hi", "te"], found, top)), "confidence": F.floor(confidence * 10000 + 0.5) / 10000}
+
+    def said(x: dict[str, Column]) -> Column:
+        top = F.greatest(x["kn"], x["hi"], x["te"])
+        confidence = F.least(F.lit(1.0), top / F.greatest(F.lit(1.0), x["n"] * 0.4))
+        return F.struct(F.when(top > 0, _pick(["kn", "hi", "te"], x, top)).alias("language"), (F.floor(confidence * 10000 + 0.5) / 10000).alias("confidence"))
+
+    found = bound({"c": _roman_counts(text)}, lambda x: said({k: x["c"][k] for k in ("kn", "hi", "te", "n")}))
+    return {k: found[k] for k in ("language", "confidence")}
 
 
 def query_language(text: Column) -> Column:
     """TX10: two letters of an Indic script, else two romanised markers, else English."""
-    counts = script_counts(text)
-    indic = {"kn": counts["kannada"], "te": counts["telugu"], "hi": counts["devanagari"]}
-    top = F.greatest(*indic.values())
-    tokens = tokenize(text)
-    roman = {k: F.size(F.filter(tokens, _among(m))) for k, m in {"kn": KANNADA_ROMAN, "hi": HINDI_ROMAN, "te": TELUGU_ROMAN}.items()}
-    most = F.greatest(*roman.values())
-    return F.when(top >= 2, _pick(["kn", "te", "hi"], indic, top)).when(most >= 2, _pick(["kn", "hi", "te"], roman, most)).otherwise("en")
+
+    def said(x: dict[str, Column]) -> Column:
+        indic = {"kn": x["kannada"], "te": x["telugu"], "hi": x["devanagari"]}
+        top, roman = F.greatest(*indic.values()), {k: x["roman"][k] for k in ("kn", "hi", "te")}
+        most = F.greatest(*roman.values())
+        return F.when(top >= 2, _pick(["kn", "te", "hi"], indic, top)).when(most >= 2, _pick(["kn", "hi", "te"], roman, most)).otherwise("en")
+
+    return bound(script_counts(text) | {"roman": _roman_counts(text)}, said)
 
 
 def response_language(explicit: Column, detected: Column, text: Column) -> Column:
@@ -186,13 +219,17 @@ def response_language(explicit: Column, detected: Column, text: Column) -> Colum
 
 def target_script_fault(text: Column, language: Column) -> Column:
     """TX12: why an answer isn't in its language's script; null if it is. URLs, citations and digits don't count."""
+
+    def said(c: dict[str, Column]) -> Column:
+        own = F.when(language == "hi", c["devanagari"]).when(language == "kn", c["kannada"]).when(language == "te", c["telugu"])
+        indic = c["devanagari"] + c["kannada"] + c["telugu"]
+        english = F.when((indic > c["latin"]) & (indic >= 20), "foreign script")
+        other = F.when(indic - own > 3, "contamination").when((c["latin"] > own * 2.5) & (c["latin"] > 40), "untranslated")
+        return F.when(c["length"] >= 15, F.when(language == "en", english).otherwise(other))
+
     bare = strip(F.regexp_replace(text, URL + r"|\[(?:Source\s*)?\d+\]|\d", ""))
-    c = script_counts(bare)
-    own = F.when(language == "hi", c["devanagari"]).when(language == "kn", c["kannada"]).when(language == "te", c["telugu"])
-    indic = c["devanagari"] + c["kannada"] + c["telugu"]
-    english = F.when((indic > c["latin"]) & (indic >= 20), "foreign script")
-    other = F.when(indic - own > 3, "contamination").when((c["latin"] > own * 2.5) & (c["latin"] > 40), "untranslated")
-    return F.when(F.length(bare) >= 15, F.when(language == "en", english).otherwise(other))
+    counted = bound({"bare": bare}, lambda x: F.struct(*[c.alias(k) for k, c in script_counts(x["bare"]).items()], F.length(x["bare"]).alias("length")))
+    return bound({"c": counted}, lambda x: said({k: x["c"][k] for k in (*BLOCKS, "length")}))
 
 
 def normalize_query(text: Column) -> Column:

@@ -11,6 +11,8 @@ from ..functions import text as tx
 
 # Signs of a follow-up, and what earlier turns were about (signs -> topic, in order).
 FOLLOW_UP = r"\b(it|this|that|them|the same|its|their)\b|\bwhat\s+happens\s+if\s+i\s+don'?t\b|\bwhat\s+if\s+i\s+fail\b|\bwhat\s+is\s+the\s+fee\b|\bwhere\s+can\s+i\s+apply\b"
+FEE_QUESTIONS = ["what is the fee?", "how much is the fee?", "what is the fee", "fee?"]
+APPLY_QUESTIONS = ["where can i apply?", "where to apply?", "how to apply?", "how to apply"]
 TOPICS = {
     "attendance requirement": ["attendance", "उपस्थिति", "ಹಾಜರಾತಿ", "హాజరు"],
     "CGTMSE credit guarantee scheme": ["cgtmse", "credit guarantee", "गारंटी", "గ్యారెంటీ"],
@@ -30,13 +32,13 @@ def topic(text: Column, topics: dict[str, list[str]] | None = None) -> Column:
 
 def resolve_follow_up(query: Column, before: Column, topics: dict[str, list[str]] | None = None) -> Column:
     """TX18: the query with the topic of the newest turn in ``before`` (oldest first) that has one."""
-    found = F.element_at(F.filter(F.transform(before, lambda t: topic(t, topics)), lambda t: t.isNotNull()), -1)
+    found = F.try_element_at(F.filter(F.transform(before, lambda t: topic(t, topics)), lambda t: t.isNotNull()), F.lit(-1))
     q = tx.strip(F.lower(query))
     rewritten = (
-        F.when(q.rlike(r"\bmeet it\b"), F.concat(F.lit("What happens if a student does not meet the "), found, F.lit("?")))
-        .when(q.rlike(r"^(?:what is the fee|how much is the fee|fee)\??$"), F.concat(F.lit("What is the fee for "), found, F.lit("?")))
-        .when(q.rlike(r"^(?:where can i apply|where to apply|how to apply)\??$"), F.concat(F.lit("How and where to apply for "), found, F.lit("?")))
-        .when(q.rlike(r"\bit\b"), F.regexp_replace(query, F.lit(r"(?i)\bit\b"), found)).otherwise(F.concat(query, F.lit(" regarding "), found))
+        F.when(F.contains(q, F.lit("meet it")), F.concat(F.lit("What happens if a student does not meet the "), found, F.lit("?")))
+        .when(q.isin(*FEE_QUESTIONS), F.concat(F.lit("What is the fee for "), found, F.lit("?")))
+        .when(q.isin(*APPLY_QUESTIONS), F.concat(F.lit("How and where to apply for "), found, F.lit("?")))
+        .when(F.array_contains(F.split(q, r"(?U)\s+"), "it"), F.regexp_replace(query, F.lit(r"(?i)\bit\b"), found)).otherwise(F.concat(query, F.lit(" regarding "), found))
     )
     return F.when((F.size(before) > 0) & q.rlike(FOLLOW_UP) & found.isNotNull(), rewritten).otherwise(query)
 
