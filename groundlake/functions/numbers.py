@@ -27,11 +27,11 @@ def percentile(column: str, q: float) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """MT2 in double precision; a zero norm counts as 1e-9."""
+    """MT2 in double precision, kept in 0..1; a zero norm counts as 1e-9."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.sqrt(dot(x, x))
     guard = lambda n: F.when(n == 0, F.lit(1e-9)).otherwise(n)
-    return dot(a, b) / (guard(norm(a)) * guard(norm(b)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / (guard(norm(a)) * guard(norm(b)))))
 
 
 def unit(v: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.numbers import rounded
+from ..functions.numbers import rounded, valid_vector
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -68,14 +68,17 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 12, where: Colum
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 12, min_score: float = 0.0, block_rows: int = 1024) -> DataFrame:
-    """JB13, JN4, UF3: cosine top k; query_id, chunk_id, dense_score, rank.
+    """JB13, JN4, UF3, MT2: cosine in 0..1, top k; query_id, chunk_id, dense_score, rank.
 
     ``queries`` (query_id, embedding) go out in blocks of ``block_rows``; a task multiplies a block with each
-    batch of ``vectors`` (chunk_id, embedding) and passes on k rows a query, so pairs never leave it.
+    batch of ``vectors`` (chunk_id, embedding) and passes on k rows a query, so pairs never leave it. Vectors that
+    are null, hold a number that isn't finite, or are shorter than the longest query are left out on either side.
     """
+    size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    queries, vectors = (t.filter(valid_vector(F.col("embedding"), size)) for t in (queries, vectors))
 
     def units(column: pa.Array) -> np.ndarray:
-        rows = np.array(column.to_pylist(), dtype=np.float64)
+        rows = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), size)
         norms = np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
         return rows / np.where(norms == 0, 1e-9, norms)
 
@@ -86,7 +89,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 12, min_score:
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             for batch in batches:
                 names, rows = batch.column("chunk_id").to_pylist(), units(batch.column("embedding"))
-                scores = np.floor((wanted @ rows.T) * 10000 + 0.5) / 10000
+                scores = np.floor(np.clip(wanted @ rows.T, 0, 1) * 10000 + 0.5) / 10000
                 for q, line in enumerate(scores):
                     cut = np.partition(line, -k)[-k] if len(line) > k else -2.0
                     best[q] = sorted([*best[q], *((-line[i], names[i]) for i in np.flatnonzero(line >= cut))])[:k]
@@ -167,6 +170,10 @@ def coverage(query: Column, text: Column) -> Column:
 
 
 # Words of the rerank rules.
+GENERIC_WORDS = (
+    "what is the in for to of and a an on are how do does did explain about which where can be who whom whose when why won was were been have has tell me used with from at by use using mentioned any some give detail details system platform "
+    "student students faculty shall must only per as such required requirement requirements need needed rules rule guidelines guideline policy applicable apply instruction instructions procedure course courses registered"
+).split() + ["registered courses"]
 CORE_TERMS = (
     "database mysql backend frontend technology technologies stack proctoring security desktop electron services attendance condonation credit credits revaluation photocopy challenge supplementary makeup fast-track backlog "
     "scholarship merit hostel placement debarment eligibility grade malpractice express jwt rbac cloudflare gemini openai html5 css3 javascript python vision proctor cgtmse guarantee scheme msme website portal url nirf fee fees "
@@ -180,7 +187,7 @@ def rerank(candidates: DataFrame, generic: list[str] | None = None) -> DataFrame
     0.40 rank score + 0.40 word coverage + 0.25 names + 0.20 intent + 0.15 section + 0.25 domain word + 0.20 phrase, less 0.60 where a
     domain question meets none of its words and 0.20 or 0.05 for short texts.
     """
-    generic = generic or tx.LEXICAL_STOP_WORDS
+    generic = generic or GENERIC_WORDS
     stems = lambda tokens: F.array_distinct(F.concat(tokens, F.transform(tokens, tx.stem)))
     lower = F.lower("text")
     section = F.lower(F.coalesce("section_title", F.lit("")))

@@ -35,11 +35,12 @@ def chosen(s, d):
 
 
 CHOSEN = "lines AS (SELECT doc_id, CAST(n - 1 AS INT) AS chunk_index, text, CAST(1 + floor((n - 1) / 4) AS INT) AS page_number, CAST(CAST(floor((n - 1) / 3) AS INT) AS STRING) AS section_title FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-PICKED = "(chunk_index + doc_id) % 3 <> 0"
+#: All lines, with a gap in their numbers after every third.
+PICKED = "chunk_index + CAST(floor((chunk_index + doc_id % 3) / 3) AS INT)"
 
 
 def picked(s, d):
-    return chosen(s, d).filter(PICKED).withColumn("query_id", F.col("doc_id") % 5)
+    return chosen(s, d).withColumn("chunk_index", F.expr(PICKED)).withColumn("query_id", F.col("doc_id") % 5)
 
 
 def dictionary(s, d):
@@ -55,11 +56,11 @@ def conversation_queries(s, d):
 
 def manifest(s, d):
     docs = read(s, d, "documents")
-    return docs.filter("doc_id % 10 <> 3").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 12 == 0, "").otherwise(F.col("source")).alias("title"), F.when(F.col("doc_id") % 15 == 0, "xx").otherwise(F.col("lang")).alias("language"), F.sha2(F.when(F.col("doc_id") % 14 == 0, F.lit("old")).otherwise(F.col("text")), 256).alias("checksum_sha256"))
+    return docs.select(F.expr("CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END").alias("document_id"), F.when(F.col("doc_id") % 12 == 0, "").otherwise(F.col("source")).alias("title"), F.when(F.col("doc_id") % 15 == 0, "xx").otherwise(F.col("lang")).alias("language"), F.sha2(F.when(F.col("doc_id") % 14 == 0, F.lit("old")).otherwise(F.col("text")), 256).alias("checksum_sha256"))
 
 
 _MAIL = r"len(list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), lambda m: NOT regexp_matches(lower(m), '(\.edu|\.gov|\.ac)(\.|$)'))) > 0 OR regexp_matches(text, '\b\d{4}\s?\d{4}\s?\d{4}\b')"
-MANIFEST = "man AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 12 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 15 = 0 THEN 'xx' ELSE lang END AS language, sha256(CASE WHEN doc_id % 14 = 0 THEN 'old' ELSE text END) AS checksum_sha256 FROM documents WHERE doc_id % 10 <> 3), files AS (SELECT * FROM documents WHERE doc_id % 9 <> 4)"
+MANIFEST = "man AS (SELECT CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END AS document_id, CASE WHEN doc_id % 12 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 15 = 0 THEN 'xx' ELSE lang END AS language, sha256(CASE WHEN doc_id % 14 = 0 THEN 'old' ELSE text END) AS checksum_sha256 FROM documents), files AS (SELECT CASE WHEN doc_id % 9 = 4 THEN -1 - doc_id ELSE doc_id END AS doc_id, text FROM documents)"
 CORPUS = (
     "SELECT document_id, 'missing field' AS fault FROM man WHERE title = '' UNION ALL SELECT document_id, 'unknown language' FROM man WHERE language NOT IN ('en', 'fr', 'de', 'es') UNION ALL SELECT document_id, 'missing file' FROM man WHERE document_id NOT IN (SELECT doc_id FROM files) "
     "UNION ALL SELECT document_id, 'wrong checksum' FROM man JOIN files ON doc_id = document_id WHERE sha256(text) <> checksum_sha256 UNION ALL SELECT document_id, 'duplicate content' FROM man WHERE checksum_sha256 IN (SELECT checksum_sha256 FROM man GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT document_id, 'personal data' FROM man JOIN files ON doc_id = document_id WHERE " + _MAIL
@@ -79,7 +80,7 @@ QUERIES = {
     ),
     "jn01_language_name": (lake_query(lambda t: t.select("event_id", m.language_name(F.col("language")).alias("language_name"))), f"{LAKE} SELECT event_id, {NAME} AS language_name FROM lake"),
     "jn06_hydrate": (lambda s, d: r.hydrate(rp.lexical(s, d, 3).select("query_id", "chunk_id", "rank"), rp.chunks(s, d)).select("query_id", "chunk_id", "rank", F.length("text").alias("length")), rp.with_("SELECT query_id, chunk_id, rank, length(text) AS length FROM lex JOIN documents ON doc_id = chunk_id WHERE rank <= 3", rp.BM25)),
-    "jn07_neighbours": (lambda s, d: g.neighbours(picked(s, d), chosen(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * FROM lines WHERE {PICKED}) SELECT p.query_id, p.doc_id, p.chunk_index AS of, CAST(c.chunk_index - p.chunk_index AS INT) AS step, c.chunk_index FROM p JOIN lines c ON c.doc_id = p.doc_id AND abs(c.chunk_index - p.chunk_index) = 1 WHERE (c.chunk_index < p.chunk_index AND c.page_number IN (p.page_number, p.page_number - 1)) OR (c.chunk_index > p.chunk_index AND c.section_title = p.section_title AND c.page_number = p.page_number)"),
+    "jn07_neighbours": (lambda s, d: g.neighbours(picked(s, d), chosen(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * REPLACE ({PICKED} AS chunk_index) FROM lines) SELECT p.query_id, p.doc_id, p.chunk_index AS of, CAST(c.chunk_index - p.chunk_index AS INT) AS step, c.chunk_index FROM p JOIN lines c ON c.doc_id = p.doc_id AND abs(c.chunk_index - p.chunk_index) = 1 WHERE (c.chunk_index < p.chunk_index AND c.page_number IN (p.page_number, p.page_number - 1)) OR (c.chunk_index > p.chunk_index AND c.section_title = p.section_title AND c.page_number = p.page_number)"),
     "jn08_citations": (lambda s, d: g.resolve_citations(rp.answers(s, d), rp.sources(s, d)).filter("not valid"), rp.with_("SELECT * FROM resolved WHERE NOT valid", rp.ANSWERS_SQL, rp.CITED)),
     "jn13_first_hit": (lambda s, d: rp.dense(s, d).join(rp.gold(s, d), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_hit")), rp.with_("SELECT query_id, min(rank) AS first_hit FROM den JOIN gold USING (query_id, chunk_id) GROUP BY query_id", rp._dense("den"), rp.GOLD)),
     "jn14_cascade_delete": (lambda s, d: read(s, d, "labels").join(read(s, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "left_anti").groupBy("quality").agg(F.count("*").alias("left")), "SELECT quality, count(*) AS left FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY quality"),
@@ -93,10 +94,10 @@ QUERIES = {
         lambda s, d: g.answer_quality(rp.answers(s, d).select("query_id", "answer", (F.col("query_id") % 3 == 0).alias("grounded"), "fallback", (F.col("query_id") % 4 != 0).alias("citation_valid")), rp.answers(s, d).select("query_id", (F.col("query_id") % 6 != 5).alias("available"), F.lit("source 1").alias("expected"))),
         rp.with_(f"SELECT count(*) AS questions, {rnd('count(*) FILTER (WHERE query_id % 3 = 0 AND query_id % 6 <> 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 <> 5))', 2)} AS grounded_rate, {rnd('count(*) FILTER (WHERE fallback AND query_id % 6 = 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 = 5))', 2)} AS fallback_correct_rate, {rnd('count(*) FILTER (WHERE query_id % 4 <> 0) * 100.0 / count(*)', 2)} AS citation_valid_rate, {rnd(chr(99) + 'ount(*) FILTER (WHERE contains(lower(answer), ' + chr(39) + 'source 1' + chr(39) + ') AND query_id % 6 <> 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 <> 5))', 2)} AS preserved_rate FROM ans", rp.ANSWERS_SQL),
     ),
-    "jb32_validate_corpus": (lambda s, d: c.corpus_faults(manifest(s, d), read(s, d, "documents").filter("doc_id % 9 <> 4").select(F.col("doc_id").alias("document_id"), "text")), f"WITH {MANIFEST} {CORPUS}"),
+    "jb32_validate_corpus": (lambda s, d: c.corpus_faults(manifest(s, d), read(s, d, "documents").selectExpr("CASE WHEN doc_id % 9 = 4 THEN -1 - doc_id ELSE doc_id END AS document_id", "text")), f"WITH {MANIFEST} {CORPUS}"),
     "wn02_rank_in_list": (lambda s, d: r.top_k(rp.dense(s, d).drop("rank"), 5, "dense_score"), rp.with_("SELECT * FROM den WHERE rank <= 5", rp._dense("den"))),
     "wn04_max_normalised": (lambda s, d: rp.dense(s, d).select("query_id", "chunk_id", (F.floor(F.col("dense_score") / F.max("dense_score").over(Window.partitionBy("query_id")) * 1000 + 0.5) / 1000).alias("share")), rp.with_("SELECT query_id, chunk_id, floor(dense_score / max(dense_score) OVER (PARTITION BY query_id) * 1000 + 0.5) / 1000 AS share FROM den", rp._dense("den"))),
-    "wn06_stitched": (lambda s, d: g.stitched(picked(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * FROM lines WHERE {PICKED}) SELECT query_id, doc_id, section_title, min(chunk_index) AS first_index, max(chunk_index) AS last_index, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM (SELECT *, {_ISLAND} FROM p) GROUP BY query_id, doc_id, section_title, i"),
+    "wn06_stitched": (lambda s, d: g.stitched(picked(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * REPLACE ({PICKED} AS chunk_index) FROM lines) SELECT query_id, doc_id, section_title, min(chunk_index) AS first_index, max(chunk_index) AS last_index, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM (SELECT *, {_ISLAND} FROM p) GROUP BY query_id, doc_id, section_title, i"),
     "wn07_carried_heading": (lambda s, d: c.blocks(headed(s, d)).select("doc_id", "block_no", "section_title"), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, block_no, section_title FROM blocks"),
     "wn08_section_runs": (lambda s, d: c.blocks(headed(s, d)).withColumn("changed", F.coalesce((F.col("section_title") != F.lag("section_title").over(Window.partitionBy("doc_id").orderBy("block_no"))).cast("int"), F.lit(1))).groupBy("doc_id").agg(F.sum("changed").alias("runs")), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, CAST(sum(changed) AS BIGINT) AS runs FROM (SELECT doc_id, CASE WHEN lag(section_title) OVER (PARTITION BY doc_id ORDER BY block_no) = section_title THEN 0 ELSE 1 END AS changed FROM blocks) GROUP BY doc_id"),
     "wn11_share_of_total": (lake_query(lambda t: t.groupBy("language").agg(F.count("*").alias("n")).select("language", percent(F.col("n"), F.sum("n").over(Window.partitionBy()), 1).alias("share"))), f"{LAKE} SELECT language, {rnd('CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER ()', 1)} AS share FROM lake GROUP BY language"),

@@ -42,33 +42,40 @@ def dense(s, d, k=12):
 
 
 def lists(s, d):
-    """Two ranked lists over the same vectors: by cosine, and by the first half of each vector as the lexical stand-in."""
-    half = lambda t: t.withColumn("embedding", F.slice("embedding", 1, 32))
-    second = r.dense_search(half(vector_queries(s, d)), half(vectors(s, d)), 12).withColumn("lexical_score", F.greatest(F.lit(0.0), F.col("dense_score")))
-    return dense(s, d), second.select("query_id", "chunk_id", "lexical_score", "rank")
+    """Two ranked lists of documents for every hundredth document: by the vectors of their ids, and by the words of their whole texts."""
+    texts = read(s, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return dense(s, d), r.bm25_search(texts, chunks(s, d), 12).select("query_id", "chunk_id", "lexical_score", "rank")
 
 
 def _top(score: str, k: int = 12) -> str:
     return f"row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) <= {k}"
 
 
-_Q = f"SELECT query_id, unnest(CASE WHEN len(list_filter(l, lambda t: t NOT IN ({_list(tx.LEXICAL_STOP_WORDS)}))) > 0 THEN list_filter(l, lambda t: t NOT IN ({_list(tx.LEXICAL_STOP_WORDS)})) ELSE l END) AS term FROM (SELECT item_id AS query_id, {TOKENS_SQL} AS l FROM benchmark)"
-BM25 = (
+def _asked(source: str) -> str:
+    return f"SELECT query_id, unnest(CASE WHEN len(list_filter(l, lambda t: t NOT IN ({_list(tx.LEXICAL_STOP_WORDS)}))) > 0 THEN list_filter(l, lambda t: t NOT IN ({_list(tx.LEXICAL_STOP_WORDS)})) ELSE l END) AS term FROM ({source})"
+
+
+def bm25(source: str) -> str:
+    return _BM25.replace("ASKED", _asked(source))
+
+
+_BM25 = (
     f"tok AS (SELECT doc_id AS chunk_id, {TOKENS_SQL} AS l FROM documents), lens AS (SELECT chunk_id, len(l) AS len FROM tok), post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(l) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
-    f"qt AS (SELECT query_id, term, count(*) AS qtf FROM ({_Q}) GROUP BY ALL), size AS (SELECT count(*) AS n, greatest(1.0, avg(len)) AS mean FROM lens), "
+    "qt AS (SELECT query_id, term, count(*) AS qtf FROM (ASKED) GROUP BY ALL), size AS (SELECT count(*) AS n, greatest(1.0, avg(len)) AS mean FROM lens), "
     "bm AS (SELECT query_id, chunk_id, floor(sum(qtf * ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / mean)))) * 1000000 + 0.5) / 1000000 AS score FROM qt JOIN df USING (term) JOIN post USING (term) JOIN lens USING (chunk_id) CROSS JOIN size GROUP BY ALL), "
     f"lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM bm WHERE score > 0 QUALIFY {_top('score')})"
 )
 
 
-def _dense(n: str, cut: str = "") -> str:
-    e = lambda x: f"list_transform({x}.embedding{cut}, lambda v: CAST(v AS DOUBLE))"
+def _dense(n: str) -> str:
+    e = lambda x: f"list_transform({x}.embedding, lambda v: CAST(v AS DOUBLE))"
     return (
-        f"{n} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, floor(list_cosine_similarity({e('q')}, {e('c')}) * 10000 + 0.5) / 10000 AS dense_score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) QUALIFY {_top('dense_score')})"
+        f"{n} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, floor(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), list_cosine_similarity({e('q')}, {e('c')}))) * 10000 + 0.5) / 10000 AS dense_score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) QUALIFY {_top('dense_score')})"
     )
 
 
-LISTS = f"{_dense('den')}, {_dense('half', '[1:32]')}, lx AS (SELECT query_id, chunk_id, greatest(0.0, dense_score) AS lexical_score, rank FROM half)"
+BM25 = bm25(f"SELECT item_id AS query_id, {TOKENS_SQL} AS l FROM benchmark")
+LISTS = f"{_dense('den')}, {bm25(f'SELECT doc_id AS query_id, {TOKENS_SQL} AS l FROM documents WHERE doc_id % 100 = 0')}, lx AS (SELECT query_id, chunk_id, floor(score / max(score) OVER (PARTITION BY query_id) * 10000 + 0.5) / 10000 AS lexical_score, rank FROM lex)"
 MERGED = "merged AS (SELECT query_id, chunk_id, max(dense_score) AS dense_score, max(lexical_score) AS lexical_score, string_agg(m, ',' ORDER BY m) AS methods FROM (SELECT query_id, chunk_id, dense_score, NULL AS lexical_score, 'dense' AS m FROM den UNION ALL SELECT query_id, chunk_id, NULL, lexical_score, 'lexical' FROM lx) GROUP BY ALL)"
 RANKED = "ranked AS (SELECT query_id, chunk_id, rank, 'dense' AS method FROM den UNION ALL SELECT query_id, chunk_id, rank, 'lexical' FROM lx)"
 RRF = "rrf AS (SELECT query_id, chunk_id, floor(sum(CAST(1 AS DOUBLE) / (60 + rank)) * 1000000 + 0.5) / 1000000 AS rrf_score FROM ranked GROUP BY ALL)"
@@ -91,15 +98,15 @@ def packed(s, d):
     return g.pack(context_rows(s, d))
 
 
-#: Answers: the first turn's text of a conversation with citations by its number.
+#: Answers: each turn's text of a conversation with citations by its number.
 ANSWERS = "concat(text, ' [Source ', CAST(1 + conv_id % 4 AS STRING), '] and [', CAST(conv_id % 6 AS STRING), '].')"
 
 
 def answers(s, d):
-    return read(s, d, "conversations").filter("turn = 0").selectExpr("conv_id AS query_id", f"CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer", "conv_id % 7 = 0 AS fallback")
+    return read(s, d, "conversations").selectExpr("conv_id * 100 + turn AS query_id", f"CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer", "conv_id % 7 = 0 AS fallback")
 
 
-ANSWERS_SQL = f"ans AS (SELECT conv_id AS query_id, CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer, conv_id % 7 = 0 AS fallback FROM conversations WHERE turn = 0), src AS (SELECT conv_id AS query_id, CAST(n AS INT) AS source_no FROM (SELECT * FROM conversations WHERE turn = 0), (VALUES (1), (2), (3)) AS t(n))"
+ANSWERS_SQL = f"ans AS (SELECT conv_id * 100 + turn AS query_id, CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer, conv_id % 7 = 0 AS fallback FROM conversations), src AS (SELECT conv_id * 100 + turn AS query_id, CAST(n AS INT) AS source_no FROM conversations, (VALUES (1), (2), (3)) AS t(n))"
 
 
 def sources(s, d):
@@ -109,13 +116,20 @@ def sources(s, d):
 CITED = r"cited AS (SELECT query_id, CAST(n AS INT) AS source_no FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1))) AS n FROM ans)), resolved AS (SELECT c.query_id, c.source_no, s.source_no IS NOT NULL AS valid FROM cited c LEFT JOIN src s USING (query_id, source_no) UNION ALL SELECT query_id, source_no, true FROM src WHERE query_id IN (SELECT query_id FROM ans WHERE trim(answer) <> '' AND query_id NOT IN (SELECT query_id FROM cited)))"
 
 
-def state(s, d, keep: int, prefix: int):
-    """A snapshot of the index: documents without every ``keep``-th, whose hash covers ``prefix`` characters more or less."""
-    return read(s, d, "documents").filter(f"doc_id % {keep} <> 0").select(F.concat(F.lit("D:"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id", F.sha2(F.concat(F.substring("text", 1, 50), F.when(F.col("doc_id") % 11 == 0, F.lit(str(prefix))).otherwise("")), 256).alias("content_hash"), "text")
+#: Two states of the index over all documents: some have other chunk and document ids in one of them, some another text.
+def _state_columns(renamed: int, version: int) -> list[str]:
+    doc = f"CASE WHEN doc_id % {renamed} = 0 THEN -1 - doc_id ELSE doc_id END"
+    changed = f"concat(text, CASE WHEN doc_id % 11 = 0 THEN '{version}' ELSE '' END)"
+    return [f"concat('D:', CAST({doc} AS STRING)) AS chunk_id", f"{doc} AS doc_id", f"sha256({changed}) AS content_hash", "text"]
+
+
+def state(s, d, renamed: int, version: int):
+    """A state of the index; the hash is of the whole text."""
+    return read(s, d, "documents").selectExpr(*[x.replace("sha256(", "sha2(").replace(") AS content_hash", ", 256) AS content_hash") for x in _state_columns(renamed, version)])
 
 
-def _state(keep: int, prefix: int) -> str:
-    return f"(SELECT concat('D:', CAST(doc_id AS STRING)) AS chunk_id, doc_id, sha256(concat(substring(text, 1, 50), CASE WHEN doc_id % 11 = 0 THEN '{prefix}' ELSE '' END)) AS content_hash, text FROM documents WHERE doc_id % {keep} <> 0)"
+def _state(renamed: int, version: int) -> str:
+    return f"(SELECT {', '.join(_state_columns(renamed, version))} FROM documents)"
 
 
 OLD, NEW = (7, 1), (5, 2)
@@ -123,12 +137,12 @@ STATES = f"old AS {_state(*OLD)}, new AS {_state(*NEW)}"
 ACTIONS = "actions AS (SELECT n.chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN n.content_hash = o.content_hash THEN 'skip' ELSE 'update' END AS action FROM new n LEFT JOIN old o USING (chunk_id))"
 
 
-def registry(s, d, keep, tag):
-    return read(s, d, "documents").filter(f"doc_id % {keep} <> 0").selectExpr("doc_id", f"concat('{tag}', CAST(doc_id % 3 AS STRING)) AS title", "source AS category", "doc_id % 4 <> 0 AS is_active")
+def registry(s, d, renamed, tag):
+    return read(s, d, "documents").selectExpr(f"CASE WHEN doc_id % {renamed} = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id", f"concat('{tag}', CAST(doc_id % 3 AS STRING)) AS title", "source AS category", "doc_id % 4 <> 0 AS is_active")
 
 
-def _registry(keep, tag):
-    return f"(SELECT doc_id, concat('{tag}', CAST(doc_id % 3 AS STRING)) AS title, source AS category, doc_id % 4 <> 0 AS is_active FROM documents WHERE doc_id % {keep} <> 0)"
+def _registry(renamed, tag):
+    return f"(SELECT CASE WHEN doc_id % {renamed} = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, concat('{tag}', CAST(doc_id % 3 AS STRING)) AS title, source AS category, doc_id % 4 <> 0 AS is_active FROM documents)"
 
 
 def variants(s, d):
@@ -168,7 +182,7 @@ QUERIES = {
     "jb12_bm25_search": (lambda s, d: lexical(s, d).select("query_id", "chunk_id", "score", "lexical_score", "rank"), with_("SELECT query_id, chunk_id, score, floor(score / max(score) OVER (PARTITION BY query_id) * 10000 + 0.5) / 10000 AS lexical_score, rank FROM lex", BM25)),
     "prj10_bm25_filtered": (lambda s, d: r.bm25_search(asked(s, d), chunks(s, d), 5, r.metadata_filter(lang="en", page_number=1)).select("query_id", "chunk_id", "score", "rank"), with_("SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM bm JOIN documents ON doc_id = chunk_id WHERE lang = 'en' AND score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5", BM25)),
     "jb13_dense_search": (lambda s, d: dense(s, d), with_("SELECT * FROM den", _dense("den"))),
-    "mt02_cosine": (lambda s, d: vectors(s, d).select("chunk_id", rounded(cosine(F.col("embedding"), F.reverse("embedding")), 4).alias("self_cosine")), "SELECT vec_id AS chunk_id, floor(list_cosine_similarity(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), list_reverse(list_transform(embedding, lambda v: CAST(v AS DOUBLE)))) * 10000 + 0.5) / 10000 AS self_cosine FROM embeddings"),
+    "mt02_cosine": (lambda s, d: vectors(s, d).select("chunk_id", rounded(cosine(F.col("embedding"), F.reverse("embedding")), 4).alias("self_cosine")), "SELECT vec_id AS chunk_id, floor(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), list_cosine_similarity(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), list_reverse(list_transform(embedding, lambda v: CAST(v AS DOUBLE)))))) * 10000 + 0.5) / 10000 AS self_cosine FROM embeddings"),
     "mt08_embedding_contract": (lambda s, d: ix.embedding_contract(vectors(s, d), 64), "SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) = 64) AS valid, count(*) FILTER (WHERE len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) - 1) < 0.001) AS unit FROM embeddings"),
     "mt09_unit": (lambda s, d: vectors(s, d).select("chunk_id", rounded(F.array_max(unit(F.col("embedding"))), 5).alias("largest")), "SELECT vec_id AS chunk_id, floor(list_max(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) * 100000 + 0.5) / 100000 AS largest FROM embeddings"),
     "jn05_merge_candidates": (lambda s, d: r.merge_candidates(*lists(s, d)), with_("SELECT * FROM merged", LISTS, MERGED)),
@@ -182,8 +196,8 @@ QUERIES = {
     ),
     "mt05_best_rank": (lambda s, d: r.best_rank_rrf(variants(s, d)), None),
     "mt06_linear_fusion": (
-        lambda s, d: r.linear_fusion(*lists(s, d), vectors(s, d).select("chunk_id", F.col("label").cast("string").alias("text"))).select("query_id", "chunk_id", "hybrid_score", "rank"),
-        with_("SELECT query_id, chunk_id, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id DESC) AS INT) AS rank FROM (SELECT query_id, chunk_id, floor(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (CAST(0.7 AS DOUBLE) * COALESCE(dense_score, 0) + CAST(0.3 AS DOUBLE) * COALESCE(lexical_score, 0)) / (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE)))) * 10000 + 0.5) / 10000 AS hybrid_score FROM merged)", LISTS, MERGED),
+        lambda s, d: r.linear_fusion(*lists(s, d), chunks(s, d).select("chunk_id", "text")).select("query_id", "chunk_id", "hybrid_score", "rank"),
+        with_("SELECT query_id, chunk_id, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, length(text), chunk_id DESC) AS INT) AS rank FROM (SELECT query_id, chunk_id, floor(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (CAST(0.7 AS DOUBLE) * COALESCE(dense_score, 0) + CAST(0.3 AS DOUBLE) * COALESCE(lexical_score, 0)) / (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE)))) * 10000 + 0.5) / 10000 AS hybrid_score FROM merged) JOIN documents ON doc_id = chunk_id", LISTS, MERGED),
     ),
     "jb14_hybrid_search": (lambda s, d: r.hybrid_search(*lists(s, d)), with_("SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS INT) AS rank FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 5", LISTS, RANKED, RRF)),
     "jb17_rerank": (lambda s, d: r.rerank(r.hydrate(lexical(s, d).select("query_id", "chunk_id", F.col("lexical_score").alias("rrf_score")), chunks(s, d)).join(asked(s, d).withColumnRenamed("text", "query"), "query_id")), None),
