@@ -47,6 +47,11 @@ OUT_OF_DOMAIN = r"\bcafeteria\s+menu\b|\bmarine\s+biology\b|\bcricket\s+coach\b|
 ORPHAN_START = r"(?i)^(?:is\b|are\b|was\b|were\b|and\b|or\b|but\b|to\b|of\b|for\b|less to\b|fee\.|whichever\b|[\.,;:!\?]\s*)"
 
 
+#: Beginnings of a text that goes on from an earlier one, and ends of one that goes on in a later one.
+CONTINUATION = r"^[a-z]|(?i)^(?:(?:is|are|was|were|been|being|and|or|but|nor|so|yet|which|that|who|whom|whose|wherein|to|of|for|with|by|from|in|on|at|into|fee|top 50|short-term|training program)\b|less to|whichever|\.|,)"
+INCOMPLETE = r"(?i)\b(?:and|or|such as|including|with|for|to|the|a|an|of|in|on|at|by|from|is|are|shall|must)$|[,:;\-]$"
+
+
 def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -288,6 +293,20 @@ def is_orphan_start(text: Column) -> Column:
     return strip(text).rlike(ORPHAN_START)
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+
+
+def is_continuation(text: Column) -> Column:
+    """TX20: the first line goes on from an earlier text."""
+    return F.coalesce(F.get(_lines(text), F.lit(0)).rlike(CONTINUATION), F.lit(False))
+
+
+def is_incomplete(text: Column) -> Column:
+    """TX20: the last line goes on in a later text."""
+    return F.coalesce(F.try_element_at(_lines(text), F.lit(-1)).rlike(INCOMPLETE), F.lit(False))
+
+
 def heading(text: Column) -> dict[str, Column]:
     """TX21: level and title of a heading: a line of # signs, or a numbered line of under 100 characters."""
     marks = F.regexp_extract(text, r"^(#{1,6})\s+(.+)$", 1)

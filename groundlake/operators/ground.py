@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import rounded
-from .retrieval import CORE_TERMS
 
 # Limits and patterns of the grounding rules.
 CONTEXT_LIMIT = 6000
-INJECTION = r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions|disregard\s+(?:the\s+)?(?:system|previous)\s+prompt|reveal\s+(?:your|the)\s+(?:system\s+)?prompt|you\s+are\s+now\s+(?:a|an)\b|jailbreak"
+INJECTION = [r"(?i)ignore\s+(all\s+)?(prior|previous)\s+instructions", r"(?i)disregard\s+(all\s+)?(rules|documentation|system)", r"(?i)system\s+(override|prompt)", r"(?i)admin\s+access\s+granted"]
+GATE_GENERIC = (
+    "what is the in for to of and a an on are how do does did explain about which where can be who whom whose when why won was were been have has policy guidelines rules system campus college details "
+    "student students faculty staff university department required requirement requirements need needed tell give provide using used applicable apply must shall only per as such document documents section page query question questions"
+).split()
+GATE_TOPICS = (
+    "attendance attend condonation cgtmse guarantee credit credits revaluation photocopy challenge supplementary makeup fast-track backlog scholarship merit hostel placement debarment eligibility grade malpractice database mysql electron backend frontend "
+    "proctoring nirf reimbursement incubation aspire sfurti msme curfew stipend fine penalty admission fastapi react vite tailwind"
+).split()
+GUARD_FRAGMENT = r"(?i)^(?:fee\.|is\b|are\b|was\b|were\b|less to\b|whichever\b|and\b|or\b)"
+GUARD_URL = r"(?i)https?://[^\s<>\"'()]+|www\.[^\s<>\"'()]+"
+GUARD_URL_WORDS = [
+    "website", "portal", "url", "link", "site", "where to apply", "how to apply", "application", "apply", "वेबसाइट", "पोर्टल", "आवेदन", "ಲಿಂಕ್", "ವೆಬ್‌ಸೈಟ್", "ಪೋರ್ಟಲ್", "అర్జి",
+    "వెబ్‌సైట్", "పోర్టల్", "లింక్", "దరఖాస్తు",
+]
 URL_WORDS = ["website", "portal", "url", "link", "site", "where to apply", "how to apply", "वेबसाइट", "पोर्टल", "ವೆಬ್‌ಸೈಟ್", "ಪೋರ್ಟಲ್", "వెబ్‌సైట్", "పోర్టల్"]
 GATE_STOP = "what the for and how does where can which who when tell about today now".split()
 
@@ -55,7 +68,7 @@ def merge_overlap(left: Column, right: Column, least: int = 11, most: int = 150)
     sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(most), F.length(left), F.length(right))))
     seam = F.coalesce(F.array_max(F.filter(sizes, lambda n: F.right(left, n) == F.substring(right, F.lit(1), n))), F.lit(0))
     seam = F.when((F.length(left) < least) | (F.length(right) < least), 0).otherwise(seam)
-    return F.concat(left, F.when(seam > 0, right.substr(seam + 1, F.length(right))).otherwise(F.concat(F.lit("\n"), right)))
+    return F.when(left == "", right).when(right == "", left).otherwise(F.concat(left, F.when(seam > 0, right.substr(seam + 1, F.length(right))).otherwise(F.concat(F.lit("\n\n"), right))))
 
 
 def neighbours(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -67,6 +80,38 @@ def neighbours(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.filter(before | after).select("query_id", "doc_id", "of", "step", "chunk_index")
 
 
+def stitched_contexts(candidates: DataFrame, chunks: DataFrame, most: int = 5, limit: int = CONTEXT_LIMIT) -> DataFrame:
+    """JB21: (query_id, context, sources, truncated) of the first ``most`` candidates, neighbouring chunks as one block.
+
+    ``candidates``: query_id, rank, doc_id, chunk_index; ``chunks``: doc_id, chunk_index, page_number, section_title, filename, text.
+    A candidate that goes on from an earlier chunk takes that in, one that goes on in a later one takes that (``neighbours``).
+    Chunks of one document, page and section are blocks by runs of their numbers, seams once; the blocks stand in the order in which their
+    section was first met. They are taken while they fit; a first block that doesn't fit is cut to the limit less 200 characters.
+    """
+    at = ["doc_id", "chunk_index"]
+    pool = candidates.filter(F.col("rank") <= most).join(chunks, at)
+    near = neighbours(pool, chunks)
+    asked = pool.select("query_id", "doc_id", F.col("chunk_index").alias("of"), "rank", tx.is_continuation(F.col("text")).alias("before"), tx.is_incomplete(F.col("text")).alias("after"))
+    wanted = near.join(asked, ["query_id", "doc_id", "of"]).filter(((F.col("step") == -1) & F.col("before")) | ((F.col("step") == 1) & F.col("after")))
+    found = wanted.select("query_id", *at, F.struct(F.lit(1).alias("late"), "rank", "step").alias("met")).unionByName(pool.select("query_id", *at, F.struct(F.lit(0).alias("late"), "rank", F.lit(0).alias("step")).alias("met")))
+    rows = found.groupBy("query_id", *at).agg(F.min("met").alias("met")).join(chunks, at).withColumn("section", F.when(F.coalesce("section_title", F.lit("")) == "", "General").otherwise(F.col("section_title")))
+    group = Window.partitionBy("query_id", "doc_id", "page_number", "section")
+    rows = rows.withColumn("group_met", F.min("met").over(group)).withColumn("island", F.col("chunk_index") - F.row_number().over(group.orderBy("chunk_index")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: tx.strip(x["text"]))
+    merged = F.aggregate(F.slice(texts, 2, F.greatest(F.lit(1), F.size(texts))), F.get(texts, F.lit(0)), lambda left, right: merge_overlap(left, right))
+    blocks = rows.groupBy("query_id", "doc_id", "page_number", "section", "island", "group_met").agg(F.first("filename").alias("filename"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), merged.alias("text"))
+    order = Window.partitionBy("query_id").orderBy("group_met", "first")
+    ids = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("first").cast("string"), F.when(F.col("last") > F.col("first"), F.concat(F.lit(".."), F.col("last").cast("string"))).otherwise(""))
+    head = F.concat(F.lit("[Source "), F.col("nth").cast("string"), F.lit("]\nDocument: "), "filename", F.lit("\nPage: "), F.col("page_number").cast("string"), F.lit("\nSection: "), "section", F.lit("\nChunk ID: "), ids, F.lit("\nContent:\n"))
+    blocks = blocks.withColumn("nth", F.row_number().over(order)).withColumn("head", head).withColumn("block", F.concat("head", tx.strip(F.col("text")), F.lit("\n")))
+    blocks = blocks.withColumn("running", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("blocks", F.count("*").over(Window.partitionBy("query_id")))
+    cut = F.concat("head", F.substring(tx.strip(F.col("text")), F.lit(1), F.lit(max(100, limit - 200))), F.lit("...\n"))
+    kept = blocks.filter((F.col("running") <= limit) | (F.col("nth") == 1)).withColumn("block", F.when(F.col("running") <= limit, F.col("block")).otherwise(cut))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "block"))), lambda x: x["block"]), "\n")
+    fits = (F.count("*") == F.max("blocks")) & (F.max("running") <= limit)
+    return kept.groupBy("query_id").agg(joined.alias("context"), F.count("*").alias("sources"), (~fits).alias("truncated"))
+
+
 def keyword_gate(queries: DataFrame, contexts_: DataFrame) -> DataFrame:
     """JB19: queries in Latin script must share two content words with their context, or one if they have under three."""
     latin = lambda c: F.array_distinct(F.filter(tx.tokenize(c), lambda t: t.rlike("^[a-z]{3,}$")))
@@ -78,27 +123,38 @@ def keyword_gate(queries: DataFrame, contexts_: DataFrame) -> DataFrame:
 
 
 def evidence_gate(candidates: DataFrame, min_score: float = 0.35, min_chunks: int = 1) -> DataFrame:
-    """JB18: answerability and confidence (0.40 best score + 0.35 word overlap + 0.25 agreement on the best document)."""
+    """JB18: answerability and confidence (0.40 best score + 0.35 word overlap + 0.25 agreement on the first document).
+
+    ``candidates``: query_id, query, chunk_id, doc_id, filename, page_number, section_title, text, score, rank. One without text,
+    document, file name or page doesn't count, nor does one of a Latin query that lacks all its topic words or its names.
+    """
     tokens = F.array_distinct(tx.tokenize(F.col("query")))
-    rows = candidates.withColumn("telling", F.filter(tokens, lambda t: ~t.isin(*tx.QUERY_STOP_WORDS))).withColumn("core", F.array_intersect(tokens, tx.words(CORE_TERMS))).withColumn("held", F.array_distinct(tx.tokenize(F.col("text"))))
-    fits = (F.col("score") >= min_score) & (F.trim("text") != "") & ((F.size("core") == 0) | F.arrays_overlap("core", "held"))
-    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("met", F.when(F.col("fits"), F.array_intersect("telling", "held")))
+    section = F.lower(F.coalesce("section_title", F.lit("")))
+    rows = candidates.withColumns({"tokens": tokens, "names": F.transform(tx.entities(F.col("query")), F.lower), "latin": tx.primary_script(F.col("query")).isin("latin", "unknown"), "held": F.array_distinct(F.concat(tx.tokenize(F.col("text")), tx.tokenize(section)))})
+    rows = rows.withColumns({"telling": F.filter("tokens", lambda t: ~t.isin(*GATE_GENERIC)), "core": F.array_intersect("tokens", tx.words(GATE_TOPICS))})
+    on_topic = F.arrays_overlap("core", "held")
+    named = F.exists("names", lambda x: F.contains(F.lower("text"), x) | F.contains(section, x))
+    whole = (tx.strip(F.col("text")) != "") & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "") & (F.coalesce("filename", F.lit("")) != "") & (F.col("page_number") >= 1)
+    beside = F.col("latin") & ~on_topic & ((F.size("core") > 0) | ((F.size("names") > 0) & ~named))
+    rows = rows.withColumn("fits", F.coalesce((F.col("score") >= min_score) & whole & ~beside, F.lit(False))).withColumn("met", F.when(F.col("fits"), F.array_intersect("telling", "held")))
     top_doc = F.min_by(F.when(F.col("fits"), F.col("doc_id")), F.when(F.col("fits"), F.col("rank")))
     by_query = rows.groupBy("query_id").agg(
-        F.first("query").alias("query"), F.first("telling").alias("telling"), F.first("core").alias("core"), F.max("score").alias("best"), F.count_if("fits").alias("n"), top_doc.alias("top_doc"),
+        F.first("query").alias("query"), F.first("telling").alias("telling"), F.first("core").alias("core"), F.first("latin").alias("latin"), F.max("score").alias("best"), F.count_if("fits").alias("n"), top_doc.alias("top_doc"),
         F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"),
     )
     agree = rows.filter("fits").groupBy("query_id", "doc_id").agg(F.count("*").alias("same")).withColumnRenamed("doc_id", "top_doc")
     out = by_query.join(agree, ["query_id", "top_doc"], "left")
-    overlap = F.size(F.array_intersect("telling", "met")) / F.greatest(F.lit(1), F.size("telling"))
+    overlap = F.size("met") / F.greatest(F.lit(1), F.size("telling"))
     met, core_met = F.size("met"), F.arrays_overlap("core", "met")
     confidence = F.col("best") * 0.4 + overlap * 0.35 + F.coalesce("same", F.lit(0)) / F.greatest(F.lit(1), F.col("n")) * 0.25
-    low = ((F.size("telling") > 0) & (met == 0)) | ((F.size("telling") >= 2) & ~core_met & ((overlap < 0.3) | (met < 2)))
+    low = F.col("latin") & (((F.size("telling") > 0) & (met == 0)) | ((F.size("telling") >= 2) & ~core_met & ((overlap < 0.3) | (met < 2))))
+    refused = F.exists(tx.words(INJECTION), lambda p: F.regexp_like("query", p)) | tx.query_intent(F.col("query")).isin("OUT_OF_DOMAIN", "AMBIGUOUS")
     status = (
-        F.when(F.col("query").rlike(INJECTION) | tx.query_intent(F.col("query")).isin("OUT_OF_DOMAIN", "AMBIGUOUS") | low | (F.col("n") == 0), "UNANSWERABLE")
-        .when((F.col("n") >= min_chunks) & ((overlap >= 0.4) | core_met), "ANSWERABLE").when((F.col("best") >= 0.6) | (overlap >= 0.3), "PARTIALLY_ANSWERABLE").otherwise("UNANSWERABLE")
+        F.when(refused | low | (F.col("n") == 0), "UNANSWERABLE")
+        .when((F.col("n") >= min_chunks) & ((overlap >= 0.4) | core_met | ~F.col("latin")), "ANSWERABLE").when((F.col("best") >= 0.6) | (overlap >= 0.3), "PARTIALLY_ANSWERABLE").otherwise("UNANSWERABLE")
     )
-    return out.select("query_id", status.alias("status"), rounded(confidence, 4).alias("confidence"), rounded(overlap, 4).alias("term_coverage"), F.col("n").alias("qualifying"))
+    shown = lambda c: F.when(refused, 0.0).otherwise(rounded(c, 4))
+    return out.select("query_id", status.alias("status"), shown(confidence).alias("confidence"), shown(overlap).alias("term_coverage"), F.col("n").alias("qualifying"))
 
 
 def prompts(queries: DataFrame, contexts_: DataFrame) -> DataFrame:
@@ -125,10 +181,29 @@ def reattach_url(query: Column, answer: Column, context: Column, language: Colum
 
 
 def guard(answers: DataFrame) -> DataFrame:
-    """JB24: the first fault of each answer (query_id, answer, context, language): script, fragment, or over three numbers that the context lacks."""
-    loose = F.size(F.array_except(tx.numbers(F.regexp_replace("answer", r"\[(?:Source\s*)?\d+\]", "")), tx.numbers(F.coalesce("context", F.lit("")))))
-    fault = F.coalesce(tx.target_script_fault(F.col("answer"), F.col("language")), F.when(tx.is_orphan_start(F.col("answer")), "fragment"), F.when(loose > 3, "ungrounded numbers"))
-    return answers.select("query_id", fault.alias("fault"), loose.alias("ungrounded_numbers"))
+    """JB24: PASS or REJECT with its reason, and the answer with the context's first URL where a question about one got none.
+
+    ``answers``: query_id, query, answer, context, language, fallback, cited and known (sources). Reasons: a source that isn't known, a
+    script that isn't the language's, a beginning inside a sentence, over three numbers above 10 that the context lacks;
+    of several the last of these. Fallbacks pass as they are.
+    """
+    a, language = tx.strip(F.coalesce("answer", F.lit(""))), F.lower(F.trim("language"))
+    context = F.coalesce("context", F.lit(""))
+    has = lambda script: a.rlike(tx.BLOCKS[script])
+    own = F.when(language == "te", has("telugu")).when(language == "kn", has("kannada")).when(language == "hi", has("devanagari"))
+    foreign = F.when(language == "te", has("kannada")).when(language == "kn", has("telugu")).when(language == "hi", has("kannada") | has("telugu"))
+    small = lambda n: n.rlike(r"^\d+$") & (F.try_to_number(n, F.lit("999999999999")) <= 10)
+    loose = F.size(F.filter(F.array_except(tx.numbers(a), tx.numbers(context)), lambda n: ~F.coalesce(small(n), F.lit(False))))
+    reason = F.coalesce(
+        F.when(loose > 3, "NUMBER_MISMATCH"), F.when(a.rlike(GUARD_FRAGMENT), "FRAGMENTARY_ANSWER"), F.when(~own & (F.length(a) > 15), "MISSING_TARGET_SCRIPT"),
+        F.when(foreign, "SCRIPT_CONTAMINATION"), F.when(F.size(F.array_except("cited", "known")) > 0, "INVALID_CITATION"),
+    )
+    asks = reduce(lambda x, y: x | y, [F.contains(F.lower("query"), F.lit(w)) for w in GUARD_URL_WORDS])
+    url = F.get(F.regexp_extract_all(context, F.lit(GUARD_URL), 0), F.lit(0))
+    label = F.when(language == "hi", "आधिकारिक पोर्टल / वेबसाइट: ").when(language == "kn", "ಅಧಿಕೃತ ವೆಬ್‌ಸೈಟ್: ").when(language == "te", "అధికారిక వెబ్‌సైట్: ").otherwise("Official Portal / Website: ")
+    sound = F.when(asks & url.isNotNull() & ~a.rlike(GUARD_URL), F.concat(a, F.lit("\n\n"), label, url)).otherwise(a)
+    reason, sound = F.when(~F.col("fallback"), reason), F.when(F.col("fallback"), a).otherwise(sound)
+    return answers.select("query_id", F.when(reason.isNull(), "PASS").otherwise("REJECT").alias("status"), reason.alias("reason"), sound.alias("answer"))
 
 
 def grounding_faults(answers: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:

@@ -99,6 +99,11 @@ GROUPS = (
 )
 
 
+SHARES = {k: f"CASE WHEN total > 0 THEN floor({k} / total * 10000 + 0.5) / 10000 ELSE 0 END" for k in (*tx.BLOCKS, "other")}
+_SHARES_FROM = r"(SELECT *, devanagari + kannada + telugu + latin + other AS total FROM (SELECT *, len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: NOT regexp_matches(x, '[A-Za-z\x{00C0}-\x{017F}\x{0900}-\x{097F}\x{0C00}-\x{0CFF}]'))) AS other FROM counts))"
+PRIMARY = sql(f"CASE WHEN {' + '.join(f'CAST({SHARES[k]} > 0.15 AS INT)' for k in tx.BLOCKS)} >= 2 THEN 'mixed' {' '.join(f'WHEN {SHARES[k]} > 0.5 THEN {chr(39)}{k}{chr(39)}' for k in tx.BLOCKS)} ELSE 'unknown' END AS value", _SHARES_FROM, COUNTS)
+
+
 def sections(s, d):
     return c.section_groups(c.blocks(headed(s, d)))
 
@@ -116,8 +121,8 @@ QUERIES = {
     "tx06_script_shares": (
         on(tx.script_shares),
         sql(
-            ", ".join(f"CASE WHEN total > 0 THEN floor({k} / total * 10000 + 0.5) / 10000 ELSE 0 END AS {k}" for k in (*tx.BLOCKS, "other")),
-            r"(SELECT *, devanagari + kannada + telugu + latin + other AS total FROM (SELECT *, len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: NOT regexp_matches(x, '[A-Za-z\x{00C0}-\x{017F}\x{0900}-\x{097F}\x{0C00}-\x{0CFF}]'))) AS other FROM counts))",
+            ", ".join(f"{x} AS {k}" for k, x in SHARES.items()),
+            _SHARES_FROM,
             COUNTS,
         ),
     ),

@@ -14,7 +14,7 @@ from ..operators import metrics as m
 from ..operators import queries as qu
 from ..operators import retrieval as r
 from . import retrieval as rp
-from .corpus import HEADED_SQL, PARTS, BLOCKS, SHORT, STRIP, TOKENS_SQL, headed, mixed, on, short, sql
+from .corpus import HEADED_SQL, PARTS, PRIMARY, BLOCKS, SHORT, STRIP, TOKENS_SQL, headed, mixed, on, short, sql
 from .ingest import FIRST, SECRET, _got, checked
 from .ingest import sql as line_sql
 from .telemetry import NAME, QUERY, rnd
@@ -43,6 +43,12 @@ def picked(s, d):
     return chosen(s, d).withColumn("chunk_index", F.expr(PICKED)).withColumn("query_id", F.col("doc_id") % 5)
 
 
+def longest(s, d):
+    """As candidates of each document its five longest lines."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "chunk_index")
+    return chosen(s, d).withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select(F.col("doc_id").alias("query_id"), "rank", "doc_id", "chunk_index")
+
+
 def dictionary(s, d):
     return read(s, d, "benchmark").select(F.get(tx.tokenize(F.col("text")), F.lit(1)).alias("term")).distinct().select("term", F.concat(F.lit("about "), "term").alias("expansion"))
 
@@ -65,6 +71,14 @@ CORPUS = (
     "SELECT document_id, 'missing field' AS fault FROM man WHERE title = '' UNION ALL SELECT document_id, 'unknown language' FROM man WHERE language NOT IN ('en', 'fr', 'de', 'es') UNION ALL SELECT document_id, 'missing file' FROM man WHERE document_id NOT IN (SELECT doc_id FROM files) "
     "UNION ALL SELECT document_id, 'wrong checksum' FROM man JOIN files ON doc_id = document_id WHERE sha256(text) <> checksum_sha256 UNION ALL SELECT document_id, 'duplicate content' FROM man WHERE checksum_sha256 IN (SELECT checksum_sha256 FROM man GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT document_id, 'personal data' FROM man JOIN files ON doc_id = document_id WHERE " + _MAIL
 )
+_TOPIC = "CASE WHEN contains(lower({0}), 'the') THEN 'the' WHEN contains(lower({0}), 'der') THEN 'der' END"
+_BACK = ", ".join(_TOPIC.format(f"lag(text, {n}) OVER (PARTITION BY conv_id ORDER BY turn)") for n in (1, 2, 3))
+FOLLOW_UP = (
+    f"SELECT query_id, CASE WHEN found IS NULL OR NOT regexp_matches(q, '{qu.FOLLOW_UP.replace(chr(39), chr(39) * 2)}') THEN text WHEN contains(q, 'meet it') THEN concat('What happens if a student does not meet the ', found, '?') "
+    f"WHEN q IN ({', '.join(repr(x) for x in qu.FEE_QUESTIONS)}) THEN concat('What is the fee for ', found, '?') WHEN q IN ({', '.join(repr(x) for x in qu.APPLY_QUESTIONS)}) THEN concat('How and where to apply for ', found, '?') "
+    r"WHEN list_contains(regexp_split_to_array(q, '\s+'), 'it') THEN regexp_replace(text, '\bit\b', found, 'gi') ELSE concat(text, ' regarding ', found) END AS resolved "
+    f"FROM (SELECT conv_id * 100 + turn AS query_id, text, {STRIP.format('lower(text)')} AS q, COALESCE({_BACK}) AS found FROM conversations)"
+)
 _ISLAND = "chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, section_title ORDER BY chunk_index) AS i"
 
 QUERIES = {
@@ -88,7 +102,7 @@ QUERIES = {
     "jb16_expand_query": (lambda s, d: qu.expand(rp.asked(s, d), dictionary(s, d)), f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, 'synonym', array_to_string(list(expansion ORDER BY length(term) DESC, term)[1:2], ' '), CAST(0.8 AS DOUBLE) FROM hit GROUP BY query_id"),
     "jb15_multi_variant_search": (lambda s, d: r.best_rank_rrf(r.bm25_search(qu.variants(rp.asked(s, d)).select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant").alias("query_id"), "text"), rp.chunks(s, d), 12).select(F.split("query_id", r"\|")[0].cast("bigint").alias("query_id"), "chunk_id", "rank", F.split("query_id", r"\|")[1].alias("variant"))), None),
     "jb35_process_queries": (lambda s, d: qu.understand(conversation_queries(s, d)).drop("script_distribution"), None),
-    "tx18_follow_up": (lambda s, d: conversation_queries(s, d).select("query_id", qu.resolve_follow_up(F.col("text"), F.col("before"), {"the": ["the"], "der": ["der"]}).alias("resolved")), None),
+    "tx18_follow_up": (lambda s, d: conversation_queries(s, d).select("query_id", qu.resolve_follow_up(F.col("text"), F.col("before"), {"the": ["the"], "der": ["der"]}).alias("resolved")), FOLLOW_UP),
     "jb26_reattach_url": (lambda s, d: rp.answers(s, d).select("query_id", g.reattach_url(F.lit("Which website?"), F.col("answer"), F.lit("see https://x.org/a"), F.lit("en")).alias("answer")), rp.with_(r"SELECT query_id, CASE WHEN regexp_matches(answer, 'https?://|www\.') THEN answer ELSE concat(regexp_replace(answer, '\s+$', ''), chr(10), chr(10), 'Official Website: https://x.org/a') END AS answer FROM ans", rp.ANSWERS_SQL)),
     "jb28_answer_quality": (
         lambda s, d: g.answer_quality(rp.answers(s, d).select("query_id", "answer", (F.col("query_id") % 3 == 0).alias("grounded"), "fallback", (F.col("query_id") % 4 != 0).alias("citation_valid")), rp.answers(s, d).select("query_id", (F.col("query_id") % 6 != 5).alias("available"), F.lit("source 1").alias("expected"))),
@@ -98,13 +112,14 @@ QUERIES = {
     "wn02_rank_in_list": (lambda s, d: r.top_k(rp.dense(s, d).drop("rank"), 5, "dense_score"), rp.with_("SELECT * FROM den WHERE rank <= 5", rp._dense("den"))),
     "wn04_max_normalised": (lambda s, d: rp.dense(s, d).select("query_id", "chunk_id", (F.floor(F.col("dense_score") / F.max("dense_score").over(Window.partitionBy("query_id")) * 1000 + 0.5) / 1000).alias("share")), rp.with_("SELECT query_id, chunk_id, floor(dense_score / max(dense_score) OVER (PARTITION BY query_id) * 1000 + 0.5) / 1000 AS share FROM den", rp._dense("den"))),
     "wn06_stitched": (lambda s, d: g.stitched(picked(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * REPLACE ({PICKED} AS chunk_index) FROM lines) SELECT query_id, doc_id, section_title, min(chunk_index) AS first_index, max(chunk_index) AS last_index, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM (SELECT *, {_ISLAND} FROM p) GROUP BY query_id, doc_id, section_title, i"),
+    "jb21_stitched_contexts": (lambda s, d: g.stitched_contexts(longest(s, d), chosen(s, d).withColumn("filename", F.concat(F.lit("d"), F.col("doc_id").cast("string")))), None),
     "wn07_carried_heading": (lambda s, d: c.blocks(headed(s, d)).select("doc_id", "block_no", "section_title"), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, block_no, section_title FROM blocks"),
     "wn08_section_runs": (lambda s, d: c.blocks(headed(s, d)).withColumn("changed", F.coalesce((F.col("section_title") != F.lag("section_title").over(Window.partitionBy("doc_id").orderBy("block_no"))).cast("int"), F.lit(1))).groupBy("doc_id").agg(F.sum("changed").alias("runs")), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, CAST(sum(changed) AS BIGINT) AS runs FROM (SELECT doc_id, CASE WHEN lag(section_title) OVER (PARTITION BY doc_id ORDER BY block_no) = section_title THEN 0 ELSE 1 END AS changed FROM blocks) GROUP BY doc_id"),
     "wn11_share_of_total": (lake_query(lambda t: t.groupBy("language").agg(F.count("*").alias("n")).select("language", percent(F.col("n"), F.sum("n").over(Window.partitionBy()), 1).alias("share"))), f"{LAKE} SELECT language, {rnd('CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER ()', 1)} AS share FROM lake GROUP BY language"),
     "so05_minimum_score": (lambda s, d: rp.dense(s, d).filter("dense_score >= 0.3").select("query_id", "chunk_id"), rp.with_("SELECT query_id, chunk_id FROM den WHERE dense_score >= 0.3", rp._dense("den"))),
     "st02_set_difference": (lambda s, d: read(s, d, "documents").select("doc_id").exceptAll(read(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels"),
     "st03_coverage": (lambda s, d: rp.lexical(s, d, 5).join(rp.asked(s, d), "query_id").join(rp.chunks(s, d).select("chunk_id", F.col("text").alias("body")), "chunk_id").select("query_id", "chunk_id", (F.floor(r.coverage(tx.tokenize(F.col("text")), tx.tokenize(F.col("body"))) * 10000 + 0.5) / 10000).alias("coverage")), rp.with_(f"SELECT query_id, chunk_id, floor(len(list_intersect(list_distinct(a), list_distinct(b))) / CAST(len(list_distinct(a)) AS DOUBLE) * 10000 + 0.5) / 10000 AS coverage FROM (SELECT query_id, chunk_id, {TOKENS_SQL.replace('text', 'b.text')} AS a, {TOKENS_SQL.replace('text', 'd.text')} AS b FROM lex JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 5)", rp.BM25)),
-    "tx07_primary_script": (on(tx.primary_script, mixed), None),
+    "tx07_primary_script": (on(tx.primary_script, mixed), PRIMARY),
     "tx11_response_language": (lambda s, d: mixed(s, d).select("doc_id", tx.response_language(F.when(F.col("doc_id") % 2 == 0, "KN"), F.lit("xx"), F.col("text")).alias("value")), None),
     "tx12_target_script": (lambda s, d: mixed(s, d).select("doc_id", tx.target_script_fault(F.col("text"), F.lit("kn")).alias("value")), None),
     "tx13_normalize_query": (on(tx.normalize_query, short), f"WITH {SHORT} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS value FROM short"),

@@ -113,6 +113,38 @@ def sources(s, d):
     return answers(s, d).select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("source_no"))
 
 
+#: Each turn as an answer to the turn before it, which is also its context.
+_GUARDED = {
+    "answer": "CASE conv_id % 6 WHEN 1 THEN concat('and ', text) WHEN 2 THEN concat(text, ' 11 22 33 44 55') WHEN 3 THEN concat(text, ' ತೆ') WHEN 4 THEN 'ಸರಿ' ELSE text END",
+    "language": "CASE conv_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'kn' WHEN 2 THEN 'te' ELSE 'hi' END",
+    "query": "concat(COALESCE(before, ''), CASE WHEN turn % 2 = 0 THEN ' Which portal?' ELSE '' END)",
+    "context": "concat(COALESCE(before, ''), CASE WHEN turn % 3 = 0 THEN ' see https://x.org/a (22)' ELSE '' END)",
+    "fallback": "conv_id % 7 = 0",
+}
+
+
+def guarded(s, d):
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = read(s, d, "conversations").withColumn("before", before).selectExpr("conv_id * 100 + turn AS query_id", *[f"{x} AS {n}" for n, x in _GUARDED.items()], "conv_id % 5 AS source")
+    return rows.withColumns({"cited": F.array("source"), "known": F.array(*map(F.lit, (0, 1, 2, 3))).cast("array<bigint>")})
+
+
+def _has(script: str) -> str:
+    return f"regexp_matches(a, '{tx.BLOCKS[script]}')"
+
+
+_OWN = f"CASE language WHEN 'te' THEN {_has('telugu')} WHEN 'kn' THEN {_has('kannada')} WHEN 'hi' THEN {_has('devanagari')} END"
+_FOREIGN = f"CASE language WHEN 'te' THEN {_has('kannada')} WHEN 'kn' THEN {_has('telugu')} WHEN 'hi' THEN {_has('kannada')} OR {_has('telugu')} END"
+_LOOSE = f"len(list_filter(list_distinct(regexp_extract_all(a, '{tx.NUMBER}')), lambda n: NOT list_contains(regexp_extract_all(context, '{tx.NUMBER}'), n) AND NOT COALESCE(regexp_full_match(n, '\d+') AND TRY_CAST(n AS HUGEINT) <= 10, false)))"
+_URL_SQL = g.GUARD_URL.replace("'", "''")
+_URL_LABEL = "CASE language WHEN 'hi' THEN 'आधिकारिक पोर्टल / वेबसाइट: ' WHEN 'kn' THEN 'ಅಧಿಕೃತ ವೆಬ್‌ಸೈಟ್: ' WHEN 'te' THEN 'అధికారిక వెబ్‌సైట్: ' ELSE 'Official Portal / Website: ' END"
+GUARD = (
+    "SELECT query_id, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'REJECT' END AS status, reason, "
+    f"CASE WHEN NOT fallback AND ({' OR '.join(f'contains(lower(query), {chr(39)}{w}{chr(39)})' for w in g.GUARD_URL_WORDS)}) AND regexp_matches(context, '{_URL_SQL}') AND NOT regexp_matches(a, '{_URL_SQL}') THEN concat(a, chr(10), chr(10), {_URL_LABEL}, regexp_extract(context, '{_URL_SQL}')) ELSE a END AS answer "
+    f"FROM (SELECT *, CASE WHEN fallback THEN NULL WHEN {_LOOSE} > 3 THEN 'NUMBER_MISMATCH' WHEN regexp_matches(a, '{g.GUARD_FRAGMENT}') THEN 'FRAGMENTARY_ANSWER' WHEN NOT ({_OWN}) AND length(a) > 15 THEN 'MISSING_TARGET_SCRIPT' WHEN {_FOREIGN} THEN 'SCRIPT_CONTAMINATION' WHEN source = 4 THEN 'INVALID_CITATION' END AS reason "
+    f"FROM (SELECT *, regexp_replace(answer, '^\s+|\s+$', '', 'g') AS a FROM (SELECT conv_id * 100 + turn AS query_id, {', '.join(f'{x} AS {n}' for n, x in _GUARDED.items())}, conv_id % 5 AS source FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))))"
+)
+
 CITED = r"cited AS (SELECT query_id, CAST(n AS INT) AS source_no FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1))) AS n FROM ans)), resolved AS (SELECT c.query_id, c.source_no, s.source_no IS NOT NULL AS valid FROM cited c LEFT JOIN src s USING (query_id, source_no) UNION ALL SELECT query_id, source_no, true FROM src WHERE query_id IN (SELECT query_id FROM ans WHERE trim(answer) <> '' AND query_id NOT IN (SELECT query_id FROM cited)))"
 
 
@@ -154,6 +186,16 @@ def variants(s, d):
     return r.stacked(*[t.select("query_id", "chunk_id", "rank", "variant") for t in found])
 
 
+def _variant(name: str, text: str) -> str:
+    return f"{name} AS (WITH {bm25(f'SELECT item_id AS query_id, {TOKENS_SQL} AS l FROM (SELECT item_id, {text} AS text FROM benchmark)')} SELECT query_id, chunk_id, rank, '{name}' AS variant FROM lex)"
+
+
+BEST_RANK = (
+    f"WITH {_variant('whole', 'text')}, {_variant('head', 'substring(text, 1, length(text) // 2)')}, {_variant('tail', 'substring(text, length(text) // 2 + 1)')}, found AS (SELECT * FROM whole UNION ALL SELECT * FROM head UNION ALL SELECT * FROM tail) "
+    "SELECT query_id, chunk_id, min(rank) AS best_rank, string_agg(variant, ',' ORDER BY variant) AS variants, floor((CAST(1 AS DOUBLE) / (60 + min(rank)) + (count(*) - 1) * CAST(0.0001 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS fused_score FROM found GROUP BY query_id, chunk_id"
+)
+
+
 def gold(s, d):
     return vector_queries(s, d).join(vectors(s, d), F.col("wanted") == F.col("label")).filter("query_id <> chunk_id").select("query_id", "chunk_id", F.col("wanted").alias("category"))
 
@@ -194,7 +236,7 @@ QUERIES = {
             LISTS, RANKED, MERGED,
         ),
     ),
-    "mt05_best_rank": (lambda s, d: r.best_rank_rrf(variants(s, d)), None),
+    "mt05_best_rank": (lambda s, d: r.best_rank_rrf(variants(s, d)), BEST_RANK),
     "mt06_linear_fusion": (
         lambda s, d: r.linear_fusion(*lists(s, d), chunks(s, d).select("chunk_id", "text")).select("query_id", "chunk_id", "hybrid_score", "rank"),
         with_("SELECT query_id, chunk_id, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, length(text), chunk_id DESC) AS INT) AS rank FROM (SELECT query_id, chunk_id, floor(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (CAST(0.7 AS DOUBLE) * COALESCE(dense_score, 0) + CAST(0.3 AS DOUBLE) * COALESCE(lexical_score, 0)) / (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE)))) * 10000 + 0.5) / 10000 AS hybrid_score FROM merged) JOIN documents ON doc_id = chunk_id", LISTS, MERGED),
@@ -213,7 +255,7 @@ QUERIES = {
     "jb20_build_context": (lambda s, d: g.contexts(packed(s, d)), with_("SELECT * FROM ctx", BM25, PACKED, CONTEXTS)),
     "jb22_prompts": (lambda s, d: g.prompts(asked(s, d).select("query_id", F.col("text").alias("query"), F.lit("en").alias("language")), g.contexts(packed(s, d))), with_(r"SELECT item_id AS query_id, concat(E'Context:\n', COALESCE(context, ''), E'\n\nQuestion: ', text, E'\nAnswer in en, citing sources as [Source n].') AS prompt FROM benchmark LEFT JOIN ctx ON item_id = query_id", BM25, PACKED, CONTEXTS)),
     "jb23_resolve_citations": (lambda s, d: g.resolve_citations(answers(s, d), sources(s, d)), with_("SELECT * FROM resolved", ANSWERS_SQL, CITED)),
-    "jb24_guard_answers": (lambda s, d: g.guard(answers(s, d).withColumn("context", F.lit("")).withColumn("language", F.lit("en"))), None),
+    "jb24_guard_answers": (lambda s, d: g.guard(guarded(s, d)), GUARD),
     "jb25_grounding_faults": (lambda s, d: g.grounding_faults(answers(s, d), g.resolve_citations(answers(s, d), sources(s, d)), sources(s, d)), with_("SELECT query_id, source_no, 'fallback cites' AS fault FROM resolved WHERE query_id IN (SELECT query_id FROM ans WHERE fallback) UNION ALL SELECT query_id, source_no, 'outside the context' FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.query_id = r.query_id AND src.source_no = r.source_no)", ANSWERS_SQL, CITED)),
     "tx23_cited_indices": (lambda s, d: answers(s, d).select("query_id", F.array_join(tx.cited_indices(F.col("answer")), ",").alias("cited")), with_(r"SELECT query_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM (SELECT query_id, regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1) AS l FROM ans)", ANSWERS_SQL)),
     "ag29_retrieval_quality": (lambda s, d: r.evaluate(dense(s, d), gold(s, d), "category"), with_(hits("den", "category"), _dense("den"), GOLD)),
