@@ -135,14 +135,14 @@ def _has(script: str) -> str:
 
 _OWN = f"CASE language WHEN 'te' THEN {_has('telugu')} WHEN 'kn' THEN {_has('kannada')} WHEN 'hi' THEN {_has('devanagari')} END"
 _FOREIGN = f"CASE language WHEN 'te' THEN {_has('kannada')} WHEN 'kn' THEN {_has('telugu')} WHEN 'hi' THEN {_has('kannada')} OR {_has('telugu')} END"
-_LOOSE = f"len(list_filter(list_distinct(regexp_extract_all(a, '{tx.NUMBER}')), lambda n: NOT list_contains(regexp_extract_all(context, '{tx.NUMBER}'), n) AND NOT COALESCE(regexp_full_match(n, '\d+') AND TRY_CAST(n AS HUGEINT) <= 10, false)))"
+_LOOSE = f"len(list_filter(list_distinct(regexp_extract_all(a, '{tx.NUMBER}')), lambda n: NOT list_contains(regexp_extract_all(context, '{tx.NUMBER}'), n) AND NOT COALESCE(regexp_full_match(n, '\\d+') AND TRY_CAST(n AS HUGEINT) <= 10, false)))"
 _URL_SQL = g.GUARD_URL.replace("'", "''")
 _URL_LABEL = "CASE language WHEN 'hi' THEN 'आधिकारिक पोर्टल / वेबसाइट: ' WHEN 'kn' THEN 'ಅಧಿಕೃತ ವೆಬ್‌ಸೈಟ್: ' WHEN 'te' THEN 'అధికారిక వెబ్‌సైట్: ' ELSE 'Official Portal / Website: ' END"
 GUARD = (
     "SELECT query_id, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'REJECT' END AS status, reason, "
     f"CASE WHEN NOT fallback AND ({' OR '.join(f'contains(lower(query), {chr(39)}{w}{chr(39)})' for w in g.GUARD_URL_WORDS)}) AND regexp_matches(context, '{_URL_SQL}') AND NOT regexp_matches(a, '{_URL_SQL}') THEN concat(a, chr(10), chr(10), {_URL_LABEL}, regexp_extract(context, '{_URL_SQL}')) ELSE a END AS answer "
     f"FROM (SELECT *, CASE WHEN fallback THEN NULL WHEN {_LOOSE} > 3 THEN 'NUMBER_MISMATCH' WHEN regexp_matches(a, '{g.GUARD_FRAGMENT}') THEN 'FRAGMENTARY_ANSWER' WHEN NOT ({_OWN}) AND length(a) > 15 THEN 'MISSING_TARGET_SCRIPT' WHEN {_FOREIGN} THEN 'SCRIPT_CONTAMINATION' WHEN source = 4 THEN 'INVALID_CITATION' END AS reason "
-    f"FROM (SELECT *, regexp_replace(answer, '^\s+|\s+$', '', 'g') AS a FROM (SELECT conv_id * 100 + turn AS query_id, {', '.join(f'{x} AS {n}' for n, x in _GUARDED.items())}, conv_id % 5 AS source FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))))"
+    f"FROM (SELECT *, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a FROM (SELECT conv_id * 100 + turn AS query_id, {', '.join(f'{x} AS {n}' for n, x in _GUARDED.items())}, conv_id % 5 AS source FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))))"
 )
 
 CITED = r"cited AS (SELECT query_id, CAST(n AS INT) AS source_no FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1))) AS n FROM ans)), resolved AS (SELECT c.query_id, c.source_no, s.source_no IS NOT NULL AS valid FROM cited c LEFT JOIN src s USING (query_id, source_no) UNION ALL SELECT query_id, source_no, true FROM src WHERE query_id IN (SELECT query_id FROM ans WHERE trim(answer) <> '' AND query_id NOT IN (SELECT query_id FROM cited)))"
@@ -239,7 +239,7 @@ QUERIES = {
     "mt05_best_rank": (lambda s, d: r.best_rank_rrf(variants(s, d)), BEST_RANK),
     "mt06_linear_fusion": (
         lambda s, d: r.linear_fusion(*lists(s, d), chunks(s, d).select("chunk_id", "text")).select("query_id", "chunk_id", "hybrid_score", "rank"),
-        with_("SELECT query_id, chunk_id, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, length(text), chunk_id DESC) AS INT) AS rank FROM (SELECT query_id, chunk_id, floor(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (CAST(0.7 AS DOUBLE) * COALESCE(dense_score, 0) + CAST(0.3 AS DOUBLE) * COALESCE(lexical_score, 0)) / (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE)))) * 10000 + 0.5) / 10000 AS hybrid_score FROM merged) JOIN documents ON doc_id = chunk_id", LISTS, MERGED),
+        with_("SELECT query_id, chunk_id, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, length(text) NULLS FIRST, chunk_id DESC) AS INT) AS rank FROM (SELECT query_id, chunk_id, floor(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (CAST(0.7 AS DOUBLE) * COALESCE(dense_score, 0) + CAST(0.3 AS DOUBLE) * COALESCE(lexical_score, 0)) / (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE)))) * 10000 + 0.5) / 10000 AS hybrid_score FROM merged) LEFT JOIN documents ON doc_id = chunk_id", LISTS, MERGED),
     ),
     "jb14_hybrid_search": (lambda s, d: r.hybrid_search(*lists(s, d)), with_("SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS INT) AS rank FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 5", LISTS, RANKED, RRF)),
     "jb17_rerank": (lambda s, d: r.rerank(r.hydrate(lexical(s, d).select("query_id", "chunk_id", F.col("lexical_score").alias("rrf_score")), chunks(s, d)).join(asked(s, d).withColumnRenamed("text", "query"), "query_id")), None),
