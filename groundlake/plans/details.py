@@ -127,7 +127,10 @@ QUERIES = {
     "tx16_entities": (on(lambda t: F.array_join(tx.entities(t), "|"), short), None),
     "tx20_orphan_start": (on(tx.is_orphan_start, short), f"WITH {SHORT} SELECT doc_id, regexp_matches({STRIP.format('text')}, '" + tx.ORPHAN_START + "') AS value FROM short"),
     "tx21_heading_level": (lambda s, d: c.blocks(headed(s, d)).filter("block_type = 'heading'").select("doc_id", "block_no", "heading_level"), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, block_no, heading_level FROM blocks WHERE block_type = 'heading'"),
-    "tx26_table_text": (lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(tx.table_text(F.lit("nations"), F.array(F.lit("key"), F.lit("name")), F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))).alias("value")), "SELECT n_regionkey, concat('Table: nations', chr(10), 'key | name', chr(10), string_agg(concat(CAST(n_nationkey AS STRING), ' | ', n_name), chr(10) ORDER BY n_nationkey)) AS value FROM nation GROUP BY n_regionkey"),
+    "tx26_table_text": (
+        lambda s, d: read(s, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 16).alias("part")).agg(tx.table_text(F.lit("turns"), F.array(F.lit("turn"), F.lit("role")), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.array(x["turn"].cast("string"), x["role"]))).alias("value")),
+        "SELECT conv_id, CAST(floor(turn / 16) AS BIGINT) AS part, concat('Table: turns', chr(10), 'turn | role', chr(10), string_agg(concat(CAST(turn AS STRING), ' | ', role), chr(10) ORDER BY turn, role)) AS value FROM conversations GROUP BY ALL",
+    ),
     "tx27_doc_id": (lambda s, d: read(s, d, "pages").select("page_id", tx.doc_id_from_filename(F.regexp_replace("url", "^https?://", "")).alias("value")), r"SELECT page_id, upper(substring(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\.[^.]*$', ''), '[^A-Za-z0-9]+', '-', 'g'), 1, 16)) AS value FROM pages"),
     "id04_fingerprint": (lambda s, d: read(s, d, "documents").agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("lang"))), ","), 256).alias("languages_hash"), identity.collection_fingerprint(F.col("doc_id"))[0]), "SELECT sha256(array_to_string(list_sort(list(DISTINCT lang)), ',')) AS languages_hash, count(doc_id) AS n FROM documents"),
     "mt07_percent": (lake_query(lambda t: t.groupBy("provider").agg(percent(F.count_if("grounded"), F.count("*"), 2).alias("rate"))), f"{LAKE} SELECT provider, {rnd('CAST(count(*) FILTER (WHERE grounded) AS DOUBLE) * 100 / greatest(1, count(*))', 2)} AS rate FROM lake GROUP BY provider"),
