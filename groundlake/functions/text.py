@@ -260,18 +260,18 @@ def query_intent(text: Column) -> Column:
     return out.otherwise("FACTUAL")
 
 
-def _distinct_upper(values: Column) -> Column:
+def distinct_spellings(values: Column) -> Column:
     """The first of each spelling, whatever its case."""
     return F.aggregate(values, F.array().cast("array<string>"), lambda seen, x: F.when(F.exists(seen, lambda s: F.upper(s) == F.upper(x)), seen).otherwise(F.array_append(seen, x)))
 
 
 def entities(text: Column) -> Column:
     """TX16: words in capitals, known names in any case, quoted strings."""
-    capitals = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z0-9_-]{2,10}\b"), 0), lambda x: ~F.upper(x).isin("AND", "THE", "FOR", "WHAT", "HOW"))
+    capitals = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z0-9_-]{2,10}\b"), 0), lambda x: ~F.upper(x).isin("AND", "THE", "FOR", "WHAT", "HOW"))
     tokens = F.regexp_extract_all(F.upper(text), F.lit(r"[A-Z0-9_]+"), 0)
     known = F.filter(words(sorted(KNOWN_ENTITIES)), lambda x: F.array_contains(tokens, x))
     quoted = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[\"']([^\"']{2,40})[\"']"), 1), strip), lambda x: x != "")
-    return _distinct_upper(F.concat(capitals, known, quoted))
+    return distinct_spellings(F.concat(capitals, known, quoted))
 
 
 def important_terms(text: Column) -> Column:

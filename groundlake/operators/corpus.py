@@ -156,6 +156,31 @@ def chunk_report(chunks_: DataFrame) -> DataFrame:
     return chunks_.groupBy("doc_id").agg(F.count("*").alias("chunks"), rounded(mean("text_length"), 2).alias("avg_length"), F.min("text_length").alias("min_length"), F.max("text_length").alias("max_length"), F.sum("text_length").alias("characters"))
 
 
+def corpus_chunk_report(chunks_: DataFrame, sources: DataFrame) -> DataFrame:
+    """JB10, AG28: one row for the corpus: documents, chunks, characters of either, mean length; ``sources``: doc_id, text."""
+    none = F.lit(None).cast("int")
+    both = sources.select(F.length(F.coalesce("text", F.lit(""))).alias("source"), none.alias("chunk")).unionByName(chunks_.select(none.alias("source"), F.col("text_length").alias("chunk")))
+    return both.agg(
+        F.count("source").alias("documents"), F.count("chunk").alias("chunks"), F.coalesce(F.sum("source"), F.lit(0)).alias("source_characters"), F.coalesce(F.sum("chunk"), F.lit(0)).alias("chunk_characters"),
+        F.coalesce(rounded(mean("chunk"), 2), F.lit(0.0)).alias("avg_length"),
+    )
+
+
+def source_faults(chunks_: DataFrame, sources: DataFrame) -> DataFrame:
+    """JB9: (doc_id, fault): texts without chunks, and texts whose first, middle or last word of over two letters stands in none of them.
+
+    Each chunk meets the three words of its document, so that no document is put together again; ``sources``: doc_id, text.
+    """
+    telling = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0), lambda w: F.length(w) > 2)
+    docs = sources.filter(tx.strip(F.coalesce("text", F.lit(""))) != "").select("doc_id", telling.alias("w"))
+    at = lambda name, i: F.struct(F.lit(name).alias("place"), F.get("w", i).alias("word"))
+    wanted = docs.select("doc_id", F.inline(F.array(at("first", F.lit(0)), at("middle", F.floor(F.size("w") / 2).cast("int")), at("last", F.size("w") - 1))))
+    held = chunks_.select("doc_id", F.lower("text_content").alias("held"))
+    met = wanted.join(held, "doc_id", "left").groupBy("doc_id", "place", "word").agg(F.coalesce(F.bool_or(F.contains("held", "word")), F.lit(False)).alias("found"), F.count("held").alias("chunks"))
+    fault = F.when(F.col("chunks") == 0, "no chunks").when(F.col("word").isNotNull() & ~F.col("found"), F.concat("place", F.lit(" word lost")))
+    return met.select("doc_id", fault.alias("fault")).filter("fault is not null").distinct()
+
+
 def coverage(docs: DataFrame) -> DataFrame:
     """AG34."""
     return docs.agg(F.count("*").alias("documents"), F.countDistinct("source").alias("categories"), F.countDistinct("lang").alias("languages"))

@@ -207,10 +207,32 @@ def guard(answers: DataFrame) -> DataFrame:
 
 
 def grounding_faults(answers: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """JB25: fallbacks that cite, and citations outside the context."""
-    fallback = citations.join(answers.filter("fallback"), "query_id", "left_semi").select("query_id", "source_no", F.lit("fallback cites").alias("fault"))
-    outside = citations.join(sources.select("query_id", "source_no"), ["query_id", "source_no"], "left_anti").select("query_id", "source_no", F.lit("outside the context").alias("fault"))
-    return fallback.unionByName(outside)
+    """JB25: (query_id, source_no, fault): fallbacks that cite; other answers that are empty, or cite what isn't in the context, has no page or no file name.
+
+    ``sources``: query_id, source_no, page_number, filename.
+    """
+    known = sources.select("query_id", "source_no", F.lit(True).alias("known"), "page_number", "filename")
+    cited = citations.select("query_id", "source_no").join(answers.select("query_id", "fallback"), "query_id").join(known, ["query_id", "source_no"], "left")
+    there = ~F.col("fallback") & F.col("known").isNotNull()
+    faults = F.array(
+        F.when(F.col("fallback"), "fallback cites"), F.when(~F.col("fallback") & F.col("known").isNull(), "outside the context"), F.when(there & F.coalesce(F.col("page_number") < 1, F.lit(True)), "bad page"),
+        F.when(there & (F.coalesce("filename", F.lit("")) == ""), "no file name"),
+    )
+    empty = answers.filter(~F.col("fallback") & (tx.strip(F.coalesce("answer", F.lit(""))) == "")).select("query_id", F.lit(None).cast("int").alias("source_no"), F.lit("empty answer").alias("fault"))
+    return cited.select("query_id", "source_no", F.explode(F.array_compact(faults)).alias("fault")).unionByName(empty)
+
+
+def preservation(answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """AG32, JB28: one row: shares of the expected URLs and numbers that stand in the answer, and of hi, kn and te answers without a foreign script.
+
+    ``answers``: query_id, answer; ``gold``: query_id, language, expected_url, expected_number (null or empty: none expected).
+    """
+    rows = gold.join(answers.select("query_id", F.coalesce("answer", F.lit("")).alias("answer")), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    share = lambda flag, over: rounded(F.count_if(over & flag) / F.greatest(F.lit(1), F.count_if(over)), 4)
+    kept = lambda c: share(F.contains("answer", c), F.coalesce(F.col(c), F.lit("")) != "").alias(f"{c[9:]}_preservation_rate")
+    has = lambda script: F.col("answer").rlike(tx.BLOCKS[script])
+    foreign = F.when(F.col("language") == "te", has("kannada")).when(F.col("language") == "kn", has("telugu")).otherwise(has("kannada") | has("telugu"))
+    return rows.agg(kept("expected_url"), kept("expected_number"), share(~foreign, F.col("language").isin("hi", "kn", "te")).alias("script_purity_rate"))
 
 
 def answer_quality(answers: DataFrame, gold: DataFrame) -> DataFrame:

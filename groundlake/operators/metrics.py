@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import mean, percent, percentile, rounded
+from ..functions.numbers import interpolated, mean, percent, percentile, rounded
 
 ENV = "telemetry_environment"
 QUERY_TYPES = ("query_completed", "rag_response")
@@ -229,8 +229,14 @@ def script_comparison(lake: DataFrame) -> DataFrame:
     )
 
 
-def document_usage(lake: DataFrame) -> DataFrame:
-    """AG18, JN1: how each document was used; its share is of all queries."""
+def latency_percentiles(lake: DataFrame) -> DataFrame:
+    """AG33: interpolated, of retrieval and of whole answers to queries."""
+    out = per_environment(queries(lake), (), *[interpolated(f"{c}_latency_ms", q / 100).alias(f"{c}_p{q}_ms") for c in ("retrieval", "total") for q in (50, 95)])
+    return out.select("environment", *[F.coalesce(rounded(F.col(c), 2), F.lit(0.0)).alias(c) for c in out.columns if c != "environment"])
+
+
+def document_usage(lake: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """AG18, JN1: how each document was used; its share is of all queries. ``titles``: document_id, title; a document without one is named by its id."""
     used = queries(lake).filter(F.coalesce("document_id", F.lit("")) != "")
     out = per_environment(
         used, ("document_id",), F.count("*").alias("query_count"), F.greatest(F.countDistinct("anonymous_user_id"), F.lit(1)).alias("unique_users"),
@@ -240,6 +246,8 @@ def document_usage(lake: DataFrame) -> DataFrame:
     rate = lambda c: percent(F.col(c), F.col("query_count"), 1)
     value = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 1)
     title = F.concat(F.lit("Institutional Document ("), "document_id", F.lit(")"))
+    if titles is not None:
+        out, title = out.join(titles.select("document_id", F.col("title").alias("known_title")), "document_id", "left"), F.coalesce(F.when(F.trim("known_title") != "", F.col("known_title")), title)
     return out.join(F.broadcast(totals), "environment").select(
         "environment", "document_id", title.alias("title"), "query_count", percent(F.col("query_count"), F.col("t"), 1).alias("query_share_pct"), "unique_users", "languages_used",
         rate("g").alias("grounded_rate"), rate("f").alias("fallback_rate"), value("a").alias("avg_latency_ms"), value("c").alias("avg_citations"),

@@ -62,12 +62,24 @@ def dictionary_matches(queries: DataFrame, dictionary: DataFrame, longest: int =
 
 
 def expand(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """JB16: (query_id, variant_no, variant_type, variant_text, weight): the query, and a variant of up to two expansions of its longest terms."""
+    """JB16: (query_id, variant_no, variant_type, variant_text, weight): the query, and up to two variants by expansions of its longest terms.
+
+    ``queries``: query_id, text and, if known, language, is_romanized and is_code_mixed. One that isn't plain English gets three expansions at
+    0.85; all get two as synonyms at 0.80, unless that is the same text. An expansion that says the query again isn't used.
+    """
+    known = lambda c, none: F.col(c) if c in queries.columns else F.lit(none)
+    romanized = F.coalesce(known("is_romanized", False), F.lit(False))
+    foreign = romanized | F.coalesce(known("language", "en").isin("hi", "kn", "te"), F.lit(False)) | F.coalesce(known("is_code_mixed", False), F.lit(False))
     first = queries.select("query_id", F.lit(1).alias("variant_no"), F.lit("original").alias("variant_type"), F.col("text").alias("variant_text"), F.lit(1.0).alias("weight"))
     ordered = F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), "term", "expansion")))
-    found = dictionary_matches(queries, dictionary).groupBy("query_id").agg(F.slice(F.array_distinct(F.transform(ordered, lambda x: x["expansion"])), 1, 2).alias("e"))
-    second = found.select("query_id", F.lit(2).alias("variant_no"), F.lit("synonym").alias("variant_type"), F.array_join("e", " ").alias("variant_text"), F.lit(0.8).alias("weight"))
-    return first.unionByName(second)
+    found = dictionary_matches(queries, dictionary).groupBy("query_id").agg(tx.distinct_spellings(F.transform(ordered, lambda x: x["expansion"])).alias("e"))
+    rows = queries.select("query_id", "text", romanized.alias("romanized"), foreign.alias("foreign")).join(found, "query_id").withColumn("e", F.filter("e", lambda x: F.lower(x) != F.lower("text"))).filter(F.size("e") > 0)
+    three, two = (F.array_join(F.slice("e", 1, n), " ") for n in (3, 2))
+    made = lambda kind, text, weight: F.struct(kind.alias("variant_type"), text.alias("variant_text"), F.lit(weight).alias("weight"))
+    cross = F.when(F.col("foreign"), made(F.when(F.col("romanized"), "transliteration").otherwise("indic_translation"), three, 0.85))
+    synonym = F.when(~F.col("foreign") | (F.lower(three) != F.lower(two)), made(F.lit("synonym"), two, 0.8))
+    more = rows.select("query_id", F.posexplode(F.array_compact(F.array(cross, synonym))).alias("at", "v")).select("query_id", (F.col("at") + 2).alias("variant_no"), "v.*")
+    return first.unionByName(more)
 
 
 def variants(queries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.numbers import rounded, valid_vector
+from ..functions.numbers import mean, rounded, valid_vector
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -222,16 +222,24 @@ def rerank(candidates: DataFrame, generic: list[str] | None = None) -> DataFrame
 
 
 def invalid_candidates(candidates: DataFrame) -> DataFrame:
-    """PRJ15: candidates with the names of what is wrong with them."""
+    """PRJ15: candidates with the names of what is wrong with them: blank ids or text, a page under 1, scores outside 0..1; absent columns aren't checked."""
+    blank = lambda c: tx.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     outside = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) > 1), F.lit(False))
-    wrong = F.array_compact(F.array(F.when(F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) == "", "chunk_id"), F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "text"), F.when(outside("dense_score"), "dense_score"), F.when(outside("lexical_score"), "lexical_score")))
+    rules = {"chunk_id": blank, "doc_id": blank, "text": blank, "page_number": lambda c: F.coalesce(F.col(c) < 1, F.lit(True))} | dict.fromkeys(("dense_score", "lexical_score", "hybrid_score", "rerank_score"), outside)
+    wrong = F.array_compact(F.array(*[F.when(rule(c), c) for c, rule in rules.items() if c in candidates.columns]))
     return candidates.withColumn("faults", F.array_join(wrong, ",")).filter("faults <> ''")
 
 
-def evaluate(results: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
-    """JB27, AG29, JN13: hits at 1, 3, 5 and the mean reciprocal rank; ``gold`` has (query_id, chunk_id, *by)."""
+def evaluate(results: DataFrame, gold: DataFrame, *by: str, runs: DataFrame | None = None) -> DataFrame:
+    """JB27, AG29, JN13: hits at 1, 3, 5 and the mean reciprocal rank; ``gold`` has (query_id, chunk_id, *by).
+
+    With ``runs`` (query_id, latency_ms, variants; a row a query) also their means.
+    """
     queries = gold.select("query_id", *by).distinct()
     hits = results.join(gold.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("hit"))
     rate = lambda c: rounded(F.avg(c), 4)
     at = lambda n: rate(F.when(F.col("hit") <= n, 1.0).otherwise(0.0)).alias(f"hit_at_{n}")
-    return queries.join(hits, "query_id", "left").groupBy(*by).agg(F.count("*").alias("queries"), at(1), at(3), at(5), rate(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr"))
+    rows, means = queries.join(hits, "query_id", "left"), []
+    if runs is not None:
+        rows, means = rows.join(runs.select("query_id", "latency_ms", "variants"), "query_id", "left"), [F.coalesce(rounded(mean(c), 2), F.lit(0.0)).alias(f"avg_{c}") for c in ("latency_ms", "variants")]
+    return rows.groupBy(*by).agg(F.count("*").alias("queries"), at(1), at(3), at(5), rate(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr"), *means)

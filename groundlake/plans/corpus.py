@@ -104,6 +104,9 @@ _SHARES_FROM = r"(SELECT *, devanagari + kannada + telugu + latin + other AS tot
 PRIMARY = sql(f"CASE WHEN {' + '.join(f'CAST({SHARES[k]} > 0.15 AS INT)' for k in tx.BLOCKS)} >= 2 THEN 'mixed' {' '.join(f'WHEN {SHARES[k]} > 0.5 THEN {chr(39)}{k}{chr(39)}' for k in tx.BLOCKS)} ELSE 'unknown' END AS value", _SHARES_FROM, COUNTS)
 
 
+NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', E'\n', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]', '', 'g'), '[ \t]+\n', E'\n', 'g'), '[ ]{2,}', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
+
+
 def sections(s, d):
     return c.section_groups(c.blocks(headed(s, d)))
 
@@ -113,8 +116,11 @@ def chunked(s, d):
 
 
 QUERIES = {
-    "tx01_normalize_text": (on(tx.normalize_text), sql(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', E'\n', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]', '', 'g'), '[ \t]+\n', E'\n', 'g'), '[ ]{2,}', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS value")),
-    "tx02_clean_heading": (on(tx.clean_heading, lambda s, d: c.blocks(headed(s, d)).groupBy("doc_id").agg(F.min("text").alias("text"))), None),
+    "tx01_normalize_text": (on(tx.normalize_text), sql(f"{NORMAL} AS value")),
+    "tx02_clean_heading": (
+        lambda s, d: c.blocks(headed(s, d)).select("doc_id", "block_no", tx.clean_heading(F.col("text")).alias("value")),
+        f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, block_no, " + STRIP.format("regexp_replace(" + NORMAL + ", '^#+\\s*', '')") + " AS value FROM blocks",
+    ),
     "tx03_tokenize": (on(lambda t: F.array_join(tx.tokenize(t), " ")), sql(f"array_to_string({TOKENS_SQL}, ' ') AS value")),
     "tx04_script_counts": (on(tx.script_counts), sql(", ".join(f"CAST({x} AS INT) AS {k}" for k, x in COUNT_SQL.items()))),
     "tx05_detect_language": (on(tx.detect_script_language), sql(f"CASE WHEN total = 0 THEN 'unknown' ELSE CASE {FIRST} WHEN 'devanagari' THEN 'hi' WHEN 'kannada' THEN 'kn' WHEN 'telugu' THEN 'te' ELSE 'en' END END AS language, CASE WHEN total = 0 THEN 'unknown' WHEN second / total >= 0.2 AND top < 0.8 THEN 'mixed' ELSE {FIRST} END AS script, {CONFIDENCE} AS confidence", "ratios", COUNTS, RATIOS)),

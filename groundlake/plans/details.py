@@ -14,7 +14,7 @@ from ..operators import metrics as m
 from ..operators import queries as qu
 from ..operators import retrieval as r
 from . import retrieval as rp
-from .corpus import HEADED_SQL, PARTS, PRIMARY, BLOCKS, SHORT, STRIP, TOKENS_SQL, headed, mixed, on, short, sql
+from .corpus import BLOCKS, COUNTS, HEADED_SQL, PARTS, PICK, PRIMARY, ROMAN, SHORT, STRIP, TOKENS_SQL, headed, mixed, on, short, sql
 from .ingest import FIRST, SECRET, _got, checked
 from .ingest import sql as line_sql
 from .telemetry import NAME, QUERY, rnd
@@ -79,6 +79,19 @@ FOLLOW_UP = (
     r"WHEN list_contains(regexp_split_to_array(q, '\s+'), 'it') THEN regexp_replace(text, '\bit\b', found, 'gi') ELSE concat(text, ' regarding ', found) END AS resolved "
     f"FROM (SELECT conv_id * 100 + turn AS query_id, text, {STRIP.format('lower(text)')} AS q, COALESCE({_BACK}) AS found FROM conversations)"
 )
+REATTACHED = (
+    f"SELECT query_id, CASE WHEN ({' OR '.join(f'contains(lower(query), {chr(39)}{w}{chr(39)})' for w in g.URL_WORDS)}) AND regexp_matches(context, '{tx.URL.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(answer, '{tx.URL.replace(chr(39), chr(39) * 2)}') "
+    f"THEN concat(regexp_replace(answer, '\\s+$', ''), chr(10), chr(10), CASE language WHEN 'hi' THEN 'आधिकारिक वेबसाइट: ' WHEN 'kn' THEN 'ಅಧಿಕೃತ ವೆಬ್‌ಸೈಟ್: ' WHEN 'te' THEN 'అధికారిక వెబ్‌సైట్: ' ELSE 'Official Website: ' END, regexp_extract(context, '{tx.URL.replace(chr(39), chr(39) * 2)}')) ELSE answer END AS answer FROM ({rp.GUARDED_ROWS})"
+)
+RESPONSE = sql(f"CASE WHEN doc_id % 2 = 0 THEN 'kn' WHEN greatest(kannada, telugu, devanagari) >= 2 THEN CASE greatest(kannada, telugu, devanagari) WHEN kannada THEN 'kn' WHEN telugu THEN 'te' ELSE 'hi' END WHEN greatest(kn, hi, te) >= 2 THEN {PICK} ELSE 'en' END AS value", "counts JOIN roman USING (doc_id)", COUNTS, ROMAN)
+_BARE = STRIP.format(f"regexp_replace(text, '{tx.URL.replace(chr(39), chr(39) * 2)}|\\[(?:Source\\s*)?\\d+\\]|\\d', '', 'g')")
+TARGET = sql("CASE WHEN length(text) >= 15 THEN CASE WHEN devanagari + telugu > 3 THEN 'contamination' WHEN latin > kannada * 2.5 AND latin > 40 THEN 'untranslated' END END AS value", "counts", f"bare AS (SELECT doc_id, {_BARE} AS text FROM mixed)", COUNTS.replace("FROM mixed", "FROM bare"))
+_NAMES = "list_filter(regexp_extract_all(regexp_replace(text, '[\\x{C0}-\\x{24F}]', 'z', 'g'), '\\b[A-Z0-9_-]{2,10}\\b'), lambda x: upper(x) NOT IN ('AND', 'THE', 'FOR', 'WHAT', 'HOW'))"
+_QUOTED = "list_filter(list_transform(regexp_extract_all(text, '[\"'']([^\"'']{2,40})[\"'']', 1), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
+ENTITIES = (
+    f"WITH {SHORT} SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: upper(y)), upper(x)) = i), '|') AS value FROM (SELECT doc_id, list_concat({_NAMES}, list_filter([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in sorted(tx.KNOWN_ENTITIES))}], lambda x: list_contains(regexp_extract_all(upper(text), '[A-Z0-9_]+'), x)), {_QUOTED}) AS l FROM short)"
+)
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
 _ISLAND = "chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, section_title ORDER BY chunk_index) AS i"
 
 QUERIES = {
@@ -89,8 +102,8 @@ QUERIES = {
     "prj11_response_state": (lake_query(lambda t: m.queries(t).select("event_id", g.response_state(F.col("language") != "und", F.col("grounded")).alias("state"))), f"{LAKE} SELECT event_id, CASE WHEN language = 'und' THEN 'LANGUAGE_UNAVAILABLE' WHEN grounded THEN 'GROUNDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS state FROM q"),
     "prj12_status_band": (lake_query(lambda t: t.select("event_id", m.status_band(F.col("total_latency_ms") / 20).alias("status"))), f"{LAKE} SELECT event_id, CASE WHEN total_latency_ms / 20 >= 80 THEN 'Excellent' WHEN total_latency_ms / 20 >= 60 THEN 'Good' ELSE 'Needs Attention' END AS status FROM lake"),
     "prj15_invalid_candidates": (
-        lambda s, d: r.invalid_candidates(rp.dense(s, d).withColumn("lexical_score", F.col("dense_score") * 2).withColumn("text", F.when(F.col("chunk_id") % 3 == 0, " ").otherwise("t"))).select("query_id", "chunk_id", "faults"),
-        rp.with_("SELECT * FROM (SELECT query_id, chunk_id, concat_ws(',', CASE WHEN chunk_id % 3 = 0 THEN 'text' END, CASE WHEN dense_score < 0 OR dense_score > 1 THEN 'dense_score' END, CASE WHEN dense_score * 2 < 0 OR dense_score * 2 > 1 THEN 'lexical_score' END) AS faults FROM den) WHERE faults <> ''", rp._dense("den")),
+        lambda s, d: r.invalid_candidates(rp.dense(s, d).withColumns({"lexical_score": F.col("dense_score") * 2, "text": F.when(F.col("chunk_id") % 3 == 0, " ").otherwise("t"), "doc_id": F.when(F.col("chunk_id") % 7 != 0, F.col("chunk_id")), "page_number": F.col("chunk_id") % 5})).select("query_id", "chunk_id", "faults"),
+        rp.with_("SELECT * FROM (SELECT query_id, chunk_id, concat_ws(',', CASE WHEN chunk_id % 7 = 0 THEN 'doc_id' END, CASE WHEN chunk_id % 3 = 0 THEN 'text' END, CASE WHEN chunk_id % 5 = 0 THEN 'page_number' END, CASE WHEN dense_score < 0 OR dense_score > 1 THEN 'dense_score' END, CASE WHEN dense_score * 2 < 0 OR dense_score * 2 > 1 THEN 'lexical_score' END) AS faults FROM den) WHERE faults <> ''", rp._dense("den")),
     ),
     "jn01_language_name": (lake_query(lambda t: t.select("event_id", m.language_name(F.col("language")).alias("language_name"))), f"{LAKE} SELECT event_id, {NAME} AS language_name FROM lake"),
     "jn06_hydrate": (lambda s, d: r.hydrate(rp.lexical(s, d, 3).select("query_id", "chunk_id", "rank"), rp.chunks(s, d)).select("query_id", "chunk_id", "rank", F.length("text").alias("length")), rp.with_("SELECT query_id, chunk_id, rank, length(text) AS length FROM lex JOIN documents ON doc_id = chunk_id WHERE rank <= 3", rp.BM25)),
@@ -99,11 +112,15 @@ QUERIES = {
     "jn13_first_hit": (lambda s, d: rp.dense(s, d).join(rp.gold(s, d), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_hit")), rp.with_("SELECT query_id, min(rank) AS first_hit FROM den JOIN gold USING (query_id, chunk_id) GROUP BY query_id", rp._dense("den"), rp.GOLD)),
     "jn14_cascade_delete": (lambda s, d: read(s, d, "labels").join(read(s, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "left_anti").groupBy("quality").agg(F.count("*").alias("left")), "SELECT quality, count(*) AS left FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY quality"),
     "jn15_dictionary": (lambda s, d: qu.dictionary_matches(rp.asked(s, d), dictionary(s, d)), f"WITH {DICTIONARY} SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)"),
-    "jb16_expand_query": (lambda s, d: qu.expand(rp.asked(s, d), dictionary(s, d)), f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, 'synonym', array_to_string(list(expansion ORDER BY length(term) DESC, term)[1:2], ' '), CAST(0.8 AS DOUBLE) FROM hit GROUP BY query_id"),
+    "jb16_expand_query": (
+        lambda s, d: qu.expand(rp.asked(s, d).selectExpr("*", "CASE WHEN query_id % 3 = 0 THEN 'kn' ELSE 'en' END AS language", "query_id % 4 = 0 AS is_romanized"), dictionary(s, d)),
+        f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)), said AS (SELECT query_id, list(expansion ORDER BY length(term) DESC, term) AS l FROM hit GROUP BY query_id) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, CASE WHEN query_id % 4 = 0 THEN 'transliteration' ELSE 'indic_translation' END, array_to_string(l[1:3], ' '), CAST(0.85 AS DOUBLE) FROM said WHERE query_id % 3 = 0 OR query_id % 4 = 0 "
+        "UNION ALL SELECT query_id, CASE WHEN query_id % 3 = 0 OR query_id % 4 = 0 THEN 3 ELSE 2 END, 'synonym', array_to_string(l[1:2], ' '), CAST(0.8 AS DOUBLE) FROM said WHERE (query_id % 3 <> 0 AND query_id % 4 <> 0) OR len(l) > 2",
+    ),
     "jb15_multi_variant_search": (lambda s, d: r.best_rank_rrf(r.bm25_search(qu.variants(rp.asked(s, d)).select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant").alias("query_id"), "text"), rp.chunks(s, d), 12).select(F.split("query_id", r"\|")[0].cast("bigint").alias("query_id"), "chunk_id", "rank", F.split("query_id", r"\|")[1].alias("variant"))), None),
     "jb35_process_queries": (lambda s, d: qu.understand(conversation_queries(s, d)).drop("script_distribution"), None),
     "tx18_follow_up": (lambda s, d: conversation_queries(s, d).select("query_id", qu.resolve_follow_up(F.col("text"), F.col("before"), {"the": ["the"], "der": ["der"]}).alias("resolved")), FOLLOW_UP),
-    "jb26_reattach_url": (lambda s, d: rp.answers(s, d).select("query_id", g.reattach_url(F.lit("Which website?"), F.col("answer"), F.lit("see https://x.org/a"), F.lit("en")).alias("answer")), rp.with_(r"SELECT query_id, CASE WHEN regexp_matches(answer, 'https?://|www\.') THEN answer ELSE concat(regexp_replace(answer, '\s+$', ''), chr(10), chr(10), 'Official Website: https://x.org/a') END AS answer FROM ans", rp.ANSWERS_SQL)),
+    "jb26_reattach_url": (lambda s, d: rp.guarded(s, d).select("query_id", g.reattach_url(F.col("query"), F.col("answer"), F.col("context"), F.col("language")).alias("answer")), REATTACHED),
     "jb28_answer_quality": (
         lambda s, d: g.answer_quality(rp.answers(s, d).select("query_id", "answer", (F.col("query_id") % 3 == 0).alias("grounded"), "fallback", (F.col("query_id") % 4 != 0).alias("citation_valid")), rp.answers(s, d).select("query_id", (F.col("query_id") % 6 != 5).alias("available"), F.lit("source 1").alias("expected"))),
         rp.with_(f"SELECT count(*) AS questions, {rnd('count(*) FILTER (WHERE query_id % 3 = 0 AND query_id % 6 <> 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 <> 5))', 2)} AS grounded_rate, {rnd('count(*) FILTER (WHERE fallback AND query_id % 6 = 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 = 5))', 2)} AS fallback_correct_rate, {rnd('count(*) FILTER (WHERE query_id % 4 <> 0) * 100.0 / count(*)', 2)} AS citation_valid_rate, {rnd(chr(99) + 'ount(*) FILTER (WHERE contains(lower(answer), ' + chr(39) + 'source 1' + chr(39) + ') AND query_id % 6 <> 5) * 100.0 / greatest(1, count(*) FILTER (WHERE query_id % 6 <> 5))', 2)} AS preserved_rate FROM ans", rp.ANSWERS_SQL),
@@ -120,11 +137,13 @@ QUERIES = {
     "st02_set_difference": (lambda s, d: read(s, d, "documents").select("doc_id").exceptAll(read(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels"),
     "st03_coverage": (lambda s, d: rp.lexical(s, d, 5).join(rp.asked(s, d), "query_id").join(rp.chunks(s, d).select("chunk_id", F.col("text").alias("body")), "chunk_id").select("query_id", "chunk_id", (F.floor(r.coverage(tx.tokenize(F.col("text")), tx.tokenize(F.col("body"))) * 10000 + 0.5) / 10000).alias("coverage")), rp.with_(f"SELECT query_id, chunk_id, floor(len(list_intersect(list_distinct(a), list_distinct(b))) / CAST(len(list_distinct(a)) AS DOUBLE) * 10000 + 0.5) / 10000 AS coverage FROM (SELECT query_id, chunk_id, {TOKENS_SQL.replace('text', 'b.text')} AS a, {TOKENS_SQL.replace('text', 'd.text')} AS b FROM lex JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 5)", rp.BM25)),
     "tx07_primary_script": (on(tx.primary_script, mixed), PRIMARY),
-    "tx11_response_language": (lambda s, d: mixed(s, d).select("doc_id", tx.response_language(F.when(F.col("doc_id") % 2 == 0, "KN"), F.lit("xx"), F.col("text")).alias("value")), None),
-    "tx12_target_script": (lambda s, d: mixed(s, d).select("doc_id", tx.target_script_fault(F.col("text"), F.lit("kn")).alias("value")), None),
+    "tx11_response_language": (lambda s, d: mixed(s, d).select("doc_id", tx.response_language(F.when(F.col("doc_id") % 2 == 0, "KN"), F.lit("xx"), F.col("text")).alias("value")), RESPONSE),
+    "tx12_target_script": (lambda s, d: mixed(s, d).select("doc_id", tx.target_script_fault(F.col("text"), F.lit("kn")).alias("value")), TARGET),
     "tx13_normalize_query": (on(tx.normalize_query, short), f"WITH {SHORT} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS value FROM short"),
-    "tx14_normalize_variant": (on(tx.normalize_variant, short), None),
-    "tx16_entities": (on(lambda t: F.array_join(tx.entities(t), "|"), short), None),
+    "tx14_normalize_variant": (on(tx.normalize_variant, short), f"WITH {SHORT} SELECT doc_id, regexp_replace({STRIP.format('nfc_normalize(text)')}, '[?!।.,;\\s]+$', '') AS value FROM short"),
+    "tx16_entities": (on(lambda t: F.array_join(tx.entities(t), "|"), short), ENTITIES),
+    "tx20_continuation": (on(tx.is_continuation, short), f"WITH {SHORT} SELECT doc_id, COALESCE(regexp_matches({_LINES}[1], '{tx.CONTINUATION}'), false) AS value FROM short"),
+    "tx20_incomplete": (on(tx.is_incomplete, short), f"WITH {SHORT} SELECT doc_id, COALESCE(regexp_matches({_LINES}[-1], '{tx.INCOMPLETE}'), false) AS value FROM short"),
     "tx20_orphan_start": (on(tx.is_orphan_start, short), f"WITH {SHORT} SELECT doc_id, regexp_matches({STRIP.format('text')}, '" + tx.ORPHAN_START + "') AS value FROM short"),
     "tx21_heading_level": (lambda s, d: c.blocks(headed(s, d)).filter("block_type = 'heading'").select("doc_id", "block_no", "heading_level"), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT doc_id, block_no, heading_level FROM blocks WHERE block_type = 'heading'"),
     "tx26_table_text": (
@@ -132,7 +151,7 @@ QUERIES = {
         "SELECT conv_id, CAST(floor(turn / 16) AS BIGINT) AS part, concat('Table: turns', chr(10), 'turn | role', chr(10), string_agg(concat(CAST(turn AS STRING), ' | ', role), chr(10) ORDER BY turn, role)) AS value FROM conversations GROUP BY ALL",
     ),
     "tx27_doc_id": (lambda s, d: read(s, d, "pages").select("page_id", tx.doc_id_from_filename(F.regexp_replace("url", "^https?://", "")).alias("value")), r"SELECT page_id, upper(substring(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\.[^.]*$', ''), '[^A-Za-z0-9]+', '-', 'g'), 1, 16)) AS value FROM pages"),
-    "id04_fingerprint": (lambda s, d: read(s, d, "documents").agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("lang"))), ","), 256).alias("languages_hash"), identity.collection_fingerprint(F.col("doc_id"))[0]), "SELECT sha256(array_to_string(list_sort(list(DISTINCT lang)), ',')) AS languages_hash, count(doc_id) AS n FROM documents"),
+    "id04_fingerprint": (lambda s, d: read(s, d, "documents").groupBy("lang").agg(*identity.collection_fingerprint(F.col("doc_id"))), "SELECT lang, count(doc_id) AS n, CAST(sum(CAST('0x' || substring(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum FROM documents GROUP BY lang"),
     "mt07_percent": (lake_query(lambda t: t.groupBy("provider").agg(percent(F.count_if("grounded"), F.count("*"), 2).alias("rate"))), f"{LAKE} SELECT provider, {rnd('CAST(count(*) FILTER (WHERE grounded) AS DOUBLE) * 100 / greatest(1, count(*))', 2)} AS rate FROM lake GROUP BY provider"),
     "am03_term_frequency": (lambda s, d: r.bm25_index(rp.chunks(s, d))[0], rp.with_("SELECT term, chunk_id, tf FROM post", rp.BM25.split(", df AS")[0])),
     "am04_json_lists": (lake_query(lambda t: t.select("event_id", F.to_json(F.array("language", "script")).alias("j")).select("event_id", F.array_join(F.coalesce(F.from_json("j", "array<string>"), F.array("j")), ",").alias("value"))), f"{LAKE} SELECT event_id, concat(language, ',', script) AS value FROM lake"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, details, ingest, retrieval, telemetry
+from . import checks, corpus, details, ingest, retrieval, telemetry
 
-PARTS = (telemetry, ingest, corpus, retrieval, details)
+PARTS = (telemetry, ingest, corpus, retrieval, details, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

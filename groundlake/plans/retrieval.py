@@ -106,11 +106,18 @@ def answers(s, d):
     return read(s, d, "conversations").selectExpr("conv_id * 100 + turn AS query_id", f"CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer", "conv_id % 7 = 0 AS fallback")
 
 
+_SOURCE = "CAST(query_id % 5 + source_no - 1 AS INT)", "CASE WHEN query_id % 4 = 3 AND source_no = 2 THEN '' ELSE concat('f', CAST(source_no AS STRING)) END"
 ANSWERS_SQL = f"ans AS (SELECT conv_id * 100 + turn AS query_id, CASE WHEN conv_id % 5 = 0 THEN text ELSE {ANSWERS} END AS answer, conv_id % 7 = 0 AS fallback FROM conversations), src AS (SELECT conv_id * 100 + turn AS query_id, CAST(n AS INT) AS source_no FROM conversations, (VALUES (1), (2), (3)) AS t(n))"
 
 
 def sources(s, d):
-    return answers(s, d).select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("source_no"))
+    numbered = answers(s, d).select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("source_no"))
+    return numbered.selectExpr("*", f"{_SOURCE[0]} AS page_number", f"{_SOURCE[1]} AS filename")
+
+
+def blanked(answers_):
+    """Some of the answers as blanks."""
+    return answers_.withColumn("answer", F.when(F.col("query_id") % 11 == 5, "  ").otherwise(F.col("answer")))
 
 
 #: Each turn as an answer to the turn before it, which is also its context.
@@ -138,11 +145,12 @@ _FOREIGN = f"CASE language WHEN 'te' THEN {_has('kannada')} WHEN 'kn' THEN {_has
 _LOOSE = f"len(list_filter(list_distinct(regexp_extract_all(a, '{tx.NUMBER}')), lambda n: NOT list_contains(regexp_extract_all(context, '{tx.NUMBER}'), n) AND NOT COALESCE(regexp_full_match(n, '\\d+') AND TRY_CAST(n AS HUGEINT) <= 10, false)))"
 _URL_SQL = g.GUARD_URL.replace("'", "''")
 _URL_LABEL = "CASE language WHEN 'hi' THEN 'आधिकारिक पोर्टल / वेबसाइट: ' WHEN 'kn' THEN 'ಅಧಿಕೃತ ವೆಬ್‌ಸೈಟ್: ' WHEN 'te' THEN 'అధికారిక వెబ్‌సైట్: ' ELSE 'Official Portal / Website: ' END"
+GUARDED_ROWS = f"SELECT conv_id * 100 + turn AS query_id, {', '.join(f'{x} AS {n}' for n, x in _GUARDED.items())}, conv_id % 5 AS source FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
 GUARD = (
     "SELECT query_id, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'REJECT' END AS status, reason, "
     f"CASE WHEN NOT fallback AND ({' OR '.join(f'contains(lower(query), {chr(39)}{w}{chr(39)})' for w in g.GUARD_URL_WORDS)}) AND regexp_matches(context, '{_URL_SQL}') AND NOT regexp_matches(a, '{_URL_SQL}') THEN concat(a, chr(10), chr(10), {_URL_LABEL}, regexp_extract(context, '{_URL_SQL}')) ELSE a END AS answer "
     f"FROM (SELECT *, CASE WHEN fallback THEN NULL WHEN {_LOOSE} > 3 THEN 'NUMBER_MISMATCH' WHEN regexp_matches(a, '{g.GUARD_FRAGMENT}') THEN 'FRAGMENTARY_ANSWER' WHEN NOT ({_OWN}) AND length(a) > 15 THEN 'MISSING_TARGET_SCRIPT' WHEN {_FOREIGN} THEN 'SCRIPT_CONTAMINATION' WHEN source = 4 THEN 'INVALID_CITATION' END AS reason "
-    f"FROM (SELECT *, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a FROM (SELECT conv_id * 100 + turn AS query_id, {', '.join(f'{x} AS {n}' for n, x in _GUARDED.items())}, conv_id % 5 AS source FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))))"
+    f"FROM (SELECT *, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a FROM ({GUARDED_ROWS})))"
 )
 
 CITED = r"cited AS (SELECT query_id, CAST(n AS INT) AS source_no FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1))) AS n FROM ans)), resolved AS (SELECT c.query_id, c.source_no, s.source_no IS NOT NULL AS valid FROM cited c LEFT JOIN src s USING (query_id, source_no) UNION ALL SELECT query_id, source_no, true FROM src WHERE query_id IN (SELECT query_id FROM ans WHERE trim(answer) <> '' AND query_id NOT IN (SELECT query_id FROM cited)))"
@@ -256,7 +264,14 @@ QUERIES = {
     "jb22_prompts": (lambda s, d: g.prompts(asked(s, d).select("query_id", F.col("text").alias("query"), F.lit("en").alias("language")), g.contexts(packed(s, d))), with_(r"SELECT item_id AS query_id, concat(E'Context:\n', COALESCE(context, ''), E'\n\nQuestion: ', text, E'\nAnswer in en, citing sources as [Source n].') AS prompt FROM benchmark LEFT JOIN ctx ON item_id = query_id", BM25, PACKED, CONTEXTS)),
     "jb23_resolve_citations": (lambda s, d: g.resolve_citations(answers(s, d), sources(s, d)), with_("SELECT * FROM resolved", ANSWERS_SQL, CITED)),
     "jb24_guard_answers": (lambda s, d: g.guard(guarded(s, d)), GUARD),
-    "jb25_grounding_faults": (lambda s, d: g.grounding_faults(answers(s, d), g.resolve_citations(answers(s, d), sources(s, d)), sources(s, d)), with_("SELECT query_id, source_no, 'fallback cites' AS fault FROM resolved WHERE query_id IN (SELECT query_id FROM ans WHERE fallback) UNION ALL SELECT query_id, source_no, 'outside the context' FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.query_id = r.query_id AND src.source_no = r.source_no)", ANSWERS_SQL, CITED)),
+    "jb25_grounding_faults": (
+        lambda s, d: g.grounding_faults(blanked(answers(s, d)), g.resolve_citations(answers(s, d), sources(s, d)), sources(s, d)),
+        with_(
+            f"SELECT query_id, source_no, fault FROM (SELECT query_id, source_no, unnest(list_filter([CASE WHEN fallback THEN 'fallback cites' END, CASE WHEN NOT fallback AND NOT valid THEN 'outside the context' END, CASE WHEN NOT fallback AND valid AND {_SOURCE[0]} < 1 THEN 'bad page' END, CASE WHEN NOT fallback AND valid AND {_SOURCE[1]} = '' THEN 'no file name' END], lambda x: x IS NOT NULL)) AS fault FROM resolved JOIN ans USING (query_id)) "
+            "UNION ALL SELECT query_id, NULL, 'empty answer' FROM ans WHERE NOT fallback AND query_id % 11 = 5",
+            ANSWERS_SQL, CITED,
+        ),
+    ),
     "tx23_cited_indices": (lambda s, d: answers(s, d).select("query_id", F.array_join(tx.cited_indices(F.col("answer")), ",").alias("cited")), with_(r"SELECT query_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM (SELECT query_id, regexp_extract_all(answer, '(?i)\[(?:Source\s*)?(\d{1,9})\]', 1) AS l FROM ans)", ANSWERS_SQL)),
     "ag29_retrieval_quality": (lambda s, d: r.evaluate(dense(s, d), gold(s, d), "category"), with_(hits("den", "category"), _dense("den"), GOLD)),
     "jb27_retrieval_quality_all": (lambda s, d: r.evaluate(dense(s, d), gold(s, d)), with_(hits("den", ""), _dense("den"), GOLD)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ LAKE = (
 PARTITIONS = ("telemetry_environment", "date", "event_type")
 
 
-def read_events_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: (source_file, line_number, line) of all *.jsonl under ``path``; blank lines are skipped but counted."""
-    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("at"))
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("at"))
-    return raw.select("source_file", place.alias("line_number"), F.col("value").alias("line")).filter("trim(line) <> ''")
+def read_events_jsonl(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """SRC1: (source_file, line_number, line) of all ``names`` under ``path``; blank lines are skipped but counted.
+
+    A split of a file numbers its own lines; only a count a split is put in order, so that no task holds a whole file.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.option("pathGlobFilter", names).text(path).select("value", F.col("_metadata.file_name").alias("source_file"), *place, F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = raw.join(splits.select("file", "block", (before + 1 - F.col("first")).alias("shift")), ["file", "block"])
+    return numbered.select("source_file", (F.col("at") + F.col("shift")).alias("line_number"), F.col("value").alias("line")).filter("trim(line) <> ''")
 
 
 def write_by_type(events: DataFrame, path: str, mode: str = "append") -> None:
@@ -34,7 +42,7 @@ def write_rejected(rejected: DataFrame, path: str) -> None:
 
 def write_lake(lake: DataFrame, path: str) -> None:
     """SNK4: Snappy Parquet by environment, date and type; a run replaces the partitions it has rows for."""
-    lake.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
+    lake.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +51,17 @@ def read_lake(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metrics(tables: dict[str, DataFrame], path: str) -> None:
-    """SNK5: a table for each metric, by environment."""
+    """SNK5: a table for each metric, by environment, and the run's manifest (name, environment, rows, schema_version, generated_at) as JSON."""
+    counts = []
     for name, table in tables.items():
         table.write.mode("overwrite").partitionBy("environment").parquet(f"{path}/{name}")
+        counts.append(table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}").groupBy("environment").agg(F.count("*").alias("rows")).withColumn("name", F.lit(name)))
+    manifest = reduce(DataFrame.unionByName, counts).withColumns({"schema_version": F.lit("1.0"), "generated_at": F.current_timestamp()})
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_metrics_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, environment string, rows long, schema_version string, generated_at timestamp").json(f"{path}/manifest")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -145,3 +145,44 @@ def test_expired_answers_and_states(spark):
     answers = spark.createDataFrame([(1, "has X", True, False, True), (2, "no", False, True, True)], "query_id int, answer string, grounded boolean, fallback boolean, citation_valid boolean")
     got = g.answer_quality(answers, gold).first()
     assert (got.grounded_rate, got.fallback_correct_rate, got.citation_valid_rate, got.preserved_rate) == (100.0, 100.0, 100.0, 100.0)
+
+
+def test_required_keys_and_metadata_defaults(spark):
+    rows = spark.createDataFrame([("d:1", "d", [1.0], "t", "h", None, "en", "latin", 1, 0), (None, "d", None, " ", "h", "c", "en", "latin", 1, 0)], "chunk_id string, doc_id string, embedding array<double>, text string, file_hash_sha256 string, category string, language string, script string, page_number int, chunk_index int")
+    assert {(r.chunk_id, r.fault) for r in ix.record_faults(rows, 1, ix.REQUIRED_KEYS).collect()} == {("d:1", "no category"), (None, "bad id"), (None, "bad vector"), (None, "no text"), (None, "no chunk_id")}
+    assert {r.fault for r in ix.record_faults(rows.drop("script"), 1, ix.REQUIRED_KEYS).collect()} >= {"no script"}
+    made = ix.chunk_metadata(spark.createDataFrame([("a:1", "", 0, ["x"]), ("a:2", "s", 3, [])], "chunk_id string, section_title string, heading_level int, extraction_notes array<string>")).orderBy("chunk_id").collect()
+    assert [(r.section_title, r.heading_level, r.extraction_notes, r.category, r.parser_name) for r in made] == [("Introduction / Overview", 1, '["x"]', "general", None), ("s", 3, "[]", "general", None)]
+
+
+def test_deleted_chunks_leave_none(spark):
+    chunks = spark.createDataFrame([("A:p1:c0", "A"), ("B:p1:c0", None), ("C:p1:c0", "A"), ("AB:p1:c0", "AB")], "chunk_id string, doc_id string")
+    ids = spark.createDataFrame([("A",), ("B",), ("A",)], "doc_id string")
+    assert ix.remaining(chunks, ids).first().remaining == 3
+    left = ix.delete_chunks(chunks, ids)
+    assert [r.chunk_id for r in left.collect()] == ["AB:p1:c0"] and ix.remaining(left, ids).first().remaining == 0
+
+
+def test_lost_source_words(spark):
+    sources = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "alpha"), (4, " "), (5, None), (6, "a b")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(1, "Alpha be"), (1, "beta gamma"), (2, "beta"), (6, "x")], "doc_id long, text_content string")
+    assert {(r.doc_id, r.fault) for r in c.source_faults(chunks, sources).collect()} == {(2, "first word lost"), (2, "last word lost"), (3, "no chunks")}
+
+
+def test_grounding_faults_and_preservation(spark):
+    answers = spark.createDataFrame([(1, "x", False), (2, " ", False), (3, "f", True)], "query_id long, answer string, fallback boolean")
+    cited = spark.createDataFrame([(1, 1), (1, 2), (1, 9), (3, 1)], "query_id long, source_no int")
+    sources = spark.createDataFrame([(1, 1, 0, "f"), (1, 2, 1, None), (3, 1, 1, "f")], "query_id long, source_no int, page_number int, filename string")
+    got = {(r.query_id, r.source_no, r.fault) for r in g.grounding_faults(answers, cited, sources).collect()}
+    assert got == {(1, 1, "bad page"), (1, 2, "no file name"), (1, 9, "outside the context"), (3, 1, "fallback cites"), (2, None, "empty answer")}
+    gold = spark.createDataFrame([(1, "te", "http://a", None), (2, "kn", "", "75"), (9, "en", "http://b", "1")], "query_id long, language string, expected_url string, expected_number string")
+    said = spark.createDataFrame([(1, "see http://a తె ಕ"), (2, "75% ಕ")], "query_id long, answer string")
+    assert tuple(g.preservation(said, gold).first()) == (0.5, 0.5, 0.5)
+    assert tuple(g.preservation(said.limit(0), gold.limit(0)).first()) == (0.0, 0.0, 0.0)
+
+
+def test_variants_of_queries_that_are_not_english(spark):
+    words = spark.createDataFrame([("fee", "Cost"), ("fee", "cost"), ("hostel", "residence"), ("mess", "food")], "term string, expansion string")
+    asked = spark.createDataFrame([(1, "hostel fee mess", "kn", False), (2, "hostel fee", "en", False), (3, "fee", "en", True), (4, "Cost", "kn", False)], "query_id long, text string, language string, is_romanized boolean")
+    got = {(r.query_id, r.variant_no, r.variant_type, r.variant_text, r.weight) for r in qu.expand(asked, words).filter("variant_no > 1").collect()}
+    assert got == {(1, 2, "indic_translation", "residence food Cost", 0.85), (1, 3, "synonym", "residence food", 0.8), (2, 2, "synonym", "residence Cost", 0.8), (3, 2, "transliteration", "Cost", 0.85)}

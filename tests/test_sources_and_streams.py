@@ -110,3 +110,23 @@ def test_keyed_state_equals_the_window(spark, tmp_path):
     got = {r.event_id: r.previous_language for r in _run(st.previous_language(stream), tmp_path, spark, "sessions").collect()}
     want = {r.event_id: r.lag_language for r in m.with_previous_language(lake).collect()}
     assert got == want
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    for name, n in (("a.jsonl", 4000), ("b.jsonl", 7)):
+        (tmp_path / name).write_text("".join("\n" if i % 10 == 3 else f"{i}\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        lines = se.read_events_jsonl(spark, str(tmp_path))
+        assert lines.groupBy(F.spark_partition_id()).count().count() > 1
+        got = sorted((r.source_file, r.line_number, r.line) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((name, i, str(i)) for name, n in (("a.jsonl", 4000), ("b.jsonl", 7)) for i in range(1, n + 1) if i % 10 != 3)
+
+
+def test_metrics_have_a_manifest(spark, tmp_path):
+    table = spark.createDataFrame([("all", 1), ("all", 2), ("live", 1)], "environment string, n long")
+    se.write_metrics({"x": table, "none": table.limit(0)}, str(tmp_path / "m"))
+    assert {(r.name, r.environment, r.rows, r.schema_version) for r in se.read_metrics_manifest(spark, str(tmp_path / "m")).collect()} == {("x", "all", 2, "1.0"), ("x", "live", 1, "1.0")}
