@@ -67,46 +67,69 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 12, where: Colum
     return found.withColumn("lexical_score", rounded(F.col("score") / best, 4)).filter(F.col("lexical_score") >= min_score)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 12, min_score: float = 0.0, block_rows: int = 1024) -> DataFrame:
+def _units(vectors: pa.Array, size: int) -> np.ndarray:
+    """A matrix of the vectors over their lengths; a zero vector stays."""
+    rows = np.array(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), size)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1e-9, norms)
+
+
+def _packed(table: DataFrame, name: str, size: int, rows: int) -> DataFrame:
+    """(``name``_ids, ``name``_matrix): the table's valid vectors as blocks of at most ``rows`` unit vectors, where its rows are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = pa.ListArray.from_arrays([0, part.num_rows], part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_units(part.column(1), size).tobytes()], pa.binary())], ["ids", "matrix"])
+
+    kept = table.filter(valid_vector(F.col("embedding"), size) & F.col(f"{name}_id").isNotNull())
+    return kept.select(F.col(f"{name}_id").cast("bigint"), "embedding").mapInArrow(run, "ids array<bigint>, matrix binary").withColumnsRenamed({"ids": f"{name}_ids", "matrix": f"{name}_matrix"})
+
+
+def _best(places: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (query's place, id, score) of each place; smaller ids first on ties."""
+    order = np.lexsort((ids, -scores, places))
+    places, ids, scores = places[order], ids[order], scores[order]
+    kept = np.arange(len(places)) - np.searchsorted(places, places) < k
+    return places[kept], ids[kept], scores[kept]
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 12, min_score: float = 0.0, block_rows: int = 1024, held_blocks: int = 64) -> DataFrame:
     """JB13, JN4, UF3, MT2: cosine in 0..1, top k; query_id, chunk_id, dense_score, rank.
 
-    ``queries`` (query_id, embedding) go out in blocks of ``block_rows``; a task multiplies a block with each
-    batch of ``vectors`` (chunk_id, embedding) and passes on k rows a query, so pairs never leave it. Vectors that
-    are null, hold a number that isn't finite, or are shorter than the longest query are left out on either side.
+    ``queries`` (query_id, embedding) and ``vectors`` (chunk_id, embedding) become blocks of ``block_rows`` rows, at most 4 MB, where they are
+    read. Every block of queries meets every block of vectors, and a task passes on k rows a query of the up to ``held_blocks`` blocks of
+    queries it holds; no vector passes through the driver. Rows without an id and vectors that are null, hold a number that
+    isn't finite, or are shorter than the longest query are left out on either side.
     """
-    size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-    queries, vectors = (t.filter(valid_vector(F.col("embedding"), size)) for t in (queries, vectors))
-
-    def units(column: pa.Array) -> np.ndarray:
-        rows = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), size)
-        norms = np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
-        return rows / np.where(norms == 0, 1e-9, norms)
-
-    def search(block: list) -> DataFrame:
-        ids, wanted = [r[0] for r in block], units(pa.array([r[1] for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
-                names, rows = batch.column("chunk_id").to_pylist(), units(batch.column("embedding"))
-                scores = np.floor(np.clip(wanted @ rows.T, 0, 1) * 10000 + 0.5) / 10000
-                for q, line in enumerate(scores):
-                    cut = np.partition(line, -k)[-k] if len(line) > k else -2.0
-                    best[q] = sorted([*best[q], *((-line[i], names[i]) for i in np.flatnonzero(line >= cut))])[:k]
-            rows = [(ids[q], c, -s) for q, found in enumerate(best) for s, c in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "dense_score"])
-
-        return vectors.select("chunk_id", "embedding").mapInArrow(run, "query_id bigint, chunk_id bigint, dense_score double")
-
-    found, block = [], []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == block_rows:
-            found.append(search(block))
-            block = []
-    if block or not found:
-        found.append(search(block))
-    return top_k(reduce(DataFrame.unionByName, found), k, "dense_score").filter(F.col("dense_score") >= min_score)
+    size, asked = queries.agg(F.coalesce(F.greatest(F.lit(0), F.max(F.size("embedding"))), F.lit(0)), F.count("*")).first()
+    rows = max(1, min(block_rows, (4 << 20) // (8 * max(1, size))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+
+        def found(key: bytes) -> pa.RecordBatch:
+            places, ids, scores = held.pop(key)
+            return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[places]), pa.array(ids), pa.array(scores)], ["query_id", "chunk_id", "dense_score"])
+
+        for batch in batches:
+            for q_ids, q_matrix, c_ids, c_matrix in zip(*(batch.column(c) for c in ("query_ids", "query_matrix", "chunk_ids", "chunk_matrix"))):
+                key, names = q_ids.values.to_numpy().tobytes(), c_ids.values.to_numpy()
+                wanted, there = (np.frombuffer(m.as_buffer(), np.float64).reshape(-1, size) for m in (q_matrix, c_matrix))
+                scores = np.floor(np.clip(wanted @ there.T, 0, 1) * 10000 + 0.5) / 10000
+                cut = np.partition(scores, -k, axis=1)[:, -k, None] if len(names) > k else -1.0
+                places, at = np.nonzero(scores >= cut)
+                new = places, names[at], scores[places, at]
+                held[key] = _best(*(np.concatenate(both) for both in zip(held[key], new)), k) if key in held else _best(*new, k)
+                if len(held) > held_blocks:
+                    yield found(next(iter(held)))
+        yield from map(found, list(held))
+
+    blocks = _packed(queries, "query", size, rows).repartition(max(1, asked // (rows * 16)))
+    pairs = _packed(vectors, "chunk", size, rows).crossJoin(blocks)
+    return top_k(pairs.mapInArrow(run, "query_id bigint, chunk_id bigint, dense_score double"), k, "dense_score").filter(F.col("dense_score") >= min_score)
 
 
 def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
