@@ -15,7 +15,7 @@ from ..operators import queries as qu
 from ..operators import retrieval as r
 from . import retrieval as rp
 from .corpus import BLOCKS, COUNTS, HEADED_SQL, PARTS, PICK, PRIMARY, ROMAN, SHORT, STRIP, TOKENS_SQL, headed, mixed, on, short, sql
-from .ingest import FIRST, SECRET, _got, checked
+from .ingest import FIRST, SECRET, _got, _list, checked
 from .ingest import sql as line_sql
 from .telemetry import NAME, QUERY, rnd
 from .view import LAKE_SQL, lake
@@ -92,6 +92,16 @@ ENTITIES = (
     f"WITH {SHORT} SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: upper(y)), upper(x)) = i), '|') AS value FROM (SELECT doc_id, list_concat({_NAMES}, list_filter([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in sorted(tx.KNOWN_ENTITIES))}], lambda x: list_contains(regexp_extract_all(upper(text), '[A-Z0-9_]+'), x)), {_QUOTED}) AS l FROM short)"
 )
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+_TELLING = f"array_to_string(list_filter({TOKENS_SQL}, lambda t: length(t) > 2 AND t NOT IN ({_list(tx.QUERY_STOP_WORDS)})), ' ')"
+_VARIANTS = (
+    "SELECT item_id, unnest(kept) AS text, generate_subscripts(kept, 1) AS n FROM (SELECT item_id, list_filter(made, lambda v, i: v <> '' AND list_position(list_transform(made, lambda x: lower(x)), lower(v)) = i) AS kept "
+    f"FROM (SELECT item_id, [{STRIP.format('text')}, {_NORMAL}, {_TELLING}] AS made FROM benchmark))"
+)
+VARIANTS = rp.with_(
+    "SELECT CAST(split_part(query_id, '|', 1) AS BIGINT) AS query_id, chunk_id, min(rank) AS best_rank, string_agg(split_part(query_id, '|', 2), ',' ORDER BY query_id) AS variants, floor((CAST(1 AS DOUBLE) / (60 + min(rank)) + (count(*) - 1) * CAST(0.0001 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS fused_score FROM lex GROUP BY ALL",
+    rp.bm25(f"SELECT concat(CAST(item_id AS STRING), '|v', CAST(n AS STRING)) AS query_id, {TOKENS_SQL} AS l FROM ({_VARIANTS})"),
+)
 _ISLAND = "chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, section_title ORDER BY chunk_index) AS i"
 
 QUERIES = {
@@ -117,7 +127,7 @@ QUERIES = {
         f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)), said AS (SELECT query_id, list(expansion ORDER BY length(term) DESC, term) AS l FROM hit GROUP BY query_id) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, CASE WHEN query_id % 4 = 0 THEN 'transliteration' ELSE 'indic_translation' END, array_to_string(l[1:3], ' '), CAST(0.85 AS DOUBLE) FROM said WHERE query_id % 3 = 0 OR query_id % 4 = 0 "
         "UNION ALL SELECT query_id, CASE WHEN query_id % 3 = 0 OR query_id % 4 = 0 THEN 3 ELSE 2 END, 'synonym', array_to_string(l[1:2], ' '), CAST(0.8 AS DOUBLE) FROM said WHERE (query_id % 3 <> 0 AND query_id % 4 <> 0) OR len(l) > 2",
     ),
-    "jb15_multi_variant_search": (lambda s, d: r.best_rank_rrf(r.bm25_search(qu.variants(rp.asked(s, d)).select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant").alias("query_id"), "text"), rp.chunks(s, d), 12).select(F.split("query_id", r"\|")[0].cast("bigint").alias("query_id"), "chunk_id", "rank", F.split("query_id", r"\|")[1].alias("variant"))), None),
+    "jb15_multi_variant_search": (lambda s, d: r.best_rank_rrf(r.bm25_search(qu.variants(rp.asked(s, d)).select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant").alias("query_id"), "text"), rp.chunks(s, d), 12).select(F.split("query_id", r"\|")[0].cast("bigint").alias("query_id"), "chunk_id", "rank", F.split("query_id", r"\|")[1].alias("variant"))), VARIANTS),
     "jb35_process_queries": (lambda s, d: qu.understand(conversation_queries(s, d)).drop("script_distribution"), None),
     "tx18_follow_up": (lambda s, d: conversation_queries(s, d).select("query_id", qu.resolve_follow_up(F.col("text"), F.col("before"), {"the": ["the"], "der": ["der"]}).alias("resolved")), FOLLOW_UP),
     "jb26_reattach_url": (lambda s, d: rp.guarded(s, d).select("query_id", g.reattach_url(F.col("query"), F.col("answer"), F.col("context"), F.col("language")).alias("answer")), REATTACHED),

@@ -186,3 +186,25 @@ def test_variants_of_queries_that_are_not_english(spark):
     asked = spark.createDataFrame([(1, "hostel fee mess", "kn", False), (2, "hostel fee", "en", False), (3, "fee", "en", True), (4, "Cost", "kn", False)], "query_id long, text string, language string, is_romanized boolean")
     got = {(r.query_id, r.variant_no, r.variant_type, r.variant_text, r.weight) for r in qu.expand(asked, words).filter("variant_no > 1").collect()}
     assert got == {(1, 2, "indic_translation", "residence food Cost", 0.85), (1, 3, "synonym", "residence food", 0.8), (2, 2, "synonym", "residence Cost", 0.8), (3, 2, "transliteration", "Cost", 0.85)}
+
+
+def test_chunk_faults_and_report(spark):
+    good = ("d:p1:c0", "d", 1, 0, "text", 4, 0, 4)
+    rows = [good, ("d:c1", "d", 1, 1, "x", 1, 0, 1), ("d:p1:c2", "d", 1, 2, " ", 1, 0, 1), ("d:p1:c3", "d", 1, 3, "and so", 5, 0, 6), ("d:p0:c4", "d", 0, 4, "x", 1, 0, 1), ("d:p1:c5", "d", 1, 5, "x", 1, 4, 2), ("d:p1:c9", "d", 1, 9, "x", 1, 0, 1), ("e:p1:c0", "e", 1, 0, "longer", 6, 0, 6)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, page_number int, chunk_index int, text_content string, text_length int, source_start_offset int, source_end_offset int")
+    got = {x.chunk_id: (x.fault, x.orphan_start) for x in c.chunk_faults(chunks, 5).collect()}
+    assert [got[x[0]][0] for x in rows] == [None, "bad id", "empty", "wrong length", "bad page", "bad offsets", "index gap", "too long"] and got["d:p1:c3"][1] and not got["d:p1:c0"][1]
+    twice = c.chunk_faults(chunks.filter("doc_id = 'e'").union(chunks.filter("doc_id = 'e'")), 9).collect()
+    assert [x.fault for x in twice] == ["duplicate id"] * 2
+    report = {x.doc_id: tuple(x)[1:] for x in c.chunk_report(chunks).collect()}
+    assert report["e"] == (1, 6.0, 6, 6, 6) and report["d"] == (7, 2.0, 1, 5, 14)
+
+
+def test_variants_and_understanding(spark):
+    asked = spark.createDataFrame([(1, "  What is the  Fee? "), (2, "fee"), (3, " ")], "query_id long, text string")
+    got = {(x.query_id, x.variant, x.text) for x in qu.variants(asked).collect()}
+    assert {x for x in got if x[0] != 1} == {(2, "v1", "fee")} and {(1, "v1", "What is the  Fee?"), (1, "v2", "What is the Fee?"), (1, "v3", "fee")} == {x for x in got if x[0] == 1}
+    turns = spark.createDataFrame([(1, "What is the fee?", ["hostel rules"]), (2, "ಹಾಜರಾತಿ ಎಷ್ಟು MCA", []), (3, "the 75% rule", None)], "query_id long, text string, before array<string>")
+    rows = {x.query_id: x for x in qu.understand(turns).collect()}
+    assert rows[1].normalized == "What is the fee for hostel?" and rows[1].language == "en" and rows[1].script == "latin"
+    assert rows[2].language == "kn" and rows[2].is_code_mixed and rows[2].entities == "MCA" and rows[3].normalized == "the 75% rule" and "75%" in rows[3].terms
