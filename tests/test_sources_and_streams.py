@@ -130,3 +130,11 @@ def test_metrics_have_a_manifest(spark, tmp_path):
     table = spark.createDataFrame([("all", 1), ("all", 2), ("live", 1)], "environment string, n long")
     se.write_metrics({"x": table, "none": table.limit(0)}, str(tmp_path / "m"))
     assert {(r.name, r.environment, r.rows, r.schema_version) for r in se.read_metrics_manifest(spark, str(tmp_path / "m")).collect()} == {("x", "all", 2, "1.0"), ("x", "live", 1, "1.0")}
+
+
+def test_questions_and_reports(spark, tmp_path):
+    (tmp_path / "gold.json").write_text(json.dumps([{"question_id": "Q1", "question": "x?", "language": "kn", "acceptable_answer_points": ["a", "b"], "source_documents": [{"document_id": "D", "page": 2}], "answer_available": True}, {"question_id": "Q2"}]))
+    one, two = sd.read_questions(spark, str(tmp_path / "gold.json")).orderBy("question_id").collect()
+    assert one.acceptable_answer_points == ["a", "b"] and one.source_documents[0].page == 2 and one.answer_available and two.question is None
+    se.write_report(spark.createDataFrame([("insert", 3)], "action string, chunks long"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.schema("action string, chunks long").json(str(tmp_path / "report")).collect()] == [("insert", 3)]
