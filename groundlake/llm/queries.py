@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, licenses, quality, sharding, simhash, sst, toxicity, warc
+from . import bpe, decontaminate, hmm, licenses, maintext, quality, sharding, simhash, spelling, sst, toxicity, warc, whitening
 from .common import documents
 
 
@@ -55,8 +56,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("decoded_same")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it doesn't fit a long; ``deviation_exact`` has it to 38 digits."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.expr("try_cast(deviation_exact AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_decontaminate, op3_hidden_markov, op4_license_templates, op5_divergence_rules, op6_warc, op7_token_tables, op8_toxic_sentences, op9_ring_shards, op10_byte_bpe)
+    found = (op1_simhash, op2_decontaminate, op3_hidden_markov, op4_license_templates, op5_divergence_rules, op6_warc, op7_token_tables, op8_toxic_sentences, op9_ring_shards, op10_byte_bpe, op11_main_text, op12_spelling_variants, op13_whitening)
     return {f.__name__: f for f in found}
 
 
