@@ -27,6 +27,7 @@ PATTERNS = {
     "bearer": r"\bBearer\s+[A-Za-z0-9\-\._~\+\/]+=*\b",
 }
 LONG_ALLOWED = ("error_details", "fallback_reason")
+EXEMPT = ("error_details", "fallback_reason", "source_parquet_path", "source_path", "output_directory")
 MAX_TEXT = 200
 NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
@@ -173,15 +174,70 @@ def report(checked: DataFrame) -> DataFrame:
     return checked.groupBy(outcome.alias("outcome"), kind_.alias("event_type")).agg(F.count("*").alias("records"), F.countDistinct(text("event_id")).alias("distinct_ids"))
 
 
-def audit(lines: DataFrame, exempt: tuple[str, ...] = ("error_details", "fallback_reason", "reason", "title", "description")) -> DataFrame:
-    """JB4: a row for each privacy violation in (source_file, line_number, line): forbidden key, sensitive value, long text."""
-    rows = parsed(lines).filter("v IS NOT NULL").withColumn("texts", _texts())
-    at = ("source_file", "line_number")
-    keys = rows.select(*at, F.explode(F.json_object_keys("line")).alias("field")).filter(F.lower(F.trim("field")).isin(*FORBIDDEN)).withColumn("violation_type", F.lit("forbidden_key"))
-    values = rows.select(*at, F.explode("texts").alias("e")).select(*at, F.col("e.name").alias("field"), F.col("e.value").alias("value"))
-    hits = [F.when(F.col("value").rlike(p), F.lit(name)) for name, p in PATTERNS.items()] + [F.when((F.length("value") > MAX_TEXT) & ~F.col("field").isin(*exempt), F.lit("long_text"))]
-    found = values.select(*at, "field", F.explode(F.array_compact(F.array(*hits))).alias("violation_type"))
-    return keys.select(*at, "field", "violation_type").unionByName(found)
+def _object(v: Column) -> Column:
+    """A VARIANT's fields; null if it isn't an object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _objects(v: Column) -> Column:
+    """The object a VARIANT is, or the objects among its items if it is a list."""
+    items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: _object(x).isNotNull())
+    return F.when(_object(v).isNotNull(), F.array(v)).otherwise(F.coalesce(items, F.array().cast("array<variant>")))
+
+
+def fields_of(records: DataFrame, record: str = "v") -> DataFrame:
+    """AM5: ``field``, ``value`` (VARIANT) and ``depth`` of every field of ``record`` and of all objects in it, at any depth.
+
+    Objects are met as values of fields and as items of lists. A record that is no object has no fields. Each level of a record opens the
+    next one within its row; there are no more levels than brackets in its text. Other columns stay.
+    """
+    kind_ = "array<struct<field:string, value:variant, depth:int>>"
+
+    def deeper(state: Column, depth: Column) -> Column:
+        of = lambda o: F.transform(F.map_entries(_object(o)), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), depth.cast("int").alias("depth")))
+        new = F.flatten(F.transform(state["open"], of))
+        return F.struct(F.concat(state["found"], new).alias("found"), F.flatten(F.transform(new, lambda e: _objects(e["value"]))).alias("open"))
+
+    levels = F.sequence(F.lit(1), F.length(F.regexp_replace(F.to_json(record), r"[^\[{]", "")) + 1)
+    start = F.struct(F.array().cast(kind_).alias("found"), F.when(_object(F.col(record)).isNotNull(), F.array(record)).otherwise(F.array().cast("array<variant>")).alias("open"))
+    return records.withColumn("found", F.explode(F.aggregate(levels, start, deeper, lambda state: state["found"]))).select("*", "found.*").drop("found")
+
+
+def _violations(records: DataFrame, exempt: tuple[str, ...]) -> DataFrame:
+    rows = fields_of(records.select("source_file", "line_number", "v")).withColumn("value", F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string")))
+    hits = [F.when(F.lower(F.trim("field")).isin(*FORBIDDEN), F.lit("forbidden_key")), *(F.when(F.col("value").rlike(p), F.lit(name)) for name, p in PATTERNS.items())]
+    hits.append(F.when((F.length("value") > MAX_TEXT) & ~F.col("field").isin(*exempt), F.lit("long_text")))
+    return rows.select("source_file", "line_number", "field", F.explode(F.array_compact(F.array(*hits))).alias("violation_type"))
+
+
+def audit(lines: DataFrame, exempt: tuple[str, ...] = EXEMPT) -> DataFrame:
+    """JB4: a row for each privacy violation in (source_file, line_number, line): forbidden key, sensitive value, long text, at any depth.
+
+    Lines that aren't JSON, or no object, have none; fields of the ``exempt`` names may be long.
+    """
+    return _violations(parsed(lines), exempt)
+
+
+def audit_documents(files: DataFrame, exempt: tuple[str, ...] = EXEMPT) -> DataFrame:
+    """JB4 for whole JSON files (source_file, text): one record, or a list of them, which are numbered from 1."""
+    rows = files.withColumn("v", F.try_parse_json("text"))
+    listed = F.try_variant_get("v", "$", "array<variant>")
+    return _violations(rows.select("source_file", F.posexplode(F.coalesce(listed, F.array("v"))).alias("line_number", "v")).withColumn("line_number", F.col("line_number") + 1), exempt)
+
+
+def audit_table(rows: DataFrame, source_file: Column, row_number: Column, exempt: tuple[str, ...] = EXEMPT) -> DataFrame:
+    """JB4 for a table: each forbidden column name once a file at row 0, then what ``audit`` says of its rows and all that is nested in them.
+
+    ``source_file`` and ``row_number`` say where a row comes from, for Parquet ``F.col("_metadata.file_name")`` and
+    ``F.col("_metadata.row_index") + 1``.
+    """
+    names = [n for n in rows.columns if n.lower() in FORBIDDEN]
+    placed = rows.select(source_file.alias("source_file"), row_number.alias("line_number"), F.to_variant_object(F.struct(*rows.columns)).alias("v"))
+    found = _violations(placed, exempt)
+    if not names:
+        return found
+    columns = placed.select("source_file").distinct().select("source_file", F.lit(0).alias("line_number"), F.explode(F.array(*map(F.lit, names))).alias("field"), F.lit("forbidden_key").alias("violation_type"))
+    return columns.unionByName(found)
 
 
 def audit_summary(violations: DataFrame) -> DataFrame:

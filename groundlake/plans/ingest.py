@@ -19,7 +19,8 @@ LINE = (
     " ',\"language\":\"', CASE WHEN {n} = 8 THEN 'xx' ELSE {language} END, '\",\"script\":\"', CASE WHEN {n} = 9 THEN 'runic' ELSE {script} END, '\",\"provider\":\"', CASE WHEN {n} = 10 THEN 'acme' ELSE {provider} END, '\"',"
     " ',\"session_id\":\"', CASE WHEN {n} = 22 THEN '' WHEN {n} < 10 THEN concat('SES-LIVE', CAST(user_id AS STRING)) ELSE CAST(user_id AS STRING) END, '\"',"
     " CASE {n} WHEN 11 THEN ',\"telemetry_environment\":\"prod\"' WHEN 12 THEN ',\"telemetry_environment\":\"LIVE\"' WHEN 13 THEN ',\"raw_query\":\"x\"' WHEN 14 THEN ',\"note\":\"write to a.b@c.org\"' WHEN 15 THEN concat(',\"note\":\"', repeat('x', 201), '\"')"
-    " WHEN 16 THEN ',\"note\":\"call 9876543210 now\"' WHEN 17 THEN ',\"note\":\"Bearer abc.def\"' WHEN 18 THEN concat(',\"fallback_reason\":\"', repeat('y', 300), '\"') WHEN 21 THEN ',\" Email \":1' WHEN 23 THEN ',\"candidate_count\":null' ELSE concat(',\"candidate_count\":', CAST(k % 9 AS STRING)) END, '}}') END"
+    " WHEN 16 THEN ',\"note\":\"call 9876543210 now\"' WHEN 17 THEN ',\"note\":\"Bearer abc.def\"' WHEN 18 THEN concat(',\"fallback_reason\":\"', repeat('y', 300), '\"') WHEN 21 THEN ',\" Email \":1' WHEN 23 THEN ',\"candidate_count\":null' WHEN 24 THEN ',\"meta\":{{\"inner\":{{\"Password\":\"x\",\"list\":[{{\"note\":\"Bearer abc.def\"}},[{{\"secret\":1}}],\"e.f@g.org\"]}}}}'"
+    " WHEN 25 THEN concat(',\"items\":[{{\"email\":\"a.b@c.org\"}},{{\"deep\":[{{\"reason\":\"', repeat('z', 201), '\"}}]}}]') WHEN 26 THEN concat(',\"meta\":{{\"source_path\":\"', repeat('p', 201), '\",\"call\":[{{\"me\":{{\"at\":\"9876543210\"}}}}]}}') ELSE concat(',\"candidate_count\":', CAST(k % 9 AS STRING)) END, '}}') END"
 ).format(n=_N, type=V["event_type"], date=V["date"], hour=V["hour"], language=V["language"], script=V["script"], provider=V["provider"])
 COLUMNS = {"source_file": "concat('f', CAST(event_id % 3 AS STRING))", "line_number": "event_id", "line": LINE}
 LINES_SQL = "lines AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in COLUMNS.items()) + " FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"
@@ -102,13 +103,34 @@ NORMAL = (
     f"CAST(1 AS INT) AS variant_count, CAST(COALESCE({_got('candidate_count')}, '0') AS INT) AS candidate_count, CAST({_got('latency_ms')} AS DOUBLE) AS latency_ms, CAST({_got('latency_ms')} AS DOUBLE) AS total_latency_ms, true AS grounded, true AS citation_valid, false AS fallback_used, COALESCE({_got('fallback_reason')}, '') AS fallback_reason FROM firsts"
 )
 NORMAL_COLUMNS = "event_id event_type telemetry_environment timestamp date hour anonymous_user_id user_identity_available session_id document_id language script provider variant_count candidate_count latency_ms total_latency_ms grounded citation_valid fallback_used fallback_reason".split()
+#: Every field of every object, each level from the objects among the values of the last.
+WALK = (
+    "walk AS (SELECT source_file, line_number, 1 AS depth, field, json_extract(j, concat('$.\"', field, '\"')) AS value FROM (SELECT source_file, line_number, j, unnest(json_keys(j)) AS field FROM checked WHERE json_type(j) = 'OBJECT')"
+    " UNION ALL SELECT source_file, line_number, depth + 1, field, json_extract(o, concat('$.\"', field, '\"')) FROM (SELECT source_file, line_number, depth, o, unnest(json_keys(o)) AS field FROM (SELECT source_file, line_number, depth, unnest(CASE json_type(value) WHEN 'OBJECT' THEN [value]"
+    " WHEN 'ARRAY' THEN list_filter(CAST(value AS JSON[]), lambda x: json_type(x) = 'OBJECT') ELSE [] END) AS o FROM walk)))"
+)
+
+
+def walk_sql(body: str) -> str:
+    return sql(body, WALK).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_VALUE = "CASE WHEN json_type(value) = 'VARCHAR' THEN json_extract_string(value, '$') END"
 AUDIT = (
-    f"SELECT source_file, line_number, field, 'forbidden_key' AS violation_type FROM (SELECT source_file, line_number, unnest(json_keys(j)) AS field FROM checked WHERE json_type(j) = 'OBJECT') WHERE lower(trim(field)) IN ({_list(e.FORBIDDEN)}) UNION ALL "
-    + " UNION ALL ".join(
-        f"SELECT source_file, line_number, field, '{name}' AS violation_type FROM (SELECT source_file, line_number, j, unnest(json_keys(j)) AS field FROM checked WHERE json_type(j) = 'OBJECT') WHERE json_type(j, concat('$.\"', field, '\"')) = 'VARCHAR' AND {cond}"
-        for name, cond in [*((n, f"regexp_matches(json_extract_string(j, concat('$.\"', field, '\"')), '{p}')") for n, p in e.PATTERNS.items()), ("long_text", "length(json_extract_string(j, concat('$.\"', field, '\"'))) > 200 AND field NOT IN ('error_details', 'fallback_reason', 'reason', 'title', 'description')")]
-    )
+    f"SELECT source_file, line_number, field, unnest(list_filter([CASE WHEN lower(trim(field)) IN ({_list(e.FORBIDDEN)}) THEN 'forbidden_key' END, "
+    + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in e.PATTERNS.items())
+    + f", CASE WHEN length(text) > 200 AND field NOT IN ({_list(e.EXEMPT)}) THEN 'long_text' END], lambda x: x IS NOT NULL)) AS violation_type FROM (SELECT *, {_VALUE} AS text FROM walk)"
 )
+_PATTERN_HITS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in e.PATTERNS.items())
+
+
+def audited_table(spark, sf_dir):
+    """Documents as a table with a forbidden column; every other text lies in a list of structs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = docs.select("doc_id", F.lit(1).alias("email"), F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.col("text").alias("body")))).alias("parts"))
+    return e.audit_table(made, F.concat(F.lit("part "), (F.col("doc_id") % 3).cast("string")), F.col("doc_id"))
+
+
 USER_ID = "CASE WHEN user_id % 17 = 0 THEN ' ' WHEN user_id % 5 = 0 THEN concat('USER-', CAST(user_id % 100 AS STRING)) ELSE concat('ನಾಗ', CAST(user_id AS STRING)) END"
 SESSION_ID = "CASE WHEN user_id % 17 = 0 THEN '' WHEN user_id % 5 = 0 THEN concat('SES-', CAST(user_id AS STRING)) ELSE concat('session ', CAST(user_id AS STRING)) END"
 
@@ -141,8 +163,10 @@ QUERIES = {
     "prj01_normalize": (lambda s, d: normalized(s, d).select(*NORMAL_COLUMNS), sql(NORMAL, FIRST)),
     "jb01_ingest_report": (lambda s, d: e.report(checked(s, d)), sql(f"SELECT COALESCE(reason, 'valid') AS outcome, CASE WHEN reason IS NULL THEN {_text('event_type')} END AS event_type, count(*) AS records, count(DISTINCT {_text('event_id')}) AS distinct_ids FROM checked GROUP BY ALL")),
     "jb02_lake_partitions": (lambda s, d: normalized(s, d).groupBy("telemetry_environment", "date", "event_type").agg(F.count("*").alias("records")), sql(f"SELECT telemetry_environment, date, event_type, count(*) AS records FROM ({NORMAL}) GROUP BY ALL", FIRST)),
-    "jb04_privacy_audit": (lambda s, d: e.audit(lines(s, d)), sql(AUDIT)),
-    "ag35_audit_summary": (lambda s, d: e.audit_summary(e.audit(lines(s, d))), sql(f"SELECT violation_type, count(*) AS violations, count(DISTINCT (source_file, line_number)) AS records FROM ({AUDIT}) GROUP BY ALL")),
+    "jb04_privacy_audit": (lambda s, d: e.audit(lines(s, d)), walk_sql(AUDIT)),
+    "jb04_audit_table": (audited_table, f"SELECT source_file, 0 AS line_number, 'email' AS field, 'forbidden_key' AS violation_type FROM (SELECT DISTINCT concat('part ', CAST(doc_id % 3 AS STRING)) AS source_file FROM documents) UNION ALL SELECT concat('part ', CAST(doc_id % 3 AS STRING)), doc_id, f, v FROM (SELECT doc_id, 'email' AS f, 'forbidden_key' AS v FROM documents UNION ALL SELECT doc_id, 'body', unnest(list_filter([{_PATTERN_HITS}, CASE WHEN length(text) > 200 THEN 'long_text' END], lambda x: x IS NOT NULL)) FROM documents WHERE doc_id % 2 = 0)"),
+    "am05_nested_fields": (lambda s, d: e.fields_of(e.parsed(lines(s, d))).select("source_file", "line_number", "field", "depth"), walk_sql("SELECT source_file, line_number, field, depth FROM walk")),
+    "ag35_audit_summary": (lambda s, d: e.audit_summary(e.audit(lines(s, d))), walk_sql(f"SELECT violation_type, count(*) AS violations, count(DISTINCT (source_file, line_number)) AS records FROM ({AUDIT}) GROUP BY ALL")),
     "id01_anonymous_user": (identities(identity.anonymous_user_id, USER_ID), _id_sql("USER-", USER_ID, "regexp_full_match(trim(x), 'USER-[0-9]{1,3}')")),
     "id02_anonymous_session": (identities(identity.anonymous_session_id, SESSION_ID), _id_sql("SES-", SESSION_ID, "starts_with(trim(x), 'SES-') AND length(trim(x)) <= 12")),
     "id03_content_hash": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", identity.content_hash(F.col("text")).alias("content_hash")), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),

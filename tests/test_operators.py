@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from groundlake.functions import text as tx
 from groundlake.operators import corpus as c
+from groundlake.operators import events as e
 from groundlake.operators import ground as g
 from groundlake.operators import index as ix
 from groundlake.operators import queries as qu
@@ -208,3 +209,31 @@ def test_variants_and_understanding(spark):
     rows = {x.query_id: x for x in qu.understand(turns).collect()}
     assert rows[1].normalized == "What is the fee for hostel?" and rows[1].language == "en" and rows[1].script == "latin"
     assert rows[2].language == "kn" and rows[2].is_code_mixed and rows[2].entities == "MCA" and rows[3].normalized == "the 75% rule" and "75%" in rows[3].terms
+
+
+def violations(df):
+    return sorted((r.source_file, r.line_number, r.field, r.violation_type) for r in df.collect())
+
+
+def test_audit_finds_what_is_nested(spark):
+    lines = [
+        '{"a":{"password":"x"},"l":[{"note":"Bearer abc.def"}]}', '{"l":[[{"secret":1}],"a.b@c.org",{"m":[{"n":{"o":{" Api_Key ":null}}}]}]}', '{"title":"%s","source_path":"%s"}' % ("t" * 201, "s" * 300),
+        '[{"password":1}]', "not json", '{"call":"9876543210 or a.b@c.org"}', '{"":{"email":{}}}', None,
+    ]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "source_file string, line_number int, line string")
+    assert violations(e.audit(df)) == sorted([
+        ("f", 0, "password", "forbidden_key"), ("f", 0, "note", "bearer"), ("f", 1, " Api_Key ", "forbidden_key"), ("f", 2, "title", "long_text"),
+        ("f", 5, "call", "email"), ("f", 5, "call", "phone"), ("f", 6, "email", "forbidden_key"),
+    ])
+    deep = '{"k":' * 300 + '{"token":1}' + "}" * 300
+    assert violations(e.audit(spark.createDataFrame([("f", 1, deep)], df.schema))) == [("f", 1, "token", "forbidden_key")]
+    assert violations(e.audit(df.limit(0))) == []
+
+
+def test_audit_of_json_files_and_tables(spark, tmp_path):
+    files = spark.createDataFrame([("a.json", '[{"x":1},{"cookie":2},3]'), ("b.json", '{"y":{"phone":1}}'), ("c.json", "oops")], "source_file string, text string")
+    assert violations(e.audit_documents(files)) == [("a.json", 2, "cookie", "forbidden_key"), ("b.json", 1, "phone", "forbidden_key")]
+    spark.sql("SELECT 1 AS id, 'a.b@c.org' AS who, array(named_struct('Prompt', 'x')) AS calls UNION ALL SELECT 2, NULL, NULL").coalesce(1).orderBy("id").withColumn("Answer", F.lit(None).cast("string")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found = violations(e.audit_table(table, F.lit("t"), F.col("_metadata.row_index") + 1))
+    assert found == [("t", 0, "Answer", "forbidden_key"), ("t", 1, "Answer", "forbidden_key"), ("t", 1, "Prompt", "forbidden_key"), ("t", 1, "who", "email"), ("t", 2, "Answer", "forbidden_key")]
