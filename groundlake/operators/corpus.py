@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,13 @@ from ..functions import text as tx
 from ..functions.numbers import mean, rounded
 
 FIRST_SECTION = "Introduction / Overview"
-SENTENCE_END = re.compile(r"[.?!।][\"')\]]*\s+")
-ABBREVIATION = re.compile(r"(?:^|\W)(?:rs|dr|prof|mrs?|ms|i\.e|e\.g|vs|etc|no|dept|govt|ltd|pvt|inc|corp|univ|vol|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec|approx|est|min|max)\.$", re.IGNORECASE)
+# What a chunk may end after, best first; abbreviations, and what follows the dot of an address.
+SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
+ABBREVIATIONS = ("rs.", "dr.", "prof.", "mr.", "mrs.", "ms.", "i.e.", "e.g.", "vs.", "etc.", "no.", "dept.", "govt.", "ltd.", "pvt.", "inc.", "corp.", "univ.", "vol.", "jan.", "feb.", "mar.", "apr.", "jun.", "jul.", "aug.", "sep.", "oct.", "nov.", "dec.", "approx.", "est.", "min.", "max.")
+ADDRESS_PARTS = ("in/", "in ", "gov", "com", "org", "edu", "ac.in", "co.in", "html", "php")
+SENTENCE_MARKS = ".?!।"
+LIST_MARK = r"\n(?:[•\-\*]|\d+[\.)])\s*"
+CHUNK_SIZE, CHUNK_OVERLAP, TINY = 600, 100, 30
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -74,52 +80,88 @@ def section_groups(blocks_: DataFrame, short: int = 40, tiny: int = 30) -> DataF
     return final.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no")) - 1).alias("section_no"), "section_title", "heading_level", "text")
 
 
+def ends_sentence(text: str, at: int) -> bool:
+    """Whether the mark at ``at`` ends a sentence: not inside a number, nor an abbreviation's dot, nor one of an address."""
+    if text[at - 1 : at].isdigit() and text[at + 1 : at + 2].isdigit():
+        return False
+    if text[at] != ".":
+        return True
+    word = text[max(0, at - 10) : at + 1].split()[-1].lower().strip(" \t\n()[]{}")
+    return word not in ABBREVIATIONS and not text[at + 1 : at + 10].lower().startswith(ADDRESS_PARTS)
+
+
 def _cut(text: str, start: int, size: int) -> int:
-    """End of a chunk: after the last paragraph, line, sentence or word that ends past a third of it, else at the full size."""
-    full = start + size
-    if full >= len(text):
-        return len(text)
-    least = start + max(1, size // 3)
-    for mark in ("\n\n", "\n"):
+    """End of a chunk that isn't the last: after the best separator whose last place lies past a third of it, else at the full size."""
+    least, full = start + max(1, size // 3), start + size
+    for mark in SEPARATORS:
         at = text.rfind(mark, least, full)
-        if at >= 0:
+        if at >= 0 and (mark != ". " or ends_sentence(text, at)):
             return at + len(mark)
-    ends = [m.end() for m in SENTENCE_END.finditer(text, least, full) if not ABBREVIATION.search(text, max(start, m.start() - 9), m.start() + 1)]
-    if ends:
-        return ends[-1]
-    at = text.rfind(" ", least, full)
-    return at + 1 if at >= 0 else full
+    return full
+
+
+_LIST_MARK, _ORPHAN, _BLANK = re.compile(LIST_MARK), re.compile(tx.ORPHAN_START), re.compile(r"\s+")
+_SENTENCE = re.compile(f"[{SENTENCE_MARKS}](?=([ \t\n]*))")
+
+
+def _begins(text: str, low: int, end: int) -> Iterator[tuple[int, bool]]:
+    """Where the next chunk may begin, best first; and whether a small letter may stand there: in the last ``end - low`` places of a chunk, after
+    the last paragraph, at the last list mark, after the last sentence, after the last line, after any white space."""
+    paragraph = text.rfind("\n\n", low, end) + 2
+    if low < paragraph < end:
+        yield paragraph, True
+    back = text[low:end]
+    for mark in list(_LIST_MARK.finditer(back))[-1:]:
+        yield low + mark.start() + 1, True
+    sentences = [low + m.end(1) for m in _SENTENCE.finditer(back) if m.end(1) < len(back) and ends_sentence(text, low + m.start())]
+    yield from ((at, True) for at in sentences[-1:])
+    line = text.rfind("\n", low, end) + 1
+    if low < line < end:
+        yield line, False
+    yield from ((low + m.start() + 1, True) for m in _BLANK.finditer(back))
 
 
 def _restart(text: str, start: int, end: int, overlap: int) -> int:
-    """Start of the next chunk: a paragraph, line, sentence or word in the last ``overlap`` places of this one, or its end."""
-    low = max(start + 1, end - overlap)
-    orphan = re.compile(tx.ORPHAN_START)
-    begins = [text.rfind("\n\n", low, end) + 2, text.rfind("\n", low, end) + 1]
-    begins += [m.end() for m in SENTENCE_END.finditer(text, low, end)][-1:]
-    begins += [low + m.end() for m in re.finditer(r"\s+", text[low:end])]
-    for at in begins:
-        if low <= at < end and text[at:end].strip() and not orphan.match(text[at:end].lstrip()):
-            return at
-    return end
-
-
-def split_chunks(text: str, size: int, overlap: int, tiny: int = 30) -> list[tuple[str, int, int]]:
-    """UF2: (text, start, end) of chunks of at most ``size`` characters that cover ``text``; a tiny last one joins the one before if it fits."""
-    out: list[tuple[str, int, int]] = []
-    start = 0
-    while start < len(text):
+    """Start of the next chunk: the best place in the last ``overlap`` ones of this chunk that doesn't begin inside a sentence, else its end."""
+    if not overlap:
+        return end
+    found = end
+    for at, small in _begins(text, max(start, end - overlap), end):
+        rest = text[at:end].strip()
+        if rest and not _ORPHAN.match(rest) and (small or not rest[0].islower()):
+            found = at
+            break
+    if found <= start:
+        found = start + max(1, end - start - overlap)
+    return min(found, end)
+
+
+def split_chunks(text: str, size: int, overlap: int, tiny: int = TINY) -> list[tuple[str, int, int]]:
+    """UF2: (text, start, end) of chunks of at most ``size`` characters that cover ``text``; the next one begins up to ``overlap`` places before
+    an end. A chunk equal to the one before is left out; a tiny one joins the one before, after an empty line, if both fit."""
+    if not text.strip():
+        return []
+    cuts, start = [], 0
+    while start + size < len(text):
         end = _cut(text, start, size)
-        if text[start:end].strip():
-            if out and end - start < tiny and end - out[-1][1] <= size:
-                out[-1] = (text[out[-1][1] : end], out[-1][1], end)
-            else:
-                out.append((text[start:end], start, end))
-        start = _restart(text, start, end, overlap) if end < len(text) else end
+        cuts.append((start, end))
+        start = _restart(text, start, end, overlap)
+    cuts.append((start, len(text)))
+    out: list[tuple[str, int, int]] = []
+    last = None
+    for a, z in cuts:
+        part = text[a:z]
+        if part == last or not part:
+            continue
+        last = part
+        if out and len(part) < tiny and len(out[-1][0]) + len(part) + 2 <= size:
+            out[-1] = (f"{out[-1][0]}\n\n{part}", out[-1][1], z)
+        else:
+            out.append((part, a, z))
     return out
 
 
-def chunks(sections: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
+def chunks(sections: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """JB8, WN9: chunks of each section, numbered through the document, with ids ``doc:p1:cN``.
 
     Each cut depends on the one before, so sections are cut in Arrow batches; rows stay where they are.

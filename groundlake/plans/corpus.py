@@ -107,6 +107,54 @@ PRIMARY = sql(f"CASE WHEN {' + '.join(f'CAST({SHARES[k]} > 0.15 AS INT)' for k i
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', E'\n', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]', '', 'g'), '[ \t]+\n', E'\n', 'g'), '[ ]{2,}', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
 
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _safe(text: str, at: str) -> str:
+    """SQL: the mark at 1-based place ``at`` of ``text`` ends a sentence."""
+    word = f"trim(lower(regexp_extract(substring({text}, greatest(1, {at} - 10), {at} - greatest(1, {at} - 10) + 1), '\\S+$')), concat(' ()[]{{}}', chr(9), chr(10)))"
+    return (
+        f"NOT ({at} > 1 AND regexp_matches(substring({text}, {at} - 1, 1), '\\d') AND regexp_matches(substring({text}, {at} + 1, 1), '\\d')) AND (substring({text}, {at}, 1) <> '.'"
+        f" OR ({word} NOT IN ({_quoted(c.ABBREVIATIONS)}) AND NOT regexp_matches(lower(substring({text}, {at} + 1, 9)), '^(?:{'|'.join(p.replace('.', '[.]') for p in c.ADDRESS_PARTS)})')))"
+    )
+
+
+def chunk_ctes(size: int, overlap: int) -> str:
+    """SQL: cuts one after the other by recursion; a last place is the length of the longest beginning that ends with the mark."""
+    upto = lambda text, mark: f"length(regexp_extract({text}, '(?s)^.*{mark}'))"
+    third = max(1, size // 3)
+    marks = [(m.replace(chr(10), chr(92) + "n").replace("?", "[?]").replace(". ", "[.] "), len(m), m == ". ") for m in c.SEPARATORS]
+    cut = " ".join(f"WHEN {upto('w', m)} - {n} >= {third}{' AND ' + _safe('text', f'(a + {upto(chr(119), m)} - 1)') if dot else ''} THEN {upto('w', m)}" for m, n, dot in marks)
+    mark_class = f"'[{c.SENTENCE_MARKS}]'"
+    good = "(rest <> '' AND NOT regexp_matches(rest, '" + tx.ORPHAN_START + "'))"
+    tries = [f"CASE WHEN {upto('back', chr(92) + 'n' + chr(92) + 'n')} BETWEEN 1 AND length(back) - 1 THEN {upto('back', chr(92) + 'n' + chr(92) + 'n')} END",
+             f"CASE WHEN regexp_matches(back, '{c.LIST_MARK}') THEN length(regexp_extract(back, '(?s)^(.*)\\n(?:[•\\-\\*]|\\d+[\\.)])', 1)) + 1 END",
+             f"list_max(list_transform(list_filter(range(1, length(back) + 1), lambda i: regexp_matches(substring(back, i, 1), {mark_class}) AND i + length(regexp_extract(substring(back, i + 1), '^[ \\t\\n]*')) < length(back) AND {_safe('text', '(low + i)')}), lambda i: i + length(regexp_extract(substring(back, i + 1), '^[ \\t\\n]*'))))",
+             f"CASE WHEN {upto('back', chr(92) + 'n')} BETWEEN 1 AND length(back) - 1 THEN {upto('back', chr(92) + 'n')} END"]
+    rest = lambda k: STRIP.format(f"substring(back, {k} + 1)")
+    chosen = " ".join(f"WHEN t{k} IS NOT NULL AND {good.replace('rest', rest(f't{k}'))}{' AND NOT regexp_matches(' + rest(f't{k}') + ', ' + chr(39) + '^' + chr(92) + 'p{Ll}' + chr(39) + ')' if k == 3 else ''} THEN t{k}" for k in range(4))
+    blank = f"list_min(list_filter(range(1, length(back) + 1), lambda i: regexp_matches(substring(back, i, 1), '\\s') AND NOT (i > 1 AND regexp_matches(substring(back, i - 1, 1), '\\s')) AND {good.replace('rest', rest('i'))}))"
+    step = (
+        f"SELECT doc_id, section_no, n, a, z, CASE WHEN z = total THEN NULL ELSE least(z, CASE WHEN found <= a THEN a + greatest(1, z - a - {overlap}) ELSE found END) END AS next FROM ("
+        f"SELECT *, CASE WHEN {overlap} = 0 THEN z ELSE COALESCE(low + CASE {chosen} ELSE {blank} END, z) END AS found FROM (SELECT *, {', '.join(f'{t} AS t{k}' for k, t in enumerate(tries))} FROM ("
+        f"SELECT *, greatest(a, z - {overlap}) AS low, CASE WHEN z = total THEN '' ELSE substring(text, greatest(a, z - {overlap}) + 1, z - greatest(a, z - {overlap})) END AS back FROM ("
+        f"SELECT *, CASE WHEN a + {size} >= total THEN total ELSE a + CASE {cut} ELSE {size} END END AS z FROM (SELECT *, length(text) AS total, substring(text, a + 1, {size}) AS w FROM (@source@))))))"
+    )
+    return (
+        "secs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_no, section_title, heading_level, text FROM g2), "
+        "cuts AS (" + step.replace("@source@", "SELECT doc_id, section_no, 0 AS n, 0 AS a, text FROM secs WHERE " + STRIP.format("text") + " <> ''") + " UNION ALL " + step.replace("@source@", "SELECT doc_id, section_no, cuts.n + 1 AS n, cuts.next AS a, secs.text FROM cuts JOIN secs USING (doc_id, section_no) WHERE cuts.next IS NOT NULL") + "), "
+        "pieces AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY n DESC) AS back FROM (SELECT doc_id, section_no, section_title, heading_level, n, a, z, substring(text, a + 1, z - a) AS t FROM cuts JOIN secs USING (doc_id, section_no)) WHERE t <> '' QUALIFY lag(t) OVER (PARTITION BY doc_id, section_no ORDER BY n) IS DISTINCT FROM t), "
+        f"joined AS (SELECT *, back = 1 AND length(t) < {c.TINY} AND lag(length(t)) OVER w + length(t) + 2 <= {size} AS tiny, lead(t) OVER w AS t2, lead(z) OVER w AS z2, lead(back = 1 AND length(t) < {c.TINY}) OVER w AND length(t) + length(lead(t) OVER w) + 2 <= {size} AS takes FROM pieces WINDOW w AS (PARTITION BY doc_id, section_no ORDER BY n)), "
+        "made AS (SELECT doc_id, section_no, section_title, heading_level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, n) - 1 AS INT) AS chunk_index, CASE WHEN takes THEN concat(t, chr(10), chr(10), t2) ELSE t END AS text_content, CAST(a AS INT) AS source_start_offset, CAST(CASE WHEN takes THEN z2 ELSE z END AS INT) AS source_end_offset FROM joined WHERE NOT COALESCE(tiny, false)), "
+        "chunks AS (SELECT concat(CAST(doc_id AS STRING), ':p1:c', CAST(chunk_index AS STRING)) AS chunk_id, doc_id, 1 AS page_number, section_no, section_title, heading_level, chunk_index, text_content, CAST(length(text_content) AS INT) AS text_length, source_start_offset, source_end_offset FROM made)"
+    )
+
+
+def chunk_sql(body: str, size: int = c.CHUNK_SIZE, overlap: int = c.CHUNK_OVERLAP) -> str:
+    return f"WITH RECURSIVE {HEADED_SQL}, {PARTS}, {BLOCKS}, {GROUPS}, {chunk_ctes(size, overlap)} {body}"
+
+
 def sections(s, d):
     return c.section_groups(c.blocks(headed(s, d)))
 
@@ -145,8 +193,19 @@ QUERIES = {
     "jb05_exact_duplicates": (lambda s, d: c.exact_duplicates(docs(s, d)), "SELECT doc_id, content_hash, CASE WHEN doc_id <> first_id THEN first_id END AS duplicate_of FROM (SELECT doc_id, sha256(COALESCE(text, '')) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents)"),
     "jb06_blocks": (lambda s, d: c.blocks(headed(s, d)), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT * FROM blocks"),
     "jb07_section_groups": (lambda s, d: sections(s, d), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS}, {GROUPS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_no, section_title, heading_level, text FROM g2"),
-    "jb08_chunks": (lambda s, d: chunked(s, d), None),
-    "jb09_chunk_faults": (lambda s, d: c.chunk_faults(chunked(s, d), 830), None),
-    "jb10_chunk_report": (lambda s, d: c.chunk_report(chunked(s, d)), None),
+    "jb08_chunks": (lambda s, d: chunked(s, d), chunk_sql("SELECT * FROM chunks")),
+    "jb08_short_chunks": (lambda s, d: c.chunks(sections(s, d), 120, 40), chunk_sql("SELECT * FROM chunks", 120, 40)),
+    "jb09_chunk_faults": (
+        lambda s, d: c.chunk_faults(chunked(s, d), c.CHUNK_SIZE),
+        chunk_sql(
+            "SELECT chunk_id, doc_id, chunk_index, CASE WHEN NOT regexp_full_match(chunk_id, '.+:p\\d+:c\\d+') THEN 'bad id' WHEN count(*) OVER (PARTITION BY chunk_id) > 1 THEN 'duplicate id' WHEN "
+            + STRIP.format("text_content")
+            + f" = '' THEN 'empty' WHEN text_length <> length(text_content) THEN 'wrong length' WHEN text_length > {c.CHUNK_SIZE} THEN 'too long' WHEN source_end_offset <= source_start_offset THEN 'bad offsets' WHEN chunk_index <> row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 THEN 'index gap' END AS fault, regexp_matches({STRIP.format('text_content')}, '{tx.ORPHAN_START}') AS orphan_start FROM chunks"
+        ),
+    ),
+    "jb10_chunk_report": (
+        lambda s, d: c.chunk_report(chunked(s, d)),
+        chunk_sql("SELECT doc_id, count(*) AS chunks, floor(sum(text_length) / count(*) * 100 + 0.5) / 100 AS avg_length, min(text_length) AS min_length, max(text_length) AS max_length, sum(text_length) AS characters FROM chunks GROUP BY doc_id"),
+    ),
     "ag34_coverage": (lambda s, d: c.coverage(docs(s, d)), "SELECT count(*) AS documents, count(DISTINCT source) AS categories, count(DISTINCT lang) AS languages FROM documents"),
 }

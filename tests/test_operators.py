@@ -14,14 +14,40 @@ def value(spark, make, text):
     return spark.createDataFrame([(text,)], "t string").select(make(F.col("t")).alias("v")).first().v
 
 
-@pytest.mark.parametrize("size,overlap", [(100, 20), (60, 0), (300, 80)])
-@pytest.mark.parametrize("text", ["One sentence here. Dr. Rao is next. " * 40, "x" * 1000, "ನಮಸ್ಕಾರ ಪ್ರಪಂಚ. " * 60, "para one\n\npara two is longer\nwith a line\n\n" * 20, "a", "exact" * 20])
+@pytest.mark.parametrize("size,overlap", [(100, 20), (60, 0), (300, 80), (50, 49)])
+@pytest.mark.parametrize("text", ["".join(f"Sentence {i} here. Dr. Rao is next. " for i in range(40)), "".join(map(chr, range(0x4E00, 0x4E00 + 1000))), "".join(f"ನಮಸ್ಕಾರ ಪ್ರಪಂಚ {i}. " for i in range(60)), "".join(f"para {i}\n\npara {i} is longer\nwith a line\n\n" for i in range(20)), "a", "".join(f"exact{i}" for i in range(20))])
 def test_chunks_cover_the_text(text, size, overlap):
-    got = c.split_chunks(text, size, overlap)
+    got = c.split_chunks(text, size, overlap, tiny=0)
     assert got[0][1] == 0 and got[-1][2] == len(text)
-    for (t, a, b), (_, a2, b2) in zip(got, got[1:]):
-        assert a < a2 <= b < b2 and a2 >= b - overlap
     assert all(text[a:b] == t and len(t) <= size for t, a, b in got)
+    for (t, a, b), (t2, a2, b2) in zip(got, got[1:]):
+        assert a < a2 and b <= b2 and (a2 >= b - overlap or t == t2)
+
+
+def test_chunks_end_and_begin_where_the_rules_say():
+    assert c.split_chunks("", 100, 10) == [] and c.split_chunks(" \n\t ", 100, 10) == [] and c.split_chunks("A" * 50, 50, 10) == [("A" * 50, 0, 50)]
+    starts = lambda text, size, overlap: [text[a:b] for _, a, b in c.split_chunks(text, size, overlap)]
+    assert starts("First block of sentence. Second block of sentence. Third block of sentence.", 50, 0) == ["First block of sentence. ", "Second block of sentence. Third block of sentence."]
+    assert starts("same text. " * 30, 40, 0) == ["same text. same text. same text. "]  # equal ones in a row are left out
+    fox = "The quick brown fox jumps over the lazy dog. Jackdaws love my big sphinx of quartz."
+    assert starts(fox, 60, 20) == ["The quick brown fox jumps over the lazy dog. ", "over the lazy dog. Jackdaws love my big sphinx of quartz."]
+    # The last ". " stands after an abbreviation, so the next kind of mark decides, not the ". " before it.
+    assert starts("Some words here. They met Mr. Rao, then went on and on and on again", 40, 0)[0] == "Some words here. They met Mr. Rao, "
+    assert starts("alpha beta gamma\n\ndelta epsilon zeta eta theta iota", 30, 0) == ["alpha beta gamma\n\n", "delta epsilon zeta eta theta ", "iota"]
+    # Numbers and addresses end no sentence; a next chunk doesn't begin with an orphan.
+    text = "Words stand here. Fee is 3.5 at abcd.com now, so pay it"
+    assert text[c._restart(text, 0, 46, 40) :].startswith("Fee is 3.5") and text[c._restart(text, 0, 46, 20) :].startswith("at abcd.com")
+    assert c._restart("and so on, or of it", 0, 16, 8) == 16
+    assert starts("word " * 11 + "of them all in one line that goes on for long", 60, 8)[1] == "them all in one line that goes on for long"
+    # A tiny one joins the one before if both and the empty line fit.
+    assert c.split_chunks("ab" * 15 + " c", 30, 0) == [("ab" * 15, 0, 30), (" c", 30, 32)]
+    assert c.split_chunks("One, two. " + "w" * 12 + "\n\nxyz", 26, 0) == [("One, two. " + "w" * 12 + "\n\n", 0, 24), ("xyz", 24, 27)]
+
+
+def test_sentence_ends():
+    text = ". a. x 3.5 see x.org? Rs. b!"
+    marks = [i for i, ch in enumerate(text) if ch in c.SENTENCE_MARKS]
+    assert {i: c.ends_sentence(text, i) for i in marks} == {0: True, 3: True, 8: False, 16: False, 20: True, 24: False, 27: True}
 
 
 def test_short_sections_join_the_one_before(spark):
