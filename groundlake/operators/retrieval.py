@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import mean, rounded, valid_vector
+from . import lexical
+from .lexical import top_k
 
-K1, B, RRF_K = 1.5, 0.75, 60
+RRF_K = 60
 
 
 def metadata_filter(**wanted) -> Column:
@@ -23,48 +25,9 @@ def metadata_filter(**wanted) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in wanted.items() if v is not None], F.lit(True))
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """AG27: postings (term, chunk_id, tf), lengths (chunk_id, len), terms (term, df)."""
-    tokens = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens"))
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    return postings, tokens.select("chunk_id", F.size("tokens").alias("len")), postings.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf): stop words dropped unless a query has nothing else; repeats count."""
-    tokens = queries.select("query_id", tx.tokenize(F.col("text")).alias("raw"))
-    telling = F.filter("raw", lambda t: ~t.isin(*tx.LEXICAL_STOP_WORDS))
-    used = F.when(F.size(telling) > 0, telling).otherwise(F.col("raw"))
-    return tokens.select("query_id", F.explode(used).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """SO3, WN2: the k best of each query, ties by chunk; pruned in each partition before the shuffle."""
-    place = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-
-
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 12, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """JB12, JN3, MT1, WN4: query_id, chunk_id, score, lexical_score (over the query's best), rank.
-
-    Corpus numbers are of all chunks; the filter acts before the cut. Only postings of query terms meet a join.
-    """
-    asked = query_terms(queries)
-    tokens = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens"))
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("len"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    n, average = size["n"], max(1.0, float(size["mean"] or 0))
-    needed = asked.select("term").distinct()
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).join(needed, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    if where is not None:
-        postings = postings.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi")
-    norm = 1 - B + B * (F.col("len") / average)
-    part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm))
-    scored = asked.join(terms, "term").join(postings, "term").join(lengths, "chunk_id").groupBy("query_id", "chunk_id").agg(rounded(F.sum(part), 6).alias("score")).filter("score > 0")
-    found = top_k(scored, k)
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return found.withColumn("lexical_score", rounded(F.col("score") / best, 4)).filter(F.col("lexical_score") >= min_score)
+    """JB12 on a table that has no stored index yet: one is built, then searched; see ``lexical``. The filter acts before the cut."""
+    return lexical.search(lexical.build(chunks), queries, k, None if where is None else chunks.filter(where), min_score)
 
 
 def _units(vectors: pa.Array, size: int) -> np.ndarray:
@@ -168,6 +131,25 @@ def best_rank_rrf(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("best_rank"), F.array_join(F.array_sort(F.collect_set("variant")), ",").alias("variants"), F.countDistinct("variant").alias("n")).withColumn("fused_score", rounded(1 / (RRF_K + F.col("best_rank")) + (F.col("n") - 1) * 1e-4, 6)).drop("n")
 
 
+def multi_variant_search(dense: DataFrame, lexical_: DataFrame, k: int = 5, pool: int = 20) -> DataFrame:
+    """JB15: the lists of each variant of a query, fused to one a query: query_id, chunk_id, best_rank, dense_score, lexical_score,
+    methods, variants, rrf_score, hybrid_score, rank.
+
+    ``dense`` and ``lexical_`` have query_id, variant, chunk_id, rank and their score. Each variant gives a hybrid list of ``pool`` (JB14);
+    a chunk counts by its best rank, with a ten-thousandth of its best scores to part ties, then falls to the chunk's id. ``max(k, pool)`` stay.
+    """
+    key = F.to_json(F.struct("query_id", "variant"))
+    a, b = (t.withColumn("query_id", key) for t in (dense, lexical_))
+    listed = top_k(rrf(a, b), pool, "rrf_score").select("query_id", "chunk_id", "rank")
+    scored = listed.join(merge_candidates(a, b), ["query_id", "chunk_id"]).withColumn("of", F.from_json("query_id", "query_id string, variant string"))
+    one = scored.select(F.col("of.query_id").cast(dense.schema["query_id"].dataType).alias("query_id"), F.col("of.variant").alias("variant"), "chunk_id", "rank", "dense_score", "lexical_score", F.explode(F.split("methods", ",")).alias("method"))
+    sorted_set = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    fused = one.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("best_rank"), F.max("dense_score").alias("dense_score"), F.max("lexical_score").alias("lexical_score"), sorted_set("method").alias("methods"), sorted_set("variant").alias("variants"))
+    base = 1 / (RRF_K + F.col("best_rank"))
+    score = base + (F.coalesce("lexical_score", F.lit(0.0)) + F.coalesce("dense_score", F.lit(0.0))) * 1e-4
+    return top_k(fused.withColumns({"rrf_score": rounded(base, 6), "hybrid_score": rounded(score, 6)}), max(k, pool), "hybrid_score")
+
+
 def linear_fusion(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """MT6: weighted mean of scores in 0..1; shorter texts first on ties, then falling chunk ids."""
     total = sum(weights)
@@ -253,16 +235,31 @@ def invalid_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("faults", F.array_join(wrong, ",")).filter("faults <> ''")
 
 
-def evaluate(results: DataFrame, gold: DataFrame, *by: str, runs: DataFrame | None = None) -> DataFrame:
-    """JB27, AG29, JN13: hits at 1, 3, 5 and the mean reciprocal rank; ``gold`` has (query_id, chunk_id, *by).
+def gold_hits(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """JN13: (query_id, rank) of results that stand in ``gold`` (query_id, chunk_id)."""
+    return results.join(gold.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi").select("query_id", "rank")
+
+
+def lenient_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """JN13: (query_id, rank, doc_hit) of results (query_id, rank, doc_id, text) from an expected document, or whose text holds, anywhere in it, a
+    word of over three letters of an expected point; ``expected``: query_id, doc_ids (array), points (array of texts)."""
+    words = F.flatten(F.transform(F.coalesce("points", F.array().cast("array<string>")), lambda p: F.filter(F.split(F.lower(p), r"\s+"), lambda w: F.length(w) > 3)))
+    met = results.join(expected.select("query_id", "doc_ids", F.array_distinct(words).alias("words")), "query_id")
+    doc_hit = F.coalesce(F.array_contains("doc_ids", F.col("doc_id")), F.lit(False))
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    return met.withColumn("doc_hit", doc_hit).filter(F.col("doc_hit") | F.exists("words", lambda w: F.contains(lower, w))).select("query_id", "rank", "doc_hit")
+
+
+def evaluate(queries: DataFrame, hits: DataFrame, *by: str, runs: DataFrame | None = None) -> DataFrame:
+    """JB27, AG29: hits at 1, 3, 5 and the mean reciprocal rank of ``queries`` (query_id, *by) from their ``hits`` (query_id, rank).
 
-    With ``runs`` (query_id, latency_ms, variants; a row a query) also their means.
+    With ``runs`` (query_id, latency_ms, variants; a row a query) also their means. At most k rows a query are read: who asks
+    whether results are right joins what is known of them, and makes no pairs of queries and right answers.
     """
-    queries = gold.select("query_id", *by).distinct()
-    hits = results.join(gold.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("hit"))
+    first = hits.groupBy("query_id").agg(F.min("rank").alias("hit"))
     rate = lambda c: rounded(F.avg(c), 4)
     at = lambda n: rate(F.when(F.col("hit") <= n, 1.0).otherwise(0.0)).alias(f"hit_at_{n}")
-    rows, means = queries.join(hits, "query_id", "left"), []
+    rows, means = queries.join(first, "query_id", "left"), []
     if runs is not None:
         rows, means = rows.join(runs.select("query_id", "latency_ms", "variants"), "query_id", "left"), [F.coalesce(rounded(mean(c), 2), F.lit(0.0)).alias(f"avg_{c}") for c in ("latency_ms", "variants")]
     return rows.groupBy(*by).agg(F.count("*").alias("queries"), at(1), at(3), at(5), rate(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr"), *means)

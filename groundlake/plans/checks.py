@@ -135,7 +135,7 @@ QUERIES = {
     ),
     "ag32_preservation": (preserved, PRESERVED),
     "ag29_quality_and_runs": (
-        lambda s, d: r.evaluate(rp.dense(s, d), rp.gold(s, d), "category", runs=runs(s, d)),
+        lambda s, d: r.evaluate(rp.asked_labels(s, d), rp.label_hits(s, d, rp.dense(s, d)), "category", runs=runs(s, d)),
         rp.with_(f"SELECT h.*, avg_latency_ms, avg_variants FROM ({rp.hits('den', 'category')}) h JOIN (SELECT category, floor(avg(latency_ms) * 100 + 0.5) / 100 AS avg_latency_ms, floor(avg(variants) * 100 + 0.5) / 100 AS avg_variants FROM (SELECT DISTINCT query_id, category FROM gold) JOIN runs USING (query_id) GROUP BY category) USING (category)", rp._dense("den"), rp.GOLD, RUNS),
     ),
     "jn01_titles": (

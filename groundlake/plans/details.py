@@ -10,6 +10,7 @@ from ..functions.numbers import F, percent
 from ..operators import corpus as c
 from ..operators import events as e
 from ..operators import ground as g
+from ..operators import lexical as lx
 from ..operators import metrics as m
 from ..operators import queries as qu
 from ..operators import retrieval as r
@@ -102,6 +103,40 @@ VARIANTS = rp.with_(
     "SELECT CAST(split_part(query_id, '|', 1) AS BIGINT) AS query_id, chunk_id, min(rank) AS best_rank, string_agg(split_part(query_id, '|', 2), ',' ORDER BY query_id) AS variants, floor((CAST(1 AS DOUBLE) / (60 + min(rank)) + (count(*) - 1) * CAST(0.0001 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS fused_score FROM lex GROUP BY ALL",
     rp.bm25(f"SELECT concat(CAST(item_id AS STRING), '|v', CAST(n AS STRING)) AS query_id, {TOKENS_SQL} AS l FROM ({_VARIANTS})"),
 )
+_PICKED = "vec_id % 3 = n % 3 AND vec_id // 3 = item_id"  # the vector that stands for a variant
+MULTI = (
+    rp.with_(
+        "SELECT query_id, chunk_id, best_rank, dense_score, lexical_score, methods, variants, floor(CAST(1 AS DOUBLE) / (60 + best_rank) * 1000000 + 0.5) / 1000000 AS rrf_score, hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) AS INT) AS rank FROM ("
+        "SELECT *, floor((CAST(1 AS DOUBLE) / (60 + best_rank) + (COALESCE(lexical_score, 0) + COALESCE(dense_score, 0)) * CAST(0.0001 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS hybrid_score FROM (SELECT CAST(split_part(query_id, '|v', 1) AS BIGINT) AS query_id, chunk_id, CAST(min(rank) AS INT) AS best_rank, max(dense_score) AS dense_score, max(lexical_score) AS lexical_score, "
+        "array_to_string(list_sort(list_distinct(flatten(list(string_split(methods, ','))))), ',') AS methods, string_agg(concat('v', split_part(query_id, '|v', 2)), ',' ORDER BY query_id) AS variants FROM hybrid JOIN merged USING (query_id, chunk_id) GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) <= 20",
+        rp.bm25(f"SELECT concat(CAST(item_id AS STRING), '|v', CAST(n AS STRING)) AS query_id, {TOKENS_SQL} AS l FROM ({_VARIANTS})"),
+        f"asked AS (SELECT concat(CAST(item_id AS STRING), '|v', CAST(n AS STRING)) AS vec_id, embedding FROM ({_VARIANTS}) JOIN embeddings ON {_PICKED})",
+        rp._dense("den").replace("FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0", "FROM asked q, embeddings c"),
+        "lx AS (SELECT query_id, chunk_id, floor(score / max(score) OVER (PARTITION BY query_id) * 10000 + 0.5) / 10000 AS lexical_score, rank FROM lex)",
+        rp.MERGED, rp.RANKED, rp.RRF,
+        "hybrid AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 20)",
+    )
+)
+
+
+def variant_lists(s, d):
+    """Dense and lexical lists of each variant of each question of the benchmark; a vector of the table stands for a variant."""
+    made = qu.variants(rp.asked(s, d)).withColumn("name", F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant"))
+    picked = rp.vectors(s, d).withColumns({"of": F.floor(F.col("chunk_id") / 3).cast("bigint"), "at": F.pmod("chunk_id", F.lit(3))})
+    number = F.regexp_extract("variant", r"(\d+)", 1).cast("bigint")
+    vectors = made.withColumn("n", number).join(picked, (F.col("of") == F.col("query_id")) & (F.col("at") == F.col("n") % 3))
+    names = made.select("query_id", "variant", "name")
+    back = lambda found: found.withColumnRenamed("query_id", "name").join(names, "name").drop("name")
+    numbered = names.select(F.xxhash64("name").alias("id"), "name")
+    dense = r.dense_search(vectors.select(F.xxhash64("name").alias("query_id"), "embedding"), rp.vectors(s, d), 12).withColumnRenamed("query_id", "id").join(numbered, "id").drop("id").withColumnRenamed("name", "query_id")
+    return back(dense), back(lx.search(rp.index(s, d), made.select(F.col("name").alias("query_id"), "text"), 12))
+
+
+def expected(s, d):
+    """What is expected of each question: two documents by number, and the words at its sentences' ends as points."""
+    return rp.asked(s, d).select("query_id", F.array(F.col("query_id") * 5, F.col("query_id") * 5 + 1).alias("doc_ids"), F.filter(F.split("text", r"\s+"), lambda w: F.endswith(w, F.lit("."))).alias("points"))
+
+
 _ISLAND = "chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, section_title ORDER BY chunk_index) AS i"
 
 QUERIES = {
@@ -119,7 +154,14 @@ QUERIES = {
     "jn06_hydrate": (lambda s, d: r.hydrate(rp.lexical(s, d, 3).select("query_id", "chunk_id", "rank"), rp.chunks(s, d)).select("query_id", "chunk_id", "rank", F.length("text").alias("length")), rp.with_("SELECT query_id, chunk_id, rank, length(text) AS length FROM lex JOIN documents ON doc_id = chunk_id WHERE rank <= 3", rp.BM25)),
     "jn07_neighbours": (lambda s, d: g.neighbours(picked(s, d), chosen(s, d)), f"WITH {CHOSEN}, p AS (SELECT doc_id % 5 AS query_id, * REPLACE ({PICKED} AS chunk_index) FROM lines) SELECT p.query_id, p.doc_id, p.chunk_index AS of, CAST(c.chunk_index - p.chunk_index AS INT) AS step, c.chunk_index FROM p JOIN lines c ON c.doc_id = p.doc_id AND abs(c.chunk_index - p.chunk_index) = 1 WHERE (c.chunk_index < p.chunk_index AND c.page_number IN (p.page_number, p.page_number - 1)) OR (c.chunk_index > p.chunk_index AND c.section_title = p.section_title AND c.page_number = p.page_number)"),
     "jn08_citations": (lambda s, d: g.resolve_citations(rp.answers(s, d), rp.sources(s, d)).filter("not valid"), rp.with_("SELECT * FROM resolved WHERE NOT valid", rp.ANSWERS_SQL, rp.CITED)),
-    "jn13_first_hit": (lambda s, d: rp.dense(s, d).join(rp.gold(s, d), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_hit")), rp.with_("SELECT query_id, min(rank) AS first_hit FROM den JOIN gold USING (query_id, chunk_id) GROUP BY query_id", rp._dense("den"), rp.GOLD)),
+    "jn13_lenient_hit": (
+        lambda s, d: r.lenient_hits(r.hydrate(rp.lexical(s, d).select("query_id", "chunk_id", "rank"), rp.chunks(s, d)), expected(s, d)),
+        rp.with_(
+            "SELECT query_id, rank, doc_hit FROM (SELECT query_id, rank, chunk_id IN (query_id * 5, query_id * 5 + 1) AS doc_hit, lower(d.text) AS t, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: length(w) > 3 AND ends_with(w, '.')) AS words FROM lex JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id) WHERE doc_hit OR len(list_filter(words, lambda w: contains(t, w))) > 0",
+            rp.BM25,
+        ),
+    ),
+    "jn13_first_hit": (lambda s, d: rp.label_hits(s, d, rp.dense(s, d)).groupBy("query_id").agg(F.min("rank").alias("first_hit")), rp.with_("SELECT query_id, min(rank) AS first_hit FROM den JOIN gold USING (query_id, chunk_id) GROUP BY query_id", rp._dense("den"), rp.GOLD)),
     "jn14_cascade_delete": (lambda s, d: read(s, d, "labels").join(read(s, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "left_anti").groupBy("quality").agg(F.count("*").alias("left")), "SELECT quality, count(*) AS left FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY quality"),
     "jn15_dictionary": (lambda s, d: qu.dictionary_matches(rp.asked(s, d), dictionary(s, d)), f"WITH {DICTIONARY} SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)"),
     "jb16_expand_query": (
@@ -127,7 +169,11 @@ QUERIES = {
         f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)), said AS (SELECT query_id, list(expansion ORDER BY length(term) DESC, term) AS l FROM hit GROUP BY query_id) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, CASE WHEN query_id % 4 = 0 THEN 'transliteration' ELSE 'indic_translation' END, array_to_string(l[1:3], ' '), CAST(0.85 AS DOUBLE) FROM said WHERE query_id % 3 = 0 OR query_id % 4 = 0 "
         "UNION ALL SELECT query_id, CASE WHEN query_id % 3 = 0 OR query_id % 4 = 0 THEN 3 ELSE 2 END, 'synonym', array_to_string(l[1:2], ' '), CAST(0.8 AS DOUBLE) FROM said WHERE (query_id % 3 <> 0 AND query_id % 4 <> 0) OR len(l) > 2",
     ),
-    "jb15_multi_variant_search": (lambda s, d: r.best_rank_rrf(r.bm25_search(qu.variants(rp.asked(s, d)).select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "variant").alias("query_id"), "text"), rp.chunks(s, d), 12).select(F.split("query_id", r"\|")[0].cast("bigint").alias("query_id"), "chunk_id", "rank", F.split("query_id", r"\|")[1].alias("variant"))), VARIANTS),
+    "jb15_multi_variant_search": (
+        lambda s, d: r.best_rank_rrf(variant_lists(s, d)[1].select("query_id", "chunk_id", "rank", "variant")),
+        VARIANTS,
+    ),
+    "jb15_multi_variant_hybrid": (lambda s, d: r.multi_variant_search(*variant_lists(s, d)), MULTI),
     "jb35_process_queries": (lambda s, d: qu.understand(conversation_queries(s, d)).drop("script_distribution"), None),
     "tx18_follow_up": (lambda s, d: conversation_queries(s, d).select("query_id", qu.resolve_follow_up(F.col("text"), F.col("before"), {"the": ["the"], "der": ["der"]}).alias("resolved")), FOLLOW_UP),
     "jb26_reattach_url": (lambda s, d: rp.guarded(s, d).select("query_id", g.reattach_url(F.col("query"), F.col("answer"), F.col("context"), F.col("language")).alias("answer")), REATTACHED),
@@ -163,7 +209,7 @@ QUERIES = {
     "tx27_doc_id": (lambda s, d: read(s, d, "pages").select("page_id", tx.doc_id_from_filename(F.regexp_replace("url", "^https?://", "")).alias("value")), r"SELECT page_id, upper(substring(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\.[^.]*$', ''), '[^A-Za-z0-9]+', '-', 'g'), 1, 16)) AS value FROM pages"),
     "id04_fingerprint": (lambda s, d: read(s, d, "documents").groupBy("lang").agg(*identity.collection_fingerprint(F.col("doc_id"))), "SELECT lang, count(doc_id) AS n, CAST(sum(CAST('0x' || substring(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum FROM documents GROUP BY lang"),
     "mt07_percent": (lake_query(lambda t: t.groupBy("provider").agg(percent(F.count_if("grounded"), F.count("*"), 2).alias("rate"))), f"{LAKE} SELECT provider, {rnd('CAST(count(*) FILTER (WHERE grounded) AS DOUBLE) * 100 / greatest(1, count(*))', 2)} AS rate FROM lake GROUP BY provider"),
-    "am03_term_frequency": (lambda s, d: r.bm25_index(rp.chunks(s, d))[0], rp.with_("SELECT term, chunk_id, tf FROM post", rp.BM25.split(", df AS")[0])),
+    "am03_term_frequency": (lambda s, d: lx.postings_by_chunk(rp.index(s, d)), rp.with_("SELECT term, chunk_id, tf FROM post", rp.BM25.split(", df AS")[0])),
     "am04_json_lists": (lake_query(lambda t: t.select("event_id", F.to_json(F.array("language", "script")).alias("j")).select("event_id", F.array_join(F.coalesce(F.from_json("j", "array<string>"), F.array("j")), ",").alias("value"))), f"{LAKE} SELECT event_id, concat(language, ',', script) AS value FROM lake"),
     "am05_nested_keys": (lambda s, d: e.parsed(read(s, d, "events").select("event_id", F.concat(F.lit('{"a":{"b":'), "props", F.lit("}}")).alias("line"))).select("event_id", F.array_join(F.array_union(F.json_object_keys("line"), F.array_union(F.json_object_keys(F.get_json_object("line", "$.a")), F.json_object_keys(F.get_json_object("line", "$.a.b")))), ",").alias("keys")), "SELECT event_id, concat('a,b,', array_to_string(json_keys(CAST(props AS JSON)), ',')) AS keys FROM events"),
 }
