@@ -17,7 +17,7 @@ from .common import scratch, written
 SHORTEST = 7
 GROUPS = 16  # letters fall into groups by their code point; a level of the trie for each
 HELD = 200_000
-FRAGMENT = 20_000  # words a fragment of the trie holds, more or less
+FRAGMENT = 5_000  # words a fragment of the trie holds, more or less
 FRAGMENTS = 16_384
 DRAWN = 32  # words drawn for each fragment, to place its borders
 PAIRS = 1 << 20
