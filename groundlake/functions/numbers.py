@@ -22,15 +22,6 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
     return rounded(part.cast("double") * 100 / F.greatest(whole, F.lit(1)), digits)
 
 
-def percentile(column: str, q: float) -> Column:
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
-
-
-def interpolated(column: str, q: float) -> Column:
-    """AG33: between the two nearest values; as exact, and as large in memory by distinct values, as ``percentile``."""
-    return F.percentile(column, F.lit(q))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """MT2 in double precision, kept in 0..1; a zero norm counts as 1e-9."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

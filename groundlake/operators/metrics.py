@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import interpolated, mean, percent, percentile, rounded
+from ..functions.numbers import mean, percent, rounded
+from .quantiles import with_percentiles
 
 ENV = "telemetry_environment"
 QUERY_TYPES = ("query_completed", "rag_response")
@@ -27,6 +28,11 @@ def per_environment(df: DataFrame, keys: tuple[str, ...], *aggregates: Column) -
     return out.select("environment", *keys, *out.columns[len(keys) + 2 :])
 
 
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """Rows twice: under their environment and under ``all``."""
+    return rows.withColumn("environment", F.explode(F.array(F.col(ENV), F.lit("all"))))
+
+
 def queries(lake: DataFrame) -> DataFrame:
     return lake.filter(F.col("event_type").isin(*QUERY_TYPES))
 
@@ -133,7 +139,6 @@ def language_performance(lake: DataFrame) -> DataFrame:
         ("language",),
         F.count("*").alias("total_queries"),
         mean("total_latency_ms").alias("a"),
-        percentile("total_latency_ms", 0.95).alias("p"),
         mean("retrieval_latency_ms").alias("r"),
         mean("generation_latency_ms").alias("w"),
         _n("grounded").alias("g"),
@@ -144,6 +149,7 @@ def language_performance(lake: DataFrame) -> DataFrame:
         mean("retrieved_chunk_count").alias("k"),
         mean("citation_count").alias("n"),
     )
+    out = with_percentiles(out, _everywhere(queries(lake)), ("environment", "language"), {"p": ("total_latency_ms", 0.95)})
     rate = lambda c: percent(F.col(c), F.col("total_queries"), 1)
     value = lambda c, d: rounded(F.coalesce(c, F.lit(0.0)), d)
     return out.select(
@@ -231,8 +237,9 @@ def script_comparison(lake: DataFrame) -> DataFrame:
 
 def latency_percentiles(lake: DataFrame) -> DataFrame:
     """AG33: interpolated, of retrieval and of whole answers to queries."""
-    out = per_environment(queries(lake), (), *[interpolated(f"{c}_latency_ms", q / 100).alias(f"{c}_p{q}_ms") for c in ("retrieval", "total") for q in (50, 95)])
-    return out.select("environment", *[F.coalesce(rounded(F.col(c), 2), F.lit(0.0)).alias(c) for c in out.columns if c != "environment"])
+    names = {f"{c}_p{q}_ms": (f"{c}_latency_ms", q / 100) for c in ("retrieval", "total") for q in (50, 95)}
+    out = with_percentiles(per_environment(queries(lake), (), F.count("*").alias("n")), _everywhere(queries(lake)), ("environment",), names, interpolated=True)
+    return out.select("environment", *[F.coalesce(rounded(F.col(c), 2), F.lit(0.0)).alias(c) for c in names])
 
 
 def document_usage(lake: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -257,9 +264,10 @@ def document_usage(lake: DataFrame, titles: DataFrame | None = None) -> DataFram
 def retrieval(lake: DataFrame) -> DataFrame:
     """AG19: over all events, errors too."""
     out = per_environment(
-        lake, (), mean("retrieval_latency_ms").alias("a"), percentile("retrieval_latency_ms", 0.5).alias("p50"), percentile("retrieval_latency_ms", 0.95).alias("p95"), mean("candidate_count").alias("c"),
+        lake, (), mean("retrieval_latency_ms").alias("a"), mean("candidate_count").alias("c"),
         mean("retrieved_chunk_count").alias("k"), mean("variant_count").alias("v"), mean("reranking_latency_ms").alias("r"), mean("best_retrieval_score").alias("b"),
     )
+    out = with_percentiles(out, _everywhere(lake), ("environment",), {"p50": ("retrieval_latency_ms", 0.5), "p95": ("retrieval_latency_ms", 0.95)})
     value = lambda c, d=2, none=0.0: rounded(F.coalesce(c, F.lit(none)), d)
     return out.select(
         "environment", value("a").alias("avg_retrieval_latency_ms"), value("p50").alias("p50_retrieval_latency_ms"), value("p95").alias("p95_retrieval_latency_ms"), value("c").alias("avg_candidate_count"),
@@ -277,9 +285,10 @@ def retrieval_by_language(lake: DataFrame) -> DataFrame:
 def answers(lake: DataFrame) -> DataFrame:
     """AG21: over queries only."""
     out = per_environment(
-        queries(lake), (), F.count("*").alias("queries_evaluated"), mean("total_latency_ms").alias("a"), percentile("total_latency_ms", 0.5).alias("p50"), percentile("total_latency_ms", 0.95).alias("p95"),
+        queries(lake), (), F.count("*").alias("queries_evaluated"), mean("total_latency_ms").alias("a"),
         mean("generation_latency_ms").alias("w"), mean("citation_count").alias("n"), _n("grounded").alias("g"), _n("citation_valid").alias("c"), _n("fallback_used").alias("f"),
     )
+    out = with_percentiles(out, _everywhere(queries(lake)), ("environment",), {"p50": ("total_latency_ms", 0.5), "p95": ("total_latency_ms", 0.95)})
     value = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 2)
     rate = lambda c: percent(F.col(c), F.col("queries_evaluated"), 2)
     return out.select(
@@ -307,17 +316,24 @@ def daily_trends(lake: DataFrame) -> DataFrame:
 
 
 def summary(lake: DataFrame) -> DataFrame:
-    """AG25: one row an environment, joined from the tables above."""
-    place = Window.partitionBy("environment").orderBy(F.desc("total_queries"), "language")
-    languages = language_performance(lake).withColumn("rank", F.row_number().over(place))
-    most = languages.groupBy("environment").agg(F.min(F.when(F.col("rank") == 1, F.col("language"))).alias("most_used_language"), F.count("*").alias("languages_active"))
-    mixed = script_comparison(lake).filter("category = 'Code-Mixed'").select("environment", F.col("share_pct").alias("code_mixed_query_share"))
-    found = headline(lake).select("environment", F.col("total_records").alias("source_record_count"), F.col("retrieval_completed_count").alias("total_retrieval_events"))
-    for part in (user_summary(lake), most, answers(lake).drop("queries_evaluated"), reliability(lake).select("environment", F.col("overall_error_rate").alias("error_rate")), retrieval(lake).select("environment", "avg_retrieval_latency_ms", "p95_retrieval_latency_ms"), mixed):
-        found = found.join(part, "environment", "left")
-    return found.select(
-        "environment", "source_record_count", "total_queries", "total_unique_users", "avg_queries_per_user", F.coalesce("most_used_language", F.lit("en")).alias("most_used_language"), "languages_active", "total_retrieval_events",
-        "grounded_answer_rate", "citation_validity_rate", "fallback_answer_rate", "error_rate", "avg_retrieval_latency_ms", "p95_retrieval_latency_ms", "avg_total_latency_ms", "p95_total_latency_ms", F.coalesce("code_mixed_query_share", F.lit(0.0)).alias("code_mixed_query_share"),
+    """AG25: one row an environment: one aggregation of all that counts rows, one of languages, one of percentiles."""
+    asked = F.coalesce(F.col("event_type").isin(*QUERY_TYPES), F.lit(False))
+    of = lambda c: F.when(asked, F.col(c))
+    out = per_environment(
+        lake, (), F.count("*").alias("source_record_count"), _n(F.col("event_type") == "retrieval_completed").alias("total_retrieval_events"), _n(asked).alias("n"),
+        F.countDistinct(F.when(F.col("anonymous_user_id") != "", of("anonymous_user_id"))).alias("u"), mean(of("total_latency_ms")).alias("a"), mean("retrieval_latency_ms").alias("r"),
+        _n(of("grounded")).alias("g"), _n(of("citation_valid")).alias("c"), _n(of("fallback_used")).alias("f"), _n(of("is_code_mixed")).alias("mixed"), _n(F.col("error") | (F.col("event_type") == "error")).alias("e"),
+    )
+    out = with_percentiles(out, _everywhere(lake.withColumn("asked_ms", of("total_latency_ms"))), ("environment",), {"p": ("asked_ms", 0.95), "q": ("retrieval_latency_ms", 0.95)})
+    languages = per_environment(queries(lake), ("language",), F.count("*").alias("n")).groupBy("environment").agg(F.min(F.struct(-F.col("n"), "language"))["language"].alias("most"), F.count("*").alias("languages_active"))
+    some = lambda c: F.when(F.col("n") > 0, c)
+    rate = lambda c: some(percent(F.col(c), F.col("n"), 2))
+    value = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 2)
+    return out.join(languages, "environment", "left").select(
+        "environment", "source_record_count", some(F.col("n")).alias("total_queries"), some(F.col("u")).alias("total_unique_users"), some(F.when(F.col("u") > 0, rounded(F.col("n") / F.col("u"), 2)).otherwise(0.0)).alias("avg_queries_per_user"),
+        F.coalesce("most", F.lit("en")).alias("most_used_language"), "languages_active", "total_retrieval_events", rate("g").alias("grounded_answer_rate"), rate("c").alias("citation_validity_rate"), rate("f").alias("fallback_answer_rate"),
+        percent(F.col("e"), F.col("source_record_count"), 2).alias("error_rate"), value("r").alias("avg_retrieval_latency_ms"), value("q").alias("p95_retrieval_latency_ms"), some(value("a")).alias("avg_total_latency_ms"), some(value("p")).alias("p95_total_latency_ms"),
+        percent(F.col("mixed"), F.col("n"), 1).alias("code_mixed_query_share"),
     )
 
 
