@@ -47,7 +47,7 @@ OUT_OF_DOMAIN = r"\bcafeteria\s+menu\b|\bmarine\s+biology\b|\bcricket\s+coach\b|
 ORPHAN_START = r"(?i)^(?:is\b|are\b|was\b|were\b|and\b|or\b|but\b|to\b|of\b|for\b|less to\b|fee\.|whichever\b|[\.,;:!\?]\s*)"
 
 
-#: Beginnings of a text that goes on from an earlier one, and ends of one that goes on in a later one.
+# Beginnings of a text that goes on from an earlier one, and ends of one that goes on in a later one.
 CONTINUATION = r"^[a-z]|(?i)^(?:(?:is|are|was|were|been|being|and|or|but|nor|so|yet|which|that|who|whom|whose|wherein|to|of|for|with|by|from|in|on|at|into|fee|top 50|short-term|training program)\b|less to|whichever|\.|,)"
 INCOMPLETE = r"(?i)\b(?:and|or|such as|including|with|for|to|the|a|an|of|in|on|at|by|from|is|are|shall|must)$|[,:;\-]$"
 
@@ -333,10 +333,15 @@ def e5_prefix(text: Column, kind: str) -> Column:
     return F.when(text.startswith(f"{kind}: "), text).otherwise(F.concat(F.lit(f"{kind}: "), text))
 
 
-def pii_flags(text: Column) -> dict[str, Column]:
-    """TX25: a 12-digit id; an e-mail address outside institutions."""
-    mail = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"), 1)
-    return {"has_id_number": text.rlike(r"\b\d{4}\s?\d{4}\s?\d{4}\b"), "has_private_mail": F.exists(mail, lambda d: ~F.lower(d).rlike(r"(\.edu|\.gov|\.ac)(\.|$)"))}
+#: A 12-digit id, and an e-mail address; ``{0}`` is where an address may be.
+ID_NUMBER = r"\b\d{12}\b"
+PRIVATE_MAIL = r"\b[A-Za-z0-9._%+-]+@(?!{0})[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b"
+
+
+def pii_flags(text: Column, institution: str = "institution.edu") -> dict[str, Column]:
+    """TX25: a 12-digit id; an e-mail address outside the institution."""
+    own = institution.replace(".", r"\.")
+    return {"has_id_number": text.rlike("(?U)" + ID_NUMBER), "has_private_mail": text.rlike("(?U)" + PRIVATE_MAIL.format(own))}
 
 
 def table_text(caption: Column, headers: Column, rows: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -228,14 +229,26 @@ def coverage(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.countDistinct("source").alias("categories"), F.countDistinct("lang").alias("languages"))
 
 
-def corpus_faults(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """JB32: (document_id, fault) for a manifest (document_id, title, language, checksum_sha256) against files (document_id, text)."""
+# What a manifest must say of a document, and what it may say.
+MANIFEST_FIELDS = ("document_id", "title", "category", "language", "file_path", "source_type", "checksum_sha256", "is_active")
+CATEGORIES = ("academic_regulations", "examination_guidelines", "attendance", "scholarships", "hostel", "placements")
+CORPUS_LANGUAGES = ("en", "hi", "kn", "te")
+EXTENSIONS = (".txt", ".pdf", ".docx")
+
+
+def corpus_faults(manifest: DataFrame, files: DataFrame, categories: tuple[str, ...] = CATEGORIES, languages: tuple[str, ...] = CORPUS_LANGUAGES, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """JB32: (document_id, fault) for a manifest with MANIFEST_FIELDS against files (document_id, text).
+
+    A row without a field is judged no further, but counts among rows of its id; one without a file not by what the file would hold.
+    """
     hashed = files.select("document_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("found_hash"), *[c.alias(n) for n, c in tx.pii_flags(F.coalesce("text", F.lit(""))).items()], F.lit(True).alias("exists"))
     ids = manifest.groupBy("document_id").agg(F.count("*").alias("same_id"))
     sums = manifest.groupBy("checksum_sha256").agg(F.count("*").alias("same_sum"))
-    rows = manifest.join(hashed, "document_id", "left").join(ids, "document_id").join(sums, "checksum_sha256", "left")
+    rows = manifest.join(hashed, "document_id", "left").join(ids, "document_id", "left").join(sums, "checksum_sha256", "left")
+    missing = reduce(lambda a, b: a | b, [F.coalesce(F.col(f).cast("string"), F.lit("")) == "" for f in MANIFEST_FIELDS])
+    extension = F.lower(F.regexp_extract("file_path", r"[^/.](\.[^/.]*)$", 1))
     faults = F.array(
-        F.when(F.coalesce("title", F.lit("")) == "", "missing field"), F.when(~F.coalesce("language", F.lit("")).isin("en", "fr", "de", "es"), "unknown language"), F.when(F.col("same_id") > 1, "duplicate id"),
+        F.when(F.col("same_id") > 1, "duplicate id"), F.when(~F.col("category").isin(*categories), "unknown category"), F.when(~F.col("language").isin(*languages), "unknown language"), F.when(~extension.isin(*extensions), "unsupported extension"),
         F.when(F.col("exists").isNull(), "missing file"), F.when(F.col("found_hash") != F.col("checksum_sha256"), "wrong checksum"), F.when(F.col("same_sum") > 1, "duplicate content"), F.when(F.col("has_id_number") | F.col("has_private_mail"), "personal data"),
     )
-    return rows.select("document_id", F.explode(F.array_compact(faults)).alias("fault"))
+    return rows.select("document_id", F.explode(F.when(missing, F.array(F.lit("missing field"))).otherwise(F.array_compact(faults))).alias("fault"))

@@ -12,7 +12,7 @@ STEPS = 256  # buckets between a value and its double
 
 def bucket(value: Column) -> Column:
     """A whole number that never falls where the value grows; values not a number come last."""
-    return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * STEPS))
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * STEPS))
 
 
 def percentiles(rows: DataFrame, keys: tuple[str, ...], wanted: dict[str, tuple[str, float]], interpolated: bool = False) -> DataFrame:

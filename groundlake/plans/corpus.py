@@ -78,6 +78,15 @@ def short(spark, sf_dir):
     return read("documents").select("doc_id", "text").unionAll(read("benchmark").select("item_id", "text")).unionAll(read("conversations").selectExpr("conv_id * 100 + turn", "text"))
 
 
+#: Texts with addresses inside and outside the institution.
+_MAILED = "CASE WHEN doc_id % 4 = 1 THEN concat(text, ' office@institution.edu') WHEN doc_id % 4 = 2 THEN concat('a.b@dept.institution.edu ', text, ' 123456789012') ELSE text END"
+MAILED = f"{SHORT}, mailed AS (SELECT doc_id, {_MAILED} AS text FROM short)"
+
+
+def mailed(spark, sf_dir):
+    return short(spark, sf_dir).selectExpr("doc_id", f"{_MAILED} AS text")
+
+
 _NUM = r"t = '%' OR contains(t, '%') OR regexp_matches(t, '^\d+$')"
 _UNIQUE = "list_filter(l, lambda t, i: list_position(l, t) = i)"
 TERMS = (
@@ -189,7 +198,10 @@ QUERIES = {
     "tx22_numbers": (on(lambda t: F.array_join(tx.numbers(t), " "), short), f"WITH {SHORT} SELECT doc_id, array_to_string(regexp_extract_all(text, '{tx.NUMBER}'), ' ') AS value FROM short"),
     "tx22_urls": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(tx.urls(F.col("html")), " ").alias("value")), "SELECT page_id, array_to_string(regexp_extract_all(html, '" + tx.URL.replace("'", "''") + "'), ' ') AS value FROM pages"),
     "tx24_e5_prefix": (on(lambda t: tx.e5_prefix(t, "passage")), sql("CASE WHEN starts_with(text, 'passage: ') THEN text ELSE concat('passage: ', text) END AS value")),
-    "tx25_pii_flags": (on(tx.pii_flags, short), f"WITH {SHORT} SELECT doc_id, regexp_matches(text, '\\b\\d{{4}}\\s?\\d{{4}}\\s?\\d{{4}}\\b') AS has_id_number, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1), lambda m: NOT regexp_matches(lower(m), '(\\.edu|\\.gov|\\.ac)(\\.|$)'))) > 0 AS has_private_mail FROM short"),
+    "tx25_pii_flags": (
+        on(tx.pii_flags, mailed),
+        f"WITH {MAILED} SELECT doc_id, regexp_matches(text, '{tx.ID_NUMBER}') AS has_id_number, len(list_filter(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}})\\b', 1), lambda m: NOT starts_with(m, 'institution.edu'))) > 0 AS has_private_mail FROM mailed",
+    ),
     "jb05_exact_duplicates": (lambda s, d: c.exact_duplicates(docs(s, d)), "SELECT doc_id, content_hash, CASE WHEN doc_id <> first_id THEN first_id END AS duplicate_of FROM (SELECT doc_id, sha256(COALESCE(text, '')) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents)"),
     "jb06_blocks": (lambda s, d: c.blocks(headed(s, d)), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS} SELECT * FROM blocks"),
     "jb07_section_groups": (lambda s, d: sections(s, d), f"WITH {HEADED_SQL}, {PARTS}, {BLOCKS}, {GROUPS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_no, section_title, heading_level, text FROM g2"),

@@ -61,16 +61,34 @@ def conversation_queries(s, d):
     return qu.last_turns(read(s, d, "conversations")).selectExpr("conv_id * 100 + turn AS query_id", "text", "before")
 
 
+#: A manifest row of a document; the same text on either engine.
+_MANIFEST = {
+    "document_id": "CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END", "title": "CASE WHEN doc_id % 12 = 0 THEN '' ELSE source END", "category": "CASE WHEN doc_id % 8 = 5 THEN 'other' WHEN doc_id % 2 = 0 THEN 'hostel' ELSE 'placements' END",
+    "language": "CASE WHEN doc_id % 15 = 0 THEN 'xx' WHEN lang = 'fr' THEN 'hi' WHEN lang = 'de' THEN 'kn' WHEN lang = 'es' THEN 'te' ELSE lang END", "file_path": "concat('raw.d/', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' WHEN 2 THEN '' ELSE '.txt' END)",
+    "source_type": "CASE WHEN doc_id % 21 = 1 THEN NULL ELSE 'file' END", "is_active": "doc_id % 4 <> 0",
+}
+
+
 def manifest(s, d):
-    docs = read(s, d, "documents")
-    return docs.select(F.expr("CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END").alias("document_id"), F.when(F.col("doc_id") % 12 == 0, "").otherwise(F.col("source")).alias("title"), F.when(F.col("doc_id") % 15 == 0, "xx").otherwise(F.col("lang")).alias("language"), F.sha2(F.when(F.col("doc_id") % 14 == 0, F.lit("old")).otherwise(F.col("text")), 256).alias("checksum_sha256"))
+    checksum = F.sha2(F.when(F.col("doc_id") % 14 == 0, F.lit("old")).otherwise(F.col("text")), 256)
+    return read(s, d, "documents").select(*[F.expr(x).alias(n) for n, x in _MANIFEST.items()], checksum.alias("checksum_sha256"))
+
+
+def _mail(text: str) -> str:
+    return f"(regexp_matches({text}, '{tx.ID_NUMBER}') OR {_private(text)})"
+
+
+def _private(text: str) -> str:
+    return f"len(list_filter(regexp_extract_all({text}, '\\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}})\\b', 1), lambda m: NOT starts_with(m, 'institution.edu'))) > 0"
 
 
-_MAIL = r"len(list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), lambda m: NOT regexp_matches(lower(m), '(\.edu|\.gov|\.ac)(\.|$)'))) > 0 OR regexp_matches(text, '\b\d{4}\s?\d{4}\s?\d{4}\b')"
-MANIFEST = "man AS (SELECT CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END AS document_id, CASE WHEN doc_id % 12 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 15 = 0 THEN 'xx' ELSE lang END AS language, sha256(CASE WHEN doc_id % 14 = 0 THEN 'old' ELSE text END) AS checksum_sha256 FROM documents), files AS (SELECT CASE WHEN doc_id % 9 = 4 THEN -1 - doc_id ELSE doc_id END AS doc_id, text FROM documents)"
+MANIFEST = f"man AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _MANIFEST.items())}, sha256(CASE WHEN doc_id % 14 = 0 THEN 'old' ELSE text END) AS checksum_sha256 FROM documents), files AS (SELECT CASE WHEN doc_id % 9 = 4 THEN -1 - doc_id ELSE doc_id END AS doc_id, text FROM documents)"
+_WHOLE = "(SELECT * FROM man WHERE title <> '' AND source_type IS NOT NULL)"
 CORPUS = (
-    "SELECT document_id, 'missing field' AS fault FROM man WHERE title = '' UNION ALL SELECT document_id, 'unknown language' FROM man WHERE language NOT IN ('en', 'fr', 'de', 'es') UNION ALL SELECT document_id, 'missing file' FROM man WHERE document_id NOT IN (SELECT doc_id FROM files) "
-    "UNION ALL SELECT document_id, 'wrong checksum' FROM man JOIN files ON doc_id = document_id WHERE sha256(text) <> checksum_sha256 UNION ALL SELECT document_id, 'duplicate content' FROM man WHERE checksum_sha256 IN (SELECT checksum_sha256 FROM man GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT document_id, 'personal data' FROM man JOIN files ON doc_id = document_id WHERE " + _MAIL
+    f"SELECT document_id, 'missing field' AS fault FROM man WHERE title = '' OR source_type IS NULL UNION ALL SELECT document_id, 'unknown category' FROM {_WHOLE} WHERE category = 'other' UNION ALL SELECT document_id, 'unknown language' FROM {_WHOLE} WHERE language NOT IN ({_list(c.CORPUS_LANGUAGES)}) "
+    f"UNION ALL SELECT document_id, 'unsupported extension' FROM {_WHOLE} WHERE lower(regexp_extract(file_path, '[^/.]([.][^/.]*)$', 1)) NOT IN ({_list(c.EXTENSIONS)}) UNION ALL SELECT document_id, 'missing file' FROM {_WHOLE} WHERE document_id NOT IN (SELECT doc_id FROM files) "
+    f"UNION ALL SELECT document_id, 'wrong checksum' FROM {_WHOLE} JOIN files ON doc_id = document_id WHERE sha256(text) <> checksum_sha256 UNION ALL SELECT document_id, 'duplicate content' FROM {_WHOLE} WHERE checksum_sha256 IN (SELECT checksum_sha256 FROM man GROUP BY 1 HAVING count(*) > 1) "
+    f"UNION ALL SELECT document_id, 'personal data' FROM {_WHOLE} JOIN files ON doc_id = document_id WHERE {_mail('text')}"
 )
 _TOPIC = "CASE WHEN contains(lower({0}), 'the') THEN 'the' WHEN contains(lower({0}), 'der') THEN 'der' END"
 _BACK = ", ".join(_TOPIC.format(f"lag(text, {n}) OVER (PARTITION BY conv_id ORDER BY turn)") for n in (1, 2, 3))

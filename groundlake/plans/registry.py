@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, corpus, details, ingest, retrieval, telemetry
+from . import checks, corpus, details, ingest, retrieval, streams, telemetry
 
-PARTS = (telemetry, ingest, corpus, retrieval, details, checks)
+PARTS = (telemetry, ingest, corpus, retrieval, details, checks, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

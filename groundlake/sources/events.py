@@ -35,14 +35,14 @@ def write_by_type(events: DataFrame, path: str, mode: str = "append") -> None:
     events.write.mode(mode).partitionBy("event_type").json(path)
 
 
-def write_rejected(rejected: DataFrame, path: str) -> None:
+def write_rejected(rejected: DataFrame, path: str, mode: str = "append") -> None:
     """SNK3: without payload, dated."""
-    rejected.withColumn("rejected_at", F.current_timestamp()).write.mode("append").json(path)
+    rejected.withColumn("rejected_at", F.current_timestamp()).write.mode(mode).json(path)
 
 
-def write_lake(lake: DataFrame, path: str) -> None:
-    """SNK4: Snappy Parquet by environment, date and type; a run replaces the partitions it has rows for."""
-    lake.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
+def write_lake(lake: DataFrame, path: str, whole: bool = True) -> None:
+    """SNK4: Snappy Parquet by environment, date and type. A run replaces the lake; if not ``whole``, only the partitions it has rows for."""
+    lake.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:

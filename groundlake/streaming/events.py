@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import events as e
 from ..sources.events import write_by_type, write_rejected
@@ -20,18 +21,51 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("source_file"), F.lit(0).alias("line_number"), F.col("value").alias("line"))
 
 
-def validate_stream(lines: DataFrame, valid_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
-    """SS1: valid events to one folder, rejected ones to another, batch by batch; a batch is read once for both."""
+def stamped(lines: DataFrame, environment: str) -> DataFrame:
+    """SNK1: lines of objects without a telemetry_environment, or with an empty one, say ``environment``; other lines stay as they are."""
+    if environment not in e.ENVIRONMENTS:
+        raise ValueError(f"environment is one of {', '.join(e.ENVIRONMENTS)}")
+    name = "telemetry_environment"
+    fields = F.try_variant_get(F.try_parse_json("line"), "$", "map<string,variant>")
+    said = F.coalesce(F.try_variant_get(fields[name], "$", "string"), F.lit(""))
+    with_it = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), F.parse_json(F.lit(f'"{environment}"')))))
+    return lines.withColumn("line", F.when(fields.isNotNull() & (said == ""), with_it).otherwise(F.col("line")))
+
 
-    def both(batch: DataFrame, _: int) -> None:
-        checked = e.validate(batch).persist()
+def recorder(valid_path: str, rejected_path: str, environment: str | None = None) -> Callable[[DataFrame, int], None]:
+    """SNK1, SS1: what writes a batch of lines: stamped and validated, valid events by type, rejected ones without their content.
+
+    A batch has a folder of its own in either place, batch_id=N, which it replaces: a batch that is run again, after a driver was lost
+    between or within the two writes, leaves one copy of each event.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        checked = e.validate(stamped(batch, environment) if environment else batch).persist()
         try:
-            write_by_type(checked.filter("reason IS NULL").select("line", e.text("event_type").alias("event_type")), valid_path)
-            write_rejected(e.quarantine(checked), rejected_path)
+            write_by_type(checked.filter("reason IS NULL").select("line", e.text("event_type").alias("event_type")), f"{valid_path}/batch_id={batch_id}", "overwrite")
+            write_rejected(e.quarantine(checked), f"{rejected_path}/batch_id={batch_id}", "overwrite")
         finally:
             checked.unpersist()
 
-    return lines.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
+
+
+def validate_stream(lines: DataFrame, valid_path: str, rejected_path: str, checkpoint: str, environment: str | None = None) -> StreamingQuery:
+    """SS1: valid events to one folder, rejected ones to another, batch by batch; a batch is read once for both."""
+    return lines.writeStream.foreachBatch(recorder(valid_path, rejected_path, environment)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows that a batch has changed, in a folder a batch, replaced if the batch is run again; ``last_of`` reads their last state."""
+    write = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return results.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_of(spark: SparkSession, path: str, schema: StructType, *keys: str) -> DataFrame:
+    """The last state of each of ``keys`` that ``latest`` has written."""
+    found = spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(path)
+    rest = [c for c in found.columns if c not in (*keys, "batch_id")]
+    return found.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in rest])
 
 
 def deduplicated(events: DataFrame, within: str = "1 day") -> DataFrame:
@@ -71,6 +105,9 @@ class PreviousLanguage(StatefulProcessor):
 
 
 def previous_language(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Needs spark.sql.streaming.stateStore.providerClass set to RocksDB."""
+    """Needs spark.sql.streaming.stateStore.providerClass set to RocksDB.
+
+    State with a time to live asks for one more batch each time, so under ``availableNow`` a run has no end: use ``once`` or a processing-time trigger.
+    """
     schema = "session_id string, event_id string, language string, previous_language string"
     return events.groupBy("session_id").transformWithStateInPandas(PreviousLanguage(ttl_ms), schema, "Append", "ProcessingTime")

@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from groundlake.operators import events as e
 from groundlake.operators import metrics as m
-from groundlake.plans import view
+from groundlake.plans import streams, view
 from groundlake.sources import documents as sd
 from groundlake.sources import events as se
 from groundlake.streaming import events as st
@@ -88,8 +89,8 @@ def _stream(spark, tmp_path):
     return lake, spark.readStream.schema(lake.schema).parquet(str(tmp_path / "events"))
 
 
-def _run(df, tmp_path, spark, name):
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
+def _run(df, tmp_path, spark, name, **trigger):
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     q.awaitTermination(180)
     return spark.table(name)
 
@@ -107,7 +108,7 @@ def test_keyed_state_equals_the_window(spark, tmp_path):
     lake = m.queries(view.lake(spark, SF)).withColumn("ts", F.col("timestamp").cast("timestamp"))
     lake.repartition(1).write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(lake.schema).parquet(str(tmp_path / "events"))
-    got = {r.event_id: r.previous_language for r in _run(st.previous_language(stream), tmp_path, spark, "sessions").collect()}
+    got = {r.event_id: r.previous_language for r in _run(st.previous_language(stream), tmp_path, spark, "sessions", once=True).collect()}
     want = {r.event_id: r.lag_language for r in m.with_previous_language(lake).collect()}
     assert got == want
 
@@ -138,3 +139,33 @@ def test_questions_and_reports(spark, tmp_path):
     assert one.acceptable_answer_points == ["a", "b"] and one.source_documents[0].page == 2 and one.answer_available and two.question is None
     se.write_report(spark.createDataFrame([("insert", 3)], "action string, chunks long"), str(tmp_path / "report"))
     assert [tuple(r) for r in spark.read.schema("action string, chunks long").json(str(tmp_path / "report")).collect()] == [("insert", 3)]
+
+
+def test_a_batch_that_is_run_again_leaves_one_copy(spark, tmp_path):
+    lines = spark.createDataFrame([("f", 0, json.dumps(x) if isinstance(x, dict) else x) for x in (GOOD, GOOD | {"telemetry_environment": "test"}, GOOD | {"telemetry_environment": ""}, "broken", GOOD | {"event_type": "weird"})], "source_file string, line_number int, line string")
+    write = st.recorder(str(tmp_path / "valid"), str(tmp_path / "rejected"), "live")
+    for batch_id in (0, 0, 1):
+        write(lines, batch_id)
+    rows = [json.loads(r.line) | {"batch": r.batch_id} for r in spark.read.json(str(tmp_path / "valid")).collect()]
+    assert sorted((r["batch"], r["telemetry_environment"]) for r in rows) == [(b, x) for b in (0, 1) for x in ("live", "live", "test")]
+    assert {k: v for k, v in rows[0].items() if k not in ("telemetry_environment", "batch")} == {k: v for k, v in GOOD.items() if k != "telemetry_environment"}
+    assert spark.read.json(str(tmp_path / "rejected")).count() == 4
+    with pytest.raises(ValueError):
+        st.stamped(lines, "prod")
+    kept = {r.line for r in st.stamped(lines, "live").collect()}
+    assert "broken" in kept
+
+
+def test_a_run_replaces_the_lake(spark, tmp_path):
+    lake = view.lake(spark, SF).select("event_id", "telemetry_environment", "date", "event_type")
+    for part, whole, left in (("live", True, {"live"}), ("test", True, {"test"}), ("live", False, {"live", "test"})):
+        se.write_lake(lake.filter(F.col("telemetry_environment") == part), str(tmp_path / "lake"), whole)
+        assert {r.telemetry_environment for r in spark.read.parquet(str(tmp_path / "lake")).select("telemetry_environment").distinct().collect()} == left
+
+
+def test_state_is_carried_from_run_to_run(spark, tmp_path):
+    events = [("s", f"e{i}", language, i) for i, language in enumerate(("en", "hi", "kn", "te", "en"))] + [("t", "f0", "hi", 0)]
+    rows = spark.createDataFrame(events, "session_id string, event_id string, language string, at int").selectExpr("session_id", "event_id", "language", "timestamp_seconds(at) AS ts", "least(2, at DIV 2) AS lot")
+    with streams._rocksdb(spark):
+        folder = streams.arriving(rows, "carried", lambda stream, f: streams._appended(st.previous_language(stream), f, once=True))
+    assert {(r.event_id, r.previous_language) for r in spark.read.parquet(f"{folder}/out").collect()} == {("e0", None), ("e1", "en"), ("e2", "hi"), ("e3", "kn"), ("e4", "te"), ("f0", None)}
