@@ -61,18 +61,51 @@ def dictionary_matches(queries: DataFrame, dictionary: DataFrame, longest: int =
     return held.join(longer, "query_id").filter(~inside).select("query_id", "term", "expansion")
 
 
+# Questions about guarantees and schemes aren't about the credits of courses.
+SCHEME_WORDS = ("गारंटी", "ग್ಯಾರಂಟಿ", "గ్యారెంటీ", "guarantee", "cgtmse", "योजना", "ಯೋಜನೆ", "స్కీమ్", "scheme", "msme")
+CREDIT_TERMS = ("क्रेडिट", "ಕ್ರೆಡಿಟ್", "క్రెడిట్స్", "credits")
+
+
+def phrase_matches(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """JN15: (query_id, term, expansion) for the terms of ``dictionary`` (term, expansion, anywhere) that a query holds, in lower case.
+
+    Terms that may stand ``anywhere`` are found inside words too, as endings are joined to Indic ones, but not if they lie in a longer
+    such term that the query holds; other terms stand as whole words. Terms of course credits don't count in a question about a scheme.
+
+    Scale: a query's letters meet the dictionary in an equi-join on the first three letters of a term, and are compared with the whole term
+    there; neither side is sent to all tasks or needs to fit in memory.
+    """
+    longest = dictionary.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+    scheme = reduce(lambda a, b: a | b, [F.contains("q", F.lit(w)) for w in SCHEME_WORDS])
+    q = queries.select("query_id", F.lower("text").alias("q")).filter("q <> ''").withColumn("scheme", scheme)
+    places = q.select("query_id", "q", "scheme", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("at"))
+    places = places.select("query_id", "scheme", F.when(F.col("at") > 1, F.col("q").substr(F.col("at") - 1, F.lit(1))).alias("before"), F.col("q").substr(F.col("at"), F.lit(longest + 1)).alias("here"))
+    starts = places.select("*", F.explode(F.array_distinct(F.array(*[F.substring("here", 1, n) for n in (1, 2, 3)]))).alias("start"))
+    keys = dictionary.filter("term <> ''").select("term", "expansion", "anywhere", F.substring("term", 1, 3).alias("start"))
+    met = starts.join(keys, "start").filter(F.startswith("here", "term"))
+    is_word = lambda c: F.coalesce(c.rlike(r"(?U)^\w"), F.lit(False))
+    letter = lambda i: F.col("here").substr(i, F.lit(1))
+    edges = (is_word(F.col("before")) != is_word(letter(F.lit(1)))) & (is_word(letter(F.length("term"))) != is_word(letter(F.length("term") + 1)))
+    held = met.filter((F.col("anywhere") | edges) & ~(F.col("scheme") & F.col("term").isin(*CREDIT_TERMS))).select("query_id", "term", "expansion", "anywhere").distinct()
+    longer = held.filter("anywhere").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    inside = F.coalesce(F.exists("terms", lambda t: (F.length(t) > F.length("term")) & F.contains(t, F.col("term"))), F.lit(False))
+    return held.join(longer, "query_id", "left").filter(~(F.col("anywhere") & inside)).select("query_id", "term", "expansion")
+
+
 def expand(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """JB16: (query_id, variant_no, variant_type, variant_text, weight): the query, and up to two variants by expansions of its longest terms.
 
     ``queries``: query_id, text and, if known, language, is_romanized and is_code_mixed. One that isn't plain English gets three expansions at
-    0.85; all get two as synonyms at 0.80, unless that is the same text. An expansion that says the query again isn't used.
+    0.85; all get two as synonyms at 0.80, unless that is the same text. An expansion that says the query again isn't used. ``dictionary`` is that
+    of ``phrase_matches``, or without ``anywhere`` that of ``dictionary_matches``.
     """
     known = lambda c, none: F.col(c) if c in queries.columns else F.lit(none)
     romanized = F.coalesce(known("is_romanized", False), F.lit(False))
     foreign = romanized | F.coalesce(known("language", "en").isin("hi", "kn", "te"), F.lit(False)) | F.coalesce(known("is_code_mixed", False), F.lit(False))
     first = queries.select("query_id", F.lit(1).alias("variant_no"), F.lit("original").alias("variant_type"), F.col("text").alias("variant_text"), F.lit(1.0).alias("weight"))
     ordered = F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), "term", "expansion")))
-    found = dictionary_matches(queries, dictionary).groupBy("query_id").agg(tx.distinct_spellings(F.transform(ordered, lambda x: x["expansion"])).alias("e"))
+    matches = phrase_matches if "anywhere" in dictionary.columns else dictionary_matches
+    found = matches(queries, dictionary).groupBy("query_id").agg(tx.distinct_spellings(F.transform(ordered, lambda x: x["expansion"])).alias("e"))
     rows = queries.select("query_id", "text", romanized.alias("romanized"), foreign.alias("foreign")).join(found, "query_id").withColumn("e", F.filter("e", lambda x: F.lower(x) != F.lower("text"))).filter(F.size("e") > 0)
     three, two = (F.array_join(F.slice("e", 1, n), " ") for n in (3, 2))
     made = lambda kind, text, weight: F.struct(kind.alias("variant_type"), text.alias("variant_text"), F.lit(weight).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 
 from ..functions import identity
@@ -57,6 +59,19 @@ def dictionary(s, d):
 DICTIONARY = f"dict AS (SELECT DISTINCT term, concat('about ', term) AS expansion FROM (SELECT ({TOKENS_SQL})[2] AS term FROM benchmark))"
 
 
+_PIECES = {"substring(w, 1, 2)": "true", "substring(w, 1, 4)": "true", "w": "false", "substring(w, 2, 3)": "true"}
+
+
+def phrases(s, d):
+    """Beginnings and middles of words of the benchmark, which may stand anywhere, and whole ones, which may not."""
+    words = read(s, d, "benchmark").select(F.explode(tx.tokenize(F.col("text"))).alias("w")).filter(F.col("w").rlike("^[a-z]{5,}$") & (F.length("w") % 3 == 0)).distinct()
+    made = reduce(lambda a, b: a.unionByName(b), [words.selectExpr(f"{x} AS term", f"{anywhere} AS anywhere") for x, anywhere in _PIECES.items()])
+    return made.distinct().withColumn("expansion", F.concat(F.lit("about "), "term"))
+
+
+PHRASES = f"pw AS (SELECT DISTINCT w FROM (SELECT unnest({TOKENS_SQL}) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{{5,}}$') AND length(w) % 3 = 0), phrases AS (SELECT DISTINCT term, anywhere FROM ({' UNION ALL '.join(f'SELECT {x} AS term, {a} AS anywhere FROM pw' for x, a in _PIECES.items())}))"
+
+
 def conversation_queries(s, d):
     return qu.last_turns(read(s, d, "conversations")).selectExpr("conv_id * 100 + turn AS query_id", "text", "before")
 
@@ -182,6 +197,11 @@ QUERIES = {
     "jn13_first_hit": (lambda s, d: rp.label_hits(s, d, rp.dense(s, d)).groupBy("query_id").agg(F.min("rank").alias("first_hit")), rp.with_("SELECT query_id, min(rank) AS first_hit FROM den JOIN gold USING (query_id, chunk_id) GROUP BY query_id", rp._dense("den"), rp.GOLD)),
     "jn14_cascade_delete": (lambda s, d: read(s, d, "labels").join(read(s, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "left_anti").groupBy("quality").agg(F.count("*").alias("left")), "SELECT quality, count(*) AS left FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY quality"),
     "jn15_dictionary": (lambda s, d: qu.dictionary_matches(rp.asked(s, d), dictionary(s, d)), f"WITH {DICTIONARY} SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)"),
+    "jn15_phrases": (
+        lambda s, d: qu.phrase_matches(rp.asked(s, d), phrases(s, d)).select("query_id", "term"),
+        f"WITH {PHRASES}, hit AS (SELECT query_id, term, anywhere FROM (SELECT item_id AS query_id, lower(text) AS q FROM benchmark) JOIN phrases ON contains(q, term) AND (anywhere OR regexp_matches(q, concat('(^|[^\\p{{L}}\\p{{N}}_])', term, '($|[^\\p{{L}}\\p{{N}}_])')))) "
+        "SELECT DISTINCT query_id, term FROM hit h WHERE NOT anywhere OR NOT EXISTS (SELECT 1 FROM hit l WHERE l.query_id = h.query_id AND l.anywhere AND length(l.term) > length(h.term) AND contains(l.term, h.term))",
+    ),
     "jb16_expand_query": (
         lambda s, d: qu.expand(rp.asked(s, d).selectExpr("*", "CASE WHEN query_id % 3 = 0 THEN 'kn' ELSE 'en' END AS language", "query_id % 4 = 0 AS is_romanized"), dictionary(s, d)),
         f"WITH {DICTIONARY}, hit AS (SELECT DISTINCT query_id, term, expansion FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) JOIN dict USING (term)), said AS (SELECT query_id, list(expansion ORDER BY length(term) DESC, term) AS l FROM hit GROUP BY query_id) SELECT item_id AS query_id, 1 AS variant_no, 'original' AS variant_type, text AS variant_text, CAST(1 AS DOUBLE) AS weight FROM benchmark UNION ALL SELECT query_id, 2, CASE WHEN query_id % 4 = 0 THEN 'transliteration' ELSE 'indic_translation' END, array_to_string(l[1:3], ' '), CAST(0.85 AS DOUBLE) FROM said WHERE query_id % 3 = 0 OR query_id % 4 = 0 "

@@ -263,3 +263,15 @@ def test_audit_of_json_files_and_tables(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     found = violations(e.audit_table(table, F.lit("t"), F.col("_metadata.row_index") + 1))
     assert found == [("t", 0, "Answer", "forbidden_key"), ("t", 1, "Answer", "forbidden_key"), ("t", 1, "Prompt", "forbidden_key"), ("t", 1, "who", "email"), ("t", 2, "Answer", "forbidden_key")]
+
+
+def test_phrases_stand_inside_words_and_longer_ones_hide_shorter_ones(spark):
+    terms = [("उपस्थिति", True), ("परीक्षा", True), ("क्रेडिट", True), ("fee", False), ("credits", False), ("late fee", False), ("host", True), ("hostel", True), ("c++", False), ("x", True)]
+    dictionary = spark.createDataFrame([(t, f"about {t}", a) for t, a in terms], "term string, expansion string, anywhere boolean")
+    asked = ["सेमेस्टर परीक्षाओं में उपस्थितियाँ", "The LATE FEE of hostels?", "coffee feedback", "credits क्रेडिट and fee", "credits of the guarantee scheme क्रेडिट", "host and ax", "", None, "c++ is it"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    got = {(r.query_id, r.term) for r in qu.phrase_matches(queries, dictionary).collect()}
+    assert got == {(0, "उपस्थिति"), (0, "परीक्षा"), (1, "fee"), (1, "late fee"), (1, "hostel"), (3, "credits"), (3, "क्रेडिट"), (3, "fee"), (5, "host"), (5, "x")}
+    assert qu.phrase_matches(queries, dictionary.limit(0)).count() == 0
+    expanded = qu.expand(spark.createDataFrame([(1, "सेमेस्टर परीक्षा में उपस्थिति", "hi")], "query_id int, text string, language string"), dictionary).orderBy("variant_no").collect()
+    assert [(r.variant_type, r.variant_text) for r in expanded] == [("original", "सेमेस्टर परीक्षा में उपस्थिति"), ("indic_translation", "about उपस्थिति about परीक्षा")]
