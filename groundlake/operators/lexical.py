@@ -56,18 +56,25 @@ def _hash() -> Column:
     return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
 
 
+def _buckets(spark: SparkSession, blocks: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, blocks // 64))
+
+
 def _rows(chunks: DataFrame, blocks: int) -> DataFrame:
-    rows = chunks.select("chunk_id", _hash().alias("content_hash"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), F.coalesce(tx.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    """Texts are dealt by block before they are tokenised, so that a table of few files keeps all tasks busy."""
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block")
+    dealt = chunks.select("chunk_id", "text", block).repartition(_buckets(chunks.sparkSession, blocks), "block")
+    rows = dealt.select("chunk_id", _hash().alias("content_hash"), "block", F.coalesce(tx.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
     return rows.select("chunk_id", "content_hash", "block", F.size("tokens").alias("len"), "tokens")
 
 
 def _save(df: DataFrame, name: str, path: str, buckets: int, *by: str) -> None:
-    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(name)
 
 
 def _stored(spark: SparkSession, rows: DataFrame, blocks: int) -> LexicalIndex:
     tag, folder = uuid.uuid4().hex, shared_folder(spark, "lexical")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, blocks // 64))
+    buckets = _buckets(spark, blocks)
     _save(rows, f"chunks_{tag}", f"{folder}/chunks", buckets, "block")
     stored = spark.table(f"chunks_{tag}")
     # Chunks of a block lie in one bucket, so neither grouping shuffles.
@@ -75,7 +82,7 @@ def _stored(spark: SparkSession, rows: DataFrame, blocks: int) -> LexicalIndex:
     held = F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "len")))
     grouped = counted.groupBy("block", "term").agg(held.alias("x"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
     postings = grouped.select("term", (F.col("block") % SLICES).alias("slice"), "block", F.col("x.chunk_id").alias("chunk_ids"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens"), F.size("x").alias("chunks"), "max_tf", "min_len")
-    _save(postings, f"postings_{tag}", f"{folder}/postings", buckets, "term", "slice")
+    _save(postings.repartition(buckets, "term", "slice"), f"postings_{tag}", f"{folder}/postings", buckets, "term", "slice")
     size = stored.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     return LexicalIndex(spark, folder, tag, blocks, size["n"], max(1.0, float(size["mean"] or 0)))
 
@@ -96,7 +103,7 @@ def update(index: LexicalIndex, chunks: DataFrame) -> LexicalIndex:
     same = hashed.select("chunk_id", "content_hash").join(known, ["chunk_id", "content_hash"], "left_semi")
     kept = index.chunks.join(same, ["chunk_id", "content_hash"], "left_semi").select("chunk_id", "content_hash", "block", "len", "tokens")
     new = hashed.join(known, ["chunk_id", "content_hash"], "left_anti").select("chunk_id", "text")
-    return _stored(index.spark, kept.unionByName(_rows(new, index.blocks)), index.blocks)
+    return _stored(index.spark, kept.unionByName(_rows(new, index.blocks)).repartition(_buckets(index.spark, index.blocks), "block"), index.blocks)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
