@@ -33,11 +33,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(first, "content_hash").select("doc_id", "content_hash", F.when(F.col("doc_id") != F.col("first_id"), F.col("first_id")).alias("duplicate_of"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """JB6: paragraphs in order, with the heading that holds for each (WN7)."""
+def blocks(docs: DataFrame, numbered_lines: bool = True) -> DataFrame:
+    """JB6: paragraphs in order, with the heading that holds for each (WN7); ``numbered_lines`` is False for Markdown, whose headings have # signs."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "part"))
     parts = parts.withColumn("text", tx.strip(F.col("part"))).filter("text <> ''")
-    found = tx.heading(F.col("text"))
+    found = tx.heading(F.col("text"), numbered_lines)
     order = Window.partitionBy("doc_id").orderBy("at")
     parts = parts.withColumn("heading_level", found["level"]).withColumn("own_title", found["title"])
     return parts.select(
@@ -101,7 +101,7 @@ def _cut(text: str, start: int, size: int) -> int:
     return full
 
 
-_LIST_MARK, _ORPHAN, _BLANK = re.compile(LIST_MARK), re.compile(tx.ORPHAN_START), re.compile(r"\s+")
+_LIST_MARK, _ORPHAN, _BLANK = re.compile(LIST_MARK), re.compile(tx.ORPHAN_START, re.ASCII), re.compile(r"\s+")
 _SENTENCE = re.compile(f"[{SENTENCE_MARKS}](?=([ \t\n]*))")
 
 

@@ -275,3 +275,18 @@ def test_phrases_stand_inside_words_and_longer_ones_hide_shorter_ones(spark):
     assert qu.phrase_matches(queries, dictionary.limit(0)).count() == 0
     expanded = qu.expand(spark.createDataFrame([(1, "सेमेस्टर परीक्षा में उपस्थिति", "hi")], "query_id int, text string, language string"), dictionary).orderBy("variant_no").collect()
     assert [(r.variant_type, r.variant_text) for r in expanded] == [("original", "सेमेस्टर परीक्षा में उपस्थिति"), ("indic_translation", "about उपस्थिति about परीक्षा")]
+
+
+def test_word_borders_are_those_of_the_sql(spark):
+    """RE2 and the SQL take accented letters for no word characters."""
+    assert value(spark, tx.is_continuation, "Onç au") is True and value(spark, tx.is_continuation, "Ona au") is False
+    assert value(spark, tx.is_incomplete, "it is éa") is True and value(spark, tx.is_incomplete, "it is da") is False
+    assert value(spark, tx.is_orphan_start, "Isé here") is True and value(spark, tx.is_orphan_start, "Isa here") is False
+    assert c._restart("One two. isé three", 0, 18, 10) == 13  # a next chunk doesn't begin with what counts as an orphan
+
+
+def test_numbered_lines_are_no_headings_of_markdown(spark):
+    docs = spark.createDataFrame([(1, "10.0.0.1 is an address.\n\n## Rules\n\nText.")], "doc_id int, text string")
+    kinds = lambda **how: [(x.block_type, x.section_title) for x in c.blocks(docs, **how).orderBy("block_no").collect()]
+    assert kinds(numbered_lines=False) == [("paragraph", c.FIRST_SECTION), ("heading", "Rules"), ("paragraph", "Rules")]
+    assert kinds()[0] == ("heading", "10.0.0.1 is an address.")
