@@ -87,8 +87,7 @@ def windowed(s, d) -> DataFrame:
 def previous(s, d) -> DataFrame:
     """SS4: sessions go on from lot to lot; their last language is kept as state."""
     rows = m.queries(timed(s, d)).select("session_id", "event_id", "language", "ts", F.expr(HOURS).alias("lot"))
-    with _rocksdb(s):
-        folder = arriving(rows, "previous", lambda stream, f: _appended(st.previous_language(stream), f, once=True))  # under availableNow, states with a time to live ask for one more batch without end
+    folder = arriving(rows, "previous", lambda stream, f: st.carried_language(stream, f"{f}/out", f"{f}/last", f"{f}/state"))
     return s.read.parquet(f"{folder}/out").select("session_id", "event_id", "language", "previous_language")
 
 

@@ -169,3 +169,10 @@ def test_state_is_carried_from_run_to_run(spark, tmp_path):
     with streams._rocksdb(spark):
         folder = streams.arriving(rows, "carried", lambda stream, f: streams._appended(st.previous_language(stream), f, once=True))
     assert {(r.event_id, r.previous_language) for r in spark.read.parquet(f"{folder}/out").collect()} == {("e0", None), ("e1", "en"), ("e2", "hi"), ("e3", "kn"), ("e4", "te"), ("f0", None)}
+
+
+def test_last_languages_are_carried_by_one_join_a_batch(spark):
+    events = [("s", f"e{i}", language, i) for i, language in enumerate(("en", "hi", "kn", "te", None, "en"))] + [("t", "f0", "hi", 0), ("t", "f1", "en", 5)]
+    rows = spark.createDataFrame(events, "session_id string, event_id string, language string, at int").selectExpr("session_id", "event_id", "language", "timestamp_seconds(at) AS ts", "least(2, at DIV 2) AS lot")
+    folder = streams.arriving(rows, "carried", lambda stream, f: st.carried_language(stream, f"{f}/out", f"{f}/last", f"{f}/state"))
+    assert {(r.event_id, r.previous_language) for r in spark.read.parquet(f"{folder}/out").collect()} == {("e0", None), ("e1", "en"), ("e2", "hi"), ("e3", "kn"), ("e4", "te"), ("e5", None), ("f0", None), ("f1", "hi")}
