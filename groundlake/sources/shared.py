@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="groundlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def output(uri: str):
+    """Binary output stream for a task; the file gets its name when it is whole, so a task that is run again replaces it."""
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part, compression=None) as stream:
+        yield stream
+    system.move(part, path)
+
+
+def opened(uri: str):
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)

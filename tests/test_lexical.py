@@ -137,3 +137,16 @@ def test_long_questions_pass_on_k_rows_and_no_posting(spark):
     assert "MapInArrow" in plan and "explode(" not in plan and "postings_" not in plan, plan
     assert lx._all_scored(index, asked, 5, None).count() < len(queries) * 5 * 40
     assert not spark.catalog.tableExists(f"postings_{index.tag}")
+
+
+def test_queries_of_many_blocks_are_read_one_by_one(spark, monkeypatch):
+    """No block of queries is broadcast or copied beside a block of chunks; few rows a block give the same lists, ties too."""
+    for name, value in (("QUERY_ROWS", 3), ("CHUNK_ROWS", 16), ("HELD_ENTRIES", 200)):
+        monkeypatch.setattr(lx, name, value)
+    rows = corpus(300, seed=9) + [(5000 + i, "common w1 w2") for i in range(40)]
+    index = lx.build(table(spark, rows), block_chunks=16)
+    queries = [(i, t) for i, t in rows if i % 20 == 0]
+    got = lx.search(index, spark.createDataFrame(queries, "query_id bigint, text string"), 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan, plan
+    same(found(got), brute(rows, queries, 6))
