@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -83,11 +84,11 @@ def section_groups(blocks_: DataFrame, short: int = 40, tiny: int = 30) -> DataF
 
 def ends_sentence(text: str, at: int) -> bool:
     """Whether the mark at ``at`` ends a sentence: not inside a number, nor an abbreviation's dot, nor one of an address."""
-    if text[at - 1 : at].isdigit() and text[at + 1 : at + 2].isdigit():
+    if _DIGIT.match(text[at - 1 : at]) and _DIGIT.match(text[at + 1 : at + 2]):
         return False
     if text[at] != ".":
         return True
-    word = text[max(0, at - 10) : at + 1].split()[-1].lower().strip(" \t\n()[]{}")
+    word = _BLANK.split(text[max(0, at - 10) : at + 1])[-1].lower().strip(" \t\n()[]{}")
     return word not in ABBREVIATIONS and not text[at + 1 : at + 10].lower().startswith(ADDRESS_PARTS)
 
 
@@ -101,7 +102,7 @@ def _cut(text: str, start: int, size: int) -> int:
     return full
 
 
-_LIST_MARK, _ORPHAN, _BLANK = re.compile(LIST_MARK), re.compile(tx.ORPHAN_START, re.ASCII), re.compile(r"\s+")
+_LIST_MARK, _ORPHAN, _BLANK, _DIGIT = re.compile(LIST_MARK.removesuffix(r"\s*"), re.ASCII), re.compile(tx.as_in_sql(tx.ORPHAN_START), re.ASCII), re.compile(f"[{tx.BLANKS}]+"), re.compile("[0-9]")
 _SENTENCE = re.compile(f"[{SENTENCE_MARKS}](?=([ \t\n]*))")
 
 
@@ -128,8 +129,8 @@ def _restart(text: str, start: int, end: int, overlap: int) -> int:
         return end
     found = end
     for at, small in _begins(text, max(start, end - overlap), end):
-        rest = text[at:end].strip()
-        if rest and not _ORPHAN.match(rest) and (small or not rest[0].islower()):
+        rest = text[at:end].strip(tx.BLANKS)
+        if rest and not _ORPHAN.match(rest) and (small or unicodedata.category(rest[0]) != "Ll"):
             found = at
             break
     if found <= start:
@@ -140,7 +141,7 @@ def _restart(text: str, start: int, end: int, overlap: int) -> int:
 def split_chunks(text: str, size: int, overlap: int, tiny: int = TINY) -> list[tuple[str, int, int]]:
     """UF2: (text, start, end) of chunks of at most ``size`` characters that cover ``text``; the next one begins up to ``overlap`` places before
     an end. A chunk equal to the one before is left out; a tiny one joins the one before, after an empty line, if both fit."""
-    if not text.strip():
+    if not text.strip(tx.BLANKS):
         return []
     cuts, start = [], 0
     while start + size < len(text):

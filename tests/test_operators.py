@@ -298,3 +298,20 @@ def test_a_text_is_worked_out_once_for_its_script_and_intent(spark):
     assert plan(tx.primary_script).count("upper(") == 1 and plan(tx.query_intent).count("lower(") == 1
     assert [r.v for r in docs.select(tx.primary_script(F.col("t")).alias("v")).collect()] == ["kannada", "latin", "unknown"]
     assert [r.v for r in docs.select(tx.query_intent(F.col("t")).alias("v")).collect()][1:] == ["FACTUAL", "FACTUAL"]
+
+
+def test_blanks_and_letters_are_those_of_the_sql(spark):
+    """White space and digits are ASCII's, $ is the very end, and letters equal but for case are met by code point: what RE2 does."""
+    assert value(spark, tx.strip, " a\x0b \r\n") == " a\x0b" and value(spark, tx.strip, "a  ") == "a  "
+    assert value(spark, tx.is_incomplete, "this iſ") is True and value(spark, tx.is_incomplete, "goes and ") is False
+    assert value(spark, tx.is_continuation, " and so") is False and value(spark, tx.is_continuation, "Aſ it") is False
+    assert value(spark, tx.is_orphan_start, "Leſſ to it") is True and value(spark, tx.is_orphan_start, "İs it") is False
+    docs = spark.createDataFrame([(1, "one\n\n \n\n## Two　\n\nthree")], "doc_id int, text string")
+    assert [(x.text, x.section_title) for x in c.blocks(docs, numbered_lines=False).orderBy("block_no").collect()] == [("one", c.FIRST_SECTION), (" ", c.FIRST_SECTION), ("## Two　", "Two　"), ("three", "Two　")]
+
+
+def test_cuts_take_blanks_digits_and_list_marks_as_the_sql_does():
+    assert c.split_chunks(" ", 10, 0) == [(" ", 0, 1)] and c.split_chunks("\t\n", 10, 0) == []
+    assert c.ends_sentence("٥.٥", 1) and not c.ends_sentence("5.5", 1)
+    assert c._restart("Some words\n- \n- more", 0, 20, 12) == 14  # the last mark, although the one before takes in its line end
+    assert c._restart("Some words andmore", 0, 18, 10) == 18
