@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; candidates by banded MinHash."""
+"""Near-duplicates by exact Jaccard similarity of word shingles; candidates by op1's SimHash fingerprints and by banded MinHash."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, text_bytes, written
-from .simhash import components
+from .simhash import components, fingerprints, named
 
 WIDTH = 5
 LIMIT = 0.8
@@ -139,15 +139,27 @@ def _ordered(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
+def _alike_prints(rows: DataFrame) -> DataFrame:
+    """(fp, k, key): the fingerprint of each set of ``rows`` (fp, keys, sim) and the words it names in op1's covering tables, as buckets after those of the bands.
+
+    Texts of one set may differ in how often they repeat a shingle, and so in their fingerprints; an empty set has none.
+    """
+    prints = rows.filter(F.size("keys") > 0).select("fp", "sim").distinct()
+    words = named(prints.select(F.col("sim").alias("fp")).distinct()).distinct().toDF("sim", "key")
+    own = prints.select("fp", F.col("sim").alias("key"))
+    return prints.join(words, "sim").select("fp", "key").unionByName(own).distinct().select("fp", F.lit(BANDS).alias("k"), "key")
+
+
 def roots(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(fp, root) for keys of ``rows`` (text, fp, keys, sketch) that are linked to another; root is the same for all of a component.
+    """(fp, root) for keys of ``rows`` (text, fp, keys, sketch, sim) that are linked to another; root is the same for all of a component.
 
-    Each bucket of a band first compares its members with the one that meets most others in all bands: the text
+    Buckets are the words that fingerprints ``sim`` within two bits have in common, and the bands. Each bucket first compares its members with the one that meets most others in all bands: the text
     that a group of near copies was made from, if it is there. A bucket whose members are in one component by then
     is done: no pair of it can join anything. The members of the others meet by ``_candidates``, which lose no
     alike pair. So the components are those of all pairs of the buckets.
     """
-    keyed = rows.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.posexplode("keys").alias("k", "key"))
+    banded = rows.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.posexplode("keys").alias("k", "key"))
+    keyed = banded.unionByName(_alike_prints(rows))
     crowded = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keep(keyed.join(crowded, ["k", "key"]), "met")
     weighed = met.join(met.groupBy("fp").agg(F.sum("n").alias("meets")), "fp")
@@ -169,7 +181,7 @@ def roots(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataF
 
 
 def _classes(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(fp, component_id, one) for each fp of ``rows`` (doc_id, at, text, fp, keys, sketch); ``one`` is the ``at`` of its component's first row.
+    """(fp, component_id, one) for each fp of ``rows`` (doc_id, at, text, fp, keys, sketch, sim); ``one`` is the ``at`` of its component's first row.
 
     First is the row of the smallest doc_id, rows without one last; among equal ids that of the smallest hash of its text.
     """
@@ -180,10 +192,10 @@ def _classes(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Da
 
 
 def _printed(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The rows of ``docs`` with a number, the key of their set of shingles and the keys of its bands: the one pass over all texts."""
+    """The rows of ``docs`` with a number, the key of their set of shingles, the keys of its bands and op1's fingerprint: the one pass over all texts."""
     with small_batches(docs.sparkSession, 1000):
-        rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"), _prints()(F.col("text")).alias("p"))
-        return keep(rows.select("row", "at", "p.fp", "p.keys", "p.sketch"), "rows").withColumns({"doc_id": F.col("row.doc_id"), "text": F.col("row.text")})
+        rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"), _prints()(F.col("text")).alias("p"), fingerprints()(F.col("text")).alias("sim"))
+        return keep(rows.select("row", "at", "p.fp", "p.keys", "p.sketch", "sim"), "rows").withColumns({"doc_id": F.col("row.doc_id"), "text": F.col("row.text")})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are linked if the sets of their five-word shingles (ASCII lower case, split at ASCII blanks) have a
     Jaccard similarity of 0.8 or more; every link is checked exactly on the 64-bit hashes of the shingles.
-    Candidates share a band of a MinHash: a pair at 0.8 is missed with chance 7e-5, a closer one more rarely; their sketches add 5e-8.
+    Candidates are all pairs whose fingerprints are within two bits, as op1 finds them, and those that share a band of a MinHash: another pair at 0.8 is missed with chance 7e-5, a closer one more rarely; their sketches add 5e-8.
     Texts of the same shingles are copies, as are null and empty texts. component_id is the smallest doc_id
     of the component; a null doc_id never names one, and a component of null ids has a null id. Repeated
     rows stay, other columns are ignored, no rows give none. Very long texts are hashed whole, with all of their shingles in memory.

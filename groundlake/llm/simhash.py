@@ -60,8 +60,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Star edges (u, v), u > v, between distinct fingerprints ``fp`` that differ in one or two bits.
+def named(prints: DataFrame) -> DataFrame:
+    """(fp, word): words of which any two distinct fingerprints ``fp`` that differ in one or two bits, and no others, have one in common.
 
     Covering tables first: a fingerprint goes on only with a table in which its bucket has another.
     Inside a bucket no pairs are made: each member names itself and its one-bit neighbours in the
@@ -74,8 +74,12 @@ def links(prints: DataFrame) -> DataFrame:
     crowded = keyed.groupBy("k", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("k", "key")
     members = keyed.join(crowded, ["k", "key"]).select("fp", "k")
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    named = members.select("fp", F.explode(F.element_at(flips, F.col("k") + 1)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    balls = named.groupBy("word").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+    return members.select("fp", F.explode(F.element_at(flips, F.col("k") + 1)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """Star edges (u, v), u > v, between distinct fingerprints ``fp`` that differ in one or two bits: a star for each word that two of them name."""
+    balls = named(prints).groupBy("word").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
     stars = balls.select(F.explode("all").alias("u"), F.array_min("all").alias("v"))
     return stars.filter("u > v").distinct()
 

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -109,3 +110,13 @@ def test_texts_of_common_parts_make_few_candidates(spark):
     sets = rows.select("fp", neardup._sets()(F.col("text")).alias("hashes"))
     before = sum(len(a & b) > 0 for a, b in combinations([brute_set(t) for t in texts[:200]], 2)) * 100
     assert neardup._candidates(sets, rows.select("fp", F.col("fp").alias("root"), "sketch")).count() < before / 1000
+
+
+def test_fingerprints_of_op1_name_candidates(spark, monkeypatch):
+    """Without any band, alike texts are found whose fingerprints are within two bits; texts of one fingerprint that aren't alike stay apart."""
+    monkeypatch.setattr(neardup, "bands", lambda least: np.frombuffer(os.urandom(8), "<i8"))  # no two texts share one
+    refrain, ends = "a b c " * 100, ["".join(f"{x}{i} " for i in range(9)) for x in "xy"]
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, refrain + ends[0]), (2, refrain + ends[1]), (3, long + " one"), (4, long + " two"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(neardup.near_duplicates(docs)) == Counter({(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 3): 1, (5, 5): 1, (6, 5): 1})
