@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +27,13 @@ PATTERNS = {
     "google_key": r"\bAIza[0-9A-Za-z-_]{35}\b",
     "bearer": r"\bBearer\s+[A-Za-z0-9\-\._~\+\/]+=*\b",
 }
+#: What a text must hold for a pattern to find anything; a phone number has ten digits.
+NEEDED = {"email": "@", "phone": None, "google_key": "AIza", "bearer": "Bearer"}
 LONG_ALLOWED = ("error_details", "fallback_reason")
 EXEMPT = ("error_details", "fallback_reason", "source_parquet_path", "source_path", "output_directory")
 MAX_TEXT = 200
+#: Fields that rules name, but for the keys that are forbidden.
+RULED = ("event_type", "event_id", "telemetry_environment", "timestamp", "timestamp_utc", *NUMBERS, "language", "script", "provider")
 NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
@@ -37,23 +42,43 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.try_parse_json("line"))
 
 
-def kind(name: str) -> Column:
+def field(name: str) -> Column:
+    """A top-level field; null if absent."""
+    return F.variant_get("v", f"$.{name}", "variant")
+
+
+def _opened(name: str) -> Column:
+    """A field that a rule names, where ``fields`` holds them all: a line's fields are looked through once, not once a rule."""
+    return F.col("fields")[name]
+
+
+Field = Callable[[str], Column]
+
+
+def kind(name: str, of: Field = field) -> Column:
     """Type of a top-level field; null if absent."""
-    return F.schema_of_variant(F.variant_get("v", f"$.{name}", "variant"))
+    return F.schema_of_variant(of(name))
 
 
-def text(name: str) -> Column:
+def text(name: str, of: Field = field) -> Column:
     """A top-level field if it is a string."""
-    return F.when(kind(name) == "STRING", F.try_variant_get("v", f"$.{name}", "string"))
+    return F.when(kind(name, of) == "STRING", F.try_variant_get(of(name), "$", "string"))
 
 
-def _present(name: str) -> Column:
-    return F.coalesce(kind(name), F.lit("VOID")) != "VOID"
+def _present(name: str, of: Field = field) -> Column:
+    return F.coalesce(kind(name, of), F.lit("VOID")) != "VOID"
+
+
+def _telling() -> Column:
+    """Whether a string of the line may be too long or sensitive. Without a backslash its strings stand in it letter by letter, between quotes."""
+    within = [F.contains("line", F.lit(x)) for x in ("\\", *(x for x in NEEDED.values() if x))]
+    phone = F.col("line").rlike("[6-9][0-9]{9}")
+    return reduce(lambda a, b: a | b, within) | phone | F.col("line").rlike(f'"[^"]{{{MAX_TEXT + 1}}}')
 
 
 def _texts() -> Column:
     """Names and values of the top-level strings."""
-    entries = F.map_entries(F.from_json("line", "map<string,variant>"))
+    entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
     strings = F.filter(entries, lambda e: F.schema_of_variant(e["value"]) == "STRING")
     return F.transform(strings, lambda e: F.struct(e["key"].alias("name"), F.try_variant_get(e["value"], "$", "string").alias("value")))
 
@@ -69,21 +94,21 @@ def has_forbidden_key() -> Column:
     return F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, FORBIDDEN))), F.lit(False))
 
 
-def _domain(name: str, allowed: tuple[str, ...]) -> Column:
+def _domain(name: str, allowed: tuple[str, ...], of: Field = field) -> Column:
     """VAL6, VAL9: an optional string of a domain, in any case; true where the rule is broken."""
-    return _present(name) & ~F.coalesce(F.lower(text(name)).isin(*allowed), F.lit(False))
+    return _present(name, of) & ~F.coalesce(F.lower(text(name, of)).isin(*allowed), F.lit(False))
 
 
-def _stamp() -> Column:
+def _stamp(of: Field = field) -> Column:
     blank = lambda c: F.when(c != "", c)
-    return F.coalesce(blank(text("timestamp")), blank(text("timestamp_utc")))
+    return F.coalesce(blank(text("timestamp", of)), blank(text("timestamp_utc", of)))
 
 
-def _number_fault(name: str) -> Column:
+def _number_fault(name: str, of: Field = field) -> Column:
     """VAL8: ``number`` if it isn't one, ``negative`` if it is below zero or not a number at all."""
-    value = F.try_variant_get("v", f"$.{name}", "double")
-    bad = F.when(~kind(name).rlike(NUMERIC), F.lit(f"{name}: not a number")).when((value < 0) | F.isnan(value), F.lit(f"{name}: negative"))
-    return F.when(_present(name), bad)
+    value = F.try_variant_get(of(name), "$", "double")
+    bad = F.when(~kind(name, of).rlike(NUMERIC), F.lit(f"{name}: not a number")).when((value < 0) | F.isnan(value), F.lit(f"{name}: negative"))
+    return F.when(_present(name, of), bad)
 
 
 def _first_text(condition, reason: str) -> Column:
@@ -93,23 +118,23 @@ def _first_text(condition, reason: str) -> Column:
 
 
 def first_fault() -> Column:
-    """VAL1: the first broken rule, in the order of the contract; null for a valid event."""
+    """VAL1: the first broken rule, in the order of the contract; null for a valid event. Reads ``fields``, ``stamp`` and ``texts`` of ``validate``."""
     rule = lambda broken, reason: F.when(broken, F.lit(reason))
     sensitive = lambda e: reduce(lambda a, b: a | b, [e["value"].rlike(p) for p in PATTERNS.values()])
     return F.coalesce(
         rule(F.col("v").isNull(), "not JSON"),
-        rule(~is_object(), "not an object"),
+        rule(F.col("fields").isNull(), "not an object"),
         rule(has_forbidden_key(), "forbidden field"),
-        rule(F.coalesce(text("event_type"), F.lit("")) == "", "event_type: missing"),
-        rule(~text("event_type").isin(*EVENT_TYPES), "event_type: unsupported"),
-        rule(F.coalesce(text("event_id"), F.lit("")) == "", "event_id: missing"),
-        rule(_domain("telemetry_environment", ENVIRONMENTS), "telemetry_environment: unsupported"),
-        rule(_stamp().isNull(), "timestamp: missing"),
-        rule(F.try_to_timestamp(_stamp()).isNull(), "timestamp: invalid"),
-        *[_number_fault(n) for n in NUMBERS],
-        rule(_domain("language", (*LANGUAGES, "und")), "language: unsupported"),
-        rule(_domain("script", SCRIPTS), "script: unsupported"),
-        rule(_domain("provider", PROVIDERS), "provider: unsupported"),
+        rule(F.coalesce(text("event_type", _opened), F.lit("")) == "", "event_type: missing"),
+        rule(~text("event_type", _opened).isin(*EVENT_TYPES), "event_type: unsupported"),
+        rule(F.coalesce(text("event_id", _opened), F.lit("")) == "", "event_id: missing"),
+        rule(_domain("telemetry_environment", ENVIRONMENTS, _opened), "telemetry_environment: unsupported"),
+        rule(F.col("stamp").isNull(), "timestamp: missing"),
+        rule(F.try_to_timestamp("stamp").isNull(), "timestamp: invalid"),
+        *[_number_fault(n, _opened) for n in NUMBERS],
+        rule(_domain("language", (*LANGUAGES, "und"), _opened), "language: unsupported"),
+        rule(_domain("script", SCRIPTS, _opened), "script: unsupported"),
+        rule(_domain("provider", PROVIDERS, _opened), "provider: unsupported"),
         _first_text(lambda e: (F.length(e["value"]) > MAX_TEXT) & ~e["name"].isin(*LONG_ALLOWED), "too long"),
         _first_text(sensitive, "sensitive"),
     )
@@ -121,14 +146,21 @@ def validate(lines: DataFrame) -> DataFrame:
     The empty end of ``reason`` comes from a random draw: filters on it then stay above, and the rules are worked out once a line.
     """
     once = F.repeat(F.lit("-"), F.floor(F.rand()).cast("int"))
-    return parsed(lines).withColumn("texts", _texts()).withColumn("reason", F.concat(first_fault(), once)).drop("texts")
+    fields = F.try_variant_get("v", "$", f"struct<{', '.join(f'{n}: variant' for n in RULED)}>")
+    opened = parsed(lines).withColumn("fields", fields).withColumns({"stamp": _stamp(_opened), "texts": F.when(_telling(), _texts())})
+    return opened.withColumn("reason", F.concat(first_fault(), once)).drop("fields", "stamp", "texts")
 
 
-def quarantine(checked: DataFrame) -> DataFrame:
-    """Rejected events without their content: reason, names of keys, and 100 characters of lines that weren't JSON."""
-    keys = F.when(is_object(), F.json_object_keys("line"))
+def details() -> list[Column]:
+    """What is kept of a rejected event, without its content: reason, names of keys, and 100 characters of lines that weren't JSON."""
+    keys = F.when(F.col("reason").isNotNull() & is_object(), F.json_object_keys("line"))
     preview = F.when(F.col("v").isNull(), F.substring("line", 1, 100))
-    return checked.filter("reason IS NOT NULL").select("source_file", "line_number", "reason", keys.alias("keys_present"), preview.alias("raw_content_preview"))
+    return [F.col("source_file"), F.col("line_number"), F.col("reason"), keys.alias("keys_present"), preview.alias("raw_content_preview")]
+
+
+def quarantine(checked: DataFrame) -> DataFrame:
+    """Rejected events without their content; see ``details``."""
+    return checked.filter("reason IS NOT NULL").select(*details())
 
 
 def first_occurrence(checked: DataFrame) -> DataFrame:

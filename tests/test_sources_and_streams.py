@@ -176,3 +176,30 @@ def test_last_languages_are_carried_by_one_join_a_batch(spark):
     rows = spark.createDataFrame(events, "session_id string, event_id string, language string, at int").selectExpr("session_id", "event_id", "language", "timestamp_seconds(at) AS ts", "least(2, at DIV 2) AS lot")
     folder = streams.arriving(rows, "carried", lambda stream, f: st.carried_language(stream, f"{f}/out", f"{f}/last", f"{f}/state"))
     assert {(r.event_id, r.previous_language) for r in spark.read.parquet(f"{folder}/out").collect()} == {("e0", None), ("e1", "en"), ("e2", "hi"), ("e3", "kn"), ("e4", "te"), ("e5", None), ("f0", None), ("f1", "hi")}
+
+
+def test_an_arriving_lot_is_many_files(spark, monkeypatch):
+    rows = spark.range(0, 3 * streams.FILE_ROWS, 1, 1).withColumn("lot", F.lit(0))
+    folder = streams.arriving(rows, "files", lambda stream, f: stream.writeStream.format("noop").option("checkpointLocation", f"{f}/state").trigger(availableNow=True).start())
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) >= 3
+    made, recorder = [], st.recorder
+    monkeypatch.setattr(st, "recorder", lambda *a: made.append(a) or recorder(*a))
+    streams.recorded(spark, SF)
+    assert len(made) == streams.LOTS + 1
+
+
+def test_a_stamp_leaves_the_text_of_the_other_fields(spark):
+    kept = ['{"telemetry_environment":"test","a":1.50}', '{"telemetry_environment":5}', "[1]", "{broken", '{"a":1,"a":2}', "5", "", None]
+    changed = {
+        ' {"a": 1.50, "b": {"telemetry_environment": ""}} ': '{"telemetry_environment":"live","a": 1.50, "b": {"telemetry_environment": ""}} ', "{ }": '{"telemetry_environment":"live" }', "\t{}": '{"telemetry_environment":"live"}',
+        '{"b":1,"\\u0074elemetry_environment":""}': '{"b":1,"telemetry_environment":"live"}', '{"telemetry_environment":null}': '{"telemetry_environment":"live"}',
+    }
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate([*kept, *changed])], "source_file string, line_number int, line string")
+    assert [r.line for r in st.stamped(lines, "live").orderBy("line_number").collect()] == [*kept, *changed.values()]
+
+
+def test_escaped_strings_are_read_before_they_are_judged(spark):
+    notes = {"write to a\\u0040b.org": "note: sensitive", "\\u0041IzaSyA1234567890abcdefghijklmnopqrstuv": "note: sensitive", "x" * 199 + "\\n\\t": "note: too long", "x" * 198 + "\\n\\t": None, "é" * 201: "note: too long", "é" * 200: None, "call 987654321": None, "\\u0039876543210": "note: sensitive", "a@b": None}
+    rows = [("f", i, json.dumps(GOOD)[:-1] + f', "note": "{n}"}}') for i, n in enumerate(notes)]
+    found = e.validate(spark.createDataFrame(rows, "source_file string, line_number int, line string")).orderBy("line_number")
+    assert [r.reason for r in found.collect()] == list(notes.values())
