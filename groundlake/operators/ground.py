@@ -65,9 +65,11 @@ def stitched(chunks: DataFrame) -> DataFrame:
 
 def merge_overlap(left: Column, right: Column, least: int = 11, most: int = 150) -> Column:
     """JB21: ``left`` and ``right`` as one text, their longest common seam of ``least`` to ``most`` characters once."""
-    sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(most), F.length(left), F.length(right))))
-    seam = F.coalesce(F.array_max(F.filter(sizes, lambda n: F.right(left, n) == F.substring(right, F.lit(1), n))), F.lit(0))
-    seam = F.when((F.length(left) < least) | (F.length(right) < least), 0).otherwise(seam)
+    ends = F.array(F.struct(F.right(left, F.lit(most)).alias("tail"), F.substring(right, 1, most).alias("head")))
+    sizes = lambda x: F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.length(x["tail"]), F.length(x["head"]))))
+    longest = lambda x: F.array_max(F.filter(sizes(x), lambda n: F.endswith(x["tail"], F.substring(x["head"], F.lit(1), n))))
+    may = lambda x: (F.length(x["tail"]) >= least) & (F.length(x["head"]) >= least) & F.contains(x["tail"], F.substring(x["head"], 1, least))
+    seam = F.coalesce(F.get(F.transform(ends, lambda x: F.when(may(x), longest(x))), F.lit(0)), F.lit(0))
     return F.when(left == "", right).when(right == "", left).otherwise(F.concat(left, F.when(seam > 0, right.substr(seam + 1, F.length(right))).otherwise(F.concat(F.lit("\n\n"), right))))
 
 
@@ -84,28 +86,36 @@ def stitched_contexts(candidates: DataFrame, chunks: DataFrame, most: int = 5, l
     """JB21: (query_id, context, sources, truncated) of the first ``most`` candidates, neighbouring chunks as one block.
 
     ``candidates``: query_id, rank, doc_id, chunk_index; ``chunks``: doc_id, chunk_index, page_number, section_title, filename, text.
-    A candidate that goes on from an earlier chunk takes that in, one that goes on in a later one takes that (``neighbours``).
+    A candidate that goes on from an earlier chunk takes that in, one that goes on in a later one takes that (``neighbours``): chunks are met once, for
+    the candidates and what stands beside them, and what is left, at most three chunks a candidate, is dealt once by query.
     Chunks of one document, page and section are blocks by runs of their numbers, seams once; the blocks stand in the order in which their
     section was first met. They are taken while they fit; a first block that doesn't fit is cut to the limit less 200 characters.
     """
-    at = ["doc_id", "chunk_index"]
-    pool = candidates.filter(F.col("rank") <= most).join(chunks, at)
-    near = neighbours(pool, chunks)
-    asked = pool.select("query_id", "doc_id", F.col("chunk_index").alias("of"), "rank", tx.is_continuation(F.col("text")).alias("before"), tx.is_incomplete(F.col("text")).alias("after"))
-    wanted = near.join(asked, ["query_id", "doc_id", "of"]).filter(((F.col("step") == -1) & F.col("before")) | ((F.col("step") == 1) & F.col("after")))
-    found = wanted.select("query_id", *at, F.struct(F.lit(1).alias("late"), "rank", "step").alias("met")).unionByName(pool.select("query_id", *at, F.struct(F.lit(0).alias("late"), "rank", F.lit(0).alias("step")).alias("met")))
-    rows = found.groupBy("query_id", *at).agg(F.min("met").alias("met")).join(chunks, at).withColumn("section", F.when(F.coalesce("section_title", F.lit("")) == "", "General").otherwise(F.col("section_title")))
+    around = F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("step")
+    wanted = candidates.filter(F.col("rank") <= most).select("query_id", "doc_id", "chunk_index", "rank", around)
+    wanted = wanted.groupBy("query_id", "doc_id", (F.col("chunk_index") + F.col("step")).alias("chunk_index")).agg(F.min(F.when(F.col("step") == 0, F.col("rank"))).alias("own"))
+    found = wanted.join(chunks.select("doc_id", "chunk_index", "page_number", "section_title", "filename", "text"), ["doc_id", "chunk_index"]).repartition("query_id")
+    chosen = lambda c: F.when(F.col("own").isNotNull(), c)
+    goes_on = lambda rule: F.max(F.when(chosen(rule(F.col("text"))), F.struct("own", F.col("page_number").alias("page"), F.col("section_title").alias("section"))))
+    order = Window.partitionBy("query_id", "doc_id").orderBy("chunk_index")
+    rows = found.withColumns({"later": goes_on(tx.is_continuation).over(order.rangeBetween(1, 1)), "earlier": goes_on(tx.is_incomplete).over(order.rangeBetween(-1, -1))})
+    before = F.when((F.col("page_number") == F.col("later.page")) | (F.col("page_number") == F.col("later.page") - 1), F.struct(F.lit(1).alias("late"), F.col("later.own").alias("rank"), F.lit(-1).alias("step")))
+    after = F.when((F.col("section_title") == F.col("earlier.section")) & (F.col("page_number") == F.col("earlier.page")), F.struct(F.lit(1).alias("late"), F.col("earlier.own").alias("rank"), F.lit(1).alias("step")))
+    met = F.coalesce(chosen(F.struct(F.lit(0).alias("late"), F.col("own").alias("rank"), F.lit(0).alias("step"))), F.least(before, after))
+    rows = rows.withColumn("met", met).filter("met IS NOT NULL").withColumn("section", F.when(F.coalesce("section_title", F.lit("")) == "", "General").otherwise(F.col("section_title")))
     group = Window.partitionBy("query_id", "doc_id", "page_number", "section")
     rows = rows.withColumn("group_met", F.min("met").over(group)).withColumn("island", F.col("chunk_index") - F.row_number().over(group.orderBy("chunk_index")))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: tx.strip(x["text"]))
-    merged = F.aggregate(F.slice(texts, 2, F.greatest(F.lit(1), F.size(texts))), F.get(texts, F.lit(0)), lambda left, right: merge_overlap(left, right))
-    blocks = rows.groupBy("query_id", "doc_id", "page_number", "section", "island", "group_met").agg(F.first("filename").alias("filename"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), merged.alias("text"))
+    texts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    blocks = rows.groupBy("query_id", "doc_id", "page_number", "section", "island", "group_met").agg(F.first("filename").alias("filename"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), texts.alias("texts"))
+    blocks = blocks.withColumn("texts", F.transform("texts", lambda x: tx.strip(x["text"])))
+    merged = F.aggregate(F.slice("texts", 2, F.greatest(F.lit(1), F.size("texts"))), F.get("texts", F.lit(0)), lambda left, right: merge_overlap(left, right))
+    blocks = blocks.withColumn("text", tx.strip(merged)).drop("texts")
     order = Window.partitionBy("query_id").orderBy("group_met", "first")
     ids = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("first").cast("string"), F.when(F.col("last") > F.col("first"), F.concat(F.lit(".."), F.col("last").cast("string"))).otherwise(""))
     head = F.concat(F.lit("[Source "), F.col("nth").cast("string"), F.lit("]\nDocument: "), "filename", F.lit("\nPage: "), F.col("page_number").cast("string"), F.lit("\nSection: "), "section", F.lit("\nChunk ID: "), ids, F.lit("\nContent:\n"))
-    blocks = blocks.withColumn("nth", F.row_number().over(order)).withColumn("head", head).withColumn("block", F.concat("head", tx.strip(F.col("text")), F.lit("\n")))
+    blocks = blocks.withColumn("nth", F.row_number().over(order)).withColumn("head", head).withColumn("block", F.concat("head", "text", F.lit("\n")))
     blocks = blocks.withColumn("running", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("blocks", F.count("*").over(Window.partitionBy("query_id")))
-    cut = F.concat("head", F.substring(tx.strip(F.col("text")), F.lit(1), F.lit(max(100, limit - 200))), F.lit("...\n"))
+    cut = F.concat("head", F.substring("text", 1, max(100, limit - 200)), F.lit("...\n"))
     kept = blocks.filter((F.col("running") <= limit) | (F.col("nth") == 1)).withColumn("block", F.when(F.col("running") <= limit, F.col("block")).otherwise(cut))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "block"))), lambda x: x["block"]), "\n")
     fits = (F.count("*") == F.max("blocks")) & (F.max("running") <= limit)

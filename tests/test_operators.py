@@ -131,6 +131,36 @@ def test_stitched_contexts(spark):
     assert got[3].context == head(1, 1, "A", "3") + "Rooms are large.\n" and (got[3].sources, got[3].truncated) == (1, True)
 
 
+def test_stitched_contexts_meet_the_chunks_once(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "posexplode(split(text, '\n')) AS (chunk_index, text)").selectExpr("*", "1 AS page_number", "'A' AS section_title", "'f' AS filename")
+    asked = spark.createDataFrame([(q, n, q, n - 1) for q in range(50) for n in (1, 2, 3)], "query_id bigint, rank int, doc_id bigint, chunk_index int")
+    plan = g.stitched_contexts(asked, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Join") == 1
+
+
+def test_stitched_neighbours_at_borders(spark):
+    texts = {0: (1, "A", "one ends with the"), 1: (1, "A", "and goes on,"), 2: (2, "A", "and here too and"), 3: (2, "B", "Here it ends."), 5: (4, None, "and after a gap,"), 6: (4, None, "Last.")}
+    chunks = spark.createDataFrame([(1, i, *x[:2], "f", x[2]) for i, x in texts.items()], "doc_id int, chunk_index int, page_number int, section_title string, filename string, text string")
+    asked = spark.createDataFrame([(q, 1, 1, i) for q, i in enumerate((0, 1, 2, 3, 5, 7))] + [(9, 1, 1, 2), (9, 4, 1, 1), (9, 6, 1, 5)], "query_id int, rank int, doc_id int, chunk_index int")
+    ids = lambda text: [x[10:] for x in text.split("\n") if x.startswith("Chunk ID: ")]
+    got = {x.query_id: ids(x.context) for x in g.stitched_contexts(asked, chunks).collect()}
+    assert got == {0: ["1:0..1"], 1: ["1:0..1"], 2: ["1:2", "1:1"], 3: ["1:3"], 4: ["1:5"], 9: ["1:2", "1:0..1"]}
+
+
+def test_seams_of_long_texts(spark):
+    rows = [("a" * 200, "a" * 180), ("x" + "b" * 11, "b" * 11 + "y"), ("x" + "b" * 10, "b" * 10 + "y"), ("ಕ" * 300 + "ನ" * 12, "ನ" * 12 + "z"), ("end of it. end of", "end of it. end of it. end of more"), ("", "r"), ("l", "")]
+    df = spark.createDataFrame(rows, "l string, r string")
+    got = [x.m for x in df.select(g.merge_overlap(F.col("l"), F.col("r")).alias("m")).collect()]
+    assert got == ["a" * 230, "x" + "b" * 11 + "y", "x" + "b" * 10 + "\n\n" + "b" * 10 + "y", "ಕ" * 300 + "ನ" * 12 + "z", "end of it. end of it. end of more", "r", "l"]
+
+
+def test_only_ends_of_long_lines_are_judged(spark):
+    long = "Word " * 5000
+    rows = [("x. " + long + "such as", True, True), (long + "including", False, True), (long + "excluding", False, False), ("Training program " + long + "end", True, False), (long + ":", False, True), ("Training programs " + long, False, False), ("\n " + long + "\n\tlast of \n", False, True)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, text string, before boolean, after boolean")
+    assert [(x.b, x.a) for x in df.select("i", tx.is_continuation(F.col("text")).alias("b"), tx.is_incomplete(F.col("text")).alias("a")).orderBy("i").collect()] == [x[1:] for x in rows]
+
+
 def test_search_leaves_faulty_vectors_out(spark):
     schema = "{} bigint, embedding array<double>"
     rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [-1.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 0.0])]
