@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundlake.operators import lexical as lx
 from groundlake.operators import retrieval as r
+from groundlake.plans import retrieval as plans
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -189,3 +190,11 @@ def test_sums_in_32_bits_decide_nothing(spark):
     index = lx.build(table(spark, rows), block_chunks=16)
     queries = [(i, t) for i, t in rows if i < 40]
     same(found(lx.search(index, spark.createDataFrame(queries, "query_id bigint, text string"), 12)), brute(rows, queries, 12))
+
+
+def test_ablation_reads_labels_once_for_all_configurations(spark, monkeypatch):
+    listed = spark.createDataFrame([(100, 1, 1), (100, 2, 2)], "query_id bigint, chunk_id bigint, rank int")
+    monkeypatch.setattr(plans, "lists", lambda s, d: (listed, listed))
+    got = plans.ablation(spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [vec_id") <= 4
+    assert {x.config_name for x in got.collect()} == {"dense", "lexical", "rrf"}
